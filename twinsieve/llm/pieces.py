@@ -9,12 +9,14 @@ the library finds before it splits, go to the library as they are.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 
 from .arrays import NOT_SPACE, Block, Hasher
 
-#: Pieces kept in a worker's cache, and tokens in it: about 100 MB at most.
-CACHE_PIECES, CACHE_TOKENS = 500_000, 4_000_000
+#: Pieces kept in a worker's cache, and tokens in it: about 250 MB at most.
+CACHE_PIECES, CACHE_TOKENS = 1_200_000, 12_000_000
 
 
 def default_path() -> str:
@@ -78,34 +80,51 @@ class Pieces:
 
     def clear(self) -> None:
         self.at: dict[int, int] = {}
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.start, self.size, self.uses = (np.zeros(1024, np.int64) for _ in range(3))
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
-        for h, v in zip(hashes, self.values(texts), strict=True):
-            i = len(self.at)
-            if i == len(self.start):
-                self.start, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size))
-            if self.used + len(v) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(v)), self.kind)))
-            self.pool[self.used : self.used + len(v)] = v
-            self.at[h], self.start[i], self.size[i] = i, self.used, len(v)
-            self.used += len(v)
+    def _shrink(self) -> None:
+        """Keep the pieces used most often, a quarter of the places at most, and of the values likewise."""
+        n = len(self.at)
+        order = np.argsort(-self.uses[:n], kind="stable")[: self.most[0] // 4]
+        order = order[np.cumsum(self.size[order]) <= self.most[1] // 4]
+        start, size, uses, values = self.start[order], self.size[order], self.uses[order], self.gather(self.start[order], self.size[order])
+        keys = np.fromiter(self.at, np.uint64, n)[order].tolist()
+        self.clear()
+        self._store(keys, size, values)
+        self.uses[: len(keys)] = uses // 2
+
+    def _store(self, keys: list[int], size: np.ndarray, values: np.ndarray) -> None:
+        n = len(self.at)
+        while n + len(keys) > len(self.start):
+            self.start, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.uses))
+        if self.used + len(values) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(values)), self.kind)))
+        self.pool[self.used : self.used + len(values)] = values
+        self.start[n : n + len(keys)] = self.used + np.concatenate(([0], np.cumsum(size)[:-1])) if keys else 0
+        self.size[n : n + len(keys)] = size
+        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.used += len(values)
 
     def look_up(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end) of the block's pieces and (start, size) of their values in the pool."""
         begin = cuts(block.data, block.offs)
-        end = np.append(begin[1:], len(block.data))
+        end = np.append(begin[1:], len(block.data)) if len(begin) else begin
         h = Hasher(block.data).spans(begin, end)
-        distinct, first, which = np.unique(h, return_index=True, return_inverse=True)
+        distinct, first, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         keys = distinct.tolist()
         if len(self.at) + len(keys) > self.most[0] or self.used > self.most[1]:
-            self.clear()
-        new = [k for k, x in enumerate(keys) if x not in self.at]
+            self._shrink()
+        slot = list(map(self.at.get, keys))
+        new = [k for k, x in enumerate(slot) if x is None]
         if new:
-            raw = block.data.tobytes()
-            self._add([keys[k] for k in new], [raw[begin[first[k]] : end[first[k]]].decode("utf-8", "replace") for k in new])
-        slot = np.fromiter((self.at[x] for x in keys), np.int64, len(keys))
+            raw, at, to = block.data.tobytes(), begin[first[new]].tolist(), end[first[new]].tolist()
+            got = self.values([raw[i:j].decode("utf-8", "replace") for i, j in zip(at, to, strict=True)])
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            self._store([keys[k] for k in new], size, np.fromiter(chain.from_iterable(got), self.kind, int(size.sum())))
+            slot = list(map(self.at.get, keys))
+        slot = np.array(slot, np.int64)
+        self.uses[slot] += times
         return begin, end, self.start[slot][which], self.size[slot][which]
 
     def gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -30,10 +30,10 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows of df, computed once, written as Parquet to the shared folder and read from there ever after."""
     spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
