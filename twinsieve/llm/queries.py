@@ -4,15 +4,22 @@ from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination
 from .mixing import OP2_SQL, op2_mixing
+from .ngram_join import OP3_SQL, op3_ngram_join
 from .prefix_tokens import op8_prefix_tokens
+from .quality_mil import op6_quality_classifier
 from .quality_rules import op1_quality_rules
 from .token_files import op4_token_files
+from .toxicity import op5_toxicity
 from .warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_mixing, op4_token_files, op7_decontamination, op8_prefix_tokens, op9_warc)}
+    ops = (
+        op1_quality_rules, op2_mixing, op3_ngram_join, op4_token_files, op5_toxicity, op6_quality_classifier, op7_decontamination,
+        op8_prefix_tokens, op9_warc,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op7_decontamination": OP7_SQL, "op9_warc": OP9_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_ngram_join": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_warc": OP9_SQL}
