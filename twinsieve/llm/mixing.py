@@ -55,13 +55,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return table.withColumn("target", F.least(full, F.lit(level) * c("weight")))
 
 
-def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", max_epochs: int = 2, **how) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", max_epochs: int = 2, ident: Column | None = None, **how) -> DataFrame:
     """A row for each of docs: doc_id, source, size, source_size, target, taken (words, all takes together), takes (an
-    array of (position, words), in order of time; empty if the mix does not need the document) and first_position."""
+    array of (position, words), in order of time; empty if the mix does not need the document) and first_position; also
+    ident (a column that tells rows of one doc_id apart, else null) and copy (0, 1, ... within equal rows)."""
     c = F.col
-    sizes = docs.select(c(doc_id).alias("doc_id"), c(source).cast("string").alias("source"), word_count(c(text)).alias("size"))
+    ident = F.lit(None).cast("string") if ident is None else ident
+    sizes = docs.select(c(doc_id).alias("doc_id"), c(source).cast("string").alias("source"), word_count(c(text)).alias("size"), ident.alias("ident"))
     sizes = sizes.withColumn("key", F.md5(F.coalesce(c("doc_id").cast("string"), F.lit(""))))
-    folded = stash(sizes.groupBy("source", "key", "doc_id", "size").agg(F.count("*").alias("copies")), "mix_sizes")
+    folded = stash(sizes.groupBy("source", "key", "doc_id", "size", "ident").agg(F.count("*").alias("copies")), "mix_sizes")
     folded = folded.withColumn("range", F.substring("key", 1, 3)).withColumn("total", c("size") * c("copies"))
     sources = source_targets(folded.select("source", c("total").alias("size")), max_epochs=max_epochs, **how)
 
@@ -69,7 +71,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     before = F.sum("total").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
     ranges = ranges.select(c("source").alias("s"), c("range").alias("r"), F.coalesce(before, F.lit(0)).alias("before"))
     ranges = ranges.join(sources.select(c("source").alias("s2"), "rank", "source_size", "target"), c("s").eqNullSafe(c("s2"))).drop("s2")
-    inside = F.sum("total").over(W.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.sum("total").over(W.partitionBy("source", "range").orderBy("key", "doc_id", "size", "ident").rowsBetween(W.unboundedPreceding, -1))
     placed = folded.withColumn("inside", F.coalesce(inside, F.lit(0))).join(ranges, c("source").eqNullSafe(c("s")) & (c("range") == c("r")))
     one = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), c("copies") - 1)))
     at = c("before") + c("inside") + c("copy") * c("size")
@@ -86,7 +88,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     one = one.withColumn("takes", F.array_compact(F.array(*takes)))
     return one.select(
         "doc_id", "source", "size", "source_size", "target",
-        F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "takes",
+        F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "takes", "ident", "copy",
         F.try_element_at("takes", F.lit(1))["position"].alias("first_position"),
     )
 

@@ -113,9 +113,10 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(values[order]))
 
 
-def measured(docs: DataFrame, size: int, threshold: Threshold, text: str, doc_id: str) -> DataFrame:
-    """doc_id, n, class, keys of every row.  A task gives the keys of a class once, however many copies it meets."""
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def measured(docs: DataFrame, size: int, threshold: Threshold, text: str, doc_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, class, keys and `keep` of every row.  A task gives the keys of a class once, however many copies it meets."""
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
+    fields = src.schema.fields[2:]
 
     def run(batches):
         seen: set[int] = set()
@@ -132,11 +133,11 @@ def measured(docs: DataFrame, size: int, threshold: Threshold, text: str, doc_id
                         new[i] = True
                 own = new[row]
                 r, k = keys(row[own], h[own], n, threshold)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.rows.start, n), pa.array(count.astype(np.int64)), pa.array(cid), _lists(r, k, n)], names=["doc_id", "n", "class", "keys"]
-                )
+                kept = [batch.column(2 + i).slice(b.rows.start, n) for i in range(len(fields))]
+                own = [batch.column(0).slice(b.rows.start, n), pa.array(count.astype(np.int64)), pa.array(cid), _lists(r, k, n)]
+                yield pa.RecordBatch.from_arrays(own + kept, names=["doc_id", "n", "class", "keys", *(f.name for f in fields)])
 
-    return src.mapInArrow(run, "doc_id long, n long, class long, keys array<long>")
+    return src.mapInArrow(run, ", ".join(["doc_id long, n long, class long, keys array<long>", *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)]))
 
 
 def _runs(batches, columns: int) -> Iterator[list[np.ndarray]]:
@@ -342,11 +343,12 @@ def _rest_tasks(shared: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataF
     return left.unionByName(right).select(F.xxhash64("tile", "i", "j").alias("task"), "class", "label")
 
 
-def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, class_id (equal sets), component_id (smallest doc_id reachable by links) of every row."""
+def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, class_id (equal sets), group_id (linked classes), component_id (smallest doc_id reachable by
+    links) and `keep` of every row; class_id and group_id are null for rows without shingles."""
     c = F.col
     threshold = Threshold(num, den)
-    rows = stash(measured(docs, size, threshold, text, doc_id), "ngram_rows")
+    rows = stash(measured(docs, size, threshold, text, doc_id, keep), "ngram_rows")
     shared = stash(shared_blocks(rows.where("n > 0")), "ngram_blocks")
     wanted = shared.select("class").distinct()
     sets = stash(class_sets(docs, wanted, size, text), "ngram_sets")
@@ -361,9 +363,11 @@ def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, te
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
-    groups = named.join(lowest.where("members > 1"), "label").select("class", c("component_id"))
-    out = rows.select("doc_id", c("n").alias("n_shingles"), F.when(c("n") > 0, c("class")).alias("class")).join(groups, "class", "left")
-    return out.select("doc_id", "n_shingles", c("class").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    groups = named.join(lowest.where("members > 1"), "label").select("class", "label", "component_id")
+    out = rows.select("doc_id", c("n").alias("n_shingles"), F.when(c("n") > 0, c("class")).alias("class"), *keep).join(groups, "class", "left")
+    return out.select(
+        "doc_id", "n_shingles", c("class").alias("class_id"), F.coalesce("label", "class").alias("group_id"), F.coalesce("component_id", "doc_id").alias("component_id"), *keep
+    )
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP7_SQL, op7_decontamination
+from .language_model import op10_language_model
 from .mixing import OP2_SQL, op2_mixing
 from .ngram_join import OP3_SQL, op3_ngram_join
 from .prefix_tokens import op8_prefix_tokens
@@ -13,10 +14,16 @@ from .toxicity import op5_toxicity
 from .warc import OP9_SQL, op9_warc
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     ops = (
         op1_quality_rules, op2_mixing, op3_ngram_join, op4_token_files, op5_toxicity, op6_quality_classifier, op7_decontamination,
-        op8_prefix_tokens, op9_warc,
+        op8_prefix_tokens, op9_warc, op10_language_model, pipeline,
     )
     return {f.__name__: f for f in ops}
 
