@@ -1,8 +1,8 @@
 """Byte-level BPE of whole texts by the tokenizers library, with the work shared among equal pieces of text.
 
 The tokenizer splits a text by a pattern before it merges, and no match of the pattern runs from a character that is
-not white space into white space.  So a text may be cut before white space that follows such a character, and the
-tokens of the text are those of its pieces ("␣word") in order.  `Pieces` cuts whole blocks with numpy, looks distinct
+not white space into white space, or from a letter into punctuation.  So a text may be cut there, and the tokens of the
+text are those of its pieces ("␣word", "...") in order.  `Pieces` cuts whole blocks with numpy, looks distinct
 pieces up in a bounded cache and asks the library for the rest.  Texts that hold the string of a special token, which
 the library finds before it splits, go to the library as they are.
 """
@@ -43,8 +43,15 @@ def special_strings(path: str) -> list[str]:
     return [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
 
 
+_LETTER, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_PUNCT[33:127] = True
+_PUNCT[48:58] = _PUNCT[65:91] = _PUNCT[97:123] = False
+
+
 def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Positions where pieces begin: each row that is not empty, and white space behind a character that is surely not.
+    """Positions where pieces begin: each row that is not empty, white space behind a character that is surely none, and
+    ASCII punctuation behind what is surely a letter (A-Z, a-z, U+00C0-U+00FF).
 
     Behind a control character, or behind one of the blocks U+1000-U+3FFF and U+0080-U+00BF that have white space of
     their own, there is no cut; the piece is only longer.
@@ -54,7 +61,8 @@ def cuts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     prev, prev2, prev3 = (np.concatenate((np.zeros(k, np.uint8), data[: n - k] if k < n else data[:0]))[:n] for k in (1, 2, 3))
     sure = (prev > 0x20) & (prev != 0x7F) & ~((prev >= 0x80) & ((prev2 == 0xC2) | ((prev3 >= 0xE1) & (prev3 <= 0xE3))))
-    begin = ~NOT_SPACE[data] & sure
+    letter = _LETTER[prev] | ((prev2 == 0xC3) & (prev >= 0x80) & (prev != 0x97) & (prev != 0xB7))
+    begin = ~NOT_SPACE[data] & sure | _PUNCT[data] & letter
     begin[offs[:-1][offs[:-1] < offs[1:]]] = True
     return np.flatnonzero(begin)
 

@@ -36,20 +36,26 @@ MAGIC = b"TSVB0001"
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
 
-def encode_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(control bytes, data bytes) of unsigned 32-bit values."""
+def encode_values(values: np.ndarray, real: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(control bytes, data bytes, data bytes of each place) of unsigned 32-bit values, four to a control byte; places
+    that `real` does not mark are padding without data."""
     values = values.astype(np.uint32)
-    size = 1 + (values > 0xFF).astype(np.int64) + (values > 0xFFFF) + (values > 0xFFFFFF)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = size - 1
-    codes = codes.reshape(-1, 4)
+    pad = -len(values) % 4
+    real = np.ones(len(values), bool) if real is None else real
+    if pad:
+        values, real = np.concatenate((values, np.zeros(pad, np.uint32))), np.concatenate((real, np.zeros(pad, bool)))
+    size = np.ones(len(values), np.int64)
+    for top in (0xFF, 0xFFFF, 0xFFFFFF):
+        size += values > top
+    codes = (size - 1).astype(np.uint8).reshape(-1, 4)
     control = codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6
+    size *= real
     at = np.cumsum(size) - size
     data = np.zeros(int(size.sum()), np.uint8)
-    for k in range(4):
-        own = size > k
+    for k in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
         data[at[own] + k] = (values[own] >> np.uint32(8 * k)).astype(np.uint8)
-    return control, data
+    return control, data, size
 
 
 def decode_values(control: np.ndarray, data: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
@@ -59,8 +65,8 @@ def decode_values(control: np.ndarray, data: np.ndarray, real: np.ndarray | None
         size = size[real]
     at = np.cumsum(size) - size
     out = np.zeros(len(size), np.uint32)
-    for k in range(4):
-        own = size > k
+    for k in range(int(size.max(initial=0))):
+        own = np.flatnonzero(size > k)
         out[own] |= data[at[own] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -95,12 +101,23 @@ def _ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), kind), (offs - offs[0]) // kind.itemsize
 
 
+def _slices(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most `most` bytes in a binary column (one row at least)."""
+    col = batch.column(column)
+    offs = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    at = 0
+    while at < len(col):
+        to = min(len(col), max(at + 1, int(np.searchsorted(offs, offs[at] + most, side="right")) - 1))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def id_counts(ids: DataFrame, kind: np.dtype, vocabulary: int) -> np.ndarray:
     """How often each id occurs in the corpus."""
 
     def run(batches):
         total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 0)):
             total += np.bincount(_ids(batch.column(0), kind)[0], minlength=vocabulary)
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(have.astype(np.int64)), pa.array(total[have])], names=["id", "n"])
@@ -115,12 +132,19 @@ def coded(ids: DataFrame, kind: np.dtype, rank: np.ndarray) -> DataFrame:
     """doc_id, n, control, data: each document coded by itself."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in _slices(b, 1)):
             own, offs = _ids(batch.column(1), kind)
-            out = [encode_values(rank[own[i:j]]) for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offs)), *(pa.array([x[k].tobytes() for x in out], pa.binary()) for k in (0, 1))], names=["doc_id", "n", "control", "data"]
-            )
+            n = np.diff(offs)
+            places = -(-n // 4) * 4  # the codes of each document fill whole control bytes
+            first = np.concatenate(([0], np.cumsum(places)))
+            values = np.zeros(int(first[-1]), np.uint32)
+            real = np.zeros(len(values), bool)
+            at = np.arange(len(own)) + np.repeat(first[:-1] - offs[:-1], n)
+            values[at], real[at] = rank[own], True
+            control, data, size = encode_values(values, real)
+            ends = np.concatenate(([0], np.cumsum(size)))[first]
+            column = lambda raw, offs: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), column(control, first // 4), column(data, ends)], names=["doc_id", "n", "control", "data"])
 
     return ids.mapInArrow(run, "doc_id long, n long, control binary, data binary")
 
