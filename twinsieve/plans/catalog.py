@@ -1,11 +1,794 @@
-"""Every query of the core library by name, and the SQL it is checked against."""
+"""Every query of the core library by name, and the SQL it is checked against.
+
+`documents` plays the files (`sources.inventory.from_documents`), `labels` the decisions of a review, and the supplier and
+part keys of `lineitem` sets of another kind.  Names begin with the operator's id in the survey of operators.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as fn
+from ..operators import cascade, groups, review, similarity, store, tree
+from ..operators.groups import GROUP, GroupFilter
+from ..sources import inventory
+from ..streaming import incremental
+
+SESSION = ["session_id"]
+_found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
 
-def queries() -> dict:
-    return {}
+def _query(name: str, sql: str | None = None):
+    def put(f):
+        _found[name] = (f, sql)
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _found.items() if sql}
+
+
+# The relations, in Spark and in SQL.
+
+
+def files(spark, d) -> DataFrame:
+    return inventory.from_documents(spark.read.parquet(f"{d}/documents.parquet"))
+
+
+def slim(spark, d) -> DataFrame:
+    return files(spark, d).drop("content")
+
+
+def hashed(spark, d) -> DataFrame:
+    """All files with content_hash."""
+    return files(spark, d).where("file_size > 0").withColumn("content_hash", fn.digest(F.col("content"))).drop("content")
+
+
+def dups(spark, d) -> DataFrame:
+    return cascade.find_duplicates(files(spark, d))
+
+
+def session_dups(spark, d) -> DataFrame:
+    return cascade.find_duplicates(files(spark, d), SESSION)
+
+
+def session_groups(spark, d) -> DataFrame:
+    return cascade.groups(session_dups(spark, d), SESSION)
+
+
+def session_members(spark, d) -> DataFrame:
+    return cascade.members(session_dups(spark, d), SESSION)
+
+
+def decisions(spark, d) -> DataFrame:
+    """canonical_path, action: labels of quality 1 keep, of quality 0 delete."""
+    act = F.when(F.col("quality") == 1, "keep").when(F.col("quality") == 0, "delete")
+    acts = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return slim(spark, d).join(acts, "doc_id").select("canonical_path", act.alias("action"), F.col("doc_id").alias("seq")).where("action is not null")
+
+
+def sessions(spark, d) -> DataFrame:
+    """A session for each language: started when its oldest file was changed, completed a day after its newest."""
+    rows = slim(spark, d).groupBy("session_id").agg(F.min("last_modified").alias("lo"), F.max("last_modified").alias("hi"), F.count("*").alias("files"), F.sum("file_size").alias("bytes"))
+    done = F.when(F.col("session_id") != "fr", "completed").otherwise("running")
+    return rows.select(
+        "session_id", F.col("lo").alias("started_at"), (F.col("hi") + 86_400).alias("completed_at"), done.alias("status"),
+        F.to_json(F.array(F.concat(F.lit("/"), "session_id"))).alias("root_paths"), F.col("files").alias("files_scanned"), F.col("bytes").cast("long").alias("total_bytes"),
+    )
+
+
+def elements(spark, d, universe: str = "duplicates") -> DataFrame:
+    return tree.directory_elements(dups(spark, d) if universe == "duplicates" else hashed(spark, d))
+
+
+def pairs(spark, d, universe: str = "duplicates", threshold: float = 0.5) -> DataFrame:
+    return similarity.set_similarity(elements(spark, d, universe), threshold)
+
+
+def grouped_files(spark, d) -> DataFrame:
+    return groups.files_in_groups(session_members(spark, d), slim(spark, d))
+
+
+def plan(spark, d) -> DataFrame:
+    """What auto_mark plans; entries of even doc_ids are executed."""
+    marked = review.auto_mark(session_members(spark, d)).join(slim(spark, d).select("canonical_path", "doc_id", "last_modified"), "canonical_path")
+    return marked.withColumn("executed_at", F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("last_modified")))
+
+
+INV = """WITH RECURSIVE inv AS (SELECT doc_id, lang AS session_id, '/' || source || '/' || lang AS parent_dir, 'doc_' || doc_id || '.' || ext AS file_name,
+  '/' || source || '/' || lang || '/doc_' || doc_id || '.' || ext AS canonical_path, chr((67 + doc_id % 3)::INTEGER) AS drive_letter, ext,
+  strlen(t)::BIGINT AS file_size, 1700000000 + (doc_id * 7919) % 2000000 AS last_modified, md5(t) AS content_hash, md5(encode(t)[1:1024]) AS partial_hash
+  FROM (SELECT *, coalesce(text, '') AS t, ['txt', 'pdf', 'jpg', 'mp4', 'zip', 'mp3'][doc_id % 6 + 1] AS ext FROM documents)),
+hashed AS (SELECT * FROM inv WHERE file_size > 0),
+s1 AS (SELECT * FROM hashed QUALIFY count(*) OVER (PARTITION BY file_size) > 1),
+s2 AS (SELECT * FROM s1 QUALIFY count(*) OVER (PARTITION BY file_size, partial_hash) > 1),
+dups AS (SELECT * FROM s2 QUALIFY count(*) OVER (PARTITION BY file_size, content_hash) > 1),
+sdups AS (SELECT * FROM hashed QUALIFY count(*) OVER (PARTITION BY session_id, file_size, content_hash) > 1),
+grp AS (SELECT file_size, content_hash, count(*) AS file_count, (file_size * (count(*) - 1))::BIGINT AS wasted_bytes FROM dups GROUP BY file_size, content_hash),
+sgrp AS (SELECT session_id, file_size, content_hash, count(*) AS file_count, (file_size * (count(*) - 1))::BIGINT AS wasted_bytes FROM sdups GROUP BY session_id, file_size, content_hash),
+dec AS (SELECT canonical_path, CASE WHEN q = 1 THEN 'keep' ELSE 'delete' END AS action, doc_id AS seq FROM inv JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) USING (doc_id)
+  WHERE q IN (0, 1)),
+sess AS (SELECT session_id, min(last_modified) AS started_at, max(last_modified) + 86400 AS completed_at, CASE WHEN session_id <> 'fr' THEN 'completed' ELSE 'running' END AS status,
+  '["/' || session_id || '"]' AS root_paths, count(*) AS files_scanned, sum(file_size)::BIGINT AS total_bytes FROM inv GROUP BY session_id),
+anc AS (SELECT DISTINCT parent_dir, unnest(['/', '/' || split_part(parent_dir, '/', 2), parent_dir]) AS path FROM inv),
+el AS (SELECT path AS entity, content_hash AS element, min(file_size) AS weight FROM dups JOIN anc USING (parent_dir) GROUP BY ALL),
+ela AS (SELECT path AS entity, content_hash AS element, min(file_size) AS weight FROM hashed JOIN anc USING (parent_dir) GROUP BY ALL),
+"""
+
+
+def _similar(el: str, name: str, threshold: float, cap: int = 50) -> str:
+    """SQL for the pairs of a long form."""
+    return f"""{name}_f AS (SELECT element FROM {el} GROUP BY element HAVING count(*) <= {cap}),
+{name}_n AS (SELECT entity, count(*) AS n, sum(weight)::BIGINT AS w, string_agg(element::VARCHAR, ',' ORDER BY element::VARCHAR) AS print FROM {el} GROUP BY entity),
+{name}_c AS (SELECT DISTINCT a.entity AS a, b.entity AS b FROM {el} a JOIN {el} b ON a.element = b.element AND a.entity < b.entity WHERE a.element IN (SELECT element FROM {name}_f)),
+{name}_o AS (SELECT c.a, c.b, count(*) AS shared, sum(least(x.weight, y.weight))::BIGINT AS shared_weight FROM {name}_c c JOIN {el} x ON x.entity = c.a
+  JOIN {el} y ON y.entity = c.b AND y.element = x.element GROUP BY ALL),
+{name}_s AS (SELECT a AS entity_a, b AS entity_b, x.n AS n_a, y.n AS n_b, shared, shared_weight, shared / (x.n + y.n - shared)::DOUBLE AS score,
+  CASE WHEN shared = x.n AND shared = y.n THEN 'exact' WHEN shared = least(x.n, y.n) THEN 'subset' ELSE 'threshold' END AS match_type
+  FROM {name}_o JOIN {name}_n x ON x.entity = a JOIN {name}_n y ON y.entity = b),
+{name} AS (SELECT entity_a, entity_b, score, shared, shared_weight, match_type FROM {name}_s WHERE score >= {threshold} UNION ALL
+  SELECT x.entity, y.entity, 1.0, x.n, x.w, 'exact' FROM {name}_n x JOIN {name}_n y ON x.print = y.print AND x.entity < y.entity
+  WHERE NOT EXISTS (SELECT 1 FROM {name}_s WHERE score >= {threshold} AND entity_a = x.entity AND entity_b = y.entity))
+"""
+
+
+SUP = "WITH sup AS (SELECT l_suppkey AS entity, l_partkey AS element, 1::BIGINT AS weight FROM lineitem GROUP BY ALL),\n"
+END = "zz AS (SELECT 1) "
+
+# 2.1 sources
+
+
+@_query("op_s02_nonempty_files", INV + END + "SELECT canonical_path, file_size FROM inv WHERE file_size > 0")
+def _(spark, d):
+    return files(spark, d).where("file_size > 0").select("canonical_path", "file_size")
+
+
+@_query("op_s03_ignore_globs", INV + END + "SELECT canonical_path FROM inv WHERE split_part(parent_dir, '/', 3) <> 'fr' AND ext <> 'zip'")
+def _(spark, d):
+    return slim(spark, d).where(inventory.not_ignored(F.col("canonical_path"), ["**/fr/**", "*.zip", "[bad"])).select("canonical_path")
+
+
+@_query("op_s04_reduce_roots", INV + END + """SELECT DISTINCT a.root FROM (SELECT DISTINCT path AS root FROM anc WHERE path <> '/') a
+WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT path AS root FROM anc WHERE path <> '/') b WHERE starts_with(a.root, b.root || '/'))""")
+def _(spark, d):
+    nodes = tree.directory_nodes(slim(spark, d)).where("path <> '/'").select(F.col("path").alias("root"))
+    above = F.filter(tree.ancestors(F.col("root")), lambda x: (x != F.col("root")) & (x != "/"))
+    inside = nodes.select("root", F.explode(above).alias("up")).join(nodes.withColumnRenamed("root", "up"), "up", "left_semi")
+    return nodes.join(inside.select("root").distinct(), "root", "left_anti")
+
+
+@_query("op_s05_prefix_hash", INV + END + "SELECT canonical_path, partial_hash FROM hashed")
+def _(spark, d):
+    return files(spark, d).where("file_size > 0").select("canonical_path", fn.digest(F.substring("content", 1, 1024)).alias("partial_hash"))
+
+
+@_query("op_s06_full_hash", INV + END + "SELECT canonical_path, content_hash FROM hashed")
+def _(spark, d):
+    return hashed(spark, d).select("canonical_path", "content_hash")
+
+
+@_query("op_s07_path_parts", INV + END + "SELECT canonical_path, file_name, parent_dir, CASE WHEN doc_id % 2 = 0 THEN drive_letter ELSE '' END AS drive FROM inv")
+def _(spark, d):
+    p = F.col("canonical_path")
+    windows = F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("\\\\?\\"), "drive_letter", F.lit(":"), p)).otherwise(p)
+    return files(spark, d).select(p, fn.file_name(p).alias("file_name"), fn.parent_dir(p).alias("parent_dir"), fn.drive_letter(windows).alias("drive"))
+
+
+@_query("op_s08_modified_seconds", INV + END + "SELECT canonical_path, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE last_modified END AS modified FROM inv")
+def _(spark, d):
+    time = F.when(F.pmod("doc_id", F.lit(5)) != 0, F.timestamp_seconds("last_modified"))
+    return slim(spark, d).select("canonical_path", fn.epoch_seconds(time).alias("modified"))
+
+
+# 2.3 cascade
+
+
+@_query("op_d01_same_size", INV + END + "SELECT canonical_path, file_size FROM s1")
+def _(spark, d):
+    return cascade.same_size(slim(spark, d)).select("canonical_path", "file_size")
+
+
+@_query("op_d02_same_prefix", INV + END + "SELECT canonical_path, file_size, partial_hash FROM s2")
+def _(spark, d):
+    return cascade.same_prefix(files(spark, d)).select("canonical_path", "file_size", "partial_hash")
+
+
+@_query("op_d03_duplicate_groups", INV + END + "SELECT * FROM grp")
+def _(spark, d):
+    return cascade.groups(dups(spark, d)).orderBy(F.desc("wasted_bytes"), "content_hash")
+
+
+@_query("op_d04_digests", INV + END + "SELECT canonical_path, content_hash AS md5, sha256(t) AS sha256 FROM hashed JOIN (SELECT doc_id, text AS t FROM documents) USING (doc_id)")
+def _(spark, d):
+    c = F.col("content")
+    return files(spark, d).where("file_size > 0").select("canonical_path", fn.digest(c).alias("md5"), fn.digest(c, "sha256").alias("sha256"))
+
+
+@_query("op_d05_group_metrics", INV + END + "SELECT count(*) AS n_groups, coalesce(sum(file_count), 0)::BIGINT AS n_files, coalesce(sum(wasted_bytes), 0)::BIGINT AS total_wasted FROM grp")
+def _(spark, d):
+    sums = [F.coalesce(F.sum(a), F.lit(0)).cast("long").alias(b) for a, b in (("file_count", "n_files"), ("wasted_bytes", "total_wasted"))]
+    return cascade.groups(dups(spark, d)).agg(F.count("*").alias("n_groups"), *sums)
+
+
+@_query("op_d06_scan_stats", INV + END + "SELECT count(DISTINCT file_size) AS distinct_sizes, count(*) AS files, coalesce(sum(file_size), 0)::BIGINT AS bytes FROM hashed")
+def _(spark, d):
+    return cascade.scan_stats(slim(spark, d))
+
+
+@_query("op_d07_scan_result", INV + END + """SELECT (SELECT count(*) FROM hashed) AS files_walked, (SELECT count(*) FROM s1) AS size_candidates, (SELECT count(*) FROM s2) AS prefix_candidates,
+(SELECT count(*) FROM grp) AS duplicate_groups, (SELECT count(*) FROM dups) AS duplicate_files, (SELECT coalesce(sum(wasted_bytes), 0)::BIGINT FROM grp) AS wasted_bytes""")
+def _(spark, d):
+    return cascade.scan_result(files(spark, d))
+
+
+@_query("op_d08_members", INV + END + "SELECT file_size, content_hash, canonical_path FROM dups")
+def _(spark, d):
+    return cascade.members(dups(spark, d))
+
+
+# 2.4 hierarchy
+
+
+@_query("op_h01_parents", INV + END + "SELECT DISTINCT parent_dir FROM inv")
+def _(spark, d):
+    return tree.distinct_parents(slim(spark, d))
+
+
+@_query("op_h02_nodes", INV + END + """SELECT DISTINCT path, CASE WHEN path = '/' THEN '/' ELSE split_part(path, '/', -1) END AS name,
+CASE WHEN path = '/' THEN NULL WHEN path = parent_dir THEN '/' || split_part(path, '/', 2) ELSE '/' END AS parent,
+CASE WHEN path = '/' THEN 1 ELSE len(path) - len(replace(path, '/', '')) + 1 END::BIGINT AS depth FROM anc""")
+def _(spark, d):
+    return tree.directory_nodes(slim(spark, d))
+
+
+@_query("op_h03_direct_totals", INV + END + "SELECT path, count(i.doc_id) AS file_count, coalesce(sum(file_size), 0)::BIGINT AS total_size FROM (SELECT DISTINCT path FROM anc) a LEFT JOIN inv i ON i.parent_dir = a.path GROUP BY path")
+def _(spark, d):
+    return tree.direct_totals(slim(spark, d))
+
+
+ROLL = "roll AS (SELECT path, count(*) AS file_count, sum(file_size)::BIGINT AS total_size FROM inv JOIN anc USING (parent_dir) GROUP BY path),\n"
+
+
+@_query("op_h04_rollup", INV + ROLL + END + "SELECT * FROM roll")
+def _(spark, d):
+    return tree.directory_tree(slim(spark, d)).select("path", "file_count", "total_size")
+
+
+@_query("op_h05_hash_sets", INV + END + "SELECT entity AS path, count(*) AS hashes, string_agg(element, ',' ORDER BY element) AS hash_list FROM el GROUP BY entity")
+def _(spark, d):
+    return tree.directory_sets(dups(spark, d)).select("path", F.size("file_hash_set").cast("long").alias("hashes"), F.array_join("file_hash_set", ",").alias("hash_list"))
+
+
+@_query("op_h06_fingerprints", INV + END + "SELECT entity AS path, md5(string_agg(element, ',' ORDER BY element)) AS content_fingerprint, count(*) AS hashes FROM ela GROUP BY entity")
+def _(spark, d):
+    return tree.fingerprints(tree.directory_sets(hashed(spark, d)))
+
+
+@_query("op_h07_children", INV + ROLL + END + "SELECT path, file_count, total_size FROM roll WHERE path <> '/' AND len(path) - len(replace(path, '/', '')) = 1 ORDER BY total_size DESC, path LIMIT 5 OFFSET 2")
+def _(spark, d):
+    return tree.children(tree.directory_tree(slim(spark, d)), "/", 2, 5).select("path", "file_count", "total_size")
+
+
+@_query("op_h08_expand_level", INV + ROLL + END + "SELECT path, file_count, total_size FROM roll WHERE starts_with(path, '/src0/') ORDER BY total_size DESC, path LIMIT 200")
+def _(spark, d):
+    return tree.expand_level(tree.directory_tree(slim(spark, d)), "/src0").select("path", "file_count", "total_size")
+
+
+# 2.5 set similarity
+
+
+@_query("op_j01_inverted_index", INV + END + "SELECT element, count(*) AS frequency, string_agg(entity, '|' ORDER BY entity) AS entities FROM el GROUP BY element")
+def _(spark, d):
+    return similarity.inverted_index(elements(spark, d)).select("element", "frequency", F.array_join("entities", "|").alias("entities"))
+
+
+@_query("op_j02_frequency_cap", INV + END + "SELECT element, count(*) AS frequency FROM el GROUP BY element HAVING count(*) <= 5")
+def _(spark, d):
+    return similarity.frequencies(elements(spark, d)).where("frequency <= 5")
+
+
+@_query("op_j03_candidates", INV + _similar("el", "p", 0.5, 5) + "SELECT a AS entity_a, b AS entity_b FROM p_c")
+def _(spark, d):
+    return similarity.candidate_pairs(elements(spark, d), 5)
+
+
+@_query("op_j04_jaccard_duplicates", INV + _similar("el", "p", 0.5) + "SELECT entity_a, entity_b, score FROM p_s WHERE score >= 0.5")
+def _(spark, d):
+    e = elements(spark, d)
+    return similarity.scored(e, similarity.candidate_pairs(e)).where("score >= 0.5").select("entity_a", "entity_b", "score")
+
+
+@_query("op_j04_jaccard_all", INV + _similar("ela", "p", 0.1) + "SELECT entity_a, entity_b, score FROM p_s WHERE score >= 0.1")
+def _(spark, d):
+    e = elements(spark, d, "all")
+    return similarity.scored(e, similarity.candidate_pairs(e)).where("score >= 0.1").select("entity_a", "entity_b", "score")
+
+
+@_query("op_j04_jaccard_suppliers", SUP + _similar("sup", "p", 0.02) + "SELECT entity_a, entity_b, score, shared FROM p_s WHERE score >= 0.02")
+def _(spark, d):
+    e = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("element"), F.lit(1).cast("long").alias("weight")).distinct()
+    return similarity.scored(e, similarity.candidate_pairs(e)).where("score >= 0.02").select("entity_a", "entity_b", "score", "shared")
+
+
+@_query("op_j05_match_types", INV + _similar("el", "p", 0.1) + "SELECT entity_a, entity_b, n_a, n_b, shared, match_type FROM p_s")
+def _(spark, d):
+    e = elements(spark, d)
+    return similarity.scored(e, similarity.candidate_pairs(e)).select("entity_a", "entity_b", "n_a", "n_b", "shared", "match_type")
+
+
+@_query("op_j06_shared_bytes", INV + _similar("el", "p", 0.1) + "SELECT a AS entity_a, b AS entity_b, shared, shared_weight FROM p_o")
+def _(spark, d):
+    e = elements(spark, d)
+    return similarity.overlaps(e, similarity.candidate_pairs(e))
+
+
+@_query("op_j07_equal_sets", INV + _similar("el", "p", 0.5, 2) + "SELECT * FROM p")
+def _(spark, d):
+    return similarity.set_similarity(elements(spark, d), 0.5, 2)
+
+
+@_query("op_j08_similar_pairs", INV + _similar("el", "p", 0.5) + "SELECT * FROM p WHERE score >= 0.6 ORDER BY score DESC, entity_a, entity_b LIMIT 20 OFFSET 3")
+def _(spark, d):
+    return similarity.similar_pairs(pairs(spark, d), 0.6, 3, 20)
+
+
+@_query("op_j09_counts_by_type", INV + _similar("el", "p", 0.1) + "SELECT match_type, count(*) AS pairs FROM p GROUP BY match_type")
+def _(spark, d):
+    return similarity.counts_by_type(pairs(spark, d, threshold=0.1))
+
+
+@_query("op_j10_without_nested_pairs", INV + _similar("el", "p", 0.3) + """SELECT entity_a, entity_b FROM p WHERE NOT EXISTS (SELECT 1 FROM p q,
+ (VALUES (0), (1)) v(i), (VALUES (0), (1)) w(j) WHERE (q.entity_a, q.entity_b) <> (p.entity_a, p.entity_b)
+ AND starts_with(CASE i WHEN 0 THEN p.entity_a ELSE p.entity_b END, rtrim(CASE j WHEN 0 THEN q.entity_a ELSE q.entity_b END, '/') || '/')
+ AND (CASE i WHEN 0 THEN p.entity_a ELSE p.entity_b END) <> (CASE j WHEN 0 THEN q.entity_a ELSE q.entity_b END))""")
+def _(spark, d):
+    return similarity.without_nested_pairs(pairs(spark, d, threshold=0.3)).select("entity_a", "entity_b")
+
+
+@_query("op_j10_without_prefix_pairs", INV + _similar("el", "p", 0.3) + """SELECT entity_a, entity_b FROM p WHERE NOT EXISTS (SELECT 1 FROM p q,
+ (VALUES (0), (1)) v(i), (VALUES (0), (1)) w(j) WHERE (q.entity_a, q.entity_b) <> (p.entity_a, p.entity_b)
+ AND starts_with(lower(CASE i WHEN 0 THEN p.entity_a ELSE p.entity_b END), lower(CASE j WHEN 0 THEN q.entity_a ELSE q.entity_b END)))""")
+def _(spark, d):
+    return similarity.without_nested_pairs(pairs(spark, d, threshold=0.3), strict_prefix=False).select("entity_a", "entity_b")
+
+
+DIFF = """diff AS (SELECT 'left' AS side, canonical_path, content_hash, CASE WHEN content_hash IN (SELECT content_hash FROM hashed WHERE parent_dir = '/src2/en') THEN 'matched' ELSE 'left_only' END AS status
+FROM hashed WHERE parent_dir = '/src0/en' UNION ALL SELECT 'right', canonical_path, content_hash,
+CASE WHEN content_hash IN (SELECT content_hash FROM hashed WHERE parent_dir = '/src0/en') THEN 'matched' ELSE 'right_only' END FROM hashed WHERE parent_dir = '/src2/en'),
+"""
+
+
+@_query("op_j11_directory_diff", INV + DIFF + END + "SELECT * FROM diff")
+def _(spark, d):
+    return similarity.directory_diff(hashed(spark, d), "/src0/en", "/src2/en")
+
+
+@_query("op_j11_diff_summary", INV + DIFF + END + """SELECT count(*) FILTER (WHERE status = 'matched' AND side = 'left') AS matched_left, count(*) FILTER (WHERE status = 'left_only') AS left_only,
+count(*) FILTER (WHERE status = 'right_only') AS right_only, coalesce(200.0::DOUBLE * count(*) FILTER (WHERE status = 'matched' AND side = 'left') / nullif(count(*), 0), 0)::DOUBLE AS percent FROM diff""")
+def _(spark, d):
+    return similarity.diff_summary(similarity.directory_diff(hashed(spark, d), "/src0/en", "/src2/en"))
+
+
+@_query("op_j12_score_page", INV + _similar("el", "p", 0.1) + "SELECT entity_a, entity_b, score FROM p WHERE score >= 0.25 ORDER BY score DESC, entity_a, entity_b LIMIT 50")
+def _(spark, d):
+    return similarity.similar_pairs(pairs(spark, d, threshold=0.1), 0.25, 0, 50).select("entity_a", "entity_b", "score")
+
+
+# 2.6 groups and files
+
+
+@_query("op_q01_groups_page", INV + END + "SELECT * FROM sgrp WHERE session_id = 'en' ORDER BY wasted_bytes DESC, content_hash, file_size LIMIT 10 OFFSET 5")
+def _(spark, d):
+    return groups.groups_of_session(session_groups(spark, d), "en", 5, 10)
+
+
+MARK = "mark AS (SELECT *, canonical_path <> min(canonical_path) OVER (PARTITION BY session_id, file_size, content_hash) AS marked FROM sdups),\n"
+
+
+@_query("op_q02_files_in_groups", INV + MARK + END + "SELECT session_id, file_size, content_hash, canonical_path, file_name, marked AND doc_id % 2 <> 0 AS pending FROM mark")
+def _(spark, d):
+    return groups.files_in_groups(session_members(spark, d), slim(spark, d), plan(spark, d)).select(*GROUP, "canonical_path", "file_name", "pending")
+
+
+@_query("op_q03_files_with_copies", INV + END + "SELECT canonical_path, last_modified, count(*) OVER (PARTITION BY session_id, file_size, content_hash) AS copy_count FROM sdups")
+def _(spark, d):
+    return groups.files_with_copies(session_members(spark, d), slim(spark, d)).select("canonical_path", "last_modified", "copy_count")
+
+
+@_query("op_q04_totals", INV + END + "SELECT count(*) AS group_count, coalesce(sum(wasted_bytes), 0)::BIGINT AS total_wasted FROM sgrp")
+def _(spark, d):
+    return groups.totals(session_groups(spark, d))
+
+
+@_query("op_q05_sessions", INV + END + "SELECT session_id, started_at, status, (SELECT count(*) FROM sgrp g WHERE g.session_id = s.session_id) AS group_count FROM sess s ORDER BY started_at DESC, session_id LIMIT 50")
+def _(spark, d):
+    return groups.sessions_with_groups(sessions(spark, d), session_groups(spark, d), 0, 50).select("session_id", "started_at", "status", "group_count")
+
+
+@_query("op_q06_latest_session", INV + END + "SELECT session_id, completed_at FROM sess WHERE status = 'completed' ORDER BY completed_at DESC, session_id DESC LIMIT 1")
+def _(spark, d):
+    return groups.latest_completed(sessions(spark, d)).select("session_id", "completed_at")
+
+
+REVIEW = """rev AS (SELECT session_id, file_size, content_hash, count(*) AS n_files, count(action) AS n_decided, min(file_name) AS sample_name,
+max(CASE WHEN file_name ILIKE '%1%' THEN 1 ELSE 0 END) AS has_text, max(CASE WHEN ext IN ('pdf', 'txt') THEN 1 ELSE 0 END) AS has_type, max(CASE WHEN drive_letter = 'C' THEN 1 ELSE 0 END) AS has_drive
+FROM sdups LEFT JOIN dec USING (canonical_path) GROUP BY ALL),
+stat AS (SELECT *, CASE WHEN n_decided = 0 THEN 'unreviewed' WHEN n_decided = n_files THEN 'decided' ELSE 'partial' END AS status FROM rev JOIN sgrp USING (session_id, file_size, content_hash)),
+"""
+
+
+@_query("op_q07_filtered_groups", INV + REVIEW + END + """SELECT session_id, file_size, content_hash, file_count, wasted_bytes, sample_name FROM stat WHERE session_id = 'en' AND has_text = 1 AND has_type = 1 AND has_drive = 1
+AND wasted_bytes >= 500 ORDER BY wasted_bytes DESC, content_hash, file_size LIMIT 50""")
+def _(spark, d):
+    by = GroupFilter(text="1", file_type="documents", drive="C", min_wasted=500)
+    return groups.filter_groups(session_groups(spark, d), session_members(spark, d), slim(spark, d), decisions(spark, d), "en", by).select(*GROUP, "file_count", "wasted_bytes", "sample_name")
+
+
+@_query("op_q07_groups_by_status", INV + REVIEW + END + """SELECT content_hash, file_count, sample_name FROM stat WHERE session_id = 'en' AND status = 'partial' AND wasted_bytes <= 100000
+ORDER BY sample_name, content_hash, file_size LIMIT 50""")
+def _(spark, d):
+    by = GroupFilter(status="partial", max_wasted=100_000)
+    return groups.filter_groups(session_groups(spark, d), session_members(spark, d), slim(spark, d), decisions(spark, d), "en", by, "name", True).select("content_hash", "file_count", "sample_name")
+
+
+@_query("op_q07_filtered_count", INV + REVIEW + END + "SELECT count(*) AS total FROM stat WHERE session_id = 'en' AND has_text = 1 AND status = 'unreviewed'")
+def _(spark, d):
+    by = GroupFilter(text="1", status="unreviewed")
+    return groups.matching_groups(session_groups(spark, d), session_members(spark, d), slim(spark, d), decisions(spark, d), "en", by).agg(F.count("*").alias("total"))
+
+
+INDIR = """cop AS (SELECT canonical_path, count(*) OVER (PARTITION BY session_id, file_size, content_hash) AS copies FROM sdups WHERE session_id = 'en'),
+indir AS (SELECT i.canonical_path, file_name, parent_dir, file_size, copies IS NOT NULL AS is_duplicate, coalesce(copies, 0)::BIGINT AS copy_count FROM inv i LEFT JOIN cop USING (canonical_path)),
+"""
+
+
+@_query("op_q08_files_in_directory", INV + INDIR + END + "SELECT canonical_path, file_size, is_duplicate, copy_count FROM indir WHERE parent_dir = '/src0/en' ORDER BY file_size DESC, canonical_path LIMIT 200")
+def _(spark, d):
+    return groups.files_in_directory(slim(spark, d), session_members(spark, d), "en", "/src0/en", "size", False).select("canonical_path", "file_size", "is_duplicate", "copy_count")
+
+
+DENS = "dens AS (SELECT parent_dir, count(*) FILTER (WHERE is_duplicate) AS duplicates, count(*) AS total, sum(file_size)::BIGINT AS bytes FROM indir GROUP BY parent_dir),\n"
+
+
+@_query("op_q09_directory_density", INV + INDIR + DENS + END + "SELECT * FROM dens")
+def _(spark, d):
+    return groups.directory_density(slim(spark, d), session_members(spark, d), "en")
+
+
+@_query("op_q10_sibling_context", INV + INDIR + END + """SELECT a.canonical_path, (SELECT count(*) FROM indir b WHERE b.parent_dir = a.parent_dir AND b.canonical_path <> a.canonical_path) AS siblings,
+(SELECT count(*) FROM indir b WHERE b.parent_dir = a.parent_dir AND b.canonical_path <> a.canonical_path AND b.is_duplicate) AS duplicated FROM indir a""")
+def _(spark, d):
+    return groups.sibling_context(slim(spark, d), session_members(spark, d), "en")
+
+
+@_query("op_q11_quick_wins", INV + _similar("el", "p", 0.5) + """, g5 AS (SELECT * FROM sgrp WHERE session_id = 'en' ORDER BY wasted_bytes DESC, content_hash, file_size LIMIT 5)
+SELECT * FROM (SELECT 'directory' AS kind, entity_a || ' = ' || entity_b AS label, shared_weight AS bytes, 2::BIGINT AS copies FROM p WHERE match_type = 'exact' ORDER BY shared_weight DESC, entity_a, entity_b LIMIT 5)
+UNION ALL SELECT 'group', min(file_name), wasted_bytes, file_count FROM g5 JOIN sdups USING (session_id, file_size, content_hash) GROUP BY session_id, file_size, content_hash, wasted_bytes, file_count""")
+def _(spark, d):
+    return groups.quick_wins(pairs(spark, d), session_groups(spark, d), session_members(spark, d), slim(spark, d), "en")
+
+
+@_query("op_q12_search", INV + INDIR + END + "SELECT canonical_path, file_name, copy_count FROM indir WHERE canonical_path ILIKE '%OC\\_9%' ESCAPE '\\' ORDER BY file_name, canonical_path LIMIT 20")
+def _(spark, d):
+    return groups.search(slim(spark, d), session_members(spark, d), "OC_9", "en").select("canonical_path", "file_name", "copy_count")
+
+
+@_query("op_q13_treemap", INV + INDIR + DENS + END + "SELECT parent_dir, total AS files, duplicates, bytes, duplicates / total::DOUBLE AS density FROM dens WHERE bytes > 0 ORDER BY bytes DESC, parent_dir LIMIT 30")
+def _(spark, d):
+    return groups.treemap_nodes(slim(spark, d), session_members(spark, d), "en")
+
+
+@_query("op_q14_duplicates_only", INV + INDIR + END + "SELECT canonical_path, copy_count FROM indir WHERE parent_dir = '/src0/en' AND is_duplicate ORDER BY file_name, canonical_path LIMIT 200")
+def _(spark, d):
+    return groups.files_in_directory(slim(spark, d), session_members(spark, d), "en", "/src0/en", duplicates_only=True).select("canonical_path", "copy_count")
+
+
+# 2.7 review
+
+
+@_query("op_r01_auto_mark", INV + MARK + END + "SELECT session_id, file_size, content_hash, canonical_path FROM mark WHERE marked")
+def _(spark, d):
+    return review.auto_mark(session_members(spark, d)).select(*GROUP, "canonical_path")
+
+
+@_query("op_r02_auto_select_newest", INV + END + """SELECT canonical_path, CASE WHEN row_number() OVER (PARTITION BY session_id, file_size, content_hash ORDER BY last_modified DESC, canonical_path) = 1
+THEN 'keep' ELSE 'delete' END AS action FROM sdups""")
+def _(spark, d):
+    return review.auto_select(grouped_files(spark, d), "newest").select("canonical_path", "action")
+
+
+@_query("op_r02_auto_select_shortest", INV + END + """SELECT canonical_path, CASE WHEN row_number() OVER (PARTITION BY session_id, file_size, content_hash ORDER BY len(canonical_path), canonical_path) = 1
+THEN 'keep' ELSE 'delete' END AS action FROM sdups""")
+def _(spark, d):
+    return review.auto_select(grouped_files(spark, d), "shortest").select("canonical_path", "action")
+
+
+@_query("op_r03_mark_subtree", INV + END + "SELECT canonical_path FROM inv WHERE parent_dir = '/src1' OR starts_with(parent_dir, '/src1/')")
+def _(spark, d):
+    return review.mark_subtree(slim(spark, d), "/src1").select("canonical_path")
+
+
+@_query("op_r03_mark_prefix", INV + END + "SELECT canonical_path FROM inv WHERE starts_with(lower(parent_dir), '/src1')")
+def _(spark, d):
+    return review.mark_subtree(slim(spark, d), "/SRC1", strict=False).select("canonical_path")
+
+
+@_query("op_r04_pending_plan", INV + MARK + END + "SELECT canonical_path FROM mark WHERE marked AND doc_id % 2 <> 0")
+def _(spark, d):
+    return review.pending(plan(spark, d)).select("canonical_path")
+
+
+@_query("op_r04_is_marked", INV + MARK + END + "SELECT canonical_path, file_size FROM mark WHERE marked AND doc_id % 2 <> 0")
+def _(spark, d):
+    return review.is_marked(slim(spark, d), plan(spark, d)).select("canonical_path", "file_size")
+
+
+@_query("op_r05_plan_summary", INV + MARK + END + "SELECT count(*) AS files, coalesce(sum(file_size), 0)::BIGINT AS bytes FROM mark WHERE marked AND doc_id % 2 <> 0")
+def _(spark, d):
+    return review.plan_summary(plan(spark, d), slim(spark, d))
+
+
+@_query("op_r06_group_status", INV + REVIEW + END + "SELECT session_id, file_size, content_hash, n_files, n_decided, status FROM stat")
+def _(spark, d):
+    return review.review_status(session_members(spark, d), decisions(spark, d))
+
+
+@_query("op_r07_progress", INV + END + "SELECT session_id, count(action) AS reviewed, count(*) AS total, 100.0::DOUBLE * count(action) / count(*) AS percent FROM sdups LEFT JOIN dec USING (canonical_path) GROUP BY session_id")
+def _(spark, d):
+    return review.review_progress(session_members(spark, d), decisions(spark, d))
+
+
+QUEUE = """queue AS (SELECT a.*, (SELECT min(b.canonical_path) FROM sdups b LEFT JOIN dec x ON x.canonical_path = b.canonical_path WHERE b.session_id = a.session_id AND b.file_size = a.file_size
+AND b.content_hash = a.content_hash AND coalesce(x.action, '') <> 'delete') AS retained_path FROM sdups a JOIN dec USING (canonical_path) WHERE action = 'delete'),
+"""
+
+
+@_query("op_r08_deletion_queue", INV + QUEUE + END + "SELECT canonical_path, drive_letter, parent_dir, file_name, retained_path FROM queue")
+def _(spark, d):
+    return review.deletion_queue(session_members(spark, d), slim(spark, d), decisions(spark, d)).select("canonical_path", "drive_letter", "parent_dir", "file_name", "retained_path")
+
+
+@_query("op_r09_queue_summary", INV + QUEUE + END + "SELECT count(*) AS files, coalesce(sum(file_size), 0)::BIGINT AS bytes, count(DISTINCT drive_letter) AS drives, false AS has_network FROM queue")
+def _(spark, d):
+    return review.queue_summary(review.deletion_queue(session_members(spark, d), slim(spark, d), decisions(spark, d)))
+
+
+@_query("op_r10_single_keep", INV + END + """SELECT canonical_path, CASE WHEN action = 'keep' AND seq < max(CASE WHEN action = 'keep' THEN seq END) OVER (PARTITION BY session_id, file_size, content_hash)
+THEN 'skip' ELSE action END AS action FROM sdups JOIN dec USING (canonical_path)""")
+def _(spark, d):
+    log = session_members(spark, d).join(decisions(spark, d), "canonical_path")
+    return review.single_keep(log).select("canonical_path", "action")
+
+
+def _windows_paths(spark, d) -> DataFrame:
+    """Group members under paths of other kinds, by doc_id."""
+    p, i = F.translate("canonical_path", "/", "\\"), F.pmod(F.col("doc_id"), F.lit(5))
+    path = F.when(i == 0, F.concat(F.lit("C:\\backup"), p)).when(i == 1, F.concat(F.lit("C:\\Users\\u\\Documents"), p)).when(i == 2, F.concat(F.lit("D:\\2019"), p)).otherwise(F.concat(F.lit("D:\\data"), p))
+    ids = slim(spark, d).select("canonical_path", "doc_id")
+    return grouped_files(spark, d).join(ids, "canonical_path").withColumn("canonical_path", path)
+
+
+WIN = r"""win AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'C:\backup' WHEN 1 THEN 'C:\Users\u\Documents' WHEN 2 THEN 'D:\2019' ELSE 'D:\data' END || replace(canonical_path, '/', '\') AS p FROM sdups),
+sug AS (SELECT session_id, file_size, content_hash, count(*) AS n, min(p) FILTER (WHERE doc_id % 5 IN (0, 2)) AS b1, min(p) FILTER (WHERE doc_id % 5 NOT IN (0, 2)) AS b0,
+min(p) FILTER (WHERE doc_id % 5 = 1) AS a1, min(p) FILTER (WHERE doc_id % 5 <> 1) AS a0, arg_max(p, (last_modified, p)) AS np, arg_min(p, (last_modified, p)) AS op, max(last_modified) - min(last_modified) AS age,
+arg_min(p, (len(p) - len(replace(p, '\', '')), p)) AS nearp, arg_min(p, (len(replace(p, '\', '')) - len(p), p)) AS farp,
+max(len(p) - len(replace(p, '\', ''))) - min(len(p) - len(replace(p, '\', ''))) AS seps FROM win GROUP BY ALL),
+"""
+
+
+@_query("op_r11_suggestions", INV + WIN + END + """SELECT session_id, file_size, content_hash,
+CASE WHEN b1 IS NOT NULL AND b0 IS NOT NULL THEN b1 WHEN a1 IS NOT NULL AND a0 IS NOT NULL THEN a0 WHEN age > 604800 THEN op ELSE farp END AS delete_path,
+CASE WHEN b1 IS NOT NULL AND b0 IS NOT NULL THEN b0 WHEN a1 IS NOT NULL AND a0 IS NOT NULL THEN a1 WHEN age > 604800 THEN np ELSE nearp END AS keep_path,
+CASE WHEN b1 IS NOT NULL AND b0 IS NOT NULL THEN 'Backup root' WHEN a1 IS NOT NULL AND a0 IS NOT NULL THEN 'Active workspace' WHEN age > 604800 THEN 'Most recent' ELSE 'Shortest path' END AS label
+FROM sug WHERE (b1 IS NOT NULL AND b0 IS NOT NULL) OR (a1 IS NOT NULL AND a0 IS NOT NULL) OR age > 604800 OR seps > 0""")
+def _(spark, d):
+    return review.suggest(_windows_paths(spark, d))
+
+
+@_query("op_r12_path_labels", INV + WIN + END + "SELECT p AS path, CASE WHEN doc_id % 5 IN (0, 2) THEN 'Backup root' WHEN doc_id % 5 = 1 THEN 'Active workspace' ELSE '' END AS label FROM win")
+def _(spark, d):
+    p = F.col("canonical_path")
+    return _windows_paths(spark, d).select(p.alias("path"), fn.path_label(p).alias("label"))
+
+
+@_query("op_r13_age_badges", INV + END + """SELECT canonical_path, CASE WHEN hi = lo THEN NULL WHEN canonical_path = np THEN 'newest' WHEN canonical_path = op THEN 'oldest' END AS badge FROM sdups JOIN (
+SELECT session_id, file_size, content_hash, max(last_modified) AS hi, min(last_modified) AS lo, arg_max(canonical_path, (last_modified, canonical_path)) AS np,
+arg_min(canonical_path, (last_modified, canonical_path)) AS op FROM sdups GROUP BY ALL) USING (session_id, file_size, content_hash)""")
+def _(spark, d):
+    return review.age_badges(grouped_files(spark, d)).select("canonical_path", "badge")
+
+
+@_query("op_r14_undo_fold")
+def _(spark, d):
+    """Decisions of a log in which every third event of a session undoes one, and every seventh redoes one."""
+    kind = F.when(F.pmod("seq", F.lit(7)) == 0, "redo").when(F.pmod("seq", F.lit(3)) == 0, "undo").otherwise("decide")
+    log = decisions(spark, d).join(slim(spark, d).select("canonical_path", F.col("session_id").alias("user")), "canonical_path")
+    return review.undo_fold(log.select("user", "canonical_path", "action", "seq", kind.alias("kind")))
+
+
+# 2.2 sinks
+
+
+@_query("op_k01_upsert_files", INV + END + """SELECT canonical_path, CASE WHEN doc_id % 3 = 1 THEN file_size + 1 ELSE file_size END AS file_size, CASE WHEN doc_id % 3 = 2 THEN false ELSE doc_id % 4 = 0 END AS marked_deleted FROM inv""")
+def _(spark, d):
+    """Old: all but ids 2 modulo 3; new: all but ids 0 modulo 3, those of 1 grown by a byte."""
+    rows, i = slim(spark, d), F.col("doc_id")
+    old = rows.where(F.pmod(i, F.lit(3)) != 2).select("canonical_path", "file_size", (F.pmod(i, F.lit(4)) == 0).alias("marked_deleted"))
+    grown = F.when(F.pmod(i, F.lit(3)) == 1, F.col("file_size") + 1).otherwise(F.col("file_size"))
+    new = rows.where(F.pmod(i, F.lit(3)) != 0).select("canonical_path", grown.alias("file_size"), F.lit(False).alias("marked_deleted"))
+    return store.upsert_files(old, new)
+
+
+@_query("op_k02_groups_and_members", INV + END + "SELECT session_id, content_hash, file_size, file_count, wasted_bytes, canonical_path FROM sgrp JOIN sdups USING (session_id, content_hash, file_size)")
+def _(spark, d):
+    return session_groups(spark, d).join(session_members(spark, d), GROUP).select("session_id", "content_hash", "file_size", "file_count", "wasted_bytes", "canonical_path")
+
+
+@_query("op_k03_find_session", "SELECT 'de' AS session_id, '[\"/de\"]' AS root_paths, 'running' AS status, true AS reused")
+def _(spark, d):
+    return store.find_or_create_session(sessions(spark, d), ["/de"], "new", "2024-01-01 00:00:00").select("session_id", "root_paths", "status", "reused")
+
+
+@_query("op_k04_complete_session", INV + END + "SELECT 'new' AS session_id, 'completed' AS status, count(*) AS files_scanned, coalesce(sum(file_size), 0)::BIGINT AS total_bytes FROM sdups WHERE session_id = 'fr'")
+def _(spark, d):
+    row = store.find_or_create_session(sessions(spark, d), ["/fr"], "new", "2024-01-01 00:00:00")
+    done = store.complete_session(row, "2024-01-02 00:00:00", session_dups(spark, d).where("session_id = 'fr'"))
+    return done.select("session_id", "status", "files_scanned", "total_bytes")
+
+
+@_query("op_k05_delete_sessions", INV + END + "SELECT session_id, content_hash FROM sgrp WHERE session_id NOT IN ('de', 'es')")
+def _(spark, d):
+    return store.delete_sessions(session_groups(spark, d), ["de", "es"]).select("session_id", "content_hash")
+
+
+@_query("op_k05_forget_sessions", INV + END + "SELECT canonical_path, CASE WHEN session_id <> 'de' THEN session_id END AS last_seen_session_id FROM inv")
+def _(spark, d):
+    rows = slim(spark, d).select("canonical_path", F.col("session_id").alias("last_seen_session_id"))
+    return store.forget_sessions(rows, ["de"])
+
+
+@_query("op_k06_insert_nodes", INV + END + "SELECT DISTINCT path, CASE WHEN path IN ('/', '/src0') THEN 1 ELSE 2 END::BIGINT AS seen FROM anc")
+def _(spark, d):
+    nodes = tree.directory_nodes(slim(spark, d))
+    old = nodes.where("path in ('/', '/src0')").select("path", F.lit(1).cast("long").alias("seen"))
+    return store.insert_or_ignore(old, nodes.select("path", F.lit(2).cast("long").alias("seen")), ["path"])
+
+
+@_query("op_k07_fold_marks", INV + END + "SELECT canonical_path, 'auto' AS strategy FROM inv WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
+def _(spark, d):
+    """Every file is marked; ids 0 modulo 3 are unmarked, of these the even ones marked again."""
+    rows, i = slim(spark, d), F.col("doc_id")
+    event = lambda df, kind, seq: df.select("canonical_path", F.lit(kind).alias("kind"), F.lit("auto").alias("strategy"), F.timestamp_seconds("last_modified").alias("marked_at"), F.lit(seq).alias("seq"))
+    log = event(rows, "mark", 1).unionByName(event(rows.where(F.pmod(i, F.lit(3)) == 0), "unmark", 2)).unionByName(event(rows.where(F.pmod(i, F.lit(6)) == 0), "mark", 3))
+    return store.fold_marks(log).select("canonical_path", "strategy")
+
+
+@_query("op_k08_upsert_decisions", INV + END + "SELECT canonical_path, CASE WHEN seq % 3 <> 0 THEN 'old' ELSE 'new' END AS group_hash, CASE WHEN seq % 3 = 1 THEN action ELSE 'skip' END AS action FROM dec")
+def _(spark, d):
+    """Old: all but 0 modulo 3; new (skip): all but 1 modulo 3."""
+    rows, i = decisions(spark, d), F.pmod(F.col("seq"), F.lit(3))
+    old = rows.where(i != 0).select("canonical_path", F.lit("old").alias("group_hash"), "action")
+    return store.upsert_decisions(old, rows.where(i != 1).select("canonical_path", F.lit("new").alias("group_hash"), F.lit("skip").alias("action")))
+
+
+@_query("op_k09_migrate_plan", INV + MARK + END + """SELECT canonical_path, 'known' AS group_hash, action FROM dec UNION ALL
+SELECT canonical_path, content_hash, 'delete' FROM mark WHERE marked AND doc_id % 2 <> 0 AND canonical_path NOT IN (SELECT canonical_path FROM dec)""")
+def _(spark, d):
+    known = decisions(spark, d).select("canonical_path", F.lit("known").alias("group_hash"), "action")
+    return store.migrate_plan(plan(spark, d), session_members(spark, d), known)
+
+
+@_query("op_k10_profiles", "SELECT 'b' AS id, 'B' AS name, 3 AS updated_at UNION ALL SELECT 'a', 'A2', 2")
+def _(spark, d):
+    one = lambda *rows: spark.createDataFrame(list(rows), "id string, name string, updated_at int")
+    kept = store.upsert(one(("a", "A", 1), ("b", "B", 3), ("c", "C", 0)), one(("a", "A2", 2)), ["id"])
+    return store.list_profiles(kept.where("id <> 'c'"))
+
+
+@_query("op_k11_simulate", INV + MARK + END + "SELECT canonical_path, CASE WHEN doc_id % 5 = 0 THEN 'file_missing' ELSE 'success' END AS execution_result FROM mark WHERE marked AND doc_id % 2 <> 0")
+def _(spark, d):
+    return review.simulate(plan(spark, d), slim(spark, d).where(F.pmod("doc_id", F.lit(5)) != 0))
+
+
+@_query("op_k11_simulation_summary", INV + MARK + END + "SELECT count(*) FILTER (WHERE doc_id % 5 <> 0) AS success, 0::BIGINT AS errors FROM mark WHERE marked AND doc_id % 2 <> 0")
+def _(spark, d):
+    return review.simulation_summary(review.simulate(plan(spark, d), slim(spark, d).where(F.pmod("doc_id", F.lit(5)) != 0), use_trash=True))
+
+
+@_query("op_k12_deletion_log", INV + QUEUE + END + "SELECT canonical_path AS path, upper(content_hash) AS hash, file_size AS size, retained_path, 'trash' AS method FROM queue")
+def _(spark, d):
+    queue = review.deletion_queue(session_members(spark, d), slim(spark, d), decisions(spark, d))
+    return review.deletion_log(queue, F.lit("2024-01-01")).select("path", "hash", "size", "retained_path", "method")
+
+
+@_query("op_k13_hash_cache", INV + END + "SELECT canonical_path, content_hash FROM hashed")
+def _(spark, d):
+    """Half of the hashes are known; the others are computed, and all are the new cache."""
+    rows = files(spark, d).where("file_size > 0").select("canonical_path", "last_modified", "content", "doc_id")
+    cache = rows.where(F.pmod("doc_id", F.lit(2)) == 0).select("canonical_path", "last_modified", fn.digest(F.col("content")).alias("content_hash"))
+    _, new = store.with_cached_hash(rows, cache, lambda df: df.withColumn("content_hash", fn.digest(F.col("content"))))
+    return new.select("canonical_path", "content_hash")
+
+
+# 2.8 scalars
+
+
+@_query("op_e01_extensions", INV + END + "SELECT file_name, lower(split_part(file_name, '.', -1)) AS ext FROM inv")
+def _(spark, d):
+    return slim(spark, d).select("file_name", fn.extension(F.col("file_name")).alias("ext"))
+
+
+@_query("op_e02_categories", INV + END + "SELECT file_name, CASE ext WHEN 'jpg' THEN 'images' WHEN 'mp4' THEN 'video' WHEN 'zip' THEN 'archives' WHEN 'mp3' THEN 'audio' ELSE 'documents' END AS category FROM inv")
+def _(spark, d):
+    return slim(spark, d).select("file_name", fn.category(fn.extension(F.col("file_name"))).alias("category"))
+
+
+@_query("op_e03_format_bytes", INV + END + """SELECT canonical_path, CASE WHEN file_size < 1000 THEN file_size || ' B' ELSE regexp_replace(printf('%.1f', round(file_size / 1000.0::DOUBLE, 1)), '\\.0$', '') || ' KB' END AS decimal_size FROM inv""")
+def _(spark, d):
+    return slim(spark, d).select("canonical_path", fn.format_bytes(F.col("file_size")).alias("decimal_size"))
+
+
+@_query("op_e04_treemap_label", INV + END + "SELECT canonical_path, CASE WHEN file_size < 1024 THEN file_size || ' B' ELSE printf('%.1f KB', file_size / 1024.0::DOUBLE) END AS label FROM inv WHERE (file_size * 10) % 512 <> 0 OR file_size < 1024")
+def _(spark, d):
+    # halves of a tenth are left to the printf of either engine
+    return slim(spark, d).where("(file_size * 10) % 512 <> 0 or file_size < 1024").select("canonical_path", fn.treemap_label(F.col("file_size")).alias("label"))
+
+
+@_query("op_e05_density_levels", INV + INDIR + DENS + END + """SELECT parent_dir, CASE WHEN duplicates / total::DOUBLE >= 0.5 THEN 'high' WHEN duplicates / total::DOUBLE >= 0.2 THEN 'medium' ELSE 'low' END AS level,
+printf('#%02x%02x%02x', floor(45.0 + 151.0 * (duplicates / total::DOUBLE))::INTEGER, floor(125.0 - 82.0 * (duplicates / total::DOUBLE))::INTEGER, floor(70.0 - 42.0 * (duplicates / total::DOUBLE))::INTEGER) AS colour FROM dens""")
+def _(spark, d):
+    dens = groups.directory_density(slim(spark, d), session_members(spark, d), "en")
+    share = F.col("duplicates") / F.col("total")
+    return dens.select("parent_dir", fn.density_level(F.col("duplicates"), F.col("total")).alias("level"), fn.density_colour(share).alias("colour"))
+
+
+@_query("op_e07_display_paths", INV + END + "SELECT canonical_path, drive_letter || ':' || canonical_path AS shown, canonical_path AS bare FROM inv")
+def _(spark, d):
+    long = F.concat(F.lit("\\\\?\\"), "drive_letter", F.lit(":"), "canonical_path")
+    return slim(spark, d).select("canonical_path", fn.display_path(long).alias("shown"), fn.without_drive(long).alias("bare"))
+
+
+@_query("op_e09_parse_dates", INV + END + "SELECT canonical_path, CASE doc_id % 3 WHEN 0 THEN last_modified WHEN 1 THEN 1577836800 END AS seconds FROM inv")
+def _(spark, d):
+    i = F.pmod(F.col("doc_id"), F.lit(3))
+    text = F.when(i == 0, F.col("last_modified").cast("string")).when(i == 1, "2020-01-01").otherwise("no date")
+    return slim(spark, d).select("canonical_path", F.unix_timestamp(fn.parse_date(text)).alias("seconds"))
+
+
+@_query("op_e11_hex", INV + END + "SELECT canonical_path, lpad(lower(to_hex(file_size)), 16, '0') AS lower_hex, lpad(upper(to_hex(file_size)), 16, '0') AS upper_hex FROM inv")
+def _(spark, d):
+    n = F.col("file_size")
+    return slim(spark, d).select("canonical_path", fn.hex16(n).alias("lower_hex"), fn.hex16(n, True).alias("upper_hex"))
+
+
+@_query("op_e15_separators", INV + END + "SELECT canonical_path, len(canonical_path) - len(replace(canonical_path, '/', '')) AS separators FROM inv")
+def _(spark, d):
+    return slim(spark, d).select("canonical_path", fn.separators(F.col("canonical_path")).alias("separators"))
+
+
+# 2.11 incremental
+
+
+@_query("op_i01_changes", INV + END + "SELECT canonical_path, CASE doc_id % 4 WHEN 0 THEN 'removed' WHEN 1 THEN 'added' WHEN 2 THEN 'modified' ELSE 'same' END AS change FROM inv")
+def _(spark, d):
+    rows, i = slim(spark, d), F.pmod(F.col("doc_id"), F.lit(4))
+    later = rows.withColumn("last_modified", F.when(i == 2, F.col("last_modified") + 1).otherwise(F.col("last_modified")))
+    return incremental.changes(rows.where(i != 1), later.where(i != 0))
+
+
+@_query("op_i02_rescan", INV + END + "SELECT canonical_path, file_size, content_hash FROM dups")
+def _(spark, d):
+    """The last scan knew the hashes of even ids."""
+    before = hashed(spark, d).where(F.pmod("doc_id", F.lit(2)) == 0)
+    now = files(spark, d).select("canonical_path", "file_size", "last_modified", "content")
+    out = incremental.rescan(before, now, lambda df: df.withColumn("content_hash", fn.digest(F.col("content"))).drop("content"))
+    return out.select("canonical_path", "file_size", "content_hash")
