@@ -34,7 +34,7 @@ from .scratch import filesystem, fresh, put, stash
 VOCABULARY = 1_023
 KNOWN = 100_000
 DIMENSIONS, CONTEXT = 24, 2
-ROUNDS, NOISE, MINIBATCH, RATE = 2, 96, 2_048, 0.1
+ROUNDS, NOISE, MINIBATCH, RATE = 2, 48, 2_048, 0.1
 #: Tasks that train side by side, at most: bounds the parameters that are averaged.
 TRAINERS = 1_024
 #: The hash of the end token; no word has it, as far as 64 bits can tell.
@@ -77,12 +77,22 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY, known: int = KNOWN) -> Vocabulary:
+    """At most `known` words come to the driver: those above a count that a histogram of log counts tells."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(known).toPandas()
+    step = F.floor(F.log2("c") * 32).cast("int")
+    least, n = 1 << 30, 0
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 2,048 rows at most
+        n += r["count"]
+        if n > known:
+            break
+        least = r["step"]
+    top = counts.where(step >= least).toPandas()
     h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
+    order = np.lexsort((h, -c))
+    h, c = h[order], c[order]
     ids = np.where(np.arange(len(h)) < size, np.arange(len(h)) + 1, 0)
     order = np.argsort(h.view(np.uint64), kind="stable")
-    rare_tokens, rare_words = tokens - int(c[:size].sum()), max(distinct - size, 0)
+    rare_tokens, rare_words = tokens - int(c[:size].sum()), distinct - len(c[:size])
     unigram = np.concatenate(([rare_tokens], c[:size])).astype(float)
     return Vocabulary(tokens, distinct, h.view(np.uint64)[order], c[order], ids[order], unigram, rare_tokens + 0.5 * rare_words + 0.5)
 
