@@ -41,17 +41,28 @@ FILTER_BUCKETS, BUCKET_BITS = 2_048, 32_768
 
 
 class Threshold:
-    """J >= num / den in integers, and the size intervals that belong to it."""
+    """J >= num / den in integers, and the size intervals that belong to it.
+
+    Interval i holds sizes from low[i]; two sets of it differ in at most differ[i] shingles.  parts[i] is larger by spare[i]
+    + 1, so that spare[i] + 1 parts at least are equal in both.
+    """
 
     def __init__(self, num: int = 90, den: int = 100, largest: int = 1 << 40):
         self.num, self.den = num, den
-        lo, self.low, self.parts = 1, [], []
+        lo, self.low, self.differ, self.spare = 1, [], [], []
         while lo <= largest:
             hi = max(lo, lo * den // num)
+            d = 2 * hi * (den - num) // (den + num)
+            smallest, m = self.low[-1] if self.low else lo, 0
+            for _ in range(2):  # parts that are empty in the smallest set that gives keys for this interval, and some more
+                empty = (d + 1 + m) * np.exp(-smallest / (d + 1 + m))
+                m = int(np.ceil(empty + 2 * np.sqrt(empty)))
             self.low.append(lo)
-            self.parts.append(2 * hi * (den - num) // (den + num) + 1)  # parts: most differing shingles of two such sets, and one more
+            self.differ.append(d)
+            self.spare.append(m)
             lo = hi + 1
-        self.low, self.parts = np.array(self.low), np.array(self.parts)
+        self.low, self.differ, self.spare = (np.array(x) for x in (self.low, self.differ, self.spare))
+        self.parts = self.differ + 1 + self.spare
 
     def overlap(self, total):
         """The least intersection of two sets with `total` shingles together."""
@@ -95,15 +106,21 @@ def keys(row: np.ndarray, h: np.ndarray, n: int, threshold: Threshold) -> tuple[
     rows, out = [], []
     for ahead in (0, 1):
         i = np.searchsorted(threshold.low, np.maximum(size, 1), side="right") - 1 + ahead
-        k = np.where((threshold.parts[i] > 1) & (size > 0), threshold.parts[i], 0)  # one part: only equal sets, which are one class
+        k = np.where((threshold.differ[i] > 0) & (size > 0), threshold.parts[i], 0)  # no difference: equal sets, which are one class
         first = np.concatenate(([0], np.cumsum(k)))
         own = k[row] > 0
         part = h[own] % np.maximum(k[row[own]], 1).astype(np.uint64)
         sums = _sums(first[row[own]] + part.astype(np.int64), mix(h[own] + np.uint64(1)), int(first[-1]))
         r = np.repeat(np.arange(n), k)
         number = (np.arange(int(first[-1])) - first[r]).astype(np.uint64)
-        out.append(mix(sums ^ mix(number + (i[r].astype(np.uint64) << np.uint64(40)))))
-        rows.append(r)
+        key = mix(sums ^ mix(number + (i[r].astype(np.uint64) << np.uint64(40))))
+        # Empty parts are equal in most sets.  They are keys only of a set with so many of them that the parts it has in
+        # common with another may all be empty.
+        full = np.bincount(first[row[own]] + part.astype(np.int64), minlength=len(r)) > 0
+        empty = k - np.bincount(r[full], minlength=n)
+        give = full | (empty > threshold.spare[i])[r]
+        out.append(key[give])
+        rows.append(r[give])
     return np.concatenate(rows), np.concatenate(out).view(np.int64)
 
 
