@@ -15,8 +15,8 @@ import numpy as np
 
 from .arrays import NOT_SPACE, Block, Hasher
 
-#: Pieces kept in a worker's cache, and tokens in it: about 250 MB at most.
-CACHE_PIECES, CACHE_TOKENS = 1_200_000, 12_000_000
+#: Pieces kept in a worker's cache, and tokens in it: about 70 MB at most.
+CACHE_PIECES, CACHE_TOKENS = 1_000_000, 10_000_000
 
 
 def default_path() -> str:
@@ -87,32 +87,54 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[int, int] = {}
-        self.start, self.size, self.uses = (np.zeros(1024, np.int64) for _ in range(3))
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2  # sorted hashes and their places; a long and a short list
+        self.count = 0
+        self.start, self.size, self.uses = (np.zeros(1024, np.int32) for _ in range(3))
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
+    def _places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 if it is new."""
+        out = np.full(len(h), -1, np.int32)
+        for keys, places in self.known:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                out = np.where(keys[at] == h, places[at], out)
+        return out
+
     def _shrink(self) -> None:
         """Keep the pieces used most often, a quarter of the places at most, and of the values likewise."""
-        n = len(self.at)
-        order = np.argsort(-self.uses[:n], kind="stable")[: self.most[0] // 4]
-        order = order[np.cumsum(self.size[order]) <= self.most[1] // 4]
-        start, size, uses, values = self.start[order], self.size[order], self.uses[order], self.gather(self.start[order], self.size[order])
-        keys = np.fromiter(self.at, np.uint64, n)[order].tolist()
+        hashes = np.empty(self.count, np.uint64)
+        for keys, places in self.known:
+            hashes[places] = keys
+        order = np.argsort(-self.uses[: self.count], kind="stable")[: self.most[0] // 4]
+        order = order[np.cumsum(self.size[order], dtype=np.int64) <= self.most[1] // 4]
+        size, uses, values = self.size[order], self.uses[order], self.gather(self.start[order].astype(np.int64), self.size[order].astype(np.int64))
+        keys = hashes[order]
         self.clear()
         self._store(keys, size, values)
         self.uses[: len(keys)] = uses // 2
 
-    def _store(self, keys: list[int], size: np.ndarray, values: np.ndarray) -> None:
-        n = len(self.at)
-        while n + len(keys) > len(self.start):
+    def _store(self, h: np.ndarray, size: np.ndarray, values: np.ndarray) -> None:
+        n, k = self.count, len(h)
+        while n + k > len(self.start):
             self.start, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.uses))
         if self.used + len(values) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool), len(values)), self.kind)))
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool) // 2, len(values)), self.kind)))
         self.pool[self.used : self.used + len(values)] = values
-        self.start[n : n + len(keys)] = self.used + np.concatenate(([0], np.cumsum(size)[:-1])) if keys else 0
-        self.size[n : n + len(keys)] = size
-        self.at.update(zip(keys, range(n, n + len(keys)), strict=True))
-        self.used += len(values)
+        self.start[n : n + k] = self.used + np.cumsum(size) - size
+        self.size[n : n + k] = size
+        self.count, self.used = n + k, self.used + len(values)
+
+        def merged(a, b):
+            keys, places = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
+            order = np.argsort(keys, kind="stable")
+            return keys[order], places[order]
+
+        long, short = self.known
+        short = merged(short, (h, np.arange(n, n + k, dtype=np.int32)))
+        if len(short[0]) > len(long[0]) // 8:
+            long, short = merged(long, short), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        self.known = [long, short]
 
     def look_up(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end) of the block's pieces and (start, size) of their values in the pool."""
@@ -120,20 +142,18 @@ class Pieces:
         end = np.append(begin[1:], len(block.data)) if len(begin) else begin
         h = Hasher(block.data).spans(begin, end)
         distinct, first, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        keys = distinct.tolist()
-        if len(self.at) + len(keys) > self.most[0] or self.used > self.most[1]:
+        if self.count + len(distinct) > self.most[0] or self.used > self.most[1]:
             self._shrink()
-        slot = list(map(self.at.get, keys))
-        new = [k for k, x in enumerate(slot) if x is None]
-        if new:
+        slot = self._places(distinct)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
             raw, at, to = block.data.tobytes(), begin[first[new]].tolist(), end[first[new]].tolist()
             got = self.values([raw[i:j].decode("utf-8", "replace") for i, j in zip(at, to, strict=True)])
             size = np.fromiter(map(len, got), np.int64, len(got))
-            self._store([keys[k] for k in new], size, np.fromiter(chain.from_iterable(got), self.kind, int(size.sum())))
-            slot = list(map(self.at.get, keys))
-        slot = np.array(slot, np.int64)
-        self.uses[slot] += times
-        return begin, end, self.start[slot][which], self.size[slot][which]
+            slot[new] = np.arange(self.count, self.count + len(new))
+            self._store(distinct[new], size, np.fromiter(chain.from_iterable(got), self.kind, int(size.sum())))
+        self.uses[slot] += times.astype(np.int32)
+        return begin, end, self.start[slot][which].astype(np.int64), self.size[slot][which].astype(np.int64)
 
     def gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The values of all pieces, one behind another."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from .decontaminate import OP7_SQL, op7_decontamination
 from .language_model import op10_language_model
 from .mixing import OP2_SQL, op2_mixing
@@ -9,6 +11,7 @@ from .ngram_join import OP3_SQL, op3_ngram_join
 from .prefix_tokens import op8_prefix_tokens
 from .quality_mil import op6_quality_classifier
 from .quality_rules import op1_quality_rules
+from .scratch import prepare
 from .token_files import op4_token_files
 from .toxicity import op5_toxicity
 from .warc import OP9_SQL, op9_warc
@@ -20,12 +23,21 @@ def pipeline(spark, sf_dir: str):
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _prepared(f):
+    @wraps(f)
+    def run(spark, sf_dir: str):
+        prepare(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
     ops = (
         op1_quality_rules, op2_mixing, op3_ngram_join, op4_token_files, op5_toxicity, op6_quality_classifier, op7_decontamination,
         op8_prefix_tokens, op9_warc, op10_language_model, pipeline,
     )
-    return {f.__name__: f for f in ops}
+    return {f.__name__: _prepared(f) for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:

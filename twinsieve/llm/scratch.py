@@ -9,10 +9,36 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_shipped: set[str] = set()
+
+
+#: Rows of an Arrow batch at most, so that a batch of long texts stays small in a worker.
+BATCH_ROWS = 2_048
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound Arrow batches to BATCH_ROWS, and send this package to the executors, once an application, so that it need
+    not be installed there."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    where = tempfile.mkdtemp(prefix="twinsieve-package-")
+    atexit.register(shutil.rmtree, where, True)
+    with zipfile.ZipFile(f"{where}/{root.name}.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(f"{where}/{root.name}.zip")
+    _shipped.add(app)
 
 
 def folder(spark: SparkSession) -> str:
