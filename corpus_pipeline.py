@@ -8,14 +8,17 @@ tables and repeated rows pass through as each operator's module says.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from twinsieve.llm.columns import hide, restore
 from twinsieve.llm.decontaminate import decontaminate
 from twinsieve.llm.mixing import mix, word_count
 from twinsieve.llm.ngram_join import ngram_join
 from twinsieve.llm.quality_rules import quality_rules
-from twinsieve.llm.scratch import fresh
+from twinsieve.llm.scratch import fresh, prepare
 from twinsieve.llm.token_files import read_corpus, write_corpus
 
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
@@ -26,7 +29,8 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep."""
-    return quality_rules(docs, keep=tuple(docs.columns)).where("kept").select(*docs.columns)
+    hidden, names = hide(docs)
+    return restore(quality_rules(hidden, text=names["text"], keep=tuple(names.values())).where("kept"), names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("__key", F.md5("text"))
     groups = ngram_join(keyed, size=5, num=80, den=100, keep=("__key",))
     best = F.min(F.struct(c("doc_id").isNull().alias("last"), c("doc_id").alias("id"), c("__key").alias("key")))
-    kept = groups.where(c("group_id").isNotNull()).groupBy("group_id").agg(best.alias("best")).select("best.id", "best.key")
-    same = c("doc_id").eqNullSafe(c("id")) & c("__key").eqNullSafe(c("key"))
+    kept = groups.where(c("group_id").isNotNull()).groupBy("group_id").agg(best.alias("best")).select(c("best.id").alias("__best_id"), c("best.key").alias("__best_key"))
+    same = c("doc_id").eqNullSafe(c("__best_id")) & c("__key").eqNullSafe(c("__best_key"))
     one = keyed.join(kept.distinct(), same, "left_semi").dropDuplicates(["doc_id", "__key"])
     blank = keyed.where(word_count(c("text")) == 0)
     return one.unionByName(blank).select(*docs.columns)
@@ -72,12 +76,21 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return read_corpus(*write_corpus(docs))
 
 
+def _prepared(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality),
-    ("n-gram Jaccard join", near_duplicates),
-    ("benchmark decontamination", contamination),
-    ("mixing sources to target weights", mixture),
-    ("token-ID / binary output", tokens),
+    ("quality rules", _prepared(quality)),
+    ("n-gram Jaccard join", _prepared(near_duplicates)),
+    ("benchmark decontamination", _prepared(contamination)),
+    ("mixing sources to target weights", _prepared(mixture)),
+    ("token-ID / binary output", _prepared(tokens)),
 ]
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, Words, blocks, windows
+from .columns import hide, restore
 from .scratch import filesystem, fresh, put, stash
 
 SIZE = 10
@@ -175,14 +176,14 @@ def scan(docs: DataFrame, index: list[str], text: str = "text", keep: tuple[str,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text: str = "text", size: int = SIZE) -> DataFrame:
     """docs without the documents that share a window with the benchmark, or (remove="spans") without the spans."""
+    if remove not in ("documents", "spans"):
+        raise ValueError(remove)
     index = build_index(benchmark, size=size)
+    hidden, names = hide(docs)
     if remove == "documents":
-        kept = tuple(docs.columns)
-        return scan(docs, index, text, kept).where("n_hit = 0").select(*kept)
-    if remove != "spans":
-        raise ValueError(remove)
-    kept = tuple(c for c in docs.columns if c != text)
-    return scan(docs, index, text, kept, cleaned=True).withColumnRenamed("cleaned", text).select(*docs.columns)
+        return restore(scan(hidden, index, names[text], tuple(names.values())).where("n_hit = 0"), names)
+    kept = tuple(new for old, new in names.items() if old != text)
+    return restore(scan(hidden, index, names[text], kept, cleaned=True), names | {text: "cleaned"})
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
