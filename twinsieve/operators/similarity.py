@@ -57,10 +57,18 @@ def scored(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     return sized.select("entity_a", "entity_b", "n_a", "n_b", "shared", "shared_weight", (both / (a + b - both)).alias("score"), kind.alias("match_type"))
 
 
+def set_prints(elements: DataFrame) -> DataFrame:
+    """entity, n, print: equal for equal sets.  Sums of two hashes and the count, combined before the shuffle, so a set of
+    any size needs a few numbers; two different sets of one size agree with a chance of about 2**-126."""
+    e = F.col("element").cast("string")
+    total = lambda seed: F.sum(F.xxhash64(e, F.lit(seed)).cast("decimal(38,0)"))
+    sums = elements.select("entity", "element").distinct().groupBy("entity").agg(F.count("*").alias("n"), total(1).alias("__a"), total(2).alias("__b"))
+    return sums.select("entity", "n", F.md5(F.concat_ws("|", F.col("n"), F.col("__a"), F.col("__b"))).alias("print"))
+
+
 def equal_sets(elements: DataFrame) -> DataFrame:
     """entity_a < entity_b with equal sets, by fingerprint: whatever the cap and the threshold."""
-    prints = elements.groupBy("entity").agg(F.md5(F.array_join(F.array_sort(F.collect_set(F.col("element").cast("string"))), ",")).alias("element"))
-    return _ordered_pairs(prints).select("entity_a", "entity_b")
+    return _ordered_pairs(set_prints(elements).select("entity", F.col("print").alias("element"))).select("entity_a", "entity_b")
 
 
 def _nested(a, b):

@@ -79,7 +79,8 @@ def directory_sets(files: DataFrame) -> DataFrame:
 
 
 def fingerprints(sets: DataFrame) -> DataFrame:
-    """path, content_fingerprint (md5 over the sorted set), hashes."""
+    """path, content_fingerprint (md5 over the sorted set), hashes; a set is one row here (`similarity.set_prints` needs
+    no such row)."""
     return sets.select("path", F.md5(F.array_join(F.col("file_hash_set").cast("array<string>"), ",")).alias("content_fingerprint"), F.size("file_hash_set").cast("long").alias("hashes"))
 
 

@@ -23,8 +23,9 @@ class Analysis:
 
 def directories(files: DataFrame, threshold: float = similarity.THRESHOLD, max_frequency: int = similarity.MAX_FREQUENCY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(tree, fingerprints, similar pairs) of files with content_hash."""
-    pairs = similarity.set_similarity(tree.directory_elements(files), threshold, max_frequency)
-    return tree.directory_tree(files), tree.fingerprints(tree.directory_sets(files)), pairs
+    elements = tree.directory_elements(files)
+    prints = similarity.set_prints(elements).toDF("path", "hashes", "content_fingerprint")
+    return tree.directory_tree(files), prints, similarity.set_similarity(elements, threshold, max_frequency)
 
 
 def analyze(files: DataFrame, duplicates: DataFrame | None = None, universe: str = "duplicates", hashed: DataFrame | None = None, **how) -> Analysis:
