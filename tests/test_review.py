@@ -140,3 +140,13 @@ def test_scalars(spark):
     assert value(fn.density_colour(F.lit(1.0))) == "#c42b1c"
     assert value(fn.path_label(F.lit("/x/y"))) == ""
     assert value(fn.session_label(F.lit("running"), F.array(F.lit("/a/b"), F.lit("/c")), F.lit("2024-01-02").cast("timestamp"))) == "aborted: b +1 2024-01-02"
+
+
+def test_treemap_rectangles(spark):
+    from twinsieve.functions.layout import squarify, treemap_rectangles
+
+    boxes = squarify([6, 6, 4, 3, 2, 2, 1], 0, 0, 6, 4)
+    assert [round(w * h, 9) for *_, w, h in boxes] == [6, 6, 4, 3, 2, 2, 1] and boxes[0] == (0, 0, 3.0, 2.0)
+    df = spark.createDataFrame([("/a", 30), ("/b", 10), ("/c", 0)], "parent_dir string, bytes long")
+    assert rows(treemap_rectangles(df)) == [("/a", 0.0, 0.0, 0.75, 1.0), ("/b", 0.75, 0.0, 0.25, 1.0)]
+    assert squarify([], 0, 0, 1, 1) == [] and rows(treemap_rectangles(df.where("1 = 0"))) == []

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
+from ..functions.layout import treemap_rectangles
 from ..operators import cascade, groups, review, similarity, store, tree
 from ..operators.groups import GROUP, GroupFilter
 from ..sources import inventory
@@ -775,6 +776,17 @@ def _(spark, d):
     return slim(spark, d).select("canonical_path", fn.separators(F.col("canonical_path")).alias("separators"))
 
 
+@_query("op_e16_treemap_layout")
+def _(spark, d):
+    return treemap_rectangles(groups.treemap_nodes(slim(spark, d), session_members(spark, d), "en"))
+
+
+@_query("op_e10_session_labels", INV + END + """SELECT session_id, CASE WHEN status = 'running' THEN 'aborted: ' ELSE '' END || session_id || strftime(make_timestamp(started_at * 1000000), ' %Y-%m-%d') AS label FROM sess""")
+def _(spark, d):
+    roots = F.from_json("root_paths", "array<string>")
+    return sessions(spark, d).select("session_id", fn.session_label(F.col("status"), roots, F.timestamp_seconds("started_at")).alias("label"))
+
+
 # 2.11 incremental
 
 
