@@ -29,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import NOT_SPACE, Block, Words, blocks, mix, repeated, windows
+from .arrays import NOT_SPACE, Block, Words, blocks, mix, windows
 from .components import components
 from .scratch import stash
 
 TILE_CLASSES, TILE_SHINGLES = 1_000, 4_000_000
 FAN_OUT = 8
 BITMAP_WORDS = 16
+#: Parts beyond what the threshold asks for: so many more keys two linked sets have in common at least, which tells them
+#: from sets that share a passage.
+SPARE, SPARE_SHARE = 4, 16
 #: Bits of the filter that keeps sets without a partner off the network: 8 MB, whatever the corpus.
 FILTER_BUCKETS, BUCKET_BITS = 2_048, 32_768
 
@@ -56,7 +59,7 @@ class Threshold:
             smallest, m = self.low[-1] if self.low else lo, 0
             for _ in range(2):  # parts that are empty in the smallest set that gives keys for this interval, and some more
                 empty = (d + 1 + m) * np.exp(-smallest / (d + 1 + m))
-                m = int(np.ceil(empty + 2 * np.sqrt(empty)))
+                m = int(np.ceil(empty + 2 * np.sqrt(empty))) + (SPARE + d // SPARE_SHARE) * (d > 0)
             self.low.append(lo)
             self.differ.append(d)
             self.spare.append(m)
@@ -100,45 +103,57 @@ def class_ids(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return mix(_sums(row, mix(h ^ np.uint64(0xA24BAED4963EE407)), n)).view(np.int64)
 
 
-def keys(row: np.ndarray, h: np.ndarray, n: int, threshold: Threshold) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all rows' block keys."""
+def keys(row: np.ndarray, h: np.ndarray, n: int, threshold: Threshold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key) of all rows' block keys, and how many keys a row has in common with any partner at least: a row for
+    keys that are even and one for keys that are odd numbers.  A key's last bit is that of its interval."""
     size = np.bincount(row, minlength=n)
-    rows, out = [], []
+    rows, out, need = [], [], np.ones((2, n), np.int64)
     for ahead in (0, 1):
         i = np.searchsorted(threshold.low, np.maximum(size, 1), side="right") - 1 + ahead
         k = np.where((threshold.differ[i] > 0) & (size > 0), threshold.parts[i], 0)  # no difference: equal sets, which are one class
         first = np.concatenate(([0], np.cumsum(k)))
         own = k[row] > 0
-        part = h[own] % np.maximum(k[row[own]], 1).astype(np.uint64)
-        sums = _sums(first[row[own]] + part.astype(np.int64), mix(h[own] + np.uint64(1)), int(first[-1]))
+        slot = first[row[own]] + (h[own] % np.maximum(k[row[own]], 1).astype(np.uint64)).astype(np.int64)
+        sums = _sums(slot, mix(h[own] + np.uint64(1)), int(first[-1]))
         r = np.repeat(np.arange(n), k)
         number = (np.arange(int(first[-1])) - first[r]).astype(np.uint64)
         key = mix(sums ^ mix(number + (i[r].astype(np.uint64) << np.uint64(40))))
+        key = key & ~np.uint64(1) | (i[r] & 1).astype(np.uint64)
         # Empty parts are equal in most sets.  They are keys only of a set with so many of them that the parts it has in
         # common with another may all be empty.
-        full = np.bincount(first[row[own]] + part.astype(np.int64), minlength=len(r)) > 0
+        full = np.bincount(slot, minlength=len(r)) > 0
         empty = k - np.bincount(r[full], minlength=n)
         give = full | (empty > threshold.spare[i])[r]
+        need[i & 1, np.arange(n)] = np.maximum(threshold.spare[i] + 1 - empty, 1)
         out.append(key[give])
         rows.append(r[give])
-    return np.concatenate(rows), np.concatenate(out).view(np.int64)
-
-
-def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
-    order = np.argsort(row, kind="stable")
-    offs = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offs), pa.array(values[order]))
+    return np.concatenate(rows), np.concatenate(out).view(np.int64), need
 
 
 def measured(docs: DataFrame, size: int, threshold: Threshold, text: str, doc_id: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n, class, keys and `keep` of every row.  A task gives the keys of a class once, however many copies it meets."""
+    """doc_id, n, class, need0, need1 (see `keys`) and `keep` of every row."""
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
     fields = src.schema.fields[2:]
 
     def run(batches):
-        seen: set[int] = set()
         for batch in batches:
             for b in blocks(batch.column(1)):
+                n = len(b)
+                row, h = shingles(b, size)
+                need = keys(row, h, n, threshold)[2]
+                own = [batch.column(0).slice(b.rows.start, n), pa.array(np.bincount(row, minlength=n)), pa.array(class_ids(row, h, n)), pa.array(need[0]), pa.array(need[1])]
+                yield pa.RecordBatch.from_arrays(own + [batch.column(2 + i).slice(b.rows.start, n) for i in range(len(fields))], names=["doc_id", "n", "class", "need0", "need1", *(f.name for f in fields)])
+
+    return src.mapInArrow(run, ", ".join(["doc_id long, n long, class long, need0 long, need1 long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)]))
+
+
+def class_keys(docs: DataFrame, size: int, threshold: Threshold, text: str) -> DataFrame:
+    """key, class.  A task gives the keys of a class once, however many copies it meets."""
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for b in blocks(batch.column(0)):
                 n = len(b)
                 row, h = shingles(b, size)
                 cid = class_ids(row, h, n)
@@ -149,12 +164,10 @@ def measured(docs: DataFrame, size: int, threshold: Threshold, text: str, doc_id
                         seen.add(x)
                         new[i] = True
                 own = new[row]
-                r, k = keys(row[own], h[own], n, threshold)
-                kept = [batch.column(2 + i).slice(b.rows.start, n) for i in range(len(fields))]
-                own = [batch.column(0).slice(b.rows.start, n), pa.array(count.astype(np.int64)), pa.array(cid), _lists(r, k, n)]
-                yield pa.RecordBatch.from_arrays(own + kept, names=["doc_id", "n", "class", "keys", *(f.name for f in fields)])
+                r, k, _ = keys(row[own], h[own], n, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(cid[r])], names=["key", "class"])
 
-    return src.mapInArrow(run, ", ".join(["doc_id long, n long, class long, keys array<long>", *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)]))
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, class long")
 
 
 def _runs(batches, columns: int) -> Iterator[list[np.ndarray]]:
@@ -174,8 +187,9 @@ def _runs(batches, columns: int) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
-def shared_blocks(rows: DataFrame) -> DataFrame:
-    """block, class, low: the members of each set of keys that has the same members, two at least; low is the smallest."""
+def shared_blocks(keyed: DataFrame, needs: DataFrame) -> DataFrame:
+    """block, class, low: the members of each set of keys (key, class) that has the same members, two at least; low is the
+    smallest.  Without the classes that have fewer keys in common with others than a partner would have (`needs`)."""
 
     def run(batches):
         for key, cid in _runs(batches, 2):
@@ -188,10 +202,20 @@ def shared_blocks(rows: DataFrame) -> DataFrame:
             name = mix(_sums(group, mix(cid.view(np.uint64) + np.uint64(5)), len(start)) + n.astype(np.uint64)).view(np.int64)
             keep = (n > 1)[group]
             group = group[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(name[group]), pa.array(cid[keep]), pa.array(cid[start][group])], names=["block", "class", "low"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name[group]), pa.array(cid[keep]), pa.array(cid[start][group]), pa.array(key[keep] & 1)], names=["block", "class", "low", "odd"]
+            )
 
-    exploded = rows.select(F.explode("keys").alias("key"), "class")
-    return exploded.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "block long, class long, low long").distinct()
+    c = F.col
+    rows = keyed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "block long, class long, low long, odd long")
+    # a block's keys are of one interval, as a class has each key once
+    counted = stash(rows.groupBy("block", "class", "low", "odd").agg(F.count("*").alias("times")), "ngram_keys")
+    often = counted.groupBy("class").agg(*(F.sum(F.when(c("odd") == k, c("times")).otherwise(0)).alias(f"n{k}") for k in (0, 1)))
+    often = often.join(needs, "class").select("class", *((c(f"n{k}") >= c(f"need{k}")).alias(f"ok{k}") for k in (0, 1))).where("ok0 or ok1")
+    kept = counted.join(often, "class").where(F.when(c("odd") == 1, c("ok1")).otherwise(c("ok0")))
+    # a block that has lost its other members has no pair left; one whose members changed is named by them still
+    left = kept.groupBy("block", "odd").agg(F.min("class").alias("low"), F.max("class").alias("__high")).where("low < __high").select("block", "odd", "low")
+    return kept.drop("low").join(left, ["block", "odd"]).select("block", "class", "low").distinct()
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str) -> DataFrame:
@@ -366,7 +390,8 @@ def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, te
     c = F.col
     threshold = Threshold(num, den)
     rows = stash(measured(docs, size, threshold, text, doc_id, keep), "ngram_rows")
-    shared = stash(shared_blocks(rows.where("n > 0")), "ngram_blocks")
+    needs = rows.where("n > 0").groupBy("class").agg(F.first("need0").alias("need0"), F.first("need1").alias("need1"))
+    shared = stash(shared_blocks(class_keys(docs, size, threshold, text), needs), "ngram_blocks")
     wanted = shared.select("class").distinct()
     sets = stash(class_sets(docs, wanted, size, text), "ngram_sets")
     sizes = sets.select("class", "n")
