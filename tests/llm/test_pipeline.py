@@ -4,8 +4,10 @@ from collections import Counter
 import corpus_pipeline as cp
 import pytest
 
-from twinsieve.llm import decontaminate as dec
-from twinsieve.llm import mixing, ngram_join, quality_rules
+from test_documents import brute as all_windows
+from test_ngram_join import brute as all_pairs
+
+from twinsieve.llm import mixing, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -21,10 +23,12 @@ def test_stages_act_on_all_that_is_left(spark, sf, tmp_path):
     one = write(cp.quality(spark, docs, sf), tmp_path / "1")
     assert {r["doc_id"] for r in one.collect()} == {r["doc_id"] for r in quality_rules.quality_rules(docs).where("kept").collect()}
     two = write(cp.near_duplicates(spark, one, sf), tmp_path / "2")
-    groups = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(one, 5, 80, 100).collect()}
-    assert {r["doc_id"] for r in two.collect()} == set(groups.values())
+    groups = all_pairs([(r["doc_id"], r["text"]) for r in one.collect()], 5, 80, 100)
+    assert sorted(r["doc_id"] for r in two.collect()) == sorted({g[2] for g in groups})
     three = write(cp.contamination(spark, two, sf), tmp_path / "3")
-    hit = {r["doc_id"] for r in dec.scan(two, dec.build_index(spark.read.parquet(f"{sf}/benchmark.parquet"))).where("n_hit > 0").collect()}
+    items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hit = {i for i, _, n, _ in all_windows([(r["doc_id"], r["text"]) for r in two.collect()], items) if n}
+    assert hit
     assert {r["doc_id"] for r in three.collect()} == {r["doc_id"] for r in two.collect()} - hit
     four = write(cp.mixture(spark, three, sf), tmp_path / "4")
     words = Counter()
