@@ -353,16 +353,16 @@ def _links(tasks: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def _pieces(members: DataFrame, by: str) -> DataFrame:
-    """How many tasks the rows (tile, class, n) of each tile must be dealt into: tile, `by`."""
-    return members.groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / TILE_CLASSES), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("long").alias(by))
+def _tasks_for(rows, shingles_):
+    return F.greatest(F.ceil(rows / TILE_CLASSES), F.ceil(shingles_ / TILE_SHINGLES), F.lit(1)).cast("long")
 
 
 def _first_tasks(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     """Each class under the smallest class that it shares a block with; that class is in all tasks of its tile."""
     c = F.col
-    best = shared.groupBy("class").agg(F.min("low").alias("tile")).join(sizes, "class")
-    parts = _pieces(best, "parts")
+    best = stash(shared.groupBy("class").agg(F.min("low").alias("tile")).join(sizes, "class"), "ngram_best")
+    # a table of its own, so that the join below may be split or broadcast where a tile is large
+    parts = stash(best.groupBy("tile").agg(_tasks_for(F.count("*"), F.sum("n")).alias("parts")), "ngram_tiles")
     dealt = best.join(parts, "tile").select("tile", F.pmod(F.xxhash64("class"), "parts").alias("part"), "class")
     heads = parts.select("tile", F.explode(F.sequence(F.lit(0).cast("long"), c("parts") - 1)).alias("part"), c("tile").alias("class"))
     return dealt.unionByName(heads).select(F.xxhash64("tile", "part").alias("task"), "class", c("class").alias("label"))
@@ -372,15 +372,21 @@ def _rest_tasks(shared: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataF
     """The members of the blocks that still hold several components: those outside a tile's largest component meet all."""
     c = F.col
     named = shared.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    mixed = named.groupBy("block").agg(F.min("label").alias("tile"), F.max("label").alias("top")).where("tile < top")
-    members = named.join(mixed, "block").select("tile", "class", "label").distinct().join(sizes, "class")
-    main = members.groupBy("tile", "label").count().groupBy("tile").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    members = members.join(main, "tile")
-    others = members.where(c("label") != c("main"))
-    parts = _pieces(members, "parts").join(_pieces(others, "splits"), "tile")
-    every = F.sequence(F.lit(0).cast("long"), c("splits") - 1)
-    left = members.join(parts, "tile").select("tile", F.explode(every).alias("i"), F.pmod(F.xxhash64("class"), "parts").alias("j"), "class", "label")
-    right = others.join(parts, "tile").select("tile", F.pmod(F.xxhash64("class"), "splits").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), c("parts") - 1)).alias("j"), "class", "label")
+    mixed = named.groupBy("block").agg(F.min("label").alias("tile"), F.max("label").alias("top")).where("tile < top").select("block", "tile")
+    members = stash(named.join(mixed, "block").select("tile", "class", "label").distinct().join(sizes, "class"), "ngram_members")
+    each = members.groupBy("tile", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    largest = F.max(F.struct("rows", "label", "shingles"))
+    tiles = each.groupBy("tile").agg(largest.alias("main"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    tiles = stash(
+        tiles.select(
+            "tile", c("main.label").alias("main"), _tasks_for(c("rows"), c("shingles")).alias("parts"),
+            _tasks_for(c("rows") - c("main.rows"), c("shingles") - c("main.shingles")).alias("splits"),
+        ), "ngram_tiles",
+    )
+    placed, h = members.join(tiles, "tile"), F.xxhash64("class")
+    upto = lambda k: F.sequence(F.lit(0).cast("long"), c(k) - 1)
+    left = placed.select("tile", F.explode(upto("splits")).alias("i"), F.pmod(h, "parts").alias("j"), "class", "label")
+    right = placed.where(c("label") != c("main")).select("tile", F.pmod(h, "splits").alias("i"), F.explode(upto("parts")).alias("j"), "class", "label")
     return left.unionByName(right).select(F.xxhash64("tile", "i", "j").alias("task"), "class", "label")
 
 
