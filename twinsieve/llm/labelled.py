@@ -17,7 +17,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most
     sent to the executors."""
     c = F.col
     ids = labels.where(c("doc_id").isNotNull() & c(label).isNotNull() & F.coalesce(allowed, F.lit(False)))
-    ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(most)
-    found = [tuple(r) for r in ids.collect()]
+    ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id", F.lit(salt)))
+    total = ids.count()
+    if total > most:  # a range of hashes that holds a twentieth less than `most`, so that no more than that is collected
+        ids = ids.where(F.pmod("h", F.lit(1 << 30)) < int(0.95 * most / total * (1 << 30)))
+    found = sorted((tuple(r) for r in ids.select(F.pmod("h", F.lit(1 << 30)), "doc_id", "y").limit(2 * most).collect()))[:most]
+    found = [r[1:] for r in found]
     known = docs.sparkSession.createDataFrame(found, "doc_id long, y int")
     return docs.select("doc_id", c(text).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
