@@ -5,7 +5,7 @@ Paths are compared by code point; every choice between equals ends in the path,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import BACKUP_PATTERN, WORKSPACE_PATTERN, YEAR_PATTERN, hex16, separators
@@ -16,10 +16,11 @@ WEEK = 7 * 86_400
 
 
 def _keep_first(files: DataFrame, order: list[Column]) -> DataFrame:
-    """Files of groups with keep: whether a file is the first of its group.  Groups of one file are left out."""
-    by = Window.partitionBy(*GROUP)
-    ranked = files.withColumn("__n", F.count("*").over(by)).withColumn("__k", F.row_number().over(by.orderBy(*order)))
-    return ranked.where("__n > 1").withColumn("keep", F.col("__k") == 1).drop("__n", "__k")
+    """Files of groups with keep: whether a file is the first of its group by `order`, then by path.  Groups of one file
+    are left out.  The first is an aggregate combined before the shuffle, so a large group is not sorted in one task."""
+    key = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(order)], F.col("canonical_path").alias("path"))
+    first = files.groupBy(*GROUP).agg(F.min(key)["path"].alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    return files.join(first, GROUP).withColumn("keep", F.col("canonical_path") == F.col("__first")).drop("__first")
 
 
 def auto_mark(members: DataFrame, strategy: str = "auto") -> DataFrame:
@@ -30,7 +31,7 @@ def auto_mark(members: DataFrame, strategy: str = "auto") -> DataFrame:
 
 def auto_select(files: DataFrame, keep: str = "newest") -> DataFrame:
     """GROUP, canonical_path, action (keep, delete): keep the newest file, or the one with the shortest path, of each group."""
-    orders = {"newest": [F.desc("last_modified"), F.asc("canonical_path")], "shortest": [F.length("canonical_path").asc(), F.asc("canonical_path")]}
+    orders = {"newest": [-F.col("last_modified")], "shortest": [F.length("canonical_path")]}
     if keep not in orders:
         raise ValueError(f"unknown strategy {keep!r}")
     return _keep_first(files, orders[keep]).select(*GROUP, "canonical_path", F.when(F.col("keep"), "keep").otherwise("delete").alias("action"))
