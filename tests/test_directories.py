@@ -69,7 +69,8 @@ EQUAL = {("/p", "/p/a"): 10, ("/p", "/p/b"): 10, ("/p/a", "/p/b"): 10}
 )
 def test_frequency_cap(spark, cap, scored):
     e = tree.directory_elements(files(spark, *X4))
-    got = sim.scored(e, sim.candidate_pairs(e, cap)).where("score >= 0.3").collect()
+    got = sim.scored(e, max_frequency=cap).where("score >= 0.3").collect()
+    assert rows(sim.candidate_overlaps(e, cap), "entity_a", "entity_b", "shared", "shared_weight") == rows(sim.overlaps(e, sim.candidate_pairs(e, cap)), "entity_a", "entity_b", "shared", "shared_weight")
     assert {(r["entity_a"], r["entity_b"]): (round(r["score"], 6), r["shared_weight"], r["match_type"]) for r in got} == scored
     every = pairs(files(spark, *X4), threshold=0.3, max_frequency=cap)
     by_print = {k: v[1] for k, v in every.items() if k not in scored}

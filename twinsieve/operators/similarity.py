@@ -47,10 +47,26 @@ def overlaps(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy("entity_a", "entity_b").agg(F.count("*").alias("shared"), F.sum(F.least("weight_a", "weight_b")).cast("long").alias("shared_weight"))
 
 
-def scored(elements: DataFrame, pairs: DataFrame) -> DataFrame:
-    """entity_a, entity_b, n_a, n_b, shared, shared_weight, score (Jaccard), match_type."""
+def candidate_overlaps(elements: DataFrame, max_frequency: int = MAX_FREQUENCY) -> DataFrame:
+    """`overlaps` of `candidate_pairs`, from one join: elements under the cap are counted where they make the pairs, and only
+    elements above it are looked up for the pairs found."""
+    frequency = frequencies(elements)
+    rows = elements.join(frequency.where(F.col("frequency") <= max_frequency).select("element"), "element", "left_semi")
+    side = lambda df, k: df.select(F.col("entity").alias(f"entity_{k}"), "element", F.col("weight").alias(f"weight_{k}"))
+    sums = [F.count("*").alias("shared"), F.sum(F.least("weight_a", "weight_b")).cast("long").alias("shared_weight")]
+    low = side(rows, "a").join(side(rows, "b"), "element").where("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(*sums)
+    noisy = elements.join(frequency.where(F.col("frequency") > max_frequency).select("element"), "element", "left_semi")
+    high = low.select("entity_a", "entity_b").join(side(noisy, "a"), "entity_a").join(side(noisy, "b"), ["entity_b", "element"])
+    both = low.unionByName(high.groupBy("entity_a", "entity_b").agg(*sums))
+    return both.groupBy("entity_a", "entity_b").agg(*(F.sum(c).cast("long").alias(c) for c in ("shared", "shared_weight")))
+
+
+def scored(elements: DataFrame, pairs: DataFrame | None = None, max_frequency: int = MAX_FREQUENCY) -> DataFrame:
+    """entity_a, entity_b, n_a, n_b, shared, shared_weight, score (Jaccard), match_type of the candidates under the cap, or of
+    given pairs."""
     n = elements.groupBy("entity").agg(F.count("*").alias("n"))
-    sized = overlaps(elements, pairs).join(n.select(F.col("entity").alias("entity_a"), F.col("n").alias("n_a")), "entity_a")
+    both = candidate_overlaps(elements, max_frequency) if pairs is None else overlaps(elements, pairs)
+    sized = both.join(n.select(F.col("entity").alias("entity_a"), F.col("n").alias("n_a")), "entity_a")
     sized = sized.join(n.select(F.col("entity").alias("entity_b"), F.col("n").alias("n_b")), "entity_b")
     both, a, b = F.col("shared"), F.col("n_a"), F.col("n_b")
     kind = F.when((both == a) & (both == b), "exact").when(both == F.least(a, b), "subset").otherwise("threshold")
@@ -83,7 +99,7 @@ def set_similarity(elements: DataFrame, threshold: float = THRESHOLD, max_freque
     carry the weight of all of entity_a's elements as given, not one weight for each element; for sets in long form
     these are the same.
     """
-    found = scored(elements, candidate_pairs(elements, max_frequency)).where(F.col("score") >= threshold)
+    found = scored(elements, max_frequency=max_frequency).where(F.col("score") >= threshold)
     rest = equal_sets(elements).join(found.select("entity_a", "entity_b"), ["entity_a", "entity_b"], "left_anti")
     total = elements.groupBy(F.col("entity").alias("entity_a")).agg(F.count("*").alias("shared"), F.sum("weight").cast("long").alias("shared_weight"))
     same = rest.join(total, "entity_a").select("entity_a", "entity_b", F.lit(1.0).alias("score"), "shared", "shared_weight", F.lit("exact").alias("match_type"))

@@ -305,25 +305,25 @@ def _(spark, d):
 @_query("op_j04_jaccard_duplicates", INV + _similar("el", "p", 0.5) + "SELECT entity_a, entity_b, score FROM p_s WHERE score >= 0.5")
 def _(spark, d):
     e = elements(spark, d)
-    return similarity.scored(e, similarity.candidate_pairs(e)).where("score >= 0.5").select("entity_a", "entity_b", "score")
+    return similarity.scored(e).where("score >= 0.5").select("entity_a", "entity_b", "score")
 
 
 @_query("op_j04_jaccard_all", INV + _similar("ela", "p", 0.1) + "SELECT entity_a, entity_b, score FROM p_s WHERE score >= 0.1")
 def _(spark, d):
     e = elements(spark, d, "all")
-    return similarity.scored(e, similarity.candidate_pairs(e)).where("score >= 0.1").select("entity_a", "entity_b", "score")
+    return similarity.scored(e).where("score >= 0.1").select("entity_a", "entity_b", "score")
 
 
 @_query("op_j04_jaccard_suppliers", SUP + _similar("sup", "p", 0.02) + "SELECT entity_a, entity_b, score, shared FROM p_s WHERE score >= 0.02")
 def _(spark, d):
     e = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("entity"), F.col("l_partkey").alias("element"), F.lit(1).cast("long").alias("weight")).distinct()
-    return similarity.scored(e, similarity.candidate_pairs(e)).where("score >= 0.02").select("entity_a", "entity_b", "score", "shared")
+    return similarity.scored(e).where("score >= 0.02").select("entity_a", "entity_b", "score", "shared")
 
 
 @_query("op_j05_match_types", INV + _similar("el", "p", 0.1) + "SELECT entity_a, entity_b, n_a, n_b, shared, match_type FROM p_s")
 def _(spark, d):
     e = elements(spark, d)
-    return similarity.scored(e, similarity.candidate_pairs(e)).select("entity_a", "entity_b", "n_a", "n_b", "shared", "match_type")
+    return similarity.scored(e).select("entity_a", "entity_b", "n_a", "n_b", "shared", "match_type")
 
 
 @_query("op_j06_shared_bytes", INV + _similar("el", "p", 0.1) + "SELECT a AS entity_a, b AS entity_b, shared, shared_weight FROM p_o")
