@@ -126,6 +126,29 @@ def test_language_model_normalises():
     assert all(np.allclose(a, b) for a, b in zip(again.parameters, model.parameters, strict=True))
 
 
+def test_language_model_normalises_over_classes():
+    n = lm.HEAD + 700
+    unigram = 1e4 / np.arange(1.0, n + 1)
+    model, rng = lm.Model.start(unigram, 6), np.random.default_rng(0)
+    lm.train(model, rng.integers(0, n + 1, (5000, lm.CONTEXT)), rng.integers(0, n, 5000), unigram, rng, 0.1)
+    contexts = np.repeat(rng.integers(0, n + 1, (3, lm.CONTEXT)), n, axis=0)
+    p = np.exp(model.log_probability(contexts, np.tile(np.arange(n), 3))).reshape(3, n)
+    assert lm.n_classes(n) == 27 and np.allclose(p.sum(1), 1, atol=1e-4) and (p > 0).all()
+    again = lm.Model.of_table(model.table(), model)
+    assert all(np.array_equal(a, b) for a, b in zip(again.parameters + again.squares, model.parameters + model.squares, strict=True))
+
+
+def test_language_model_tells_rarer_words_apart(spark):
+    """The vocabulary grows with the corpus, and a word far behind the first 1,023 follows from the word before it."""
+    counts = spark.range(6000).selectExpr("id as h", "40L as c")
+    assert (lm.vocabulary(counts).id > 0).sum() == 6000 and len(lm.vocabulary(counts).unigram) == 6001
+    texts = [(f"a{i} b{i} " * 40,) for i in range(2000)]
+    model, table = lm.fit(spark.createDataFrame(texts, "text string").repartition(2), rounds=6)
+    right, wrong = (spark.createDataFrame([(i, f"a{i} b{(i + k) % 2000}") for i in range(0, 2000, 50)], "doc_id long, text string") for k in (0, 1))
+    likely, unlikely = ({r["doc_id"]: r["score"] for r in lm.score(x, model, table).collect()} for x in (right, wrong))
+    assert np.mean([likely[i] > unlikely[i] for i in likely]) > 0.9
+
+
 def test_noise_contrast_learns_what_follows_what():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 20, 40_000)

@@ -1,15 +1,16 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation, over corpus-wide counts.
 
 1. Every word of every training text is counted (numpy in each task, then sums by a 64-bit word hash).  The counts give
-   the unigram base score, the model's vocabulary (its VOCABULARY most frequent tokens and one token for all others),
-   the noise distribution, and the distribution of the words behind that one token.
+   the unigram base score, the model's vocabulary (all words above a count that grows with the square root of the
+   training tokens, and one token for all others), the noise distribution, and the distribution of the words behind that
+   one token.
 2. Training reads every training token.  A task makes passes of stochastic gradient steps over its own texts from the
    parameters it is given, with noise words drawn from the unigram distribution and shared by a minibatch, so that the
-   scores are matrix products; the tasks' parameters are averaged by tokens as rows of a table, ROUNDS times.
-3. Scoring normalises: the predicted vectors of the distinct contexts of a block times all output vectors, a log-sum-exp
-   for each context.  A word outside the vocabulary gets the other-token's probability times its share of it.
+   scores are matrix products; the rows of parameters that tasks have changed are averaged by tokens, ROUNDS times.
+3. Scoring normalises exactly, in two levels of about the square root of the vocabulary: over frequent tokens and classes
+   of the others for each distinct context of a block, and over the words of the class for each word in one.  A word outside the vocabulary gets the other-token's probability times its share of it.
 
-Counts of the KNOWN most frequent words go to every task (bounded); rarer words are joined by hash, with the texts'
+Counts of the KNOWN most frequent words, and of all the model's, go to every task; rarer words are joined by hash, with the texts'
 words already summed.  A word that occurs in very many texts is frequent, so the join has no hot key.
 
 Lower-casing is A-Z only, words are `[^\\x20\\x09-\\x0D]+`, and every text has one end token behind its words; null texts
@@ -31,12 +32,19 @@ from .arrays import NOT_SPACE, Words, blocks
 from .labelled import fold
 from .scratch import filesystem, fresh, put, stash
 
-VOCABULARY = 1_023
+#: The model's words: all that occur sqrt(training tokens) / RARE times at least, and VOCABULARY at least.
+VOCABULARY, RARE = 1_023, 20
+#: Tokens that are no part of a class.
+HEAD = 1_024
+#: Where sums of squared gradients start: small, for a minibatch moves a rare word little.
+FIRST_SQUARE = 1e-4
 KNOWN = 100_000
 DIMENSIONS, CONTEXT = 24, 2
 ROUNDS, NOISE, MINIBATCH, RATE = 2, 48, 2_048, 0.1
 #: Tasks that train side by side, at most: bounds the parameters that are averaged.
 TRAINERS = 1_024
+#: Rows of parameters that are averaged together.
+ROWS = 256
 #: The hash of the end token; no word has it, as far as 64 bits can tell.
 END = 0x5E5D_0E0D_E0F7_EA75
 
@@ -57,7 +65,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Corpus totals and the KNOWN most frequent words: `h` sorted, `c` counts, `id` of the model (0: other)."""
+    """Corpus totals and the most frequent words: `h` sorted, `c` counts, `id` of the model (0: other)."""
 
     tokens: int
     distinct: int
@@ -77,7 +85,8 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY, known: int = KNOWN) -> Vocabulary:
-    """At most `known` words come to the driver: those above a count that a histogram of log counts tells."""
+    """Words above a count that a histogram of log counts tells come to the driver: at most `known`, or all of the model's,
+    which are those that occur sqrt(tokens) / RARE times, and `size` at least."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     step = F.floor(F.log2("c") * 32).cast("int")
     least, n = 1 << 30, 0
@@ -86,10 +95,12 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, known: int = KNOWN) ->
         if n > known:
             break
         least = r["step"]
-    top = counts.where(step >= least).toPandas()
+    often = max(2, int(np.ceil(np.sqrt(tokens) / RARE)))
+    top = counts.where((step >= least) | (F.col("c") >= often)).toPandas()
     h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     order = np.lexsort((h, -c))
     h, c = h[order], c[order]
+    size = max(size, int((c >= often).sum()))
     ids = np.where(np.arange(len(h)) < size, np.arange(len(h)) + 1, 0)
     order = np.argsort(h.view(np.uint64), kind="stable")
     rare_tokens, rare_words = tokens - int(c[:size].sum()), distinct - len(c[:size])
@@ -99,8 +110,12 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, known: int = KNOWN) ->
 
 @dataclass
 class Model:
-    """score(w | context) = sum over places i of (scale_i * embed[context_i]) . output[w] + bias[w]; `squares` are the sums
-    of squared gradients that set each parameter's step (Adagrad), in the same order."""
+    """score(row | context) = sum over places i of (scale_i * embed[context_i]) . output[row] + bias[row]; `squares` are the
+    sums of squared gradients that set each parameter's step (Adagrad), in the same order.
+
+    The first HEAD tokens are units of their own.  The others are dealt by rank into classes, as many as a class has
+    tokens; a class is a unit too, with a row behind the tokens' rows of output and bias.  A token's probability is its
+    unit's among all units times, in a class, its own among the class."""
 
     embed: np.ndarray  # one row for each token and one for "before the text"
     output: np.ndarray
@@ -111,15 +126,47 @@ class Model:
     @classmethod
     def start(cls, unigram: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
         rng, n = np.random.default_rng(11), len(unigram)
-        p = (unigram + 0.5) / (unigram + 0.5).sum()
+        weight = unigram + 0.5
+        classes = n_classes(n)
+        weight = np.concatenate((weight, [weight[HEAD + k :: classes].sum() for k in range(classes)]))
         draw = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-        own = (draw(n + 1, dimensions), draw(n, dimensions), np.ones((CONTEXT, dimensions), np.float32), np.log(p).astype(np.float32))
-        return cls(*own, [np.full(x.shape, 1e-3, np.float32) for x in own])
+        bias = np.log(weight / weight[:n].sum()).astype(np.float32)
+        own = (draw(n + 1, dimensions), draw(n + classes, dimensions), np.ones((CONTEXT, dimensions), np.float32), bias)
+        return cls(*own, [np.full(x.shape, 1e-3 if x is own[2] else FIRST_SQUARE, np.float32) for x in own])
 
     @property
     def parameters(self) -> list[np.ndarray]:
         return [self.embed, self.output, self.scale, self.bias]
 
+    @property
+    def tokens(self) -> int:
+        return len(self.embed) - 1
+
+    @property
+    def units(self) -> np.ndarray:
+        """The rows of output that are units."""
+        return np.concatenate((np.arange(min(self.tokens, HEAD)), np.arange(self.tokens, len(self.output))))
+
+    def members(self, k: int) -> slice:
+        """The rows of output that class k holds."""
+        return slice(HEAD + k, self.tokens, n_classes(self.tokens))
+
+    def unit(self, words: np.ndarray) -> np.ndarray:
+        """Places in `units` of the words' units."""
+        return np.where(words < HEAD, words, HEAD + (words - HEAD) % max(n_classes(self.tokens), 1))
+
+    def by_class(self, words: np.ndarray):
+        """(class, which of words are in it, their places in the class) of each class that words hold."""
+        at = np.flatnonzero(words >= HEAD)
+        if not len(at):
+            return
+        place, k = np.divmod(words[at] - HEAD, n_classes(self.tokens))
+        order = np.argsort(k, kind="stable")
+        at, place, k = at[order], place[order], k[order]
+        bounds = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]))
+        for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+            yield int(k[i]), at[i:j], place[i:j]
+
     def copy(self) -> Model:
         return Model(*(x.copy() for x in self.parameters), [x.copy() for x in self.squares])
 
@@ -131,37 +178,55 @@ class Model:
         return out
 
     def log_probability(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Normalised natural-log probabilities; each distinct context is normalised once."""
-        n = len(self.bias) + 1
+        """Normalised natural-log probabilities; each distinct context is normalised once over the units."""
+        n = len(self.embed)
         keys, which = np.unique(contexts[:, 0] * n + contexts[:, 1], return_inverse=True)
         out, order = np.empty(len(words)), np.argsort(which, kind="stable")
         bounds = np.searchsorted(which[order], np.arange(0, len(keys) + 2048, 2048))
+        units, unit = self.units, self.unit(words)
+        output, bias = self.output[units].T.copy(), self.bias[units]
         for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             own = keys[2048 * k : 2048 * (k + 1)]
             if not len(own):
                 break
-            logits = self.predict(np.column_stack((own // n, own % n))) @ self.output.T + self.bias
-            top = logits.max(1, keepdims=True)
-            z = np.log(np.exp(logits - top).sum(1)) + top[:, 0]
             at = order[i:j]
-            row = which[at] - 2048 * k
-            out[at] = logits[row, words[at]] - z[row]
+            out[at] = _log_softmax(self.predict(np.column_stack((own // n, own % n))), output, bias, which[at] - 2048 * k, unit[at])
+        for k, at, place in self.by_class(words):
+            output, bias = self.output[self.members(k)].T.copy(), self.bias[self.members(k)]
+            for i in range(0, len(at), 2048):
+                own = at[i : i + 2048]
+                out[own] += _log_softmax(self.predict(contexts[own]), output, bias, np.arange(len(own)), place[i : i + 2048])
         return out
 
     def table(self) -> np.ndarray:
-        """All parameters and squares as rows of one width, for averaging."""
-        d = self.embed.shape[1]
-        wide = lambda x: x if x.ndim == 2 else np.pad(x[:, None], ((0, 0), (0, d - 1)))
-        return np.concatenate([wide(x) for x in (*self.parameters, *self.squares)]).astype(float)
+        """All parameters as rows of one width, each row's squares behind it, for averaging."""
+
+        def rows(embed, output, scale, bias):
+            one = lambda x: np.pad(x, ((0, 0), (0, 1)))
+            return np.concatenate((one(embed), np.column_stack((output, bias)), one(scale)))
+
+        return np.column_stack((rows(*self.parameters), rows(*self.squares)))
 
     @classmethod
     def of_table(cls, t: np.ndarray, like: Model) -> Model:
-        out, at = [], 0
-        for x in (*like.parameters, *like.squares):
-            part = t[at : at + len(x)].astype(np.float32)
-            out.append(part if x.ndim == 2 else part[:, 0].copy())
-            at += len(x)
-        return cls(*out[:4], out[4:])
+        d, n, m = like.embed.shape[1], len(like.embed), len(like.output)
+        split = lambda x: [x[:n, :d].copy(), x[n : n + m, :d].copy(), x[n + m :, :d].copy(), x[n : n + m, d].copy()]
+        t = t.astype(np.float32)
+        return cls(*split(t[:, : d + 1]), split(t[:, d + 1 :]))
+
+
+def n_classes(tokens: int) -> int:
+    return int(np.ceil(np.sqrt(max(tokens - HEAD, 0))))
+
+
+def _log_softmax(r: np.ndarray, output: np.ndarray, bias: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Log probabilities of column word[i] in row[i] of r @ output + bias."""
+    logits = r @ output
+    logits += bias
+    logits -= logits.max(1, keepdims=True)
+    own = logits[row, word]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(1))[row]
 
 
 def encode(b, vocab: Vocabulary):
@@ -182,43 +247,57 @@ def encode(b, vocab: Vocabulary):
     return h, count, ids, row, contexts
 
 
-def _row_sums(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of `rows` by target row."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    order = np.argsort(at, kind="stable")
+def _step(at: np.ndarray, rows: np.ndarray, rate: float, *parameters: tuple[np.ndarray, np.ndarray]) -> None:
+    """Adds gradients, summed by target row, to (parameter, squares); columns go to the parameters in turn."""
+    order = np.argsort(at)
     at = at[order]
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    out[at[first]] = np.add.reduceat(rows[order], first)
-    return out
+    sums, own, k = np.add.reduceat(rows[order], first), at[first], 0
+    for x, squares in parameters:
+        g = sums[:, k : k + x.shape[1]] if x.ndim == 2 else sums[:, k]
+        k += g.shape[1] if x.ndim == 2 else 1
+        s = squares[own] + g * g
+        squares[own] = s
+        x[own] += rate * g / np.sqrt(s)
 
 
 def train(model: Model, contexts: np.ndarray, words: np.ndarray, unigram: np.ndarray, rng, rate: float) -> None:
-    """One pass of noise-contrastive steps in place.
+    """One pass of noise-contrastive steps in place, over the words' units and over the words of each class in it."""
+    weight = unigram + 0.5
+    totals = [weight[model.members(k)].sum() for k in range(n_classes(model.tokens))]
+    _contrast(model, contexts, model.unit(words), model.units, np.concatenate((weight[:HEAD], totals)), rng, rate)
+    for k, at, place in model.by_class(words):
+        _contrast(model, contexts[at], place, np.arange(model.tokens)[model.members(k)], weight[model.members(k)], rng, rate)
+
+
+def _contrast(model: Model, contexts: np.ndarray, words: np.ndarray, rows: np.ndarray, weight: np.ndarray, rng, rate: float) -> None:
+    """Steps over words, which are places in `rows` of output; noise words are drawn from rows by weight.
 
     With k noise words for each word, the model's unnormalised score s(w) stands for log p(w) and the classifier's log odds
     are s(w) - log(k * noise(w)); noise words are shared by a minibatch.
     """
-    noise = (unigram + 0.5) / (unigram + 0.5).sum()
+    noise = weight / weight.sum()
     cumulative = np.cumsum(noise)
     log_noise = np.log(NOISE * noise).astype(np.float32)
     for i in range(0, len(words), MINIBATCH):
         c, w = contexts[i : i + MINIBATCH], words[i : i + MINIBATCH]
         r = model.predict(c)
         drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(noise) - 1)
-        q, qn = model.output[w], model.output[drawn]
-        up = 1 / (1 + np.exp(np.clip((r * q).sum(1) + model.bias[w] - log_noise[w], -20, 20)))  # 1 - sigmoid: how much to raise
-        down = 1 / (1 + np.exp(-np.clip(r @ qn.T + model.bias[drawn] - log_noise[drawn], -20, 20)))
+        at, other = rows[w], rows[drawn]
+        q, qn = model.output[at], model.output[other]
+        up = 1 / (1 + np.exp(np.clip((r * q).sum(1) + model.bias[at] - log_noise[w], -20, 20)))  # 1 - sigmoid: how much to raise
+        down = 1 / (1 + np.exp(-np.clip(r @ qn.T + (model.bias[other] - log_noise[drawn]), -20, 20)))
+        size = np.float32(len(w))
+        up, down = up / size, down / size
         gr = up[:, None] * q - down @ qn
-        n, size = len(model.bias), np.float32(len(w))
-        bias = np.bincount(w, weights=up, minlength=n) - np.bincount(drawn, weights=down.sum(0), minlength=n)
-        output = _row_sums(n, np.concatenate((w, drawn)), np.concatenate((up[:, None] * r, -(down.T @ r))))
         near = [gr * model.scale[k] for k in range(CONTEXT)]
-        embed = _row_sums(n + 1, np.concatenate([c[:, k] for k in range(CONTEXT)]), np.concatenate(near))
         scale = np.array([(gr * model.embed[c[:, k]]).sum(0) for k in range(CONTEXT)])
-        for x, g, squares in zip(model.parameters, (embed, output, scale, bias.astype(np.float32)), model.squares, strict=True):
-            g = g / size
-            squares += g * g
-            x += rate * g / np.sqrt(squares)
+        gradient = np.concatenate((np.column_stack((up[:, None] * r, up)), np.column_stack((-(down.T @ r), -down.sum(0)))))
+        embed_s, output_s, scale_s, bias_s = model.squares
+        _step(np.concatenate((at, other)), gradient, rate, (model.output, output_s), (model.bias, bias_s))
+        _step(c.T.ravel(), np.concatenate(near), rate, (model.embed, embed_s))
+        scale_s += scale * scale
+        model.scale += rate * scale / np.sqrt(scale_s)
 
 
 def _save(uri: str, model: Model, vocab: Vocabulary) -> None:
@@ -242,13 +321,43 @@ def _load(uri: str) -> tuple[Model, Vocabulary]:
     return _held[uri]
 
 
+PARTS = "part long, weight binary, values binary"
+
+
+def _part(part: int, weight: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array([part], pa.int64()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (weight, values))]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "weight", "values"])
+
+
+def _changes(start: np.ndarray, own: np.ndarray, seen: int):
+    """A row for each ROWS rows of a task's parameters: weights (0 where the task has changed nothing) and values."""
+    changed = (start != own).any(1)
+    for part in range(-(-len(own) // ROWS)):
+        rows = slice(part * ROWS, (part + 1) * ROWS)
+        if changed[rows].any():
+            yield _part(part, changed[rows] * float(seen), own[rows] * changed[rows, None])
+
+
+def _averages(batches):
+    """Weighted means of each row over the tasks that have changed it."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for part, *both in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            weight, values = (np.frombuffer(x, np.float32).astype(float) for x in both)
+            values = values.reshape(len(weight), -1) * weight[:, None]
+            had = sums.setdefault(part, [np.zeros_like(weight), np.zeros_like(values)])
+            had[0] += weight
+            had[1] += values
+    for part, (weight, values) in sums.items():
+        yield _part(part, weight, values / np.maximum(weight, 1)[:, None])
+
+
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[str, DataFrame]:
     """(URI of the model and vocabulary, table of all word counts) learned from all of docs."""
     spark = docs.sparkSession
     counts = stash(word_counts(docs, text), "word_counts")
     vocab = vocabulary(counts)
     model, uri = Model.start(vocab.unigram), fresh(spark, "language_model")
-    d = DIMENSIONS
     src = docs.select(F.col(text).cast("string").alias("text"))
     for k in range(rounds):
         _save(f"{uri}/{k}", model, vocab)
@@ -265,15 +374,16 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[str,
                     train(own, contexts[order], ids[order], voc.unigram, rng, rate)
                     seen += len(ids)
             if seen:
-                t = own.table()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(t))), pa.array(np.full(len(t), float(seen))), *(pa.array(c * seen) for c in t.T)], names=["row", "weight", *(f"d{i}" for i in range(d))]
-                )
+                yield from _changes(start.table(), own.table(), seen)
 
-        parts = src.coalesce(TRAINERS).mapInArrow(run, "row long, weight double, " + ", ".join(f"d{i} double" for i in range(d)))
-        mean = parts.groupBy("row").agg(*(F.sum(f"d{i}").alias(f"d{i}") for i in range(d)), F.sum("weight").alias("weight")).toPandas().sort_values("row")
+        parts = src.coalesce(TRAINERS).mapInArrow(run, PARTS)
+        mean = parts.repartition("part").mapInArrow(_averages, PARTS).toPandas()
         if len(mean):
-            model = Model.of_table(mean[[f"d{i}" for i in range(d)]].to_numpy() / mean[["weight"]].to_numpy(), model)
+            t = model.table()
+            for part, weight, values in zip(mean["part"], mean["weight"], mean["values"], strict=True):
+                own = np.frombuffer(weight, np.float32) > 0
+                t[part * ROWS : (part + 1) * ROWS][own] = np.frombuffer(values, np.float32).reshape(len(own), -1)[own]
+            model = Model.of_table(t, model)
     _save(f"{uri}/{rounds}", model, vocab)
     return f"{uri}/{rounds}", counts
 
