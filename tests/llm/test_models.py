@@ -149,6 +149,13 @@ def test_language_model_tells_rarer_words_apart(spark):
     assert np.mean([likely[i] > unlikely[i] for i in likely]) > 0.9
 
 
+def test_vocabulary_of_words_that_tie(spark):
+    ties = spark.range(500).selectExpr("id as h", "1L as c")
+    for counts, known, first in ((ties, 100, range(50)), (spark.createDataFrame([(900, 7)], "h long, c long").union(ties), 100, [900, *range(49)])):
+        v = lm.vocabulary(counts, 50, known)
+        assert sorted(v.h[v.id > 0].tolist()) == sorted(first) and len(v.unigram) == 51
+
+
 def test_noise_contrast_learns_what_follows_what():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 20, 40_000)

@@ -24,6 +24,7 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,7 +97,11 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, known: int = KNOWN) ->
             break
         least = r["step"]
     often = max(2, int(np.ceil(np.sqrt(tokens) / RARE)))
-    top = counts.where((step >= least) | (F.col("c") >= often)).toPandas()
+    above = (step >= least) | (F.col("c") >= often)
+    top = counts.where(above).toPandas()
+    if len(top) < size:  # many words tie
+        rest = counts.where(~above).orderBy(F.desc("c"), "h").limit(size - len(top)).toPandas()
+        top = pd.concat((top, rest))
     h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     order = np.lexsort((h, -c))
     h, c = h[order], c[order]
