@@ -30,6 +30,16 @@ def test_hashes_tell_words_apart_and_do_not_depend_on_place():
     assert again.hash[2:][::-1].tolist() == w.hash.tolist()
 
 
+def test_structured_words_have_hashes_of_their_own():
+    flip = [i.bit_count() & 1 for i in range(8192)]
+    words = [bytes(97 + (f ^ x) for f in flip[:n]) for n in (1, 2, 3, 7, 8, 9, 16, 64, 512, 513, 1024, 2048, 4096, 8192) for x in (0, 1)]
+    words += [b"a" * n for n in range(2, 600)]
+    column = pa.array([b" ".join(words).decode(), *(w.decode() for w in words)])
+    for size in (1 << 20, 700):
+        hashes = [b_ for b in blocks(column, size) for b_ in Words(b).hash.tolist()]
+        assert len(set(hashes)) == len(set(words)) and hashes[: len(words)] == hashes[len(words) :]
+
+
 def test_windows_and_repeats():
     w = Words(next(blocks(pa.array(["a b c a b", "a b", "c a b"]))))
     at, h = windows(w, 2)

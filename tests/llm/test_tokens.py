@@ -27,7 +27,7 @@ def lib(text):
 def test_pieces_give_the_librarys_ids(monkeypatch):
     texts = strange(3000)
     enc = pieces.Encoder(PATH)
-    enc.pieces.most = (500, 5_000)  # the cache shrinks many times
+    enc.pieces.most = (500, 5_000, 9_000)  # the cache shrinks many times
     got = []
     for b in blocks(pa.array([None, *texts]), 700):
         ids, offs = enc.encode(b)
@@ -35,6 +35,29 @@ def test_pieces_give_the_librarys_ids(monkeypatch):
     assert got == [lib(t) for t in [None, *texts]]
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+def test_structured_words_and_colliding_hashes(monkeypatch):
+    words = [w for n in (1024, 2048, 4096) for w in (thue_morse(n), thue_morse(n, "b", "a"))]
+    texts = [*words, " ".join(words), *(w + " x" for w in words)]
+
+    def check(enc):
+        for b in [*blocks(pa.array(texts)), *blocks(pa.array(texts[::-1]))]:
+            ids, offs = enc.encode(b)
+            assert [x.tolist() for x in np.split(ids, offs[1:-1])] == [lib(b.text(i)) for i in range(len(b))]
+
+    check(pieces.Encoder(PATH))
+    # hashes that collide often: pieces are told apart by their bytes, within a block and against the cache
+    monkeypatch.setattr(pieces.Pieces, "hash", staticmethod(lambda hasher, i, j: hasher.spans(i, j) % np.uint64(7)))
+    check(pieces.Encoder(PATH))
+    enc = pieces.Encoder(PATH)
+    for b in blocks(pa.array(strange(300)), 500):
+        ids, offs = enc.encode(b)
+        assert [x.tolist() for x in np.split(ids, offs[1:-1])] == [lib(b.text(i)) for i in range(len(b))]
+
+
 def test_prefix_counts_are_the_librarys_for_every_prefix():
     counter = pt.PrefixCounter(PATH)
     for b in blocks(pa.array(strange(600)), 2000):

@@ -8,6 +8,7 @@ splitting bytes gives exactly the words that splitting characters would.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,10 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; the arrays derived from them take about 60 times as much.  A longer text is one block.
 BLOCK_BYTES = 1 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: Spans of more bytes are hashed one by one, by BLAKE2b.
+LONG_SPAN = 512
+#: Entry k keeps the lowest k bytes of eight.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -31,22 +34,6 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 FIRST = np.ones(256, dtype=bool)
 FIRST[0x80:0xC0] = False
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        got = np.full(size, base, dtype=np.uint64)
-        got[0] = 1
-        got = np.multiply.accumulate(got)
-        if size <= 4 * BLOCK_BYTES:
-            _powers[base] = got
-    return got[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(30))
@@ -57,18 +44,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def eights(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of a byte array on, as integers (unaligned, not copied)."""
+    return np.ndarray((max(len(padded) - 7, 0),), "<u8", padded, strides=(1,))
+
+
 class Hasher:
-    """Hashes of any spans of one byte array: prefix sums of a polynomial modulo 2**64, then `mix`."""
+    """Hashes of any spans of one byte array: eight bytes at a time, each put through `mix` with what came before.
+
+    Spans of one length of at most 8 bytes never collide; of other different spans, two do with a chance of 2**-64.  There
+    is no algebra over the bytes that structured texts (such as Thue-Morse words) could meet.
+    """
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
-        self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self.sums[1:])
-        self.back = powers(pow(_BASE, -1, 1 << 64), n + 1)
+        self.data = data
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.eight = eights(padded)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.back[start]
-        return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        n = end - start
+        h = mix((self.eight[start] & _LOWEST[np.minimum(n, 8)]) ^ (n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        at, k = np.flatnonzero((n > 8) & (n <= LONG_SPAN)), 8
+        while len(at):
+            x = self.eight[start[at] + k] & _LOWEST[np.minimum(n[at] - k, 8)]
+            h[at] = mix((h[at] * np.uint64(0xD6E8FEB86659FD93) + np.uint64(k)) ^ x)
+            k += 8
+            at = at[n[at] > k]
+        for i in np.flatnonzero(n > LONG_SPAN).tolist():
+            h[i] = int.from_bytes(blake2b(self.data[start[i] : end[i]], digest_size=8).digest(), "little")
+        return h
+
+
+def same_bytes(a: Hasher, start_a: np.ndarray, b: Hasher, start_b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes of a from start_a on are those of b from start_b on, for each span."""
+    out, k = np.ones(len(n), bool), 0
+    at = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    while len(at):
+        differ = (a.eight[start_a[at] + k] ^ b.eight[start_b[at] + k]) & _LOWEST[np.minimum(n[at] - k, 8)]
+        out[at[differ != 0]] = False
+        k += 8
+        at = at[n[at] > k]
+    for i in np.flatnonzero(n > LONG_SPAN).tolist():
+        out[i] = np.array_equal(a.data[start_a[i] : start_a[i] + n[i]], b.data[start_b[i] : start_b[i] + n[i]])
+    return out
 
 
 class Block:

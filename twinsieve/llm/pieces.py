@@ -13,10 +13,10 @@ from itertools import chain
 
 import numpy as np
 
-from .arrays import NOT_SPACE, Block, Hasher
+from .arrays import NOT_SPACE, Block, Hasher, eights, same_bytes
 
-#: Pieces kept in a worker's cache, and tokens in it: about 70 MB at most.
-CACHE_PIECES, CACHE_TOKENS = 1_000_000, 10_000_000
+#: Pieces kept in a worker's cache, tokens and bytes in it: about 100 MB at most.
+CACHE_PIECES, CACHE_TOKENS, CACHE_BYTES = 1_000_000, 10_000_000, 20_000_000
 
 
 def default_path() -> str:
@@ -80,17 +80,24 @@ def whole_rows(block: Block, specials: list[str]) -> list[int]:
 
 
 class Pieces:
-    """A cache from pieces to slices of one pool of values; `values(texts)` gives the array of each new piece."""
+    """A cache from pieces to slices of one pool of values; `values(texts)` gives the array of each new piece.
 
-    def __init__(self, values, most_pieces: int = CACHE_PIECES, most_values: int = CACHE_TOKENS, kind=np.int32):
-        self.values, self.most, self.kind = values, (most_pieces, most_values), kind
+    Pieces are found by hash and then compared byte by byte; one that only its hash shares is worked out anew."""
+
+    def __init__(self, values, most_pieces: int = CACHE_PIECES, most_values: int = CACHE_TOKENS, kind=np.int32, most_bytes: int = CACHE_BYTES):
+        self.values, self.most, self.kind = values, (most_pieces, most_values, most_bytes), kind
         self.clear()
 
     def clear(self) -> None:
         self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int32))] * 2  # sorted hashes and their places; a long and a short list
         self.count = 0
-        self.start, self.size, self.uses = (np.zeros(1024, np.int32) for _ in range(3))
+        self.start, self.size, self.uses, self.at, self.length = (np.zeros(1024, np.int32) for _ in range(5))
         self.pool, self.used = np.zeros(1 << 16, self.kind), 0
+        self.data, self.filled = np.zeros(1 << 16, np.uint8), 0  # the pieces themselves; 8 bytes are spare
+
+    @property
+    def eight(self) -> np.ndarray:
+        return eights(self.data)
 
     def _places(self, h: np.ndarray) -> np.ndarray:
         """The place of each hash, -1 if it is new."""
@@ -102,28 +109,41 @@ class Pieces:
         return out
 
     def _shrink(self) -> None:
-        """Keep the pieces used most often, a quarter of the places at most, and of the values likewise."""
+        """Keep the pieces used most often, a quarter of the places at most, and of the values and bytes likewise."""
         hashes = np.empty(self.count, np.uint64)
         for keys, places in self.known:
             hashes[places] = keys
         order = np.argsort(-self.uses[: self.count], kind="stable")[: self.most[0] // 4]
-        order = order[np.cumsum(self.size[order], dtype=np.int64) <= self.most[1] // 4]
-        size, uses, values = self.size[order], self.uses[order], self.gather(self.start[order].astype(np.int64), self.size[order].astype(np.int64))
+        few = (np.cumsum(self.size[order], dtype=np.int64) <= self.most[1] // 4) & (np.cumsum(self.length[order], dtype=np.int64) <= self.most[2] // 4)
+        order = order[few]
+        size, uses, length = self.size[order], self.uses[order], self.length[order]
+        values = self.gather(self.start[order].astype(np.int64), size.astype(np.int64))
+        data = _gather(self.data, self.at[order].astype(np.int64), length.astype(np.int64))
         keys = hashes[order]
         self.clear()
-        self._store(keys, size, values)
+        self._store(keys, size, values, length, data)
         self.uses[: len(keys)] = uses // 2
 
-    def _store(self, h: np.ndarray, size: np.ndarray, values: np.ndarray) -> None:
-        n, k = self.count, len(h)
-        while n + k > len(self.start):
-            self.start, self.size, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.uses))
+    def _pool(self, values: np.ndarray) -> int:
+        """Put values into the pool; where they begin."""
         if self.used + len(values) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool) // 2, len(values)), self.kind)))
         self.pool[self.used : self.used + len(values)] = values
-        self.start[n : n + k] = self.used + np.cumsum(size) - size
+        self.used += len(values)
+        return self.used - len(values)
+
+    def _store(self, h: np.ndarray, size: np.ndarray, values: np.ndarray, length: np.ndarray, data: np.ndarray) -> None:
+        n, k = self.count, len(h)
+        while n + k > len(self.start):
+            self.start, self.size, self.uses, self.at, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.size, self.uses, self.at, self.length))
+        self.start[n : n + k] = self._pool(values) + np.cumsum(size) - size
         self.size[n : n + k] = size
-        self.count, self.used = n + k, self.used + len(values)
+        if self.filled + len(data) + 8 > len(self.data):
+            self.data = np.concatenate((self.data, np.zeros(max(len(self.data) // 2, len(data) + 8), np.uint8)))
+        self.data[self.filled : self.filled + len(data)] = data
+        self.at[n : n + k] = self.filled + np.cumsum(length) - length
+        self.length[n : n + k] = length
+        self.count, self.filled = n + k, self.filled + len(data)
 
         def merged(a, b):
             keys, places = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
@@ -140,26 +160,55 @@ class Pieces:
         """(begin, end) of the block's pieces and (start, size) of their values in the pool."""
         begin = cuts(block.data, block.offs)
         end = np.append(begin[1:], len(block.data)) if len(begin) else begin
-        h = Hasher(block.data).spans(begin, end)
+        hasher, n = Hasher(block.data), end - begin
+        h = self.hash(hasher, begin, end)
         distinct, first, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        if self.count + len(distinct) > self.most[0] or self.used > self.most[1]:
+        if self.count + len(distinct) > self.most[0] or self.used > self.most[1] or self.filled > self.most[2]:
             self._shrink()
+
+        def work_out(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(sizes, values) of the pieces at these places."""
+            i, j = begin[at].tolist(), end[at].tolist()
+            got = self.values([block.data[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(i, j, strict=True)])
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            return size, np.fromiter(chain.from_iterable(got), self.kind, int(size.sum()))
+
         slot = self._places(distinct)
-        new = np.flatnonzero(slot < 0)
+        old, new = np.flatnonzero(slot >= 0), np.flatnonzero(slot < 0)
+        other = np.zeros(len(distinct), bool)  # hashes of cached pieces with other bytes
+        i = first[old]
+        other[old] = (n[i] != self.length[slot[old]]) | ~same_bytes(hasher, begin[i], self, self.at[slot[old]].astype(np.int64), np.minimum(n[i], self.length[slot[old]]))
         if len(new):
-            raw, at, to = block.data.tobytes(), begin[first[new]].tolist(), end[first[new]].tolist()
-            got = self.values([raw[i:j].decode("utf-8", "replace") for i, j in zip(at, to, strict=True)])
-            size = np.fromiter(map(len, got), np.int64, len(got))
+            size, values = work_out(first[new])
             slot[new] = np.arange(self.count, self.count + len(new))
-            self._store(distinct[new], size, np.fromiter(chain.from_iterable(got), self.kind, int(size.sum())))
+            length = n[first[new]]
+            self._store(distinct[new], size, values, length, _gather(block.data, begin[first[new]], length))
         self.uses[slot] += times.astype(np.int32)
-        return begin, end, self.start[slot][which].astype(np.int64), self.size[slot][which].astype(np.int64)
+        model = first[which]
+        odd = other[which] | (n != n[model])
+        at = np.flatnonzero(~odd)
+        odd[at] = ~same_bytes(hasher, begin[at], hasher, begin[model[at]], n[at])
+        start, size = self.start[slot][which].astype(np.int64), self.size[slot][which].astype(np.int64)
+        if odd.any():
+            at = np.flatnonzero(odd)
+            size[at], values = work_out(at)
+            start[at] = self._pool(values) + np.cumsum(size[at]) - size[at]
+        return begin, end, start, size
+
+    @staticmethod
+    def hash(hasher: Hasher, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return hasher.spans(begin, end)
 
     def gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The values of all pieces, one behind another."""
-        total = int(size.sum())
-        shift = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) if total else np.zeros(0, np.int64)
-        return self.pool[np.arange(total) + shift]
+        return _gather(self.pool, start, size)
+
+
+def _gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Slices of pool, one behind another."""
+    total = int(size.sum())
+    shift = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) if total else np.zeros(0, np.int64)
+    return pool[np.arange(total) + shift]
 
 
 class Encoder:
