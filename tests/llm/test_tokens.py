@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 import numpy as np
@@ -70,6 +71,34 @@ def test_prefix_counts_are_the_librarys_for_every_prefix():
                 assert flat[offs[i + 1] - 1] == len(lib(t))
 
 
+def test_long_runs_take_one_pass():
+    for run in (" ", "\n", "'", " \n", "'re ", "é", "'r", "'' "):
+        text = ("x" + run * 100_000)[:100_000] + "y"
+        counter, t0 = pt.PrefixCounter(PATH), time.perf_counter()
+        flat, _ = counter.counts(next(blocks(pa.array([text]))))
+        assert time.perf_counter() - t0 < 20
+        assert len(flat) == 100_001 and all(flat[k - 1] == len(lib(text[:k])) for k in (*range(1, 300), 5000, 99_998, 99_999, 100_000, 100_001)), run
+
+
+def test_every_prefix_of_runs_and_contractions():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["'", "''", "'re", "'ve", "'ll", "'r", " ", "  ", "\n", " \n ", "a", "!", "3", "'s", "'.", " "]) for _ in range(12)) for _ in range(1500)]
+    counter = pt.PrefixCounter(PATH)
+    for b in blocks(pa.array(texts), 3000):
+        flat, offs = counter.counts(b)
+        for i in range(len(b)):
+            t = b.text(i)
+            assert flat[offs[i] : offs[i + 1]].tolist() == [len(lib(t[:k])) for k in range(1, len(t) + 1)], t
+
+
+def test_budgets_from_stored_counts(edge_docs, no_docs):
+    for budget in (0, 1, 7, 1024):
+        table = pt.prefix_counts(edge_docs, budget=budget, steps=True)
+        want = {(r["doc_id"], r["n_bytes"], r["n_tokens"], r["fits_chars"]) for r in table.collect()}
+        assert {tuple(r) for r in pt.within(table, budget).select("doc_id", "n_bytes", "n_tokens", "fits_chars").collect()} == want
+    assert pt.within(pt.prefix_counts(no_docs, steps=True)).collect() == []
+
+
 def test_prefix_table(spark, edge_docs, no_docs):
     rows = pt.prefix_counts(edge_docs.withColumn("full", edge_docs["text"]), budget=20, steps=True, keep=("doc_id", "full")).collect()
     assert len(rows) == edge_docs.count()

@@ -8,7 +8,8 @@ Texts are cut into pieces whose counts add up (see `pieces`); equal pieces share
 all prefixes of all texts in a block are then one gather and one add in numpy.  Prefixes are counted in code points.
 
 Null texts are empty (0 tokens).  Rows are independent: repeated ids, ties and extra columns do not matter, and an
-empty table gives an empty result.  Texts of any length are counted whole.
+empty table gives an empty result.  Texts of any length are counted whole, in time that grows with their length: also
+runs of white space and of apostrophes take one pass.  Columns of `keep` must not bear the names of the results.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ from pyspark.sql import functions as F
 
 from .arrays import FIRST, Block, blocks
 from .pieces import Pieces, cuts, default_path, special_strings, tokenizer, whole_rows
+from .scratch import stash
 
 #: The pattern of the byte-level BPE vocabularies (a fixed value; the tokenizer file names it by `use_regex`).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|(\s+(?!\S))|\s+"
+#: The pattern's contractions of two letters.
+TWO_LETTERS = ("'re", "'ve", "'ll")
 MOST_PAIRS = 1_000_000
 
 
@@ -50,7 +54,6 @@ class PrefixCounter:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, list[int]] = {}
         self.split = regex.compile(PATTERN)
-        self.odd = regex.compile(r"\s\s|'|\S\s")
         self.pieces = Pieces(lambda texts: [self.piece(t) for t in texts])
 
     def _fits(self, a: int, b: int) -> bool:
@@ -83,43 +86,36 @@ class PrefixCounter:
                 raise ValueError(f"no token ends at byte {i} of {raw[:80]!r}")
         return count[1:]
 
-    def _of(self, text: str) -> list[int]:
-        """Counts of the prefixes (code points) of a text whose cut matches are prefixes of the whole matches."""
-        out, base = [], 0
-        for match in self.split.findall(text):
-            raw = match.encode("utf-8", "surrogatepass")
-            counts = self.word(raw)
-            if len(raw) == len(match):
-                out += [base + c for c in counts] if base else counts
-            else:
-                first = FIRST[np.frombuffer(raw, np.uint8)]
-                out += [base + c for c, closes in zip(counts, [*first[1:].tolist(), True], strict=True) if closes]
-            base += counts[-1]
-        return out
+    def _chars(self, match: str) -> list[int]:
+        """Counts of the prefixes (code points) of one match."""
+        raw = match.encode("utf-8", "surrogatepass")
+        counts = self.word(raw)
+        if len(raw) == len(match):
+            return counts
+        first = FIRST[np.frombuffer(raw, np.uint8)]
+        return [c for c, closes in zip(counts, [*first[1:].tolist(), True], strict=True) if closes]
 
     def piece(self, text: str) -> list[int]:
-        """Counts of the prefixes (code points) of a piece."""
-        if not self.odd.search(text):
-            return self._of(text)
-        # Where a run of white space or an apostrophe is cut, matches may begin elsewhere: each such prefix is done anew
-        # from the last place where matches surely begin.
-        out, base, at = [], 0, 0
-        for part in regex.findall(r"\s*\S+|\s+", text):
-            lead = len(part) - len(part.lstrip()) if part.strip() else len(part)
-            quote = part.find("'")
-            if lead <= 1 and quote < 0:
-                got = self._of(part)
-            else:
-                upto = max(lead + 1 if lead > 1 else 0, 0)
-                redo = set(range(1, min(upto, len(part)) + 1))
-                k = quote
-                while k >= 0:
-                    redo |= set(range(k + 1, min(k + 4, len(part)) + 1))
-                    k = part.find("'", k + 1)
-                whole = self._of(part)
-                got = [self._of(part[:n])[-1] if n in redo else whole[n - 1] for n in range(1, len(part) + 1)]
-            out += [base + c for c in got]
-            base, at = out[-1], at + len(part)
+        """Counts of the prefixes (code points) of a piece, in one pass.
+
+        A prefix's matches are those of the whole text up to the match it ends in, and the part of that match, but for two
+        cases: it ends just behind a run of white space (the whole text leaves the run's last character to the next match,
+        the prefix does not), or between the two letters of a contraction (the apostrophe is then a match of its own).
+        """
+        out, base, behind = [], 0, 0
+        for m in self.split.finditer(text):
+            match = m.group()
+            run = m.group(1) is not None and m.end() < len(text)  # one character of this run of white space is left over
+            counts = self._chars(match + text[m.end()] if run else match)
+            own = counts[: len(match)]
+            if match in TWO_LETTERS:
+                own = [own[0], own[0] + self.word(match[1].encode())[-1], own[2]]
+            at = len(out)
+            out += [base + c for c in own]
+            if behind:
+                out[at] = behind
+            behind = base + counts[-1] if run else 0
+            base += own[-1]
         return out
 
     def whole(self, text: str) -> np.ndarray:
@@ -216,7 +212,37 @@ def longest_prefix(steps: bytes, budget: int) -> int:
     return int(fit[-1]) + 1 if len(fit) else 0
 
 
+def within(table: DataFrame, budget: int = 1024) -> DataFrame:
+    """`table` (from `prefix_counts` with steps) with `steps` replaced by n_tokens and fits_chars (code points of the longest
+    prefix of at most `budget` tokens), both read off the stored counts: no text is seen."""
+    src = table.select(*(c for c in table.columns if c not in ("n_tokens", "fits_chars", "steps")), "steps")
+    fields = src.schema.fields[:-1]
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(len(fields))
+            offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            raw = column.buffers()[2]
+            total, fits = np.zeros(len(column), np.int64), np.zeros(len(column), np.int64)
+            at = 0
+            while at < len(column):  # about 2 MB of steps at once
+                to = min(len(column), max(at + 1, int(np.searchsorted(offs, offs[at] + (2 << 20), side="right")) - 1))
+                steps = np.frombuffer(raw, "<i2", (offs[to] - offs[at]) // 2, offs[at]) if offs[to] > offs[at] else np.zeros(0, "<i2")
+                first, last = (offs[at:to] - offs[at]) // 2, (offs[at + 1 : to + 1] - offs[at]) // 2
+                sums = np.concatenate(([0], np.cumsum(steps, dtype=np.int64)))
+                total[at:to] = sums[last] - sums[first]
+                fit = np.flatnonzero(sums[1:] - np.repeat(sums[first], last - first) <= budget)
+                k = np.searchsorted(fit, last) - 1
+                found = fit[np.maximum(k, 0)] if len(fit) else np.zeros(to - at, np.int64)
+                fits[at:to] = np.where((k >= 0) & (found >= first) & (last > first), found - first + 1, 0)
+                at = to
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), pa.array(total), pa.array(fits)], names=[*(f.name for f in fields), "n_tokens", "fits_chars"])
+
+    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_tokens long, fits_chars long"]))
+
+
 def op8_prefix_tokens(spark, sf_dir: str) -> DataFrame:
+    """The counts of all prefixes are stored once; totals and the budget of 1,024 tokens are then read off them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    counted = prefix_counts(docs)
+    counted = within(stash(prefix_counts(docs, steps=True), "prefix_counts"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "fits_chars")
