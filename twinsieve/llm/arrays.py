@@ -151,10 +151,10 @@ class Words:
         begins[cut] = inside[cut]
         ends[cut - 1] = inside[cut - 1]
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        self.row = block.row_of(self.start)
+        self.first = np.searchsorted(self.start, block.offs)
+        self.row = np.repeat(np.arange(len(block)), np.diff(self.first))
         self.hasher = Hasher(data)
         self.hash = self.hasher.spans(self.start, self.end)
-        self.first = np.searchsorted(self.row, np.arange(len(block) + 1))
 
     def __len__(self) -> int:
         return len(self.start)

@@ -1,21 +1,25 @@
 """Language-model scoring: a log-bilinear model trained with noise-contrastive estimation, over corpus-wide counts.
 
 1. Every word of every training text is counted (numpy in each task, then sums by a 64-bit word hash).  The counts give
-   the unigram base score, the model's vocabulary (all words above a count that grows with the square root of the
-   training tokens, and one token for all others), the noise distribution, and the distribution of the words behind that
-   one token.
-2. Training reads every training token.  A task makes passes of stochastic gradient steps over its own texts from the
-   parameters it is given, with noise words drawn from the unigram distribution and shared by a minibatch, so that the
-   scores are matrix products; the rows of parameters that tasks have changed are averaged by tokens, ROUNDS times.
-3. Scoring normalises exactly, in two levels of about the square root of the vocabulary: over frequent tokens and classes
-   of the others for each distinct context of a block, and over the words of the class for each word in one.  A word outside the vocabulary gets the other-token's probability times its share of it.
+   the unigram base score, the model's vocabulary (all words above a count that grows with the training tokens, so that
+   there are about their cube root times a constant, and one token for all others), the noise distribution, and the
+   distribution of the words behind that one token.
+2. Every training token is trained on, in one of ROUNDS rounds.  A task makes a pass of stochastic gradient steps over its
+   own texts of the round from the parameters it is given, with noise words drawn from the unigram distribution and shared
+   by a minibatch, so that the scores are matrix products; equal tokens of a block are one with a weight.  The rows of
+   parameters that tasks have changed are averaged by tokens after each round.
+3. Scoring normalises exactly, in two levels: over frequent tokens and classes of the others for each distinct context
+   of a block, and over the words of the class for each distinct token in one.  A word outside the vocabulary gets the
+   other-token's probability times its share of it.
 
 Counts of the KNOWN most frequent words, and of all the model's, go to every task; rarer words are joined by hash, with the texts'
 words already summed.  A word that occurs in very many texts is frequent, so the join has no hot key.
 
 Lower-casing is A-Z only, words are `[^\\x20\\x09-\\x0D]+`, and every text has one end token behind its words; null texts
-are empty.  A null doc_id is not held out.  Rows are scored one by one, so repeated ids and ties do not matter; with
-nothing to train on, all words are unknown and both scores are those of a uniform guess over one unknown word.
+are empty.  A null doc_id is not held out.  Rows are scored one by one, so repeated ids and ties do not matter, and texts
+of any length are scored whole; an empty table gives an empty result.  Of words that tie at the edge of the vocabulary the
+smallest hashes are in.  With nothing to train on, all words are unknown and both scores are those of a uniform guess over
+one unknown word.  Extra columns are not looked at; those of `keep` must not bear the names of the results.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +38,20 @@ from .arrays import NOT_SPACE, Words, blocks
 from .labelled import fold
 from .scratch import filesystem, fresh, put, stash
 
-#: The model's words: all that occur sqrt(training tokens) / RARE times at least, and VOCABULARY at least.
-VOCABULARY, RARE = 1_023, 20
+#: The model's words: all that occur (training tokens) ** (2 / 3) / RARE times at least, and VOCABULARY at least.
+VOCABULARY, RARE = 1_023, 436
 #: Tokens that are no part of a class.
-HEAD = 1_024
+HEAD = 256
 #: Where sums of squared gradients start: small, for a minibatch moves a rare word little.
 FIRST_SQUARE = 1e-4
 KNOWN = 100_000
 DIMENSIONS, CONTEXT = 24, 2
-ROUNDS, NOISE, MINIBATCH, RATE = 2, 96, 2_048, 0.1
-#: Tasks that train side by side, at most: bounds the parameters that are averaged.
-TRAINERS = 1_024
+ROUNDS, NOISE, CLASS_NOISE, RATE = 2, 96, 48, 0.2
+#: A minibatch: groups of equal contexts, FIRST_BATCH at first, then a share of all that the task has met, MINIBATCH at most;
+#: CLASS_BATCH within a class.  A group has about OFTEN tokens at most.
+FIRST_BATCH, BATCH_SHARE, MINIBATCH, CLASS_BATCH, OFTEN = 32, 256, 512, 512, 64
+#: Tasks whose parameters are averaged first among themselves.
+NEIGHBOURS = 64
 #: Rows of parameters that are averaged together.
 ROWS = 256
 #: The hash of the end token; no word has it, as far as 64 bits can tell.
@@ -66,7 +74,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Corpus totals and the most frequent words: `h` sorted, `c` counts, `id` of the model (0: other)."""
+    """Corpus totals and the most frequent words: `h`, `c` counts, `id` of the model (0: other)."""
 
     tokens: int
     distinct: int
@@ -76,41 +84,59 @@ class Vocabulary:
     unigram: np.ndarray  # counts of the model's tokens, the other-token first
     rare: float  # what the other-token's words add up to, smoothed, with one place for all unknown words
 
+    def __post_init__(self) -> None:
+        """A hash table with open addresses: each word lies at the first free place from its hash's low bits on."""
+        bits = max(4, int(np.ceil(np.log2(len(self.h) + 1))) + 2)
+        self.mask = np.uint64((1 << bits) - 1)
+        self.place = np.full(1 << bits, -1, np.int32)
+        left, at = np.arange(len(self.h)), (self.h & self.mask).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.place[at] < 0)
+            self.place[at[free[::-1]]] = left[free[::-1]]  # of several for one place, the first stays
+            wrong = self.place[at] != left
+            left, at = left[wrong], (at[wrong] + 1) & int(self.mask)
+
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(count, model id) of words; count -1 where the word is not among the known ones."""
-        if not len(self.h):
-            return np.full(len(h), -1), np.zeros(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        same = self.h[at] == h
-        return np.where(same, self.c[at], -1), np.where(same, self.id[at], 0)
+        count, ids = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
+        left, at = None, (h & self.mask).astype(np.int64)
+        while len(at):
+            place = self.place[at]
+            same = (place >= 0) & (self.h[place] == (h if left is None else h[left])) if len(self.h) else np.zeros(len(at), bool)
+            own = same if left is None else left[same]
+            count[own], ids[own] = self.c[place[same]], self.id[place[same]]
+            go = np.flatnonzero((place >= 0) & ~same)
+            left, at = go if left is None else left[go], (at[go] + 1) & int(self.mask)
+        return count, ids
 
 
 def vocabulary(counts: DataFrame, size: int = VOCABULARY, known: int = KNOWN) -> Vocabulary:
-    """Words above a count that a histogram of log counts tells come to the driver: at most `known`, or all of the model's,
-    which are those that occur sqrt(tokens) / RARE times, and `size` at least."""
+    """The `known` most frequent words, or all of the model's, come to the driver; the model has those that occur tokens **
+    (2 / 3) / RARE times, and `size` at least.  A histogram of log counts tells above which count they lie; of the step at
+    the edge the smallest hashes are taken."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    step = F.floor(F.log2("c") * 32).cast("int")
-    least, n = 1 << 30, 0
+    step, order = F.floor(F.log2("c") * 32).cast("int"), F.pmod("h", F.lit(1 << 30))
+    often = max(2, int(np.ceil(tokens ** (2 / 3) / RARE)))
+    edge, n, least, want = -1, 0, 0, max(known, size)
     for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():  # 2,048 rows at most
-        n += r["count"]
-        if n > known:
+        if n + r["count"] > want:
+            edge, room = r["step"], (want - n) / r["count"]
+            least = int((1 << 30) * min(1.0, room + 4 * np.sqrt(room / r["count"]) + 16 / r["count"]))
             break
-        least = r["step"]
-    often = max(2, int(np.ceil(np.sqrt(tokens) / RARE)))
-    above = (step >= least) | (F.col("c") >= often)
-    top = counts.where(above).toPandas()
-    if len(top) < size:  # many words tie
-        rest = counts.where(~above).orderBy(F.desc("c"), "h").limit(size - len(top)).toPandas()
-        top = pd.concat((top, rest))
+        n += r["count"]
+    top = counts.where((step > edge) | (F.col("c") >= often)).toPandas()
+    if edge >= 0 and len(top) < want:
+        rest = counts.where((step == edge) & (F.col("c") < often) & (order < least)).toPandas()
+        h = rest["h"].to_numpy(np.int64)
+        top = pd.concat((top, rest.iloc[np.lexsort((h, h % (1 << 30)))[: want - len(top)]]))
     h, c = top["h"].to_numpy(np.int64), top["c"].to_numpy(np.int64)
     order = np.lexsort((h, -c))
     h, c = h[order], c[order]
     size = max(size, int((c >= often).sum()))
     ids = np.where(np.arange(len(h)) < size, np.arange(len(h)) + 1, 0)
-    order = np.argsort(h.view(np.uint64), kind="stable")
     rare_tokens, rare_words = tokens - int(c[:size].sum()), distinct - len(c[:size])
     unigram = np.concatenate(([rare_tokens], c[:size])).astype(float)
-    return Vocabulary(tokens, distinct, h.view(np.uint64)[order], c[order], ids[order], unigram, rare_tokens + 0.5 * rare_words + 0.5)
+    return Vocabulary(tokens, distinct, h.view(np.uint64), c, ids, unigram, rare_tokens + 0.5 * rare_words + 0.5)
 
 
 @dataclass
@@ -127,6 +153,7 @@ class Model:
     scale: np.ndarray
     bias: np.ndarray
     squares: list[np.ndarray]
+    met: int = 0  # groups that this task has trained on
 
     @classmethod
     def start(cls, unigram: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
@@ -173,35 +200,40 @@ class Model:
             yield int(k[i]), at[i:j], place[i:j]
 
     def copy(self) -> Model:
+        """The same parameters, for another task."""
         return Model(*(x.copy() for x in self.parameters), [x.copy() for x in self.squares])
 
     def predict(self, contexts: np.ndarray) -> np.ndarray:
         """Vectors predicted for rows of context ids, nearest first."""
         out = np.zeros((len(contexts), self.embed.shape[1]), np.float32)
         for i in range(CONTEXT):
-            out += self.scale[i] * self.embed[contexts[:, i]]
+            out += self.scale[i] * self.embed.take(contexts[:, i], axis=0)
         return out
 
     def log_probability(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Normalised natural-log probabilities; each distinct context is normalised once over the units."""
-        n = len(self.embed)
-        keys, which = np.unique(contexts[:, 0] * n + contexts[:, 1], return_inverse=True)
-        out, order = np.empty(len(words)), np.argsort(which, kind="stable")
-        bounds = np.searchsorted(which[order], np.arange(0, len(keys) + 2048, 2048))
-        units, unit = self.units, self.unit(words)
+        """Normalised natural-log probabilities; equal tokens are scored once, and each distinct context is normalised once
+        over the units."""
+        if not len(words):
+            return np.zeros(0)
+        before, n = len(self.embed), self.tokens
+        token, back = np.unique((contexts[:, 0] * before + contexts[:, 1]) * n + words, return_inverse=True)
+        context, words = np.divmod(token, n)
+        new = np.concatenate(([True], context[1:] != context[:-1]))
+        keys, which = context[new], np.cumsum(new) - 1
+        out, units, unit = np.empty(len(words)), self.units, self.unit(words)
         output, bias = self.output[units].T.copy(), self.bias[units]
-        for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            own = keys[2048 * k : 2048 * (k + 1)]
-            if not len(own):
-                break
-            at = order[i:j]
-            out[at] = _log_softmax(self.predict(np.column_stack((own // n, own % n))), output, bias, which[at] - 2048 * k, unit[at])
+        bounds = np.searchsorted(which, np.arange(0, len(keys) + 1024, 1024))
+        for k, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if i < j:
+                r = self.predict(np.column_stack(np.divmod(keys[1024 * k : 1024 * (k + 1)], before)))
+                out[i:j] = _log_softmax(r, output, bias, which[i:j] - 1024 * k, unit[i:j])
         for k, at, place in self.by_class(words):
             output, bias = self.output[self.members(k)].T.copy(), self.bias[self.members(k)]
-            for i in range(0, len(at), 2048):
-                own = at[i : i + 2048]
-                out[own] += _log_softmax(self.predict(contexts[own]), output, bias, np.arange(len(own)), place[i : i + 2048])
-        return out
+            for i in range(0, len(at), 1024):
+                own = at[i : i + 1024]
+                r = self.predict(np.column_stack(np.divmod(context[own], before)))
+                out[own] += _log_softmax(r, output, bias, np.arange(len(own)), place[i : i + 1024])
+        return out[back]
 
     def table(self) -> np.ndarray:
         """All parameters as rows of one width, each row's squares behind it, for averaging."""
@@ -221,17 +253,21 @@ class Model:
 
 
 def n_classes(tokens: int) -> int:
-    return int(np.ceil(np.sqrt(max(tokens - HEAD, 0))))
+    return int(np.ceil(np.sqrt(max(tokens - HEAD, 0)) / 2))
 
 
 def _log_softmax(r: np.ndarray, output: np.ndarray, bias: np.ndarray, row: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Log probabilities of column word[i] in row[i] of r @ output + bias."""
     logits = r @ output
     logits += bias
-    logits -= logits.max(1, keepdims=True)
-    own = logits[row, word]
-    np.exp(logits, out=logits)
-    return own - np.log(logits.sum(1))[row]
+    own = logits[row, word].astype(float)
+    with np.errstate(over="ignore"):
+        sums = np.exp(logits).sum(1, dtype=float)
+    if not (np.isfinite(sums) & (sums > 0)).all():  # scores too far from 0 for their powers
+        most = logits.max(1, keepdims=True)
+        sums = np.exp(logits - most).sum(1, dtype=float)
+        return own - most[row, 0] - np.log(sums)[row]
+    return own - np.log(sums)[row]
 
 
 def encode(b, vocab: Vocabulary):
@@ -254,53 +290,101 @@ def encode(b, vocab: Vocabulary):
 
 def _step(at: np.ndarray, rows: np.ndarray, rate: float, *parameters: tuple[np.ndarray, np.ndarray]) -> None:
     """Adds gradients, summed by target row, to (parameter, squares); columns go to the parameters in turn."""
-    order = np.argsort(at)
-    at = at[order]
+    order = np.argsort(at.astype(np.uint16), kind="stable") if len(parameters[0][0]) <= 65_536 else np.argsort(at)
+    at = at.take(order)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    sums, own, k = np.add.reduceat(rows[order], first), at[first], 0
+    sums, own, k = np.add.reduceat(rows.take(order, axis=0), first, axis=0), at.take(first), 0
     for x, squares in parameters:
         g = sums[:, k : k + x.shape[1]] if x.ndim == 2 else sums[:, k]
         k += g.shape[1] if x.ndim == 2 else 1
-        s = squares[own] + g * g
+        s = squares.take(own, axis=0)
+        s += g * g
         squares[own] = s
-        x[own] += rate * g / np.sqrt(s)
+        np.sqrt(s, out=s)
+        np.divide(g, s, out=s)
+        s *= np.float32(rate)
+        s += x.take(own, axis=0)
+        x[own] = s
 
 
 def train(model: Model, contexts: np.ndarray, words: np.ndarray, unigram: np.ndarray, rng, rate: float) -> None:
-    """One pass of noise-contrastive steps in place, over the words' units and over the words of each class in it."""
-    weight = unigram + 0.5
-    totals = [weight[model.members(k)].sum() for k in range(n_classes(model.tokens))]
-    _contrast(model, contexts, model.unit(words), model.units, np.concatenate((weight[:HEAD], totals)), rng, rate)
+    """One pass of noise-contrastive steps in place, over the words' units and over the words of each class in it.
+
+    Equal tokens (context and word) are one with a weight, and equal contexts meet their noise words once; a context that
+    occurs more often than OFTEN is dealt into several groups, so that it takes part in several steps."""
+    if not len(words):
+        return
+    before, n = len(model.embed), model.tokens
+    keys, which, times = np.unique(contexts[:, 0] * before + contexts[:, 1], return_inverse=True, return_counts=True)
+    parts = -(-times // OFTEN)
+    first = np.cumsum(parts) - parts
+    group = first[which] + (rng.random(len(words)) * parts[which]).astype(np.int64)
+    place = rng.permutation(int(parts.sum()))  # groups in random order
+    key, weight = np.unique(place[group] * n + words, return_counts=True)
+    group, words = np.divmod(key, n)
+    of_group = np.empty(len(place), np.int64)
+    of_group[place] = np.repeat(keys, parts)
+    mass = unigram + 0.5
+    totals = [mass[model.members(k)].sum() for k in range(n_classes(n))]
+    bounds = [0]
+    while bounds[-1] < len(of_group):
+        bounds.append(bounds[-1] + int(np.clip((model.met + bounds[-1]) // BATCH_SHARE, FIRST_BATCH, MINIBATCH)))
+    model.met += len(of_group)
+    _contrast(model, bounds, of_group, group, model.unit(words), weight, model.units, np.concatenate((mass[:HEAD], totals)), NOISE, rng, rate)
+    own = of_group[group]
     for k, at, place in model.by_class(words):
-        _contrast(model, contexts[at], place, np.arange(model.tokens)[model.members(k)], weight[model.members(k)], rng, rate)
+        mixed = rng.permutation(len(at))
+        at, place = at[mixed], place[mixed]
+        bounds = [*range(0, len(at), CLASS_BATCH), len(at)]
+        _contrast(model, bounds, own[at], np.arange(len(at)), place, weight[at], np.arange(n)[model.members(k)], mass[model.members(k)], CLASS_NOISE, rng, rate)
 
 
-def _contrast(model: Model, contexts: np.ndarray, words: np.ndarray, rows: np.ndarray, weight: np.ndarray, rng, rate: float) -> None:
-    """Steps over words, which are places in `rows` of output; noise words are drawn from rows by weight.
+def _contrast(model: Model, minibatches: list[int], keys: np.ndarray, group: np.ndarray, words: np.ndarray, weight: np.ndarray, rows: np.ndarray, mass: np.ndarray, k: int, rng, rate: float) -> None:
+    """Steps over groups of one context (`keys`: both ids in one number), dealt into minibatches at these bounds.  Token i is of group[i] (sorted)
+    and occurs weight[i] times; words are places in `rows` of output; k noise words are drawn from rows by mass.
 
     With k noise words for each word, the model's unnormalised score s(w) stands for log p(w) and the classifier's log odds
     are s(w) - log(k * noise(w)); noise words are shared by a minibatch.
     """
-    noise = weight / weight.sum()
+    noise = mass / mass.sum()
     cumulative = np.cumsum(noise)
-    log_noise = np.log(NOISE * noise).astype(np.float32)
-    for i in range(0, len(words), MINIBATCH):
-        c, w = contexts[i : i + MINIBATCH], words[i : i + MINIBATCH]
-        r = model.predict(c)
-        drawn = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(noise) - 1)
-        at, other = rows[w], rows[drawn]
-        q, qn = model.output[at], model.output[other]
-        up = 1 / (1 + np.exp(np.clip((r * q).sum(1) + model.bias[at] - log_noise[w], -20, 20)))  # 1 - sigmoid: how much to raise
-        down = 1 / (1 + np.exp(-np.clip(r @ qn.T + (model.bias[other] - log_noise[drawn]), -20, 20)))
-        size = np.float32(len(w))
-        up, down = up / size, down / size
-        gr = up[:, None] * q - down @ qn
-        near = [gr * model.scale[k] for k in range(CONTEXT)]
-        scale = np.array([(gr * model.embed[c[:, k]]).sum(0) for k in range(CONTEXT)])
-        gradient = np.concatenate((np.column_stack((up[:, None] * r, up)), np.column_stack((-(down.T @ r), -down.sum(0)))))
-        embed_s, output_s, scale_s, bias_s = model.squares
+    log_noise = np.log(k * noise).astype(np.float32)
+    embed_s, output_s, scale_s, bias_s = model.squares
+    places = np.searchsorted(group, minibatches).tolist()
+    for lo, hi, i, j in zip(minibatches[:-1], minibatches[1:], places[:-1], places[1:], strict=True):
+        own = keys[lo:hi]
+        g, w, n = group[i:j] - lo, words[i:j], weight[i:j].astype(np.float32)
+        a, b = np.divmod(own, len(model.embed))
+        ea, eb = model.embed.take(a, axis=0), model.embed.take(b, axis=0)
+        r = model.scale[0] * ea + model.scale[1] * eb
+        drawn = np.minimum(np.searchsorted(cumulative, rng.random(k)), len(noise) - 1)
+        at, other = rows.take(w), rows.take(drawn)
+        q, qn = model.output.take(at, axis=0), model.output.take(other, axis=0)
+        start = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        n /= n.sum()
+        near = r.take(g, axis=0)
+        # sigmoids by half the hyperbolic tangent of half
+        up = np.einsum("ij,ij->i", near, q)
+        up += model.bias.take(at) - log_noise.take(w)
+        up = n * (0.5 - 0.5 * np.tanh(0.5 * up))  # weight * (1 - sigmoid): how much to raise
+        half = np.float32(0.5)
+        down = r @ (half * qn).T
+        down += half * (model.bias.take(other) - log_noise.take(drawn))
+        np.tanh(down, out=down)
+        down += 1
+        down *= (half * np.add.reduceat(n, start))[:, None]
+        q *= up[:, None]
+        gr = np.add.reduceat(q, start, axis=0)
+        gr -= down @ qn
+        near *= up[:, None]
+        d = r.shape[1]
+        gradient = np.empty((len(at) + k, d + 1), np.float32)
+        gradient[: len(at), :d], gradient[: len(at), d] = near, up
+        np.matmul(-down.T, r, out=gradient[len(at) :, :d])
+        gradient[len(at) :, d] = -down.sum(0)
         _step(np.concatenate((at, other)), gradient, rate, (model.output, output_s), (model.bias, bias_s))
-        _step(c.T.ravel(), np.concatenate(near), rate, (model.embed, embed_s))
+        scale = np.stack((np.einsum("ij,ij->j", gr, ea), np.einsum("ij,ij->j", gr, eb)))
+        _step(np.concatenate((a, b)), np.concatenate((gr * model.scale[0], gr * model.scale[1])), rate, (model.embed, embed_s))
         scale_s += scale * scale
         model.scale += rate * scale / np.sqrt(scale_s)
 
@@ -326,35 +410,38 @@ def _load(uri: str) -> tuple[Model, Vocabulary]:
     return _held[uri]
 
 
-PARTS = "part long, weight binary, values binary"
+PARTS = "part long, near long, rows binary, weight binary, values binary"
 
 
-def _part(part: int, weight: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    cols = [pa.array([part], pa.int64()), *(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (weight, values))]
-    return pa.RecordBatch.from_arrays(cols, names=["part", "weight", "values"])
+def _part(part: int, near: int, rows: np.ndarray, weight: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    cols = [pa.array([x], pa.int64()) for x in (part, near)]
+    cols += [pa.array([x.tobytes()], pa.binary()) for x in (rows.astype(np.int32), weight.astype(np.float32), values.astype(np.float32))]
+    return pa.RecordBatch.from_arrays(cols, names=["part", "near", "rows", "weight", "values"])
 
 
 def _changes(start: np.ndarray, own: np.ndarray, seen: int):
-    """A row for each ROWS rows of a task's parameters: weights (0 where the task has changed nothing) and values."""
-    changed = (start != own).any(1)
-    for part in range(-(-len(own) // ROWS)):
-        rows = slice(part * ROWS, (part + 1) * ROWS)
-        if changed[rows].any():
-            yield _part(part, changed[rows] * float(seen), own[rows] * changed[rows, None])
+    """Rows of a task's parameters that it has changed, ROWS neighbours in one; `near` tells groups of NEIGHBOURS tasks."""
+    near = TaskContext.get().partitionId() // NEIGHBOURS
+    changed = np.flatnonzero((start != own).any(1))
+    bounds = np.searchsorted(changed, np.arange(0, len(own) + ROWS, ROWS))
+    for part, (i, j) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        if i < j:
+            yield _part(part, near, changed[i:j], np.full(j - i, seen), own[changed[i:j]])
 
 
 def _averages(batches):
-    """Weighted means of each row over the tasks that have changed it."""
-    sums: dict[int, list[np.ndarray]] = {}
+    """Weighted means of each row over the tasks that have changed it; the weights add up, so means may be averaged again."""
+    sums: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
     for batch in batches:
-        for part, *both in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            weight, values = (np.frombuffer(x, np.float32).astype(float) for x in both)
-            values = values.reshape(len(weight), -1) * weight[:, None]
-            had = sums.setdefault(part, [np.zeros_like(weight), np.zeros_like(values)])
-            had[0] += weight
-            had[1] += values
-    for part, (weight, values) in sums.items():
-        yield _part(part, weight, values / np.maximum(weight, 1)[:, None])
+        for part, near, *parts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            rows, weight = np.frombuffer(parts[0], np.int32), np.frombuffer(parts[1], np.float32).astype(float)
+            values = np.frombuffer(parts[2], np.float32).reshape(len(rows), -1) * weight[:, None]
+            had = sums.setdefault(part, (near, np.zeros(ROWS), np.zeros((ROWS, values.shape[1]))))
+            had[1][rows - part * ROWS] += weight
+            had[2][rows - part * ROWS] += values
+    for part, (near, weight, values) in sums.items():
+        own = np.flatnonzero(weight)
+        yield _part(part, near, own + part * ROWS, weight[own], values[own] / weight[own, None])
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[str, DataFrame]:
@@ -374,20 +461,22 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[str,
             for batch in batches:
                 for b in blocks(batch.column(0), 4 << 20):
                     _, _, ids, _, contexts = encode(b, voc)
-                    order = rng.permutation(len(ids))
-                    rate = RATE / (1 + k)
-                    train(own, contexts[order], ids[order], voc.unigram, rng, rate)
+                    train(own, contexts, ids, voc.unigram, rng, RATE / (1 + k))
                     seen += len(ids)
             if seen:
                 yield from _changes(start.table(), own.table(), seen)
 
-        parts = src.coalesce(TRAINERS).mapInArrow(run, PARTS)
-        mean = parts.repartition("part").mapInArrow(_averages, PARTS).toPandas()
+        # a text's round is told by its hash, so ROUNDS rounds train on every token once
+        parts = src.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k % ROUNDS).mapInArrow(run, PARTS)
+        for keys in (("part", "near"), ("part",)):  # of neighbouring tasks first, so that no part meets all tasks at once
+            parts = parts.repartition(*keys).mapInArrow(_averages, PARTS)
+        # a partition may hold several `near` of one part after the first step, which are one mean then
+        mean = parts.select("rows", "values").toPandas()
         if len(mean):
             t = model.table()
-            for part, weight, values in zip(mean["part"], mean["weight"], mean["values"], strict=True):
-                own = np.frombuffer(weight, np.float32) > 0
-                t[part * ROWS : (part + 1) * ROWS][own] = np.frombuffer(values, np.float32).reshape(len(own), -1)[own]
+            for rows, values in zip(mean["rows"], mean["values"], strict=True):
+                at = np.frombuffer(rows, np.int32)
+                t[at] = np.frombuffer(values, np.float32).reshape(len(at), -1)
             model = Model.of_table(t, model)
     _save(f"{uri}/{rounds}", model, vocab)
     return f"{uri}/{rounds}", counts
