@@ -2,26 +2,27 @@
 
 quality rules -> n-gram Jaccard join -> benchmark decontamination -> mixing to target weights -> token-id files
 
-Every stage but the last returns the columns of `documents`.  All stages keep what they do not name: null columns, empty
-tables and repeated rows pass through as each operator's module says.
+Every stage but the last returns the columns of its input, whatever their names (they are hidden while an operator runs).
+Null columns, empty tables, very long texts and repeated rows pass through as each operator's module says; rows that are
+equal in all columns are interchangeable, and of other rows the choice is told by their contents, so reruns agree.
 """
 
 from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsieve.llm.columns import hide, restore
 from twinsieve.llm.decontaminate import decontaminate
-from twinsieve.llm.mixing import mix, word_count
+from twinsieve.llm.mixing import mix
 from twinsieve.llm.ngram_join import ngram_join
 from twinsieve.llm.quality_rules import quality_rules
 from twinsieve.llm.scratch import fresh, prepare
 from twinsieve.llm.token_files import read_corpus, write_corpus
 
-SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
+HAS_WORD = r"[^\x20\x09-\x0D]"
 
 #: SQL cannot express the quality rules' estimation or the tokenizer.
 ORACLE_SQL = None
@@ -33,18 +34,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return restore(quality_rules(hidden, text=names["text"], keep=tuple(names.values())).where("kept"), names)
 
 
+def _hidden(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(docs under hidden names with row_key, a digest of the whole row; the hidden name of each column)."""
+    hidden, names = hide(docs)
+    others = [new for old, new in names.items() if old != "text"]
+    parts = [F.coalesce(F.md5(names["text"]), F.lit("null")), F.md5(F.to_json(F.struct(*others)) if others else F.lit(""))]
+    return hidden.withColumn("row_key", F.md5(F.concat(*parts))), names
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group linked by 5-word shingles at a similarity of 0.8: the smallest doc_id's (null last, then by
-    md5 of the text).  Rows without words are no group and stay."""
+    """One row of each group linked by 5-word shingles at a similarity of 0.8: the smallest doc_id's (null last, then the
+    smallest md5 of the text, then of the whole row).  Rows without words are no group and stay."""
     c = F.col
-    keyed = docs.withColumn("__key", F.md5("text"))
-    groups = ngram_join(keyed, size=5, num=80, den=100, keep=("__key",))
-    best = F.min(F.struct(c("doc_id").isNull().alias("last"), c("doc_id").alias("id"), c("__key").alias("key")))
-    kept = groups.where(c("group_id").isNotNull()).groupBy("group_id").agg(best.alias("best")).select(c("best.id").alias("__best_id"), c("best.key").alias("__best_key"))
-    same = c("doc_id").eqNullSafe(c("__best_id")) & c("__key").eqNullSafe(c("__best_key"))
-    one = keyed.join(kept.distinct(), same, "left_semi").dropDuplicates(["doc_id", "__key"])
-    blank = keyed.where(word_count(c("text")) == 0)
-    return one.unionByName(blank).select(*docs.columns)
+    rows, names = _hidden(docs)
+    text, doc_id = names["text"], names["doc_id"]
+    slim = rows.select(doc_id, text, "row_key", F.md5(text).alias("text_key"))
+    groups = ngram_join(slim, size=5, num=80, den=100, text=text, doc_id=doc_id, keep=("row_key", "text_key"))
+    best = F.min(F.struct(c("doc_id").isNull().alias("last"), "doc_id", "text_key", "row_key")).alias("best")
+    kept = groups.where(c("group_id").isNotNull()).groupBy("group_id").agg(best).select("best.row_key")
+    worded = F.coalesce(c(text).rlike(HAS_WORD), F.lit(False))
+    # equal rows become one in each task, before any text is sent; both steps are dealt by row_key, so texts are sent once
+    one = rows.where(worded).dropDuplicates(["row_key"]).join(kept, "row_key", "left_semi")
+    return restore(one.unionByName(rows.where(~worded)), names)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,22 +64,15 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each take of the mix: the whole text, or for the one take that crosses a source's target its first
-    words (n_chars follows).  Documents that the mix does not need go.  Equal rows take equal rows' places."""
+    """A row for each take of the mix, always the whole text: the take that crosses a source's target counts if half of the
+    text at least lies before it.  Documents that the mix does not need go.  Equal rows share their takes."""
     c = F.col
-    key = F.md5(F.coalesce("text", F.lit("")))
-    takes = mix(docs, ident=key).where("size(takes) > 0")
-    takes = takes.select(c("doc_id").alias("__id"), c("source").alias("__source"), c("ident").alias("__ident"), c("copy").alias("__at"), c("size").alias("__size"), F.explode("takes").alias("__take"))
-    equal = Window.partitionBy("doc_id", "__key", "source").orderBy(F.lit(0))
-    rows = docs.withColumn("__key", key).withColumn("__copy", F.row_number().over(equal) - 1)
-    same = c("doc_id").eqNullSafe(c("__id")) & c("source").eqNullSafe(c("__source")) & (c("__key") == c("__ident")) & (c("__copy") == c("__at"))
-    taken = rows.join(takes, same)
-    cut = c("__take.words") < c("__size")
-    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(SPACED_WORD), F.lit(0)), F.lit(1), c("__take.words").cast("int")), "")
-    taken = taken.withColumn("text", F.when(cut, words).otherwise(c("text")))
-    if "n_chars" in docs.columns:
-        taken = taken.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(c("n_chars")))
-    return taken.select(*docs.columns)
+    rows, names = _hidden(docs)
+    mixed = mix(rows, text=names["text"], doc_id=names["doc_id"], source=names["source"], ident=c("row_key"))
+    whole = F.size(F.filter("takes", lambda x: 2 * x["words"] >= c("size")))
+    times = mixed.groupBy("ident").agg(F.sum(whole).alias("times")).where("times > 0")
+    taken = rows.dropDuplicates(["row_key"]).join(times, c("row_key") == c("ident"))
+    return restore(taken.withColumn("take", F.explode(F.sequence(F.lit(1).cast("long"), c("times")))), names)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
