@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,8 +119,8 @@ def test_language_model_held_out(spark):
 def test_language_model_normalises():
     unigram = np.arange(1.0, 41.0)
     model, rng = lm.Model.start(unigram, 6), np.random.default_rng(0)
-    lm.train(model, rng.integers(0, 41, (5000, lm.CONTEXT)), rng.integers(0, 40, 5000), unigram, rng, 0.1)
-    contexts = np.repeat(rng.integers(0, 41, (7, lm.CONTEXT)), 40, axis=0)
+    lm.train(model, rng.integers(0, 41 * 41 * 40, 5000), unigram, rng, 0.1)
+    contexts = np.repeat(rng.integers(0, 41 * 41, 7), 40)
     p = np.exp(model.log_probability(contexts, np.tile(np.arange(40), 7))).reshape(7, 40)
     assert np.allclose(p.sum(1), 1, atol=1e-5)
     again = lm.Model.of_table(model.table(), model)
@@ -130,8 +131,8 @@ def test_language_model_normalises_over_classes():
     n = lm.HEAD + 700
     unigram = 1e4 / np.arange(1.0, n + 1)
     model, rng = lm.Model.start(unigram, 6), np.random.default_rng(0)
-    lm.train(model, rng.integers(0, n + 1, (5000, lm.CONTEXT)), rng.integers(0, n, 5000), unigram, rng, 0.1)
-    contexts = np.repeat(rng.integers(0, n + 1, (3, lm.CONTEXT)), n, axis=0)
+    lm.train(model, rng.integers(0, (n + 1) ** 2 * n, 5000), unigram, rng, 0.1)
+    contexts = np.repeat(rng.integers(0, (n + 1) ** 2, 3), n)
     p = np.exp(model.log_probability(contexts, np.tile(np.arange(n), 3))).reshape(3, n)
     assert lm.n_classes(n) == 14 and np.allclose(p.sum(1), 1, atol=1e-4) and (p > 0).all()
     again = lm.Model.of_table(model.table(), model)
@@ -143,14 +144,14 @@ def test_language_model_probabilities_by_loops():
     n = lm.HEAD + 40
     unigram = 1e4 / np.arange(1.0, n + 1)
     model, rng = lm.Model.start(unigram, 5), np.random.default_rng(4)
-    lm.train(model, rng.integers(0, n + 1, (3000, lm.CONTEXT)), rng.integers(0, n, 3000), unigram, rng, 0.2)
-    contexts, words = rng.integers(0, n + 1, (60, lm.CONTEXT)), rng.integers(0, n, 60)
+    lm.train(model, rng.integers(0, (n + 1) ** 2 * n, 3000), unigram, rng, 0.2)
+    contexts, words = rng.integers(0, (n + 1) ** 2, 60), rng.integers(0, n, 60)
     words[:30] = rng.integers(lm.HEAD, n, 30)
     contexts[10:20], words[10:20] = contexts[:10], words[:10]
     k = lm.n_classes(n)
     classes = [[w for w in range(lm.HEAD, n) if (w - lm.HEAD) % k == c] for c in range(k)]
     for c, w, got in zip(contexts, words, model.log_probability(contexts, words), strict=True):
-        r = sum(model.scale[i].astype(float) * model.embed[c[i]] for i in range(lm.CONTEXT))
+        r = sum(model.scale[i].astype(float) * model.embed[x] for i, x in enumerate(divmod(int(c), n + 1)))
         power = lambda row, r=r: math.exp(float(r @ model.output[row]) + float(model.bias[row]))
         units = [*range(lm.HEAD), *(n + c for c in range(k))]
         own = int(w) if w < lm.HEAD else n + (int(w) - lm.HEAD) % k
@@ -185,14 +186,27 @@ def test_noise_contrast_learns_what_follows_what():
     rng = np.random.default_rng(1)
     words = rng.integers(0, 20, 40_000)
     words[1::2] = (words[::2] + 1) % 20  # every second word follows from the one before
-    contexts = np.column_stack((np.roll(words, 1), np.roll(words, 2)))[1::2]
+    contexts = (np.roll(words, 1) * 21 + np.roll(words, 2))[1::2]
     unigram = np.bincount(words, minlength=20).astype(float)
     model = lm.Model.start(unigram, 16)
     for _ in range(15):
-        lm.train(model, contexts, words[1::2], unigram, rng, 0.1)
+        lm.train(model, contexts * 20 + words[1::2], unigram, rng, 0.1)
     assert model.log_probability(contexts, words[1::2]).mean() > np.log(0.5)  # chance: log(1 / 20)
 
 
+def test_tokens_and_contexts_of_texts():
+    words = [f"w{i}" for i in range(30)]
+    h = lm.Words(next(lm.blocks(pa.array([" ".join(words)])))).hash
+    known, n = np.append(h, np.uint64(lm.END)), 32
+    voc = lm.Vocabulary(1000, 31, known, np.arange(100, 131), np.arange(1, n), np.ones(n), 1.0)
+    texts = ["w0 w1 zz w2", "", None, "w29", "W5 w6"]
+    _, count, ids, row, contexts = lm.encode(next(lm.blocks(pa.array(texts))), voc)
+    end, want = 31, [([1, 2, 0, 3, 31]), [31], [31], [30, 31], [6, 7, 31]]
+    assert ids.tolist() == sum(want, []) and row.tolist() == [0] * 5 + [1, 2, 3, 3, 4, 4, 4] and count.tolist()[2] == -1 and count.tolist()[-1] == 130
+    assert contexts.tolist() == [near * (n + 1) + far for own in want for near, far in (((own[k - 1] if k else n), (own[k - 2] if k > 1 else n)) for k in range(len(own)))]
+    assert end in ids
+
+
 def test_language_model_odd_input(spark, edge_docs, no_docs):
     for train in (edge_docs, no_docs):
         model, counts = lm.fit(train)

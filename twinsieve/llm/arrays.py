@@ -139,18 +139,23 @@ class Words:
     """The words of a block: `start` and `end` in its bytes, `row`, `hash`; `first[i]:first[i+1]` are those of row i."""
 
     def __init__(self, block: Block, is_word: np.ndarray = NOT_SPACE, lower: bool = False):
-        data = LOWER[block.data] if lower else block.data
+        data = block.data
+        if lower:
+            data = data + (((data >= 65) & (data < 91)).view(np.uint8) << np.uint8(5))
         self.block, self.data = block, data
-        inside = is_word[data]
+        inside = (data != 32) & ((data < 9) | (data > 13)) if is_word is NOT_SPACE else is_word[data]
         self.inside = inside
-        begins, ends = inside.copy(), inside.copy()
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
-        cut = block.offs[1:-1]
-        cut = cut[(cut > 0) & (cut < len(data))]
-        begins[cut] = inside[cut]
-        ends[cut - 1] = inside[cut - 1]
-        self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        n = len(data)
+        change = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        if n:  # the ends of the bytes are changes too, where a word is there
+            change = np.concatenate((np.zeros(int(inside[0]), np.int64), change, np.full(int(inside[-1]), n)))
+        self.start, self.end = change[::2], change[1::2]
+        cut = np.unique(block.offs[1:-1])
+        cut = cut[(cut > 0) & (cut < n)]
+        cut = cut[inside[cut] & inside[cut - 1]]  # rows that part a run of word bytes
+        if len(cut):
+            at = np.searchsorted(self.start, cut)
+            self.start, self.end = np.insert(self.start, at, cut), np.insert(self.end, at - 1, cut)
         self.first = np.searchsorted(self.start, block.offs)
         self.row = np.repeat(np.arange(len(block)), np.diff(self.first))
         self.hasher = Hasher(data)

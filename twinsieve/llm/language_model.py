@@ -39,17 +39,19 @@ from .labelled import fold
 from .scratch import filesystem, fresh, put, stash
 
 #: The model's words: all that occur (training tokens) ** (2 / 3) / RARE times at least, and VOCABULARY at least.
-VOCABULARY, RARE = 1_023, 436
+VOCABULARY, RARE = 1_023, 218
 #: Tokens that are no part of a class.
 HEAD = 256
 #: Where sums of squared gradients start: small, for a minibatch moves a rare word little.
 FIRST_SQUARE = 1e-4
 KNOWN = 100_000
-DIMENSIONS, CONTEXT = 24, 2
+DIMENSIONS, CONTEXT = 16, 2
+#: Tokens that a task gathers before it trains on them.
+TOKENS = 2_500_000
 ROUNDS, NOISE, CLASS_NOISE, RATE = 2, 96, 48, 0.2
 #: A minibatch: groups of equal contexts, FIRST_BATCH at first, then a share of all that the task has met, MINIBATCH at most;
 #: CLASS_BATCH within a class.  A group has about OFTEN tokens at most.
-FIRST_BATCH, BATCH_SHARE, MINIBATCH, CLASS_BATCH, OFTEN = 32, 256, 512, 512, 64
+FIRST_BATCH, BATCH_SHARE, MINIBATCH, CLASS_BATCH, OFTEN = 32, 256, 512, 512, 256
 #: Tasks whose parameters are averaged first among themselves.
 NEIGHBOURS = 64
 #: Rows of parameters that are averaged together.
@@ -211,12 +213,12 @@ class Model:
         return out
 
     def log_probability(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Normalised natural-log probabilities; equal tokens are scored once, and each distinct context is normalised once
-        over the units."""
+        """Normalised natural-log probabilities of words in contexts (see `encode`); equal tokens are scored once, and each
+        distinct context is normalised once over the units."""
         if not len(words):
             return np.zeros(0)
         before, n = len(self.embed), self.tokens
-        token, back = np.unique((contexts[:, 0] * before + contexts[:, 1]) * n + words, return_inverse=True)
+        token, back = np.unique(contexts * n + words, return_inverse=True)
         context, words = np.divmod(token, n)
         new = np.concatenate(([True], context[1:] != context[:-1]))
         keys, which = context[new], np.cumsum(new) - 1
@@ -262,8 +264,10 @@ def _log_softmax(r: np.ndarray, output: np.ndarray, bias: np.ndarray, row: np.nd
     logits += bias
     own = logits[row, word].astype(float)
     with np.errstate(over="ignore"):
-        sums = np.exp(logits).sum(1, dtype=float)
+        np.exp(logits, out=logits)
+        sums = (logits @ np.ones(logits.shape[1], np.float32)).astype(float)
     if not (np.isfinite(sums) & (sums > 0)).all():  # scores too far from 0 for their powers
+        logits = r @ output + bias
         most = logits.max(1, keepdims=True)
         sums = np.exp(logits - most).sum(1, dtype=float)
         return own - most[row, 0] - np.log(sums)[row]
@@ -271,21 +275,24 @@ def _log_softmax(r: np.ndarray, output: np.ndarray, bias: np.ndarray, row: np.nd
 
 
 def encode(b, vocab: Vocabulary):
-    """(words, counts and ids of all tokens, rows, context ids): each row's words and, behind them, the end token."""
+    """(words, counts and ids of all tokens, rows, contexts): each row's words and, behind them, the end token.  A context is
+    both ids before a token in one number, (nearest * n + next) for n - 1 tokens; n - 1 stands for what is before the text."""
     w = Words(b, NOT_SPACE, lower=True)
-    h = np.insert(w.hash, w.first[1:], np.uint64(END))
-    row = np.insert(w.row, w.first[1:], np.arange(len(b)))
-    count, ids = vocab.look_up(h)
     start = w.first[:-1] + np.arange(len(b))
+    total, end = len(w) + len(b), w.first[1:] + np.arange(len(b))
+    inner = np.ones(total, bool)
+    inner[end] = False
+    h = np.full(total, END, np.uint64)
+    h[inner] = w.hash
+    count, ids = vocab.look_up(h)
     before = len(vocab.unigram)
-    contexts = np.full((len(ids), CONTEXT), before, np.int64)
-    for i in range(CONTEXT):
-        contexts[i + 1 :, i] = ids[: len(ids) - i - 1]
-        for k in range(i + 1):  # the first tokens of a text have nothing that far back
-            at = start + k
-            at = at[at < np.append(start[1:], len(ids))]
-            contexts[at, i] = before
-    return h, count, ids, row, contexts
+    near = np.empty(total, np.int64)
+    near[1:] = ids[:-1]
+    near[start] = before
+    far = np.empty(total, np.int64)
+    far[1:] = near[:-1]
+    far[start] = before
+    return h, count, ids, np.repeat(np.arange(len(b)), w.counts + 1), near * (before + 1) + far
 
 
 def _step(at: np.ndarray, rows: np.ndarray, rate: float, *parameters: tuple[np.ndarray, np.ndarray]) -> None:
@@ -307,36 +314,47 @@ def _step(at: np.ndarray, rows: np.ndarray, rate: float, *parameters: tuple[np.n
         x[own] = s
 
 
-def train(model: Model, contexts: np.ndarray, words: np.ndarray, unigram: np.ndarray, rng, rate: float) -> None:
-    """One pass of noise-contrastive steps in place, over the words' units and over the words of each class in it.
+def train(model: Model, tokens: np.ndarray, unigram: np.ndarray, rng, rate: float) -> None:
+    """One pass of noise-contrastive steps in place, over the words' units and over the words of each class in it.  A token is
+    context * (number of tokens) + word in one number.
 
-    Equal tokens (context and word) are one with a weight, and equal contexts meet their noise words once; a context that
-    occurs more often than OFTEN is dealt into several groups, so that it takes part in several steps."""
-    if not len(words):
+    Equal tokens are one with a weight, and equal contexts meet their noise words once; a context that occurs more often
+    than OFTEN is dealt into several groups, so that it takes part in several steps."""
+    if not len(tokens):
         return
-    before, n = len(model.embed), model.tokens
-    keys, which, times = np.unique(contexts[:, 0] * before + contexts[:, 1], return_inverse=True, return_counts=True)
+    n = model.tokens
+    tokens, weight = np.unique(tokens, return_counts=True)
+    contexts, words = np.divmod(tokens, n)
+    new = np.concatenate(([True], contexts[1:] != contexts[:-1]))
+    keys, which = contexts[new], np.cumsum(new) - 1
+    times = np.add.reduceat(weight, np.flatnonzero(new))
     parts = -(-times // OFTEN)
     first = np.cumsum(parts) - parts
-    group = first[which] + (rng.random(len(words)) * parts[which]).astype(np.int64)
-    place = rng.permutation(int(parts.sum()))  # groups in random order
-    key, weight = np.unique(place[group] * n + words, return_counts=True)
-    group, words = np.divmod(key, n)
+    # a weight is spread evenly over the groups of its context, from one drawn at random on
+    share = np.minimum(parts[which], weight)
+    of = np.repeat(np.arange(len(words)), share)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(share) - share, share)
+    spread = weight[of] // share[of] + (number < weight[of] % share[of])
+    group = first[which[of]] + (number + (rng.random(len(words)) * parts[which]).astype(np.int64)[of]) % parts[which[of]]
+    used = np.zeros(int(parts.sum()), bool)
+    used[group] = True
+    place = rng.permutation(int(used.sum()))  # groups in random order
     of_group = np.empty(len(place), np.int64)
-    of_group[place] = np.repeat(keys, parts)
+    of_group[place] = np.repeat(keys, parts)[used]
+    group = place[(np.cumsum(used) - 1)[group]]
+    order = np.argsort(group, kind="stable")
     mass = unigram + 0.5
     totals = [mass[model.members(k)].sum() for k in range(n_classes(n))]
     bounds = [0]
     while bounds[-1] < len(of_group):
         bounds.append(bounds[-1] + int(np.clip((model.met + bounds[-1]) // BATCH_SHARE, FIRST_BATCH, MINIBATCH)))
     model.met += len(of_group)
-    _contrast(model, bounds, of_group, group, model.unit(words), weight, model.units, np.concatenate((mass[:HEAD], totals)), NOISE, rng, rate)
-    own = of_group[group]
+    _contrast(model, bounds, of_group, group[order], model.unit(words)[of[order]], spread[order], model.units, np.concatenate((mass[:HEAD], totals)), NOISE, rng, rate)
     for k, at, place in model.by_class(words):
         mixed = rng.permutation(len(at))
         at, place = at[mixed], place[mixed]
         bounds = [*range(0, len(at), CLASS_BATCH), len(at)]
-        _contrast(model, bounds, own[at], np.arange(len(at)), place, weight[at], np.arange(n)[model.members(k)], mass[model.members(k)], CLASS_NOISE, rng, rate)
+        _contrast(model, bounds, contexts[at], np.arange(len(at)), place, weight[at], np.arange(n)[model.members(k)], mass[model.members(k)], CLASS_NOISE, rng, rate)
 
 
 def _contrast(model: Model, minibatches: list[int], keys: np.ndarray, group: np.ndarray, words: np.ndarray, weight: np.ndarray, rows: np.ndarray, mass: np.ndarray, k: int, rng, rate: float) -> None:
@@ -457,12 +475,17 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[str,
         def run(batches, at=f"{uri}/{k}", k=k):
             start, voc = _load(at)
             own = start.copy()
-            seen, rng = 0, np.random.default_rng(k)
+            held, seen, rng = [], 0, np.random.default_rng(k)
             for batch in batches:
                 for b in blocks(batch.column(0), 4 << 20):
                     _, _, ids, _, contexts = encode(b, voc)
-                    train(own, contexts, ids, voc.unigram, rng, RATE / (1 + k))
+                    held.append(contexts * own.tokens + ids)
                     seen += len(ids)
+                    if sum(map(len, held)) >= TOKENS:
+                        train(own, np.concatenate(held), voc.unigram, rng, RATE / (1 + k))
+                        held = []
+            if held:
+                train(own, np.concatenate(held), voc.unigram, rng, RATE / (1 + k))
             if seen:
                 yield from _changes(start.table(), own.table(), seen)
 
