@@ -28,6 +28,20 @@ def test_stages(inv):
     assert rows(cascade.scan_result(inv)) == [(5, 4, 3, 1, 2, 1032)]
 
 
+def test_no_content_in_a_shuffle(spark, inv):
+    """Every exchange of the plans carries slim columns, also where nothing is broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (cascade.same_prefix(inv), cascade.find_duplicates(inv), cascade.scan_result(inv), cascade.groups(cascade.find_duplicates(inv))):
+            plan = df._jdf.queryExecution().executedPlan()
+            text = df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            parts = [x for x in text.split("\n\n") if "Exchange" in x.split("\n")[0]]
+            assert parts and plan is not None
+            assert not any("content#" in line for x in parts for line in x.split("\n") if line.startswith("Input"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("algorithm", ["md5", "sha256", "xxhash64"])
 def test_any_digest_gives_the_same_groups(inv, algorithm):
     assert paths(cascade.find_duplicates(inv, algorithm=algorithm)) == ["/x/1", "/x/2"]
@@ -110,3 +124,30 @@ def test_globs(pattern, path, hit):
     import re
 
     assert bool(re.match(inventory.glob_regex(pattern), path)) is hit
+
+
+def test_walk_skips_what_it_may_not_read(spark, disk, monkeypatch):
+    import os
+
+    (disk / "folder_a" / "link.txt").symlink_to(disk / "folder_a" / "shared.txt")
+    (disk / "loop").symlink_to(disk)
+    files, skipped = inventory.walk(spark, [str(disk), str(disk / "folder_a"), str(disk / "missing")])
+    plain = inventory.from_paths(spark, [str(disk)])
+    real = {p for p in paths(plain) if "link" not in p and "loop" not in p}
+    assert set(paths(files)) == real and len(real) == 6 and skipped.count() == 0  # links are neither followed nor listed
+    assert rows(files.where(f"canonical_path = '{disk}/folder_a/shared.txt'"), "file_size", "file_name") == [(18, "shared.txt")]
+
+    def lister(path):
+        if path.endswith("folder_b"):
+            return [], "PermissionError: Permission denied"
+        return inventory.list_directory(path)
+
+    files, skipped = inventory.walk(spark, [str(disk)], ["*.bin"], lister)
+    assert rows(skipped, "path", "reason") == [(str(disk / "folder_b"), "PermissionError: Permission denied")]
+    assert set(paths(files)) == {p for p in real if "folder_b" not in p and not p.endswith(".bin")}
+
+    def denied(path):
+        raise PermissionError(13, "Permission denied")
+
+    monkeypatch.setattr(os, "scandir", denied)
+    assert inventory.list_directory(str(disk)) == ([], "PermissionError: Permission denied")

@@ -1,5 +1,7 @@
 """Hierarchy and similarity on literal rows, with the exact results that follow from their definitions."""
 
+import random
+
 import pytest
 from helpers import files, rows
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ A2 = (("/root/sub1/a.txt", 100, 111), ("/root/sub1/b.txt", 200, 222), ("/root/su
 
 
 def pairs(df, **how):
-    got = sim.set_similarity(tree.directory_elements(df), **how).collect()
+    got = sim.set_similarity(tree.directory_elements(df), all_pairs=True, **how).collect()
     return {(r["entity_a"], r["entity_b"]): (round(r["score"], 6), r["shared_weight"], r["match_type"]) for r in got}
 
 
@@ -40,7 +42,7 @@ def test_fingerprints_do_not_depend_on_order_or_partitions(spark):
 def test_equal_directories(spark):
     df = files(spark, *[(f"/dir_{d}/{n}.txt", s, h) for d in "ab" for n, s, h in (("x", 100, 111), ("y", 200, 222))])
     assert set(pairs(df).values()) == {(1.0, 300, "exact")} and len(pairs(df)) == 3
-    found = sim.set_similarity(tree.directory_elements(df))
+    found = sim.set_similarity(tree.directory_elements(df), all_pairs=True)
     assert sim.without_nested_pairs(found, strict_prefix=False).count() == 0
     assert list(pairs(df, exclude_nested=True)) == [("/dir_a", "/dir_b")]
 
@@ -99,3 +101,25 @@ def test_diff(spark):
 def test_relative_and_bare_paths(spark):
     df = files(spark, ("a/b/f", 1, 1), ("f", 2, 2))
     assert {r[0] for r in tree.directory_nodes(df).select("path").collect()} == {"/", "a", "a/b"}
+
+
+def test_uncapped_similarity_and_what_a_cap_loses(spark):
+    """Without a cap the pairs are those of all sets against all; the cap loses pairs that share only frequent elements."""
+    rng = random.Random(4)
+    sets = {f"/s{i}": {f"e{rng.randrange(12) if rng.random() < 0.6 else rng.randrange(12, 200)}" for _ in range(rng.randrange(1, 9))} for i in range(60)}
+    e = spark.createDataFrame([(k, x, 1) for k, s in sets.items() for x in s], "entity string, element string, weight long")
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.3}
+    found = lambda cap: {(r[0], r[1]) for r in rows(sim.scored(e, max_frequency=cap).where("score >= 0.3"), "entity_a", "entity_b")}
+    assert found(None) == want
+    capped = found(5)
+    assert capped < want and len(capped) / len(want) < 1  # the recall of a cap of 5 on such sets
+    assert found(50) == want
+
+
+def test_equal_sets_as_classes(spark):
+    e = spark.createDataFrame([(f"/d{i}", x, 1) for i in range(30) for x in ("a", "b")] + [("/x", "a", 1)], "entity string, element string, weight long")
+    assert rows(sim.equal_classes(e), "entity", "representative", "members") == sorted((f"/d{i}", "/d0", 30) for i in range(30))
+    assert len(rows(sim.equal_sets(e), "entity_a", "entity_b")) == 29
+    assert len(rows(sim.equal_sets(e, all_pairs=True), "entity_a", "entity_b")) == 30 * 29 // 2
+    star = rows(sim.set_similarity(e, 0.9, max_frequency=2), "entity_a", "entity_b", "score", "match_type")
+    assert star == sorted(("/d0", f"/d{i}", 1.0, "exact") for i in range(1, 30))

@@ -136,7 +136,8 @@ def test_scalars(spark):
     assert [value(fn.density_level(F.lit(a), F.lit(b))) for a, b in ((0, 0), (1, 5), (1, 2))] == ["low", "medium", "high"]
     assert [value(fn.drive_letter(F.lit(x))) for x in (r"\\?\D:\x", "/x", r"c:\y")] == ["D", "", "c"]
     assert value(fn.hex16(F.lit(-1).cast("long"), True)) == "F" * 16
-    assert value(fn.treemap_label(F.lit(1536).cast("long"))) == "1.5 KB"
+    for n, label in ((1023, "1023 B"), (1024, "1.0 KB"), (1536, "1.5 KB"), (1280, "1.3 KB"), (1279, "1.2 KB"), (2304, "2.3 KB"), (1792, "1.8 KB"), ((1 << 20) - 1, "1024.0 KB"), (5 << 19, "2.5 MB"), (3 << 30, "3.0 GB")):
+        assert value(fn.treemap_label(F.lit(n).cast("long"))) == label
     assert value(fn.density_colour(F.lit(1.0))) == "#c42b1c"
     assert value(fn.path_label(F.lit("/x/y"))) == ""
     assert value(fn.session_label(F.lit("running"), F.array(F.lit("/a/b"), F.lit("/c")), F.lit("2024-01-02").cast("timestamp"))) == "aborted: b +1 2024-01-02"

@@ -1,7 +1,9 @@
+import pytest
 from helpers import files, rows
 from pyspark.sql import functions as F
 
 from twinsieve.operators import store
+from twinsieve.sources import shared
 from twinsieve.streaming import incremental
 
 SESSION = "session_id string, root_paths string, status string, started_at timestamp, completed_at timestamp"
@@ -82,3 +84,30 @@ def test_progress(spark):
     p.cancel()
     with pytest.raises(RuntimeError):
         p.run("hash", lambda: 1)
+
+
+def test_last_write_wins(spark):
+    old = spark.createDataFrame([("/a", 5, 0)], "canonical_path string, file_size long, marked_deleted int")
+    new = spark.createDataFrame([("/a", 9, 0, 1), ("/a", 2, 0, 7), ("/a", 8, 0, 3)], "canonical_path string, file_size long, marked_deleted int, seq long")
+    assert rows(store.upsert_files(old, new, order="seq"), "canonical_path", "file_size") == [("/a", 2)]
+    assert rows(store.upsert_files(old, new.drop("seq")), "canonical_path", "file_size") == [("/a", 9)]
+
+
+def test_swap_and_versions(spark, tmp_path):
+    base = f"file://{tmp_path}/cache"
+    store.swap_snapshot(spark.range(3), base)
+    store.swap_snapshot(store.read_snapshot(spark, base).where("id > 0"), base)  # computed from what it replaces
+    assert store.read_snapshot(spark, base).count() == 2
+    (tmp_path / "cache" / f"v{store.VERSION}").rename(tmp_path / "cache" / f"v{store.VERSION}.old")  # a crash between the renames
+    assert store.read_snapshot(spark, base).count() == 2
+    spark.range(1).write.parquet(f"{base}/v1")
+    assert store.drop_other_versions(spark, base) == ["v1"] and store.read_snapshot(spark, base).count() == 2
+    assert store.drop_other_versions(spark, f"{base}/none") == []
+
+
+def test_stashed_tables_are_removed(spark):
+    df, path = shared.stashed(spark.range(4), "test")
+    assert df.count() == 4
+    shared.remove(spark, path)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()

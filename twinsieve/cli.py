@@ -18,6 +18,7 @@ import time
 from .operators import cascade, store
 from .plans import scan
 from .sources import inventory
+from .sources.shared import clean
 from .streaming.incremental import Progress
 
 
@@ -40,7 +41,7 @@ def process(spark, config: inventory.Config, out: str, threshold: float = 0.5) -
             times[phase] = round(time.perf_counter() - start[0], 2)
 
     progress = Progress(spark, report)
-    files = progress.run("scan", lambda: inventory.from_paths(spark, config.root_paths, config.ignore_patterns).persist())
+    files = progress.run("scan", lambda: inventory.walk(spark, config.root_paths, config.ignore_patterns)[0].persist())
     walked = files.count()
     cache = store.read_snapshot(spark, f"{out}/hash_cache")
     sized = inventory_candidates(files)
@@ -55,12 +56,15 @@ def process(spark, config: inventory.Config, out: str, threshold: float = 0.5) -
     def write() -> None:
         for name in ("duplicates", "groups", "members", "tree", "fingerprints", "similar"):
             store.write_snapshot(getattr(found, name), f"{out}/{name}")
-        # what a snapshot is read from must not be overwritten by it
-        store.write_snapshot(hashed.select("canonical_path", "last_modified", "content_hash"), f"{out}/hash_cache_new")
-        store.write_snapshot(spark.read.parquet(f"{out}/hash_cache_new/v{store.VERSION}"), f"{out}/hash_cache")
+        store.swap_snapshot(hashed.select("canonical_path", "last_modified", "content_hash"), f"{out}/hash_cache")
+        for name in ("duplicates", "groups", "members", "tree", "fingerprints", "similar", "hash_cache"):
+            store.drop_other_versions(spark, f"{out}/{name}")
 
     progress.run("write", write)
     groups = found.groups.agg({"*": "count", "wasted_bytes": "sum"}).first()
+    for kept in (files, hashed, dups, found.duplicates):
+        kept.unpersist()
+    clean(spark)
     return {"files_walked": walked, "duplicate_groups": groups[0], "wasted_bytes": groups[1] or 0, "seconds": times}
 
 

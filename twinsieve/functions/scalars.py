@@ -91,10 +91,14 @@ def format_bytes(n: Column, binary: bool = False) -> Column:
 
 
 def treemap_label(n: Column) -> Column:
-    """1024-based with one decimal, bytes whole."""
+    """1024-based with one decimal, halves of a tenth up (in whole numbers, so exact); bytes whole."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for least, unit in ((1 << 10, "KB"), (1 << 20, "MB"), (1 << 30, "GB")):
-        out = F.when(n >= least, F.format_string(f"%.1f {unit}", n / F.lit(float(least)))).otherwise(out)
+        rest = n % least
+        tenths = (n - rest) / least * 10 + F.floor((rest * 20 + least) / (2 * least))
+        tenths = tenths.cast("long")
+        label = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+        out = F.when(n >= least, label).otherwise(out)
     return out
 
 

@@ -1,8 +1,10 @@
 """Exact duplicates by a cascade: size, then a digest of the first bytes, then a digest of all bytes.
 
-Each stage groups slim columns and keeps rows by a semi-join, so contents are read in scans and never shuffled, and only
-survivors of a stage are digested in the next.  A key is (size, digest), with the columns of `within` (such as a
-session) in front.  Empty files are no duplicates.
+Contents are read and digested in the scan, where they are at hand, and dropped before any shuffle: every stage groups
+rows of path, size and digests and keeps rows by a semi-join.  The price is that contents of all sizes are digested (one
+pass at the speed of the digest), where a cascade over files that can be opened again (`sources.inventory.
+find_duplicate_files`) reads only what the stage before has left.  A key is (size, digest), with the columns of `within`
+(such as a session) in front.  Empty files are no duplicates.
 """
 
 from __future__ import annotations
@@ -27,17 +29,25 @@ def same_size(files: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     return repeated(files.where("file_size > 0"), [*within, "file_size"])
 
 
+def digested(files: DataFrame, algorithm: str = "md5", prefix: int | None = PREFIX_BYTES, whole: bool = True) -> DataFrame:
+    """Files that are not empty, with partial_hash (unless prefix is None) and content_hash (if whole) instead of the content."""
+    out = files.where("file_size > 0")
+    if prefix is not None:
+        out = out.withColumn("partial_hash", digest(F.substring("content", 1, prefix), algorithm))
+    if whole:
+        out = out.withColumn("content_hash", digest(F.col("content"), algorithm))
+    return out.drop("content")
+
+
 def same_prefix(files: DataFrame, within: Sequence[str] = (), algorithm: str = "md5", prefix: int = PREFIX_BYTES) -> DataFrame:
-    """Rows of `files` (with `content`) that agree in size and in a digest of their first bytes: partial_hash."""
-    found = same_size(files, within)
-    found = found.withColumn("partial_hash", digest(F.substring("content", 1, prefix), algorithm))
-    return repeated(found, [*within, "file_size", "partial_hash"])
+    """Rows of `files` that agree in size and in a digest of their first bytes, with partial_hash, without the content."""
+    return repeated(digested(files, algorithm, prefix, whole=False), [*within, "file_size", "partial_hash"])
 
 
 def find_duplicates(files: DataFrame, within: Sequence[str] = (), algorithm: str = "md5", prefix: int = PREFIX_BYTES) -> DataFrame:
-    """Rows of `files` that agree in size and content, with partial_hash and content_hash, without the content."""
-    found = same_prefix(files, within, algorithm, prefix).withColumn("content_hash", digest(F.col("content"), algorithm)).drop("content")
-    return repeated(found, [*within, "file_size", "content_hash"])
+    """Rows of `files` that agree in size and content (and so in their first bytes), with partial_hash and content_hash,
+    without the content."""
+    return repeated(digested(files, algorithm, prefix), [*within, "file_size", "content_hash"])
 
 
 def groups(duplicates: DataFrame, within: Sequence[str] = ()) -> DataFrame:
@@ -59,15 +69,16 @@ def scan_stats(files: DataFrame) -> DataFrame:
 
 
 def scan_result(files: DataFrame, within: Sequence[str] = (), algorithm: str = "md5", prefix: int = PREFIX_BYTES) -> DataFrame:
-    """One row: files_walked, size_candidates, prefix_candidates, duplicate_files, duplicate_groups, wasted_bytes."""
-    prefixed = same_prefix(files, within, algorithm, prefix)
-    dups = find_duplicates(files, within, algorithm, prefix)
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    grouped = groups(dups, within).agg(
-        F.count("*").alias("duplicate_groups"), F.coalesce(F.sum("file_count"), F.lit(0)).cast("long").alias("duplicate_files"),
-        F.coalesce(F.sum("wasted_bytes"), F.lit(0)).cast("long").alias("wasted_bytes"),
-    )
-    out = one(files.where("file_size > 0"), "files_walked")
-    for part in (one(same_size(files, within), "size_candidates"), one(prefixed, "prefix_candidates"), grouped):
-        out = out.crossJoin(part)  # one row each
-    return out
+    """One row: files_walked, size_candidates, prefix_candidates, duplicate_files, duplicate_groups, wasted_bytes.
+
+    One scan: files are counted by all three keys, and the counts are added up from the longest key to the shortest."""
+    c, n = F.col, F.sum("n").alias("n")
+    repeats = lambda x: F.when(c("n") > 1, x).otherwise(F.lit(0).cast("long"))
+    adds = lambda *names: [F.sum(x).alias(x) for x in names]
+    size, ends = [*within, "file_size"], ("duplicate_groups", "duplicate_files", "wasted_bytes")
+    whole = digested(files, algorithm, prefix).groupBy(*size, "partial_hash", "content_hash").agg(F.count("*").alias("n"))
+    whole = whole.withColumns({"duplicate_groups": repeats(F.lit(1).cast("long")), "duplicate_files": repeats(c("n")), "wasted_bytes": repeats(c("file_size") * (c("n") - 1))})
+    first = whole.groupBy(*size, "partial_hash").agg(n, *adds(*ends)).withColumn("prefix_candidates", repeats(c("n")))
+    sizes = first.groupBy(*size).agg(n, *adds("prefix_candidates", *ends)).withColumn("size_candidates", repeats(c("n")))
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(name)
+    return sizes.agg(total("n", "files_walked"), *(total(x, x) for x in ("size_candidates", "prefix_candidates", *ends)))

@@ -146,29 +146,43 @@ def age_badges(files: DataFrame) -> DataFrame:
 def undo_fold(log: DataFrame, limit: int = UNDO_LIMIT) -> DataFrame:
     """The decisions (user, canonical_path, action) after a log of events: user, seq, kind (decide, undo, redo),
     canonical_path, action.  A decision clears what could be redone and at most `limit` can be undone; undoing a first
-    decision sets skip.  Each user's log is folded on its own, in order, by one Python pass."""
-
-    def fold(pdf):
-        import pandas as pd
-
-        state, done, undone = {}, [], []
-        for kind, path, action in pdf.sort_values("seq")[["kind", "canonical_path", "action"]].itertuples(index=False):
-            if kind == "decide":
-                done.append((path, state.get(path), action))
-                done, undone = done[-limit:], []
-                state[path] = action
-            elif kind == "undo" and done:
-                path, old, new = done.pop()
-                undone.append((path, old, new))
-                state[path] = old or "skip"
-            elif kind == "redo" and undone:
-                path, old, new = undone.pop()
-                done.append((path, old, new))
-                state[path] = new
-        user = pdf["user"].iloc[0] if len(pdf) else None
-        return pd.DataFrame({"user": [user] * len(state), "canonical_path": list(state), "action": list(state.values())})
-
-    return log.groupBy("user").applyInPandas(fold, "user string, canonical_path string, action string")
+    decision sets skip.  Logs lie sorted in partitions by user and are folded as they stream by: a task holds the latest
+    decision of each file of one user, never a log."""
+    columns = ("user", "kind", "canonical_path", "action")
+
+    def run(batches):
+        import pyarrow as pa
+
+        user, begun, state, done, undone = None, False, {}, [], []
+
+        def decided():
+            paths = list(state)
+            for i in range(0, len(paths), 10_000):
+                part = paths[i : i + 10_000]
+                cols = [[user] * len(part), part, [state[p] for p in part]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in cols], names=["user", "canonical_path", "action"])
+
+        for batch in batches:
+            for who, kind, path, action in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True):
+                if not begun or who != user:
+                    yield from decided()
+                    user, begun, state, done, undone = who, True, {}, [], []
+                if kind == "decide":
+                    done.append((path, state.get(path), action))
+                    done, undone = done[-limit:], []
+                    state[path] = action
+                elif kind == "undo" and done:
+                    path, old, new = done.pop()
+                    undone.append((path, old, new))
+                    state[path] = old or "skip"
+                elif kind == "redo" and undone:
+                    path, old, new = undone.pop()
+                    done.append((path, old, new))
+                    state[path] = new
+        yield from decided()
+
+    rows = log.select(*(F.col(c).cast("string").alias(c) for c in columns), "seq")
+    return rows.repartition("user").sortWithinPartitions("user", "seq").mapInArrow(run, "user string, canonical_path string, action string")
 
 
 def simulate(plan: DataFrame, existing: DataFrame, use_trash: bool = False) -> DataFrame:

@@ -1,8 +1,9 @@
 """Set similarity over a long form (entity, element, weight), for directories or any other sets.
 
 Candidates come from an inverted index of the elements that at most `max_frequency` entities have; overlaps are counted
-over all elements.  An element above the cap makes no pairs, which bounds what one element can add to the join by
-max_frequency squared; sets that are equal are found by fingerprint in any case.
+over all elements, from the smaller entity of each pair.  An element above the cap makes no pairs, which bounds what one
+element can add to the join by max_frequency squared; sets that are equal are found by fingerprint in any case.  With
+max_frequency=None every element makes pairs: nothing is lost, for work that grows with the square of the most frequent.
 """
 
 from __future__ import annotations
@@ -14,7 +15,12 @@ THRESHOLD, MAX_FREQUENCY = 0.5, 50
 
 
 def inverted_index(elements: DataFrame) -> DataFrame:
-    """element, frequency, entities (sorted)."""
+    """element, frequency, entity: a row for each entity that has the element."""
+    return elements.select("element", "entity").distinct().join(elements.groupBy("element").agg(F.countDistinct("entity").alias("frequency")), "element").select("element", "frequency", "entity")
+
+
+def inverted_lists(elements: DataFrame) -> DataFrame:
+    """element, frequency, entities (sorted): for output, as an element's entities are one row here."""
     return elements.groupBy("element").agg(F.countDistinct("entity").alias("frequency"), F.array_sort(F.collect_set("entity")).alias("entities"))
 
 
@@ -22,8 +28,10 @@ def frequencies(elements: DataFrame) -> DataFrame:
     return elements.groupBy("element").agg(F.count("*").alias("frequency"))
 
 
-def capped(elements: DataFrame, max_frequency: int = MAX_FREQUENCY) -> DataFrame:
-    """Rows of elements that at most `max_frequency` entities have."""
+def capped(elements: DataFrame, max_frequency: int | None = MAX_FREQUENCY) -> DataFrame:
+    """Rows of elements that at most `max_frequency` entities have (None: all)."""
+    if max_frequency is None:
+        return elements
     keep = frequencies(elements).where(F.col("frequency") <= max_frequency).select("element")
     return elements.join(keep, "element", "left_semi")
 
@@ -34,37 +42,49 @@ def _ordered_pairs(rows: DataFrame) -> DataFrame:
     return a.join(b, "element").where("entity_a < entity_b")
 
 
-def candidate_pairs(elements: DataFrame, max_frequency: int = MAX_FREQUENCY) -> DataFrame:
+def candidate_pairs(elements: DataFrame, max_frequency: int | None = MAX_FREQUENCY) -> DataFrame:
     """entity_a < entity_b that share an element under the cap."""
     return _ordered_pairs(capped(elements, max_frequency)).select("entity_a", "entity_b").distinct()
 
 
-def overlaps(elements: DataFrame, pairs: DataFrame) -> DataFrame:
-    """entity_a, entity_b, shared, shared_weight of the given pairs, over all elements."""
-    a = elements.select(F.col("entity").alias("entity_a"), "element", F.col("weight").alias("weight_a"))
-    b = elements.select(F.col("entity").alias("entity_b"), "element", F.col("weight").alias("weight_b"))
-    both = pairs.join(a, "entity_a").join(b, ["entity_b", "element"])
-    return both.groupBy("entity_a", "entity_b").agg(F.count("*").alias("shared"), F.sum(F.least("weight_a", "weight_b")).cast("long").alias("shared_weight"))
+def _sizes(elements: DataFrame) -> DataFrame:
+    return elements.groupBy("entity").agg(F.count("*").alias("n"))
 
 
-def candidate_overlaps(elements: DataFrame, max_frequency: int = MAX_FREQUENCY) -> DataFrame:
+def overlaps(elements: DataFrame, pairs: DataFrame) -> DataFrame:
+    """entity_a, entity_b, shared, shared_weight of the given pairs that share anything, over all elements.
+
+    The elements of the smaller entity of each pair are looked up in the larger: an entity that has everything and is in
+    every pair is never spread out, and the look-up is by (entity, element), which no entity makes hot."""
+    c = F.col
+    n = _sizes(elements)
+    sized = pairs.select("entity_a", "entity_b").join(n.toDF("entity_a", "n_a"), "entity_a").join(n.toDF("entity_b", "n_b"), "entity_b")
+    low = c("n_a") <= c("n_b")
+    sized = sized.select(F.when(low, c("entity_a")).otherwise(c("entity_b")).alias("small"), F.when(low, c("entity_b")).otherwise(c("entity_a")).alias("large"))
+    side = lambda name, k: elements.select(c("entity").alias(name), "element", c("weight").alias(f"weight_{k}"))
+    both = sized.join(side("small", 1), "small").join(side("large", 2), ["large", "element"])
+    both = both.groupBy("small", "large").agg(F.count("*").alias("shared"), F.sum(F.least("weight_1", "weight_2")).cast("long").alias("shared_weight"))
+    return both.select(F.least("small", "large").alias("entity_a"), F.greatest("small", "large").alias("entity_b"), "shared", "shared_weight")
+
+
+def candidate_overlaps(elements: DataFrame, max_frequency: int | None = MAX_FREQUENCY) -> DataFrame:
     """`overlaps` of `candidate_pairs`, from one join: elements under the cap are counted where they make the pairs, and only
     elements above it are looked up for the pairs found."""
-    frequency = frequencies(elements)
-    rows = elements.join(frequency.where(F.col("frequency") <= max_frequency).select("element"), "element", "left_semi")
+    rows = capped(elements, max_frequency)
     side = lambda df, k: df.select(F.col("entity").alias(f"entity_{k}"), "element", F.col("weight").alias(f"weight_{k}"))
     sums = [F.count("*").alias("shared"), F.sum(F.least("weight_a", "weight_b")).cast("long").alias("shared_weight")]
     low = side(rows, "a").join(side(rows, "b"), "element").where("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(*sums)
-    noisy = elements.join(frequency.where(F.col("frequency") > max_frequency).select("element"), "element", "left_semi")
-    high = low.select("entity_a", "entity_b").join(side(noisy, "a"), "entity_a").join(side(noisy, "b"), ["entity_b", "element"])
-    both = low.unionByName(high.groupBy("entity_a", "entity_b").agg(*sums))
+    if max_frequency is None:
+        return low
+    noisy = elements.join(frequencies(elements).where(F.col("frequency") > max_frequency).select("element"), "element", "left_semi")
+    both = low.unionByName(overlaps(noisy, low))
     return both.groupBy("entity_a", "entity_b").agg(*(F.sum(c).cast("long").alias(c) for c in ("shared", "shared_weight")))
 
 
-def scored(elements: DataFrame, pairs: DataFrame | None = None, max_frequency: int = MAX_FREQUENCY) -> DataFrame:
+def scored(elements: DataFrame, pairs: DataFrame | None = None, max_frequency: int | None = MAX_FREQUENCY) -> DataFrame:
     """entity_a, entity_b, n_a, n_b, shared, shared_weight, score (Jaccard), match_type of the candidates under the cap, or of
     given pairs."""
-    n = elements.groupBy("entity").agg(F.count("*").alias("n"))
+    n = _sizes(elements)
     both = candidate_overlaps(elements, max_frequency) if pairs is None else overlaps(elements, pairs)
     sized = both.join(n.select(F.col("entity").alias("entity_a"), F.col("n").alias("n_a")), "entity_a")
     sized = sized.join(n.select(F.col("entity").alias("entity_b"), F.col("n").alias("n_b")), "entity_b")
@@ -74,17 +94,27 @@ def scored(elements: DataFrame, pairs: DataFrame | None = None, max_frequency: i
 
 
 def set_prints(elements: DataFrame) -> DataFrame:
-    """entity, n, print: equal for equal sets.  Sums of two hashes and the count, combined before the shuffle, so a set of
-    any size needs a few numbers; two different sets of one size agree with a chance of about 2**-126."""
-    e = F.col("element").cast("string")
-    total = lambda seed: F.sum(F.xxhash64(e, F.lit(seed)).cast("decimal(38,0)"))
-    sums = elements.select("entity", "element").distinct().groupBy("entity").agg(F.count("*").alias("n"), total(1).alias("__a"), total(2).alias("__b"))
+    """entity, n, print: equal for equal sets.  Sums of the two halves of each element's md5 and the count, combined before
+    the shuffle, so a set of any size needs a few numbers; two different sets agree with a chance of about 2**-120."""
+    h = F.md5(F.col("element").cast("string"))
+    total = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)"))
+    sums = elements.select("entity", "element").distinct().groupBy("entity").agg(F.count("*").alias("n"), total(1).alias("__a"), total(16).alias("__b"))
     return sums.select("entity", "n", F.md5(F.concat_ws("|", F.col("n"), F.col("__a"), F.col("__b"))).alias("print"))
 
 
-def equal_sets(elements: DataFrame) -> DataFrame:
-    """entity_a < entity_b with equal sets, by fingerprint: whatever the cap and the threshold."""
-    return _ordered_pairs(set_prints(elements).select("entity", F.col("print").alias("element"))).select("entity_a", "entity_b")
+def equal_classes(elements: DataFrame) -> DataFrame:
+    """entity, representative (the smallest entity with an equal set), members: all entities whose set another one has."""
+    prints = set_prints(elements)
+    classes = prints.groupBy("print").agg(F.min("entity").alias("representative"), F.count("*").alias("members")).where("members > 1")
+    return prints.join(classes, "print").select("entity", "representative", "members")
+
+
+def equal_sets(elements: DataFrame, all_pairs: bool = False) -> DataFrame:
+    """entity_a < entity_b with equal sets, by fingerprint: whatever the cap and the threshold.  Each class gives the pairs of
+    its smallest entity with the others; with all_pairs, all its pairs (the square of its size)."""
+    if all_pairs:
+        return _ordered_pairs(set_prints(elements).select("entity", F.col("print").alias("element"))).select("entity_a", "entity_b")
+    return equal_classes(elements).where("entity <> representative").select(F.col("representative").alias("entity_a"), F.col("entity").alias("entity_b"))
 
 
 def _nested(a, b):
@@ -92,15 +122,16 @@ def _nested(a, b):
     return inside(a, b) | inside(b, a)
 
 
-def set_similarity(elements: DataFrame, threshold: float = THRESHOLD, max_frequency: int = MAX_FREQUENCY, exclude_nested: bool = False, shared_as_total: bool = False) -> DataFrame:
-    """entity_a, entity_b, score, shared, shared_weight, match_type: pairs at the threshold, and all pairs of equal sets.
+def set_similarity(elements: DataFrame, threshold: float = THRESHOLD, max_frequency: int | None = MAX_FREQUENCY, exclude_nested: bool = False, shared_as_total: bool = False, all_pairs: bool = False) -> DataFrame:
+    """entity_a, entity_b, score, shared, shared_weight, match_type: pairs at the threshold, and beyond the cap each entity of
+    a class of equal sets with the smallest of it (all_pairs: with each other).
 
     exclude_nested: without pairs of which one path lies in the other.  shared_as_total: pairs found by fingerprint alone
     carry the weight of all of entity_a's elements as given, not one weight for each element; for sets in long form
     these are the same.
     """
     found = scored(elements, max_frequency=max_frequency).where(F.col("score") >= threshold)
-    rest = equal_sets(elements).join(found.select("entity_a", "entity_b"), ["entity_a", "entity_b"], "left_anti")
+    rest = equal_sets(elements, all_pairs).join(found.select("entity_a", "entity_b"), ["entity_a", "entity_b"], "left_anti")
     total = elements.groupBy(F.col("entity").alias("entity_a")).agg(F.count("*").alias("shared"), F.sum("weight").cast("long").alias("shared_weight"))
     same = rest.join(total, "entity_a").select("entity_a", "entity_b", F.lit(1.0).alias("score"), "shared", "shared_weight", F.lit("exact").alias("match_type"))
     out = found.select("entity_a", "entity_b", "score", "shared", "shared_weight", "match_type").unionByName(same)

@@ -6,6 +6,8 @@ in for ids: a file is its path, a group (session, size, hash), a directory its p
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,20 +16,23 @@ from pyspark.sql import functions as F
 VERSION = 2
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep_old: Sequence[str] = ()) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], keep_old: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """new's rows, and old's rows without one there; `keep_old` columns of a row that both have stay as they were.
-    Of new rows with one key, that with the largest values stays."""
+    Of new rows with one key, that with the largest `order` (a column of new, such as the time of writing) stays, so the
+    last write wins; of equal ones, or without an order, that with the largest values."""
     rest = [c for c in old.columns if c not in key]
-    latest = new.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__new"))
+    values = F.struct(*rest)
+    newest = F.max(values) if order is None else F.max_by(values, F.struct(F.col(order).alias("__order"), values.alias("__values")))
+    latest = new.groupBy(*key).agg(newest.alias("__new"))
     before = old.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__old"))
     both = before.join(latest, list(key), "full")
     out = [F.when(F.col("__new").isNull() | (F.col("__old").isNotNull() & F.lit(c in keep_old)), F.col(f"__old.{c}")).otherwise(F.col(f"__new.{c}")).alias(c) for c in rest]
     return both.select(*key, *out).select(*old.columns)
 
 
-def upsert_files(old: DataFrame, new: DataFrame) -> DataFrame:
+def upsert_files(old: DataFrame, new: DataFrame, order: str | None = None) -> DataFrame:
     """All columns but marked_deleted are overwritten."""
-    return upsert(old, new, ["canonical_path"], keep_old=["marked_deleted"])
+    return upsert(old, new, ["canonical_path"], keep_old=["marked_deleted"], order=order)
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -126,13 +131,46 @@ def write_snapshot(df: DataFrame, base: str, partition_by: Sequence[str] = ()) -
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{base}/v{VERSION}")
 
 
+def _paths(spark: SparkSession, base: str):
+    """(file system, function from a name to its path below base)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(base).getFileSystem(spark._jsc.hadoopConfiguration()), lambda name: path(f"{base}/{name}")
+
+
+def swap_snapshot(df: DataFrame, base: str) -> None:
+    """Replace a snapshot by one that may be computed from it: written beside it, then renamed.  After a crash at any point
+    `read_snapshot` finds the old one or the new one."""
+    own = f"v{VERSION}.new-{uuid.uuid4().hex}"
+    df.write.parquet(f"{base}/{own}")
+    fs, at = _paths(df.sparkSession, base)
+    now, before = at(f"v{VERSION}"), at(f"v{VERSION}.old")
+    if fs.exists(now):
+        fs.delete(before, True)
+        fs.rename(now, before)
+    fs.rename(at(own), now)
+    fs.delete(before, True)
+
+
+def drop_other_versions(spark: SparkSession, base: str) -> list[str]:
+    """Remove the snapshots of other layout versions, which this one cannot read; their names.  Relations are computed again."""
+    fs, at = _paths(spark, base)
+    if not fs.exists(at("")):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(at(""))]
+    old = sorted(n for n in names if re.fullmatch(r"v\d+(\..*)?", n) and n.split(".")[0] != f"v{VERSION}")
+    for n in old:
+        fs.delete(at(n), True)
+    return old
+
+
 def read_snapshot(spark: SparkSession, base: str) -> DataFrame | None:
     """The snapshot of this layout version; None if there is none: the relation is to be computed again."""
     from pyspark.errors import AnalysisException
 
-    try:
-        return spark.read.parquet(f"{base}/v{VERSION}")
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+    for name in (f"v{VERSION}", f"v{VERSION}.old"):
+        try:
+            return spark.read.parquet(f"{base}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    return None

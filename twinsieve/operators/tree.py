@@ -72,10 +72,14 @@ def directory_elements(files: DataFrame, min_depth: int = 1) -> DataFrame:
     return spread.groupBy("entity", "element").agg(F.min("weight").alias("weight"))
 
 
+def directory_hashes(files: DataFrame) -> DataFrame:
+    """path, content_hash: a row for each hash that lies below a directory; directories without a hash have none."""
+    return directory_elements(files).select(F.col("entity").alias("path"), F.col("element").alias("content_hash"))
+
+
 def directory_sets(files: DataFrame) -> DataFrame:
-    """path, file_hash_set (sorted, distinct); directories without a hash have no row."""
-    sets = directory_elements(files).groupBy("entity").agg(F.array_sort(F.collect_set("element")).alias("file_hash_set"))
-    return sets.withColumnRenamed("entity", "path")
+    """path, file_hash_set (sorted, distinct): `directory_hashes` for output, a directory's set in one row."""
+    return directory_hashes(files).groupBy("path").agg(F.array_sort(F.collect_set("content_hash")).alias("file_hash_set"))
 
 
 def fingerprints(sets: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions.layout import treemap_rectangles
 from ..operators import cascade, groups, review, similarity, store, tree
 from ..operators.groups import GROUP, GroupFilter
 from ..sources import inventory
+from ..sources.shared import stash
 from ..streaming import incremental
 
 SESSION = ["session_id"]
@@ -55,11 +56,12 @@ def hashed(spark, d) -> DataFrame:
 
 
 def dups(spark, d) -> DataFrame:
-    return cascade.find_duplicates(files(spark, d))
+    """The duplicates, without contents, written once: whatever is built on them reads that table."""
+    return stash(cascade.find_duplicates(files(spark, d)), "duplicates")
 
 
 def session_dups(spark, d) -> DataFrame:
-    return cascade.find_duplicates(files(spark, d), SESSION)
+    return stash(cascade.find_duplicates(files(spark, d), SESSION), "session_duplicates")
 
 
 def session_groups(spark, d) -> DataFrame:
@@ -88,7 +90,7 @@ def sessions(spark, d) -> DataFrame:
 
 
 def elements(spark, d, universe: str = "duplicates") -> DataFrame:
-    return tree.directory_elements(dups(spark, d) if universe == "duplicates" else hashed(spark, d))
+    return stash(tree.directory_elements(dups(spark, d) if universe == "duplicates" else hashed(spark, d)), "elements")
 
 
 def pairs(spark, d, universe: str = "duplicates", threshold: float = 0.5) -> DataFrame:
@@ -105,6 +107,11 @@ def plan(spark, d) -> DataFrame:
     return marked.withColumn("executed_at", F.when(F.pmod("doc_id", F.lit(2)) == 0, F.col("last_modified")))
 
 
+def _broken_plan(spark, d) -> DataFrame:
+    """The plan, in which entries of doc_ids that 11 divides name no file."""
+    return plan(spark, d).withColumn("canonical_path", F.when(F.pmod("doc_id", F.lit(11)) != 0, F.col("canonical_path")))
+
+
 INV = """WITH RECURSIVE inv AS (SELECT doc_id, lang AS session_id, '/' || source || '/' || lang AS parent_dir, 'doc_' || doc_id || '.' || ext AS file_name,
   '/' || source || '/' || lang || '/doc_' || doc_id || '.' || ext AS canonical_path, chr((67 + doc_id % 3)::INTEGER) AS drive_letter, ext,
   strlen(t)::BIGINT AS file_size, 1700000000 + (doc_id * 7919) % 2000000 AS last_modified, md5(t) AS content_hash, md5(encode(t)[1:1024]) AS partial_hash
@@ -138,7 +145,7 @@ def _similar(el: str, name: str, threshold: float, cap: int = 50) -> str:
   FROM {name}_o JOIN {name}_n x ON x.entity = a JOIN {name}_n y ON y.entity = b),
 {name} AS (SELECT entity_a, entity_b, score, shared, shared_weight, match_type FROM {name}_s WHERE score >= {threshold} UNION ALL
   SELECT x.entity, y.entity, 1.0, x.n, x.w, 'exact' FROM {name}_n x JOIN {name}_n y ON x.print = y.print AND x.entity < y.entity
-  WHERE NOT EXISTS (SELECT 1 FROM {name}_s WHERE score >= {threshold} AND entity_a = x.entity AND entity_b = y.entity))
+  WHERE x.entity = (SELECT min(z.entity) FROM {name}_n z WHERE z.print = x.print) AND NOT EXISTS (SELECT 1 FROM {name}_s WHERE score >= {threshold} AND entity_a = x.entity AND entity_b = y.entity))
 """
 
 
@@ -264,14 +271,16 @@ def _(spark, d):
     return tree.directory_tree(slim(spark, d)).select("path", "file_count", "total_size")
 
 
-@_query("op_h05_hash_sets", INV + END + "SELECT entity AS path, count(*) AS hashes, string_agg(element, ',' ORDER BY element) AS hash_list FROM el GROUP BY entity")
+@_query("op_h05_hash_sets", INV + END + "SELECT entity AS path, element AS content_hash FROM el")
 def _(spark, d):
-    return tree.directory_sets(dups(spark, d)).select("path", F.size("file_hash_set").cast("long").alias("hashes"), F.array_join("file_hash_set", ",").alias("hash_list"))
+    return tree.directory_hashes(dups(spark, d))
 
 
-@_query("op_h06_fingerprints", INV + END + "SELECT entity AS path, md5(string_agg(element, ',' ORDER BY element)) AS content_fingerprint, count(*) AS hashes FROM ela GROUP BY entity")
+@_query("op_h06_fingerprints", INV + """pr AS (SELECT entity AS path, count(*) AS hashes, sum(('0x' || md5(element)[1:15])::BIGINT::HUGEINT) AS a, sum(('0x' || md5(element)[16:30])::BIGINT::HUGEINT) AS b
+  FROM ela GROUP BY entity) SELECT path, md5(hashes || '|' || a || '|' || b) AS content_fingerprint, hashes FROM pr""")
 def _(spark, d):
-    return tree.fingerprints(tree.directory_sets(hashed(spark, d)))
+    prints = similarity.set_prints(tree.directory_elements(hashed(spark, d)))
+    return prints.select(F.col("entity").alias("path"), F.col("print").alias("content_fingerprint"), F.col("n").alias("hashes"))
 
 
 @_query("op_h07_children", INV + ROLL + END + "SELECT path, file_count, total_size FROM roll WHERE path <> '/' AND len(path) - len(replace(path, '/', '')) = 1 ORDER BY total_size DESC, path LIMIT 5 OFFSET 2")
@@ -287,9 +296,9 @@ def _(spark, d):
 # 2.5 set similarity
 
 
-@_query("op_j01_inverted_index", INV + END + "SELECT element, count(*) AS frequency, string_agg(entity, '|' ORDER BY entity) AS entities FROM el GROUP BY element")
+@_query("op_j01_inverted_index", INV + END + "SELECT element, count(*) OVER (PARTITION BY element) AS frequency, entity FROM el")
 def _(spark, d):
-    return similarity.inverted_index(elements(spark, d)).select("element", "frequency", F.array_join("entities", "|").alias("entities"))
+    return similarity.inverted_index(elements(spark, d))
 
 
 @_query("op_j02_frequency_cap", INV + END + "SELECT element, count(*) AS frequency FROM el GROUP BY element HAVING count(*) <= 5")
@@ -558,9 +567,15 @@ def _(spark, d):
     return review.deletion_queue(session_members(spark, d), slim(spark, d), decisions(spark, d)).select("canonical_path", "drive_letter", "parent_dir", "file_name", "retained_path")
 
 
-@_query("op_r09_queue_summary", INV + QUEUE + END + "SELECT count(*) AS files, coalesce(sum(file_size), 0)::BIGINT AS bytes, count(DISTINCT drive_letter) AS drives, false AS has_network FROM queue")
+@_query("op_r09_queue_summary", INV + QUEUE + END + """SELECT kind, count(file_size) AS files, coalesce(sum(file_size), 0)::BIGINT AS bytes, count(DISTINCT drive_letter) AS drives, kind = 'network' AND count(file_size) > 0 AS has_network
+FROM (VALUES ('plain'), ('device'), ('network')) k(kind) LEFT JOIN queue ON true GROUP BY kind""")
 def _(spark, d):
-    return review.queue_summary(review.deletion_queue(session_members(spark, d), slim(spark, d), decisions(spark, d)))
+    """The queue with paths as they are, with device prefixes, and with some on a server."""
+    queue, out = review.deletion_queue(session_members(spark, d), slim(spark, d), decisions(spark, d)), None
+    for kind, prefix in (("plain", ""), ("device", "\\\\?\\E:"), ("network", "\\\\server\\share")):
+        row = review.queue_summary(queue.withColumn("canonical_path", F.concat(F.lit(prefix), "canonical_path"))).withColumn("kind", F.lit(kind))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @_query("op_r10_single_keep", INV + END + """SELECT canonical_path, CASE WHEN action = 'keep' AND seq < max(CASE WHEN action = 'keep' THEN seq END) OVER (PARTITION BY session_id, file_size, content_hash)
@@ -608,7 +623,21 @@ def _(spark, d):
     return review.age_badges(grouped_files(spark, d)).select("canonical_path", "badge")
 
 
-@_query("op_r14_undo_fold")
+UNDO_SQL = """ev AS (SELECT session_id AS usr, d.canonical_path, action, CASE WHEN seq % 7 = 0 THEN 'redo' WHEN seq % 3 = 0 THEN 'undo' ELSE 'decide' END AS kind,
+  row_number() OVER (PARTITION BY session_id ORDER BY seq) AS k FROM dec d JOIN inv USING (canonical_path)),
+fold AS (SELECT DISTINCT usr, 0::BIGINT AS k, MAP {}::MAP(VARCHAR, VARCHAR) AS state, []::STRUCT(p VARCHAR, o VARCHAR, n VARCHAR)[] AS done, []::STRUCT(p VARCHAR, o VARCHAR, n VARCHAR)[] AS undone FROM ev
+  UNION ALL SELECT f.usr, e.k,
+  CASE WHEN kind = 'decide' THEN map_concat(state, MAP {e.canonical_path: action}) WHEN kind = 'undo' AND len(done) > 0 THEN map_concat(state, MAP {done[-1].p: coalesce(done[-1].o, 'skip')})
+    WHEN kind = 'redo' AND len(undone) > 0 THEN map_concat(state, MAP {undone[-1].p: undone[-1].n}) ELSE state END,
+  CASE WHEN kind = 'decide' THEN list_append(done, {'p': e.canonical_path, 'o': map_extract(state, e.canonical_path)[1], 'n': action})[-200:] WHEN kind = 'undo' THEN done[:-2]
+    WHEN kind = 'redo' AND len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END,
+  CASE WHEN kind = 'decide' THEN [] WHEN kind = 'undo' AND len(done) > 0 THEN list_append(undone, done[-1]) WHEN kind = 'redo' THEN undone[:-2] ELSE undone END
+  FROM fold f JOIN ev e ON e.usr = f.usr AND e.k = f.k + 1),
+ends AS (SELECT usr, unnest(map_entries(state)) AS x FROM fold QUALIFY k = max(k) OVER (PARTITION BY usr))
+SELECT usr AS user, x.key AS canonical_path, x.value AS action FROM ends"""
+
+
+@_query("op_r14_undo_fold", INV + UNDO_SQL)
 def _(spark, d):
     """Decisions of a log in which every third event of a session undoes one, and every seventh redoes one."""
     kind = F.when(F.pmod("seq", F.lit(7)) == 0, "redo").when(F.pmod("seq", F.lit(3)) == 0, "undo").otherwise("decide")
@@ -634,9 +663,16 @@ def _(spark, d):
     return session_groups(spark, d).join(session_members(spark, d), GROUP).select("session_id", "content_hash", "file_size", "file_count", "wasted_bytes", "canonical_path")
 
 
-@_query("op_k03_find_session", "SELECT 'de' AS session_id, '[\"/de\"]' AS root_paths, 'running' AS status, true AS reused")
+@_query("op_k03_find_session", INV + """want AS (SELECT * FROM (VALUES ('["/de"]', 'n1'), ('["/fr"]', 'n2'), ('["/xx"]', 'n3')) t(root_paths, new_id)),
+hit AS (SELECT root_paths, max(session_id) AS session_id FROM sess WHERE status = 'completed' GROUP BY root_paths)
+SELECT coalesce(session_id, new_id) AS session_id, root_paths, 'running' AS status, session_id IS NOT NULL AS reused FROM want LEFT JOIN hit USING (root_paths)""")
 def _(spark, d):
-    return store.find_or_create_session(sessions(spark, d), ["/de"], "new", "2024-01-01 00:00:00").select("session_id", "root_paths", "status", "reused")
+    """Roots of a completed session, of a running one and of none."""
+    out = None
+    for root, new in (("/de", "n1"), ("/fr", "n2"), ("/xx", "n3")):
+        row = store.find_or_create_session(sessions(spark, d), [root], new, "2024-01-01 00:00:00").select("session_id", "root_paths", "status", "reused")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @_query("op_k04_complete_session", INV + END + "SELECT 'new' AS session_id, 'completed' AS status, count(*) AS files_scanned, coalesce(sum(file_size), 0)::BIGINT AS total_bytes FROM sdups WHERE session_id = 'fr'")
@@ -688,21 +724,26 @@ def _(spark, d):
     return store.migrate_plan(plan(spark, d), session_members(spark, d), known)
 
 
-@_query("op_k10_profiles", "SELECT 'b' AS id, 'B' AS name, 3 AS updated_at UNION ALL SELECT 'a', 'A2', 2")
+@_query("op_k10_profiles", """WITH o AS (SELECT lang AS id, upper(lang) AS name, min(doc_id) AS updated_at FROM documents GROUP BY lang),
+n AS (SELECT lang AS id, 'new ' || lang AS name, max(doc_id) AS updated_at FROM documents WHERE lang IN ('de', 'fr') GROUP BY lang UNION ALL SELECT source, source, min(doc_id) FROM documents GROUP BY source)
+SELECT id, coalesce(n.name, o.name) AS name, coalesce(n.updated_at, o.updated_at) AS updated_at FROM o FULL JOIN n USING (id) WHERE id IS NULL OR id <> 'es'""")
 def _(spark, d):
-    one = lambda *rows: spark.createDataFrame(list(rows), "id string, name string, updated_at int")
-    kept = store.upsert(one(("a", "A", 1), ("b", "B", 3), ("c", "C", 0)), one(("a", "A2", 2)), ["id"])
-    return store.list_profiles(kept.where("id <> 'c'"))
+    """A profile for each language, two of them saved anew, one for each source added, one deleted."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    row = lambda df, key, name, at: df.groupBy(F.col(key).alias("id")).agg(at("doc_id").alias("updated_at")).select("id", name(F.col("id")).alias("name"), "updated_at")
+    old = row(docs, "lang", F.upper, F.min)
+    new = row(docs.where("lang in ('de', 'fr')"), "lang", lambda x: F.concat(F.lit("new "), x), F.max).unionByName(row(docs, "source", lambda x: x, F.min))
+    return store.list_profiles(store.upsert(old, new, ["id"]).where("id is null or id <> 'es'"))
 
 
-@_query("op_k11_simulate", INV + MARK + END + "SELECT canonical_path, CASE WHEN doc_id % 5 = 0 THEN 'file_missing' ELSE 'success' END AS execution_result FROM mark WHERE marked AND doc_id % 2 <> 0")
+@_query("op_k11_simulate", INV + MARK + END + "SELECT CASE WHEN doc_id % 11 <> 0 THEN canonical_path END AS canonical_path, CASE WHEN doc_id % 11 = 0 THEN 'error: unknown file' WHEN doc_id % 5 = 0 THEN 'file_missing' ELSE 'success' END AS execution_result FROM mark WHERE marked AND doc_id % 2 <> 0")
 def _(spark, d):
-    return review.simulate(plan(spark, d), slim(spark, d).where(F.pmod("doc_id", F.lit(5)) != 0))
+    return review.simulate(_broken_plan(spark, d), slim(spark, d).where(F.pmod("doc_id", F.lit(5)) != 0))
 
 
-@_query("op_k11_simulation_summary", INV + MARK + END + "SELECT count(*) FILTER (WHERE doc_id % 5 <> 0) AS success, 0::BIGINT AS errors FROM mark WHERE marked AND doc_id % 2 <> 0")
+@_query("op_k11_simulation_summary", INV + MARK + END + "SELECT count(*) FILTER (WHERE doc_id % 11 <> 0 AND doc_id % 5 <> 0) AS success, count(*) FILTER (WHERE doc_id % 11 = 0) AS errors FROM mark WHERE marked AND doc_id % 2 <> 0")
 def _(spark, d):
-    return review.simulation_summary(review.simulate(plan(spark, d), slim(spark, d).where(F.pmod("doc_id", F.lit(5)) != 0), use_trash=True))
+    return review.simulation_summary(review.simulate(_broken_plan(spark, d), slim(spark, d).where(F.pmod("doc_id", F.lit(5)) != 0), use_trash=True))
 
 
 @_query("op_k12_deletion_log", INV + QUEUE + END + "SELECT canonical_path AS path, upper(content_hash) AS hash, file_size AS size, retained_path, 'trash' AS method FROM queue")
@@ -738,10 +779,11 @@ def _(spark, d):
     return slim(spark, d).select("canonical_path", fn.format_bytes(F.col("file_size")).alias("decimal_size"))
 
 
-@_query("op_e04_treemap_label", INV + END + "SELECT canonical_path, CASE WHEN file_size < 1024 THEN file_size || ' B' ELSE printf('%.1f KB', file_size / 1024.0::DOUBLE) END AS label FROM inv WHERE (file_size * 10) % 512 <> 0 OR file_size < 1024")
+@_query("op_e04_treemap_label", INV + """t AS (SELECT canonical_path, file_size, (file_size * 20 + 1024) // 2048 AS k, (file_size * 20 + 1048576) // 2097152 AS m FROM inv)
+SELECT canonical_path, CASE WHEN file_size < 1024 THEN file_size || ' B' WHEN file_size < 1048576 THEN (k // 10) || '.' || (k % 10) || ' KB'
+  ELSE (m // 10) || '.' || (m % 10) || ' MB' END AS label FROM t""")
 def _(spark, d):
-    # halves of a tenth are left to the printf of either engine
-    return slim(spark, d).where("(file_size * 10) % 512 <> 0 or file_size < 1024").select("canonical_path", fn.treemap_label(F.col("file_size")).alias("label"))
+    return slim(spark, d).select("canonical_path", fn.treemap_label(F.col("file_size")).alias("label"))
 
 
 @_query("op_e05_density_levels", INV + INDIR + DENS + END + """SELECT parent_dir, CASE WHEN duplicates / total::DOUBLE >= 0.5 THEN 'high' WHEN duplicates / total::DOUBLE >= 0.2 THEN 'medium' ELSE 'low' END AS level,

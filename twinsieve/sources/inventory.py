@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import drive_letter, epoch_seconds, file_name, parent_dir
+from .shared import stash
 
 
 @dataclass(frozen=True)
@@ -115,6 +116,66 @@ def from_paths(spark: SparkSession, roots: Iterable[str], ignore: Sequence[str]
     return located(out.where(not_ignored(F.col("canonical_path"), ignore)).dropDuplicates(["canonical_path"]))
 
 
+def list_directory(path: str) -> tuple[list[tuple[str, str, int, int]], str | None]:
+    """((kind, path, size, modified seconds) of a directory's files and directories, None) or ([], why it cannot be read).
+    Links are neither followed nor listed; an entry that vanishes meanwhile is left out."""
+    import os
+
+    out = []
+    try:
+        with os.scandir(path) as entries:
+            for e in entries:
+                try:
+                    if e.is_symlink():
+                        continue
+                    if e.is_dir(follow_symlinks=False):
+                        out.append(("dir", e.path, 0, 0))
+                    elif e.is_file(follow_symlinks=False):
+                        s = e.stat(follow_symlinks=False)
+                        out.append(("file", e.path, s.st_size, int(s.st_mtime)))
+                except FileNotFoundError:
+                    continue
+    except OSError as e:
+        return [], f"{type(e).__name__}: {e.strerror}"
+    return out, None
+
+
+def walk(spark: SparkSession, roots: Iterable[str], ignore: Sequence[str] = (), lister=list_directory) -> tuple[DataFrame, DataFrame]:
+    """(inventory of file trees, metadata only, without empty files; skipped: path, reason of directories that cannot be read).
+
+    Directories are listed by tasks, a level of the trees at a time, so a wide tree is read by all executors (which must
+    see the paths); a directory that may not be read is logged and skipped.  Missing roots give nothing."""
+    import logging
+
+    schema = "kind string, path string, size long, modified long, reason string"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                entries, reason = lister(path)
+                rows = [(*e, None) for e in entries] if reason is None else [("skipped", path, 0, 0, reason)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["kind", "path", "size", "modified", "reason"])
+
+    import os
+
+    kept = [r for r in reduce_roots(roots) if os.path.isdir(r)]
+    level, levels = spark.createDataFrame([(r,) for r in kept], "path string"), []
+    while not level.isEmpty():
+        levels.append(stash(level.repartition("path").mapInArrow(run, schema), "walk"))
+        level = levels[-1].where("kind = 'dir'").select("path")
+    found = levels[0] if levels else spark.createDataFrame([], schema)
+    for one in levels[1:]:
+        found = found.unionByName(one)
+    skipped = found.where("kind = 'skipped'").select("path", "reason")
+    for path, reason in skipped.limit(100).collect():
+        logging.getLogger(__name__).warning("skipped %s: %s", path, reason)
+    files = found.where("kind = 'file' and size > 0").select(F.col("path").alias("canonical_path"), F.col("size").alias("file_size"), F.col("modified").alias("last_modified"))
+    return located(files.where(not_ignored(F.col("canonical_path"), ignore)) if ignore else files), skipped
+
+
 def _digests(files: DataFrame, column: str, limit: int | None, algorithm: str) -> DataFrame:
     names = files.columns
 
