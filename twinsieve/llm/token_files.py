@@ -4,13 +4,15 @@ Ids are replaced by their rank in the corpus, so the most frequent 256 take one
 bytes; four of them are a control byte, and control bytes and data bytes lie apart, so numpy decodes a block by looking
 its control bytes up in a table of 256 rows and gathering.
 
-1. Texts are tokenized once; the ids go to the shared folder.  2. Ids are counted in each task, then summed: a row a
-vocabulary entry.  3. Documents are coded, range-partitioned by doc_id and written as a file a partition, whole or not
-at all, in ascending doc_id.  4. Sums over files give where each file starts.  Reading needs the manifest and the rank
-table alone.
-
-Null texts are empty: one document of the end id.  Null doc_ids come first.  Repeated doc_ids each get their own
-range of ids, shorter documents first, equal ones in either order.  Empty tables give no files and an empty result.
+1. Texts are tokenized once; the ids go to the shared folder, each row with a random number.  2. Ids are counted in each
+task, then summed: a row a vocabulary entry.  3. A bounded sample gives bounds of (doc_id, random number) that cut the
+corpus into files of about equal size, also where one doc_id has a third of all rows.  Documents are coded once, sent to
+their file's task and written whole or not at all, in ascending doc_id.  4. Sums over files give where each file starts.
+Reading needs the manifest and the rank table alone.
+
+Null texts are empty: one document of the end id.  Null doc_ids come first.  Repeated doc_ids and equal rows each get
+their own range of ids, in a file shorter documents first, equal ones in either order.  Texts of any length are coded
+whole.  Empty tables give no files and an empty result.  Extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,10 @@ from .scratch import filesystem, fresh, put, stash
 
 END_ID = 2
 BLOCK_IDS = 2_000_000
+#: Ids in a file: so many at most on average, unless there would be more than MOST_FILES; and so many at least in one of several.
+FILE_IDS, LEAST_IDS, MOST_FILES = 64_000_000, 1_000_000, 20_000
+#: Rows of the sample that bounds come from, for each file.
+SAMPLE = 50
 MAGIC = b"TSVB0001"
 #: Row c: the byte lengths that control byte c stands for.
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
@@ -72,7 +79,8 @@ def decode_values(control: np.ndarray, data: np.ndarray, real: np.ndarray | None
 
 
 def token_ids(docs: DataFrame, path: str, end_id: int | None = END_ID, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and ids (unsigned 32-bit or, for vocabularies below 65,536, 16-bit integers, little-endian) of each row."""
+    """doc_id, draw (a random number) and ids (unsigned 32-bit or, for vocabularies below 65,536, 16-bit integers,
+    little-endian) of each row."""
     from .pieces import tokenizer
 
     kind = np.dtype("<u2") if tokenizer(path).get_vocab_size() < 65_536 else np.dtype("<u4")
@@ -80,6 +88,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int | None = END_ID, text: str
     end = [] if end_id is None else [end_id]
 
     def run(batches):
+        rng = np.random.default_rng([17, TaskContext.get().partitionId()])  # a task that runs again draws the same
         for batch in batches:
             for b in blocks(batch.column(1), 2 << 20):
                 ids, offs = encoder(path).encode(b)
@@ -88,9 +97,49 @@ def token_ids(docs: DataFrame, path: str, end_id: int | None = END_ID, text: str
                 raw = pa.py_buffer(ids.astype(kind).tobytes())
                 offs = pa.py_buffer((offs * kind.itemsize).astype(np.int32).tobytes())
                 column = pa.Array.from_buffers(pa.binary(), len(b), [None, offs, raw])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.rows.start, len(b)), column], names=["doc_id", "ids"])
-
-    return src.mapInArrow(run, "doc_id long, ids binary")
+                draw = pa.array(rng.integers(0, 1 << 62, len(b)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.rows.start, len(b)), draw, column], names=["doc_id", "draw", "ids"])
+
+    return src.mapInArrow(run, "doc_id long, draw long, ids binary")
+
+
+class Bounds:
+    """Where files begin: file k holds rows from bound k - 1 on, in the order of doc_id (null first), draw."""
+
+    def __init__(self, rows: list[tuple[int | None, int, int]], files: int):
+        """From a sample of rows (doc_id, draw, size)."""
+        rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        size = np.cumsum([r[2] for r in rows], dtype=float) if rows else np.zeros(0)
+        at = np.unique(np.searchsorted(size, np.arange(1, files) * (size[-1] / files))) if len(size) else np.zeros(0, int)
+        cut = [rows[i] for i in at.tolist() if i < len(rows)]
+        self.nulls = np.array([r[1] for r in cut if r[0] is None], np.int64)
+        self.ids, self.draws = (np.array([r[k] for r in cut if r[0] is not None], np.int64) for k in (0, 1))
+
+    def __len__(self) -> int:
+        """How many files."""
+        return len(self.nulls) + len(self.ids) + 1
+
+    def files(self, doc_id: pa.Array, draw: np.ndarray) -> np.ndarray:
+        null = doc_id.is_null().to_numpy(zero_copy_only=False)
+        ids = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+        low, high = (np.searchsorted(self.ids, ids, side=side) for side in ("left", "right"))
+        out = len(self.nulls) + high
+        for k in np.unique(low[(low < high) & ~null]).tolist():  # bounds within one doc_id
+            own = np.flatnonzero((low == k) & (high > k) & ~null)
+            out[own] = len(self.nulls) + k + np.searchsorted(self.draws[k : high[own[0]]], draw[own], side="right")
+        out[null] = np.searchsorted(self.nulls, draw[null], side="right")
+        return out
+
+
+def file_bounds(ids: DataFrame, total: int) -> Bounds:
+    """For about equal files of `total` ids, from SAMPLE rows a file."""
+    files = max(-(-total // FILE_IDS), min(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // LEAST_IDS)), 1)
+    files, rows = min(files, MOST_FILES), ids.count()
+    if files == 1 or not rows:
+        return Bounds([], 1)
+    share = min(1.0, SAMPLE * files / rows)
+    drawn = ids.where(F.pmod(F.col("draw"), F.lit(1 << 30)) < int(share * (1 << 30))).select("doc_id", "draw", F.octet_length("ids"))
+    return Bounds([tuple(r) for r in drawn.collect()], files)  # about SAMPLE * MOST_FILES rows at most
 
 
 def _ids(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +177,12 @@ def id_counts(ids: DataFrame, kind: np.dtype, vocabulary: int) -> np.ndarray:
     return out
 
 
-def coded(ids: DataFrame, kind: np.dtype, rank: np.ndarray) -> DataFrame:
-    """doc_id, n, control, data: each document coded by itself."""
+def coded(ids: DataFrame, kind: np.dtype, rank: np.ndarray, bounds: Bounds) -> DataFrame:
+    """shard (number of the file), doc_id, n, control, data: each document coded by itself."""
 
     def run(batches):
-        for batch in (x for b in batches for x in _slices(b, 1)):
-            own, offs = _ids(batch.column(1), kind)
+        for batch in (x for b in batches for x in _slices(b, 2)):
+            own, offs = _ids(batch.column(2), kind)
             n = np.diff(offs)
             places = -(-n // 4) * 4  # the codes of each document fill whole control bytes
             first = np.concatenate(([0], np.cumsum(places)))
@@ -144,9 +193,11 @@ def coded(ids: DataFrame, kind: np.dtype, rank: np.ndarray) -> DataFrame:
             control, data, size = encode_values(values, real)
             ends = np.concatenate(([0], np.cumsum(size)))[first]
             column = lambda raw, offs: pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), column(control, first // 4), column(data, ends)], names=["doc_id", "n", "control", "data"])
+            shard = bounds.files(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False))
+            cols = [pa.array(shard.astype(np.int32)), batch.column(0), pa.array(n), column(control, first // 4), column(data, ends)]
+            yield pa.RecordBatch.from_arrays(cols, names=["shard", "doc_id", "n", "control", "data"])
 
-    return ids.mapInArrow(run, "doc_id long, n long, control binary, data binary")
+    return ids.mapInArrow(run, "shard int, doc_id long, n long, control binary, data binary")
 
 
 def _block(rows: list[tuple]) -> bytes:
@@ -158,29 +209,29 @@ def _block(rows: list[tuple]) -> bytes:
 
 
 def write_files(docs: DataFrame, base: str) -> DataFrame:
-    """Files of rows (doc_id, n, control, data), which lie sorted in the partitions: file, shard, n_docs, n_ids."""
+    """Files of rows (shard, doc_id, n, control, data), which lie sorted in the partitions, a shard in one: file, shard, n_docs,
+    n_ids."""
 
     def run(batches):
-        shard = TaskContext.get().partitionId()
-        uri, docs_in, ids_in = f"{base}/{shard:06d}.ids", 0, 0
-
-        def parts() -> Iterator[bytes]:
-            nonlocal docs_in, ids_in
-            yield MAGIC
-            rows, size = [], 0
-            for batch in batches:
-                for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                    rows.append(row)
-                    size += row[1]
-                    docs_in, ids_in = docs_in + 1, ids_in + row[1]
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        for shard, own in groupby(rows, key=lambda r: r[0]):
+            uri, docs_in, ids_in = f"{base}/{shard:06d}.ids", 0, 0
+
+            def parts(own=own) -> Iterator[bytes]:
+                nonlocal docs_in, ids_in
+                yield MAGIC
+                held, size = [], 0
+                for row in own:
+                    held.append(row[1:])
+                    size += row[2]
+                    docs_in, ids_in = docs_in + 1, ids_in + row[2]
                     if size >= BLOCK_IDS:
-                        yield _block(rows)
-                        rows, size = [], 0
-            if rows:
-                yield _block(rows)
+                        yield _block(held)
+                        held, size = [], 0
+                if held:
+                    yield _block(held)
 
-        put(uri, parts())
-        if docs_in:
+            put(uri, parts())
             yield pa.RecordBatch.from_pylist([{"file": uri, "shard": shard, "n_docs": docs_in, "n_ids": ids_in}])
 
     return docs.mapInArrow(run, "file string, shard long, n_docs long, n_ids long")
@@ -210,11 +261,14 @@ def write_corpus(docs: DataFrame, base: str | None = None, path: str | None = No
     vocabulary = max(tokenizer(path).get_vocab_size(), (end_id or 0) + 1)
     kind = np.dtype("<u2") if tokenizer(path).get_vocab_size() < 65_536 else np.dtype("<u4")
     ids = stash(token_ids(docs, path, end_id), "token_ids")
-    by_rank = np.argsort(-id_counts(ids, kind, vocabulary), kind="stable").astype("<u4")
+    counts = id_counts(ids, kind, vocabulary)
+    by_rank = np.argsort(-counts, kind="stable").astype("<u4")
     rank = np.empty(vocabulary, np.uint32)
     rank[by_rank] = np.arange(vocabulary, dtype=np.uint32)
     put(f"{base}/ranks", [by_rank.tobytes()])
-    rows = coded(ids, kind, rank).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "control", "data")
+    bounds = file_bounds(ids, int(counts.sum()))
+    rows = coded(ids, kind, rank, bounds).repartitionById(len(bounds), F.col("shard"))
+    rows = rows.sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "control", "data")
     manifest = stash(write_files(rows, base), "token_manifest")
     at, starts = 0, []
     for shard, n in sorted(tuple(r) for r in manifest.select("shard", "n_ids").collect()):  # a row a file
@@ -244,9 +298,10 @@ def read_corpus(manifest: DataFrame, ranks: str, with_ids: bool = False) -> Data
                     yield pa.RecordBatch.from_arrays(cols, names=names)
                     at += int(n.sum())
 
-    files = manifest.select("file", "start")
+    files = manifest.select("file", "start", "shard")
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.repartition(max(1, min(files.count(), 10_000)), "file").mapInArrow(run, schema)
+    n = (files.agg(F.max("shard")).first()[0] or 0) + 1  # a task a file
+    return files.repartitionById(n, F.col("shard").cast("int")).mapInArrow(run, schema)
 
 
 def op4_token_files(spark, sf_dir: str) -> DataFrame:
