@@ -131,6 +131,19 @@ def test_scan(spark, edge_docs, bench, plain, monkeypatch, most):
     assert sorted((tuple(r) for r in dec.scan(edge_docs, index).collect()), key=str) == sorted(brute(edge, BENCH), key=str)
 
 
+def test_common_window_and_small_caches(spark, monkeypatch):
+    """A window that all items have, many blocks, few lookups at once."""
+    monkeypatch.setattr(dec, "BLOCK_WINDOWS", 40)
+    monkeypatch.setattr(dec, "PASSED", 3)
+    common = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    items = [(f"i{k:03d}", f"{common} own{k} words{k}") for k in range(150)] + [("i007", common), ("none", None)]
+    texts = [(1, f"x {common} y"), (2, f"{common} own3 words3 {common}"), (3, "nothing here"), (4, None), (5, (common + " own9 ") * 500)]
+    index = dec.build_index(spark.createDataFrame(items, "item_id string, text string").repartition(4))
+    assert len(index) > 5
+    got = sorted((tuple(r) for r in dec.scan(spark.createDataFrame(texts, "doc_id long, text string"), index).collect()), key=str)
+    assert got == sorted(brute(texts, items), key=str)
+
+
 def test_removal(spark, no_docs, bench):
     docs = spark.createDataFrame([(*t, "keep") for t in TEXTS], "doc_id long, text string, items string")
     spans = {r["doc_id"]: r["text"] for r in dec.decontaminate(docs, bench, remove="spans").where("items = 'keep' and doc_id > 0").collect() if r["doc_id"] != 1}

@@ -1,18 +1,21 @@
 """Benchmark decontamination: a hash set of normalised benchmark word windows, probed by every window of every text.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  A benchmark item gives each run of `size` words, or
-all its words as one window if it has fewer.  The windows lie in block files of at most BLOCK_WINDOWS in the shared
-folder.  A task hashes the windows of a batch of texts once (numpy, no object per word) and probes each block in turn;
-a benchmark of one block, the usual case, stays loaded, and one of any size takes the memory of one block.  Hash hits
-are verified by comparing the words themselves.  Texts are never shuffled.
+all its words as one window if it has fewer.  Tasks write the windows with their items to block files of about
+BLOCK_WINDOWS in the shared folder, and a bit filter of each block.  A worker holds the filters of all blocks
+(FILTER_BYTES at most, so they are the broadcast set), hashes the windows of a batch of texts once (numpy, no object per
+word), and loads a block only for windows that pass, HELD blocks at once.  Hits are verified by comparing the words
+themselves.  Texts are never shuffled.
 
 Null texts and items have no words; a null item_id counts as the id ''.  Equal item_ids are one item, repeated
-documents are each judged alone.  Extra columns are not looked at; an empty benchmark or table works.
+documents are each judged alone; texts of any length are scanned whole.  Extra columns are not looked at (those of `keep`
+must not bear the names of the results); an empty benchmark or table works.
 """
 
 from __future__ import annotations
 
 import pickle
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,58 +27,73 @@ from .columns import hide, restore
 from .scratch import filesystem, fresh, put, stash
 
 SIZE = 10
-#: Windows in a block: about 40 MB of a Python process.
-BLOCK_WINDOWS = 200_000
-
-
-class BlockIndex:
-    """Windows of one block: sorted hashes, their words, and the items that have them."""
-
-    def __init__(self, rows: list[tuple[int, bytes, list[str]]], lengths: list[int]):
-        rows = sorted(rows)
-        self.hash = np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64)
-        order = np.argsort(self.hash, kind="stable")
-        self.hash = self.hash[order]
-        self.text, self.items = [rows[i][1] for i in order], [rows[i][2] for i in order]
-        self.lengths = lengths
-        bits = max(16, min(26, int(np.log2(len(rows) + 1)) + 5))
-        self.mask = np.uint64((1 << bits) - 1)
-        self.maybe = np.zeros(1 << bits, dtype=bool)
-        self.maybe[(self.hash & self.mask).astype(np.int64)] = True
-
-    def probe(self, h: np.ndarray) -> np.ndarray:
-        """Positions in h whose hash is in the block."""
-        at = np.flatnonzero(self.maybe[(h & self.mask).astype(np.int64)])
-        if len(at):
-            at = at[self.hash[np.minimum(np.searchsorted(self.hash, h[at]), len(self.hash) - 1)] == h[at]]
-        return at
-
-    def find(self, h: np.uint64, text: bytes) -> list[str] | None:
-        i = int(np.searchsorted(self.hash, h))
-        while i < len(self.hash) and self.hash[i] == h:
-            if self.text[i] == text:
-                return self.items[i]
-            i += 1
-        return None
-
-
-_loaded: dict[str, BlockIndex] = {}
-
-
-def _load(uri: str, keep: bool) -> BlockIndex:
-    if uri in _loaded:
-        return _loaded[uri]
-    system, path = filesystem(uri)
-    with system.open_input_stream(path) as f:
-        got = pickle.loads(f.readall())
-    if keep:
-        _loaded.clear()
-        _loaded[uri] = got
-    return got
+#: Windows in a block: about 40 MB of a Python process; blocks that a worker holds.
+BLOCK_WINDOWS, HELD = 200_000, 2
+#: Bytes of all filters together, at most: 16 bits a window as long as these suffice.
+FILTER_BYTES = 64 << 20
+#: Windows that passed the filter and are looked up together.
+PASSED = 50_000
+
+
+def _filter_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Places of hashes in a filter of `bits` bits."""
+    return ((hashes >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+
+
+class Index:
+    """The block files below `base`; block of a window: its hash modulo the number of blocks."""
+
+    def __init__(self, base: str, blocks: int, bits: int, lengths: list[int]):
+        self.base, self.blocks, self.bits, self.lengths = base, blocks, bits, lengths
+
+    def __len__(self) -> int:
+        return self.blocks
+
+    def worker(self) -> IndexReader:
+        """This process's reader."""
+        if self.base not in _readers:
+            _readers.clear()
+            _readers[self.base] = IndexReader(self)
+        return _readers[self.base]
+
+
+class IndexReader:
+    def __init__(self, index: Index):
+        self.index, self.held = index, {}
+        self.filters = np.zeros((index.blocks, index.bits // 8), np.uint8)
+        for k in range(index.blocks):
+            raw = self._read(f"{k}.filter")
+            if raw is not None:
+                self.filters[k] = np.frombuffer(raw, np.uint8)
+
+    def _read(self, name: str) -> bytes | None:
+        system, path = filesystem(f"{self.index.base}/{name}")
+        try:
+            with system.open_input_stream(path) as f:
+                return f.readall()
+        except FileNotFoundError:  # a block without windows has no files
+            return None
+
+    def maybe(self, h: np.ndarray) -> np.ndarray:
+        """Positions in h of the hashes that pass their block's filter."""
+        block, bit = (h % np.uint64(self.index.blocks)).astype(np.int64), _filter_bits(h, self.index.bits)
+        return np.flatnonzero((self.filters[block, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+
+    def block(self, k: int) -> dict[bytes, list[str]]:
+        """Words of a window -> its items."""
+        if k not in self.held:
+            while len(self.held) >= HELD:
+                self.held.pop(next(iter(self.held)))
+            raw = self._read(f"{k}.block")
+            self.held[k] = pickle.loads(raw) if raw is not None else {}
+        return self.held[k]
+
+
+_readers: dict[str, IndexReader] = {}
 
 
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = SIZE) -> DataFrame:
-    """hash, length, words, items: the distinct windows of a benchmark."""
+    """hash, length, words, item: the windows of a benchmark's items."""
     src = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).cast("string").alias("text"))
 
     def run(batches):
@@ -96,79 +114,109 @@ def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "te
                     schema=pa.schema([("hash", pa.int64()), ("length", pa.int32()), ("words", pa.binary()), ("item", pa.string())]),
                 )
 
-    rows = src.mapInArrow(run, "hash long, length int, words binary, item string")
-    return rows.groupBy("hash", "length", "words").agg(F.collect_set("item").alias("items"))
+    return src.mapInArrow(run, "hash long, length int, words binary, item string")
 
 
-def build_index(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = SIZE) -> list[str]:
-    """URIs of the block files.  The driver holds one block at a time."""
+def build_index(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", size: int = SIZE) -> Index:
+    """The index of a benchmark, written by the tasks that hold a block's windows."""
     spark = benchmark.sparkSession
     table = stash(item_windows(benchmark, item_id, text, size), "benchmark_windows")
     sizes = table.groupBy("length").count().collect()  # a row a window length, at most `size`
     n = max(1, -(-sum(r["count"] for r in sizes) // BLOCK_WINDOWS))
-    lengths, base, uris = sorted(r["length"] for r in sizes), fresh(spark, "benchmark_index"), []
-    for k in range(n):
-        rows = table.where(F.pmod("hash", F.lit(n)) == k).select("hash", "words", "items").collect()
-        put(f"{base}/{k}", [pickle.dumps(BlockIndex([(r[0], bytes(r[1]), list(r[2])) for r in rows], lengths))])
-        uris.append(f"{base}/{k}")
-    return uris
+    bits = min(16 * BLOCK_WINDOWS, FILTER_BYTES * 8 // n) // 8 * 8
+    base = fresh(spark, "benchmark_index")
 
-
-def _scan_block(b, uris: list[str]):
+    def run(batches):
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+        for block, own in groupby(rows, key=lambda r: r[0]):
+            filt, items = np.zeros(bits // 8, np.uint8), {}
+            for _, h, words, item in own:  # sorted, so an item that a window has twice comes twice in a row
+                known = items.setdefault(words, [])
+                if not known:
+                    bit = int(_filter_bits(np.array([h], np.int64).view(np.uint64), bits)[0])
+                    filt[bit >> 3] |= 1 << (bit & 7)
+                if not known or known[-1] != item:
+                    known.append(item)
+            put(f"{base}/{block}.filter", [filt.tobytes()])
+            put(f"{base}/{block}.block", [pickle.dumps(items)])
+            yield pa.RecordBatch.from_pylist([{"block": block, "windows": len(items)}], schema=pa.schema([("block", pa.int32()), ("windows", pa.int64())]))
+
+    # the hash as an unsigned number modulo n, which is the signed one's and that of 2**64 where it is negative
+    unsigned = F.pmod(F.pmod("hash", F.lit(n)) + F.when(F.col("hash") < 0, F.lit((1 << 64) % n)).otherwise(F.lit(0)), F.lit(n))
+    rows = table.select(unsigned.cast("int").alias("block"), "hash", "words", "item").repartitionById(n, F.col("block"))
+    rows.sortWithinPartitions("block", "words", "item").mapInArrow(run, "block int, windows long").agg(F.sum("windows")).collect()
+    return Index(base, n, bits, sorted(r["length"] for r in sizes))
+
+
+class _Hits:
+    """Hit words and items of the rows of a batch."""
+
+    def __init__(self, reader: IndexReader):
+        self.reader, self.words, self.items, self.waiting = reader, {}, {}, []
+
+    def add(self, h: int, words: bytes, row: int, at: int, size: int, row_words: int) -> None:
+        """A window that passed: `size` words of a row of `row_words`, from its word `at` on."""
+        self.waiting.append((h % self.reader.index.blocks, words, row, at, size, row_words))
+        if len(self.waiting) >= PASSED:
+            self.look_up()
+
+    def look_up(self) -> None:
+        self.waiting.sort(key=lambda x: x[0])  # each block is loaded once
+        for block, words, row, at, size, row_words in self.waiting:
+            found = self.reader.block(block).get(words)
+            if found:
+                if row not in self.words:
+                    self.words[row], self.items[row] = np.zeros(row_words, bool), set()
+                self.words[row][at : at + size] = True
+                self.items[row].update(found)
+        self.waiting = []
+
+
+def _without(text: str, hit: np.ndarray) -> str:
+    """The text without its hit runs (from a run's first word to its last)."""
+    b = next(blocks(pa.array([text])))
     w = Words(b, ALNUM, lower=True)
-    hit, items = np.zeros(len(w), dtype=bool), [set() for _ in range(len(b))]
-    known: dict[int, tuple] = {}
-    for uri in uris:
-        index = _load(uri, keep=len(uris) == 1)
-        for n in index.lengths:
-            if n not in known:
-                known[n] = windows(w, n)
-            at, h = known[n]
-            for k in index.probe(h).tolist():
-                i = int(at[k])
-                found = index.find(h[k], w.text(i, i + n))
-                if found:
-                    hit[i : i + n] = True
-                    items[w.row[i]].update(found)
-    return w, hit, items
-
-
-def _without(b, w: Words, hit: np.ndarray, i: int) -> str:
-    """The text of row i without its hit runs (from a run's first word to its last)."""
-    lo, hi = w.first[i], w.first[i + 1]
-    edge = np.diff(np.concatenate(([0], hit[lo:hi].astype(np.int8), [0])))
-    parts, at = [], b.offs[i]
+    edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+    parts, at = [], 0
     for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        parts.append(b.data[at : w.start[lo + s]].tobytes())
-        at = w.end[lo + e - 1]
-    parts.append(b.data[at : b.offs[i + 1]].tobytes())
+        parts.append(b.data[at : w.start[s]].tobytes())
+        at = w.end[e - 1]
+    parts.append(b.data[at:].tobytes())
     return b"".join(parts).decode("utf-8", "replace")
 
 
-def scan(docs: DataFrame, index: list[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",), cleaned: bool = False) -> DataFrame:
+def scan(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ...] = ("doc_id",), cleaned: bool = False) -> DataFrame:
     """`keep`, n_words, n_hit, items (array), and with `cleaned` the text without the hit spans as `cleaned`."""
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     fields = src.schema.fields[:-1]
 
     def run(batches):
         for batch in batches:
-            kept = [batch.column(i) for i in range(len(fields))]
-            texts = batch.column(len(fields))
+            texts, hits, counts = batch.column(len(fields)), _Hits(index.worker()), []
             for b in blocks(texts):
-                w, hit, items = _scan_block(b, index)
-                n_hit = np.bincount(w.row[hit], minlength=len(b))
-                out = [pa.array(w.counts.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([sorted(s) for s in items], pa.list_(pa.string()))]
-                if cleaned:
-                    old = texts.slice(b.rows.start, len(b))
-                    if not n_hit.any():
-                        out.append(old.cast(pa.string()))
-                    else:
-                        now = old.to_pylist()
-                        for i in np.flatnonzero(n_hit).tolist():
-                            now[i] = _without(b, w, hit, i)
-                        out.append(pa.array(now, pa.string()))
-                names = [f.name for f in fields] + ["n_words", "n_hit", "items"] + ["cleaned"] * cleaned
-                yield pa.RecordBatch.from_arrays([k.slice(b.rows.start, len(b)) for k in kept] + out, names=names)
+                w = Words(b, ALNUM, lower=True)
+                counts.append(w.counts)
+                for n in index.lengths:
+                    at, h = windows(w, n)
+                    for k in hits.reader.maybe(h).tolist():
+                        i = int(at[k])
+                        row = int(w.row[i])
+                        hits.add(int(h[k]), w.text(i, i + n), b.rows.start + row, i - int(w.first[row]), n, int(counts[-1][row]))
+            hits.look_up()
+            n_hit = np.zeros(batch.num_rows, np.int64)
+            for row, hit in hits.words.items():
+                n_hit[row] = hit.sum()
+            out = [pa.array(np.concatenate([np.zeros(0, np.int64), *counts])), pa.array(n_hit), pa.array([sorted(hits.items.get(i, ())) for i in range(batch.num_rows)], pa.list_(pa.string()))]
+            if cleaned:
+                if not hits.words:
+                    out.append(texts.cast(pa.string()))
+                else:
+                    now = texts.to_pylist()
+                    for row, hit in hits.words.items():
+                        now[row] = _without(now[row], hit)
+                    out.append(pa.array(now, pa.string()))
+            names = [f.name for f in fields] + ["n_words", "n_hit", "items"] + ["cleaned"] * cleaned
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(fields))), *out], names=names)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words long", "n_hit long", "items array<string>"] + ["cleaned string"] * cleaned)
     return src.mapInArrow(run, schema)
