@@ -52,3 +52,17 @@ def test_ranges_join_neighbours():
 
 def test_empty(spark):
     assert warc.read_records(warc.archive(pages(spark).where("1 = 0"))).collect() == []
+
+
+def test_long_payloads_and_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 20_000)
+    long, hot = "<i>long</i>" * 300_000, "<u>hot</u>" * 200
+    rows = [(i, hot) for i in range(100)] + [(1000 + i, f"{i} " + "z" * 1500) for i in range(40)] + [(2000, long), (2001, long), (2002, None), (2003, None)]
+    got = {r["id"]: r for r in warc.read_records(warc.archive(spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(4))).collect()}
+    assert len(got) == len(rows)
+    for i, html in rows:
+        raw = (html or "").encode()
+        top = 99 if html == hot else 2001 if html == long else i
+        r = got[i]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if top == i else ("revisit", top))

@@ -5,9 +5,10 @@ Archives are written whole under a name of their own and renamed, so a task that
 the selected index rows are sorted by (file, offset) within byte chunks of CHUNK, neighbours are joined to one range
 read when the gap is small, and each member is parsed alone.
 
-Of records with equal payloads of at least `min_bytes` bytes, that with the largest id is a response and the others
-are revisits that name it (a null id is the smallest; rows that repeat the largest id are all responses).  Null
-payloads are empty.  Empty tables give no archives and an empty result; extra columns are not looked at.
+Of records with equal payloads (equal SHA-1 digests; bytes are not compared) of at least `min_bytes` bytes, that with the
+largest id is a response and the others are revisits that name it (a null id is the smallest; rows that repeat the
+largest id are all responses).  Null payloads are empty; payloads of any length are written whole.  Empty tables give no
+archives and an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from .scratch import filesystem, fresh, put, stash
 CHUNK = 8 << 20
 GAP = 64 << 10
 MIN_BYTES = 1000
+#: Numbers that payload digests are hashed to, to tell which rows may have a repeated payload: a broadcast of 262,144 rows at most.
+BUCKETS = 1 << 18
+#: Bytes of archives that one task reads.
+TASK_BYTES = 32 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 
@@ -37,15 +42,20 @@ def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", paylo
     rows = pages.select(
         c(page_id).cast("long").alias("id"), c(url).cast("string").alias("url"), F.coalesce(F.encode(c(payload), "UTF-8"), F.lit(b"")).alias("body")
     )
-    rows = rows.withColumn("digest", F.sha1("body")).withColumn("long_enough", F.octet_length("body") >= min_bytes)
-    # Only payloads that repeat are looked up again: the other rows meet no partner in the join.
-    first = rows.where("long_enough").groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select(c("digest").alias("same"), c("first"))
-    joined = rows.join(first, c("long_enough") & (c("digest") == c("same")), "left")
+    rows = rows.withColumn("digest", F.sha1("body"))
+    long_enough = F.octet_length("body") >= min_bytes
+    first = rows.where(long_enough).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n"))
+    first = stash(first.where("n > 1").select(c("digest").alias("same"), c("first")), "warc_repeated")
+    # Which rows may have a repeated payload is told by BUCKETS numbers at most; only these rows meet the digests, all others
+    # stay where they are read, bodies and all.
+    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS))
+    buckets = first.select(bucket("same").alias("bucket"), F.lit(True).alias("may_repeat")).distinct()
+    marked = rows.withColumn("bucket", F.when(long_enough, bucket("digest"))).join(F.broadcast(buckets), "bucket", "left")
+    alone = marked.where("may_repeat is null").select("id", "url", "body", "digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    joined = marked.where("may_repeat").join(first, c("digest") == c("same"), "left")
     revisit = c("same").isNotNull() & c("first").isNotNull() & ~c("id").eqNullSafe(c("first"))
-    return joined.select(
-        "id", "url", "body", "digest", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(revisit, c("first")).alias("refers_to")
-    )
+    kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type")
+    return alone.unionByName(joined.select("id", "url", "body", "digest", kind, F.when(revisit, c("first")).alias("refers_to")))
 
 
 def record(page_id: int | None, url: str, body: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
@@ -118,7 +128,8 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
     """id, payload_bytes, payload_digest, record_type, refers_to (and the payload) of the records that `index`, or any
     selection of its rows, names.  A response's size and digest are taken from the payload that was read."""
     want = index.select("file", "offset", "length").withColumn("chunk", F.floor(F.col("offset") / CHUNK))
-    want = want.repartition("file", "chunk").sortWithinPartitions("file", "offset")
+    total = want.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    want = want.repartition(max(1, -(-total // TASK_BYTES)), "file", "chunk").sortWithinPartitions("file", "offset")
     schema = "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
     def run(batches):
@@ -127,6 +138,8 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
             out, open_uri, handle = [], None, None
             for file, start, end, own in ranges(rows):
                 if file != open_uri:
+                    if handle is not None:
+                        handle.close()
                     system, path = filesystem(file)
                     open_uri, handle = file, system.open_input_file(path)
                 data = handle.read_at(end - start, start)
@@ -136,6 +149,8 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
                     kind, whole = fields["WARC-Type"], fields["WARC-Type"] == "response"
                     digest = hashlib.sha1(body).hexdigest() if whole else fields["WARC-Payload-Digest"].removeprefix("sha1:")
                     out.append((number("WARC-Record-ID"), fields["WARC-Target-URI"], len(body) if whole else int(fields["X-Payload-Length"]), digest, kind, number("WARC-Refers-To"), body))
+            if handle is not None:
+                handle.close()
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: 6 + payloads]
             names = ["id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"][: 6 + payloads]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=names)
