@@ -12,9 +12,9 @@ def fold(doc_id: Column, n: int) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most: int, text: str = "text", salt: int = 7) -> DataFrame:
-    """doc_id, text, y of at most `most` labelled doc_ids for which `allowed` (over labels) holds, drawn by a hash of the
-    id.  Null ids and labels do not count; of contradicting labels the largest counts.  At most `most` ids and labels are
-    sent to the executors."""
+    """doc_id, text, y of at most `most` labelled doc_ids for which `allowed` (over labels) holds, drawn by a hash of the id, a
+    row for each: of an id's texts that with the smallest hash.  Null ids and labels do not count; of contradicting labels
+    the largest counts.  At most `most` ids, labels and hashes are sent to the executors."""
     c = F.col
     ids = labels.where(c("doc_id").isNotNull() & c(label).isNotNull() & F.coalesce(allowed, F.lit(False)))
     ids = ids.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).withColumn("h", F.xxhash64("doc_id", F.lit(salt)))
@@ -24,4 +24,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, most
     found = sorted((tuple(r) for r in ids.select(F.pmod("h", F.lit(1 << 30)), "doc_id", "y").limit(2 * most).collect()))[:most]
     found = [r[1:] for r in found]
     known = docs.sparkSession.createDataFrame(found, "doc_id long, y int")
-    return docs.select("doc_id", c(text).cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    named = docs.select("doc_id", c(text).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    own = named.join(F.broadcast(known), "doc_id")
+    # the text of an id is chosen by its key, without the texts; equal rows have one key
+    chosen = own.groupBy("doc_id").agg(F.min("key").alias("key"))  # a row an id: `most` at most
+    return own.join(F.broadcast(chosen), ["doc_id", "key"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "y")

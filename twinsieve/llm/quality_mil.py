@@ -1,12 +1,15 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages (PASSAGE words each, to its end).  Every passage is encoded from measured features;
-gated attention, learned from document labels alone, weights the passages; the weighted sum of their encodings is
-scored.  Training is numpy on the driver over a bounded sample (MOST_LABELLED documents); scoring is one pass over whole
-texts, numpy over Arrow batches, without a shuffle.
+A document is a bag of passages (PASSAGE words each, to its end).  Every passage is encoded from its own words alone, by
+measures of their surface and signed hashed sums of their content; gated attention, learned from document labels alone,
+weights the passages; the weighted sum of their encodings is scored.  Training is numpy on the driver over a bounded
+sample (MOST_LABELLED rows, MOST_PASSAGES passages of each); scoring is one pass over all passages of whole texts, numpy
+over Arrow batches, without a shuffle.
 
 Null texts are empty; a text without words is one empty passage and gets a score like any other.  With no labels every
-score is 0.5.  Rows are independent, so repeated ids, ties and extra columns do not matter.
+score is 0.5; of labels that contradict each other the largest counts, and of texts that share a labelled id one is drawn
+by its hash.  Rows are scored one by one, so repeated ids, ties and extra columns do not matter; texts of any length are
+scored whole, and an empty table gives an empty result.  Columns of `keep` must not bear the names of the results.
 """
 
 from __future__ import annotations
@@ -18,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, FIRST, LOWER, Block, Words, blocks, repeated, windows
+from .arrays import ALNUM, FIRST, LOWER, Block, Hasher, Words, blocks, repeated, windows
 from .labelled import fold, sample
 
 PASSAGE = 64
-#: Labelled documents that training looks at, at most.
-MOST_LABELLED = 6_000
+#: Rows of labelled documents that training looks at, at most, and passages of one, spread evenly over it; scoring looks at all.
+MOST_LABELLED, MOST_PASSAGES = 6_000, 128
 
 
 def _of(chars: bytes) -> np.ndarray:
@@ -36,10 +39,13 @@ _UPPER, _DIGIT = _of(bytes(range(65, 91))), _of(bytes(range(48, 58)))
 _LETTER = ALNUM[LOWER] & ~_DIGIT
 _SIGN, _MARK, _BAR, _STOP, _LINE = _of(b"#*$%&<>@^~_=+\\/{}[]"), _of(b"!?"), _of(b"|"), _of(b".,;:"), _of(b"\n")
 
-FEATURES = (
+SURFACE = (
     "words", "length", "spread", "capitals", "shouted", "digits", "signs", "marks", "bars", "stops", "lines", "letters", "variety",
-    "same_as_last", "repeated_words", "repeated_lines", "document_words", "document_variety", "ends_signed",
+    "same_as_last", "repeated_words", "repeated_lines", "ends_signed",
 )
+#: Content: signed sums of the passage's words by a hash of the lower-cased word.
+BUCKETS = 32
+FEATURES = (*SURFACE, *(f"content_{k}" for k in range(BUCKETS)))
 
 
 def passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +67,12 @@ def passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
     add = lambda v: np.bincount(place, weights=v, minlength=total)
     size, upper, letters, digits = inside(FIRST), inside(_UPPER), (lambda s: s[w.end] - s[w.start])(sums(_LETTER[data] & FIRST[data])), inside(_DIGIT)
     chars = np.maximum(add(size), 1)
-    seen = repeated(w.row, w.hash)[1]
     same = np.zeros(len(w), bool)
-    same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.row[1:] == w.row[:-1])
+    same[1:] = (w.hash[1:] == w.hash[:-1]) & (place[1:] == place[:-1])
     at, h = windows(w, 3)
-    often = repeated(w.row[at], h)[0] > 1
+    inner = place[at] == place[np.minimum(at + 2, len(w) - 1)]  # all of a passage's measures are those of its own words
+    at, h = at[inner], h[inner]
+    often = repeated(place[at], h)[0] > 1
     again = np.zeros(len(w) + 3, bool)
     for j in range(3):
         again[at[often] + j] = True
@@ -75,18 +82,20 @@ def passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
     fw = np.searchsorted(w.start, starts)
     has = np.searchsorted(w.start, ends) > fw
     starts, ends, fw = starts[has], ends[has], fw[has]
-    double = repeated(block.row_of(starts), w.hasher.spans(starts, ends))[0] > 1
+    double = repeated(place[fw], w.hasher.spans(starts, ends))[0] > 1
     lines = np.bincount(place[fw], minlength=total)
     mean = add(size) / per_word
+    low = Hasher(LOWER[data]).spans(w.start, w.end)
+    sign = np.where(low >> np.uint64(63), 1.0, -1.0)
+    content = np.bincount(place * BUCKETS + (low % np.uint64(BUCKETS)).astype(np.int64), weights=sign, minlength=total * BUCKETS).reshape(total, BUCKETS)
     out = [
         words / PASSAGE, mean / 10, np.sqrt(np.maximum(add(size.astype(float) ** 2) / per_word - mean**2, 0)) / 10, add(upper) / chars,
         add((upper > 1) & (upper == letters)) / per_word, add(digits) / chars, add(inside(_SIGN)) / per_word, add(inside(_MARK)) / per_word,
         add(inside(_BAR)) / per_word, add(inside(_STOP)) / per_word, lines / per_word, add(letters) / chars,
         1 - np.bincount(place[repeated(place, w.hash)[1]], minlength=total) / per_word, add(same) / per_word, add(again[: len(w)]) / per_word,
-        np.bincount(place[fw[double]], minlength=total) / np.maximum(lines, 1), np.log1p(w.counts)[row] / 10,
-        (1 - np.bincount(w.row[seen], minlength=n) / np.maximum(w.counts, 1))[row], add(_SIGN[data[w.end - 1]]) / per_word,
+        np.bincount(place[fw[double]], minlength=total) / np.maximum(lines, 1), add(_SIGN[data[w.end - 1]]) / per_word,
     ]
-    return row, np.column_stack(out)
+    return row, np.column_stack((*out, content / np.sqrt(per_word)[:, None]))
 
 
 @dataclass
@@ -165,8 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", tex
         for batch in batches:
             for b in blocks(batch.column(0)):
                 row, x = passages(b)
-                own = np.arange(b.rows.start, b.rows.stop)[row]
                 number = np.arange(len(row)) - np.searchsorted(row, row)
+                n = np.bincount(row, minlength=len(b))[row]
+                few = number * MOST_PASSAGES // n != (number - 1) * MOST_PASSAGES // n  # the first of each of so many equal parts
+                row, x, number = row[few], x[few], number[few]
+                own = np.arange(b.rows.start, b.rows.stop)[row]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1).take(pa.array(own)), batch.column(2).take(pa.array(own)), pa.array(number)] + [pa.array(c.astype(np.float32)) for c in x.T],
                     names=["doc_id", "y", "passage", *FEATURES],

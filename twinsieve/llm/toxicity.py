@@ -1,12 +1,14 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
 Features: densities of a lexicon (learned words and word beginnings, by how much likelier they make the label), how
-near its words are to the second person, capitals, punctuation and obfuscation.  The lexicon is learned on one half of
-a bounded sample of labelled rows (MOST_LABELLED), trees and calibration on the other, so no score is fitted to words
-that chose themselves.  Whole texts are scored in one pass by numpy over Arrow batches; nothing is shuffled.
+near its words are to the second person, capitals, punctuation and obfuscation.  Lexicon, trees and calibration are
+learned on a bounded sample of labelled rows (MOST_LABELLED) by cross-fitting over FOLDS: features of a row come from a
+lexicon that has not seen it.  Whole texts are scored in one pass by numpy over Arrow batches; nothing is shuffled.
 
 Null texts are empty; an empty text has all features 0 and gets a score like any other.  With no labels at all every
-score is 0.5.  Rows are independent, so repeated ids, ties and extra columns do not matter.
+score is 0.5; of labels that contradict each other the largest counts, and equal scores before calibration are pooled.
+Texts of any length are scored whole.  Rows are scored one by one, so repeated ids, ties and extra columns do not matter,
+and an empty table gives an empty result; columns of `keep` must not be named score.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from pyspark.sql import functions as F
 
 from .arrays import ALNUM, FIRST, LOWER, Block, Words, blocks, repeated
 from .labelled import fold, sample
+from .scratch import stash
 
-#: Labelled documents that are looked at, at most, for lexicon, trees and calibration together.
+#: Rows of labelled documents that are looked at, at most, for lexicon, trees and calibration together.
 MOST_LABELLED = 24_000
 MOST_TERMS = 2_000
+#: Parts of the sample that take turns in being held out.
+FOLDS = 4
 PREFIXES = (4, 5, 6, 7, 8)
 
 #: Second-person words of some languages (fixed values).
@@ -87,26 +92,37 @@ class Lexicon:
         return np.max([self.weights(h) for h in terms(w)], axis=0) if len(w) else np.zeros(0)
 
 
-def learn_lexicon(rows: DataFrame, positives: int, negatives: int, least: int = 3) -> Lexicon:
-    """From rows (text, y): terms in `least` positive documents at least and much likelier there, MOST_TERMS at most."""
+def count_terms(rows: DataFrame) -> DataFrame:
+    """h (term), n1_k, n0_k: in how many positive and other documents of fold k of rows (text, y, part) each term occurs."""
+    names = [f"n{y}_{k}" for k in range(FOLDS) for y in (1, 0)]
 
     def run(batches):
         for batch in batches:
-            y = np.array(batch.column(1).to_pylist(), dtype=np.int64)
+            y, part = (np.array(batch.column(i).to_pylist(), dtype=np.int64) for i in (1, 2))
             for b in blocks(batch.column(0)):
                 w = Words(b, ALNUM, lower=True)
                 row, h = np.tile(w.row, 1 + len(PREFIXES)), np.concatenate(terms(w))
                 row, h = row[h != 0], h[h != 0]
                 once = ~repeated(row, h)[1]
+                row = row[once]
                 keys, which = np.unique(h[once], return_inverse=True)
-                label = y[b.rows][row[once]]
-                n1 = np.bincount(which, weights=label, minlength=len(keys)).astype(np.int64)
-                n = np.bincount(which, minlength=len(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n1), pa.array(n - n1)], names=["h", "n1", "n0"])
-
-    counts = rows.select("text", "y").mapInArrow(run, "h long, n1 long, n0 long").groupBy("h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    weight = F.log((F.col("n1") + 0.5) / F.lit(positives + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(negatives + 1.0))
-    best = counts.where(F.col("n1") >= least).withColumn("weight", weight).where("weight > 1.5").orderBy(F.desc(F.col("weight") * F.log("n1")), "h").limit(MOST_TERMS)
+                own = 2 * part[b.rows][row] + 1 - y[b.rows][row]
+                n = np.bincount(which * len(names) + own, minlength=len(keys) * len(names)).reshape(len(keys), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(x.copy()) for x in n.T)], names=["h", *names])
+
+    counts = rows.select("text", "y", "part").mapInArrow(run, "h long, " + ", ".join(f"{x} long" for x in names))
+    return counts.groupBy("h").agg(*(F.sum(x).alias(x) for x in names))
+
+
+def learn_lexicon(counts: DataFrame, totals: dict[tuple[int, int], int], without: int | None = None, least: int = 3) -> Lexicon:
+    """From `count_terms` and the number of documents of each (y, fold), all folds but `without`: terms in `least` positive
+    documents at least and much likelier there, MOST_TERMS at most."""
+    use = [k for k in range(FOLDS) if k != without]
+    n1, n0 = (sum(F.col(f"n{y}_{k}") for k in use) for y in (1, 0))
+    positives, negatives = (sum(totals.get((y, k), 0) for k in use) for y in (1, 0))
+    weight = F.log((n1 + 0.5) / F.lit(positives + 1.0)) - F.log((n0 + 0.5) / F.lit(negatives + 1.0))
+    best = counts.select("h", n1.alias("n1"), weight.alias("weight")).where((F.col("n1") >= least) & (F.col("weight") > 1.5))
+    best = best.orderBy(F.desc(F.col("weight") * F.log("n1")), "h").limit(MOST_TERMS)
     got = sorted((np.uint64(r["h"] & (2**64 - 1)), r["weight"]) for r in best.collect())
     return Lexicon(np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], float))
 
@@ -216,11 +232,13 @@ class Trees:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, heights) of the non-decreasing function nearest to y (pool adjacent violators); interpolate between."""
-    order = np.argsort(x, kind="stable")
+    """(places, heights) of the non-decreasing function of x nearest to y (pool adjacent violators); interpolate between.
+    Equal x are one place, with the mean of their y and their number as weight."""
+    places, which, times = np.unique(x, return_inverse=True, return_counts=True)
+    means = np.bincount(which, weights=y, minlength=len(places)) / np.maximum(times, 1)
     groups: list[list[float]] = []  # sum of x, sum of y, weight
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        groups.append([a, b, 1.0])
+    for a, b, n in zip(places.tolist(), means.tolist(), times.tolist(), strict=True):
+        groups.append([a * n, b * n, float(n)])
         while len(groups) > 1 and groups[-2][1] / groups[-2][2] >= groups[-1][1] / groups[-1][2]:
             last = groups.pop()
             groups[-1] = [u + v for u, v in zip(groups[-1], last, strict=True)]
@@ -243,37 +261,43 @@ class Model:
         return 0.999 * np.interp(raw, self.places, self.heights) + 0.001 * p
 
 
-def _table(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, labels, part) of a bounded sample."""
+def _table(rows: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, part) of a bounded sample; the rows of part k by lexicon k, which has not seen them."""
 
     def run(batches):
         for batch in batches:
-            for b in blocks(batch.column(0)):
-                x = features(b, lexicon)
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(b.rows.start, len(b)) for k in (1, 2)] + [pa.array(c) for c in x.T], names=["y", "part", *FEATURES])
+            part = np.array(batch.column(2).to_pylist(), dtype=np.int64)
+            for k in np.unique(part).tolist():
+                own = batch.take(pa.array(np.flatnonzero(part == k)))
+                for b in blocks(own.column(0)):
+                    x = features(b, lexicons[k])
+                    yield pa.RecordBatch.from_arrays([own.column(i).slice(b.rows.start, len(b)) for i in (1, 2)] + [pa.array(c) for c in x.T], names=["y", "part", *FEATURES])
 
     got = rows.select("text", "y", "part").mapInArrow(run, "y int, part int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
     return got[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), got["y"].to_numpy(float), got["part"].to_numpy(int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", text: str = "text", most: int = MOST_LABELLED) -> Model:
-    """The model for a 0/1 label, from at most `most` labelled documents for which `allowed` holds."""
-    rows = sample(docs, labels, label, allowed, most, text).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(8)).cast("int")).persist()
-    for_lexicon = rows.where("part < 4")
-    n = {r["y"]: r["count"] for r in for_lexicon.groupBy("y").count().collect()}
-    lexicon = learn_lexicon(for_lexicon, n.get(1, 0), n.get(0, 0))
-    x, y, part = _table(rows.where("part >= 4"), lexicon)
-    rows.unpersist()
+    """The model for a 0/1 label, from at most `most` rows of labelled documents for which `allowed` holds.
+
+    The rows of each fold have features by a lexicon of the other folds, and trees and calibration are fitted to these, so
+    no score is fitted to words that chose themselves; the lexicon that scores is learned on all folds."""
+    rows = sample(docs, labels, label, allowed, most, text).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int"))
+    rows = stash(rows, "toxicity_sample")
+    totals = {(r["y"], r["part"]): r["count"] for r in rows.groupBy("y", "part").count().collect()}
+    counts = stash(count_terms(rows), "toxicity_terms")
+    lexicons = [learn_lexicon(counts, totals, k) for k in range(FOLDS)]
+    x, y, part = _table(rows, lexicons)
     order = np.lexsort((*x.T, y, part))  # rows come in any order; fits must not depend on it
     x, y, part = x[order], y[order], part[order]
     places, heights, raw = np.zeros(0), np.zeros(0), np.zeros(len(y))
-    for k in range(4, 8):  # each part is scored by trees that have not seen it, for calibration
+    for k in range(FOLDS):  # each part is scored by trees that have not seen it, for calibration
         own = part == k
         if own.any() and (~own).any():
             raw[own] = Trees().fit(x[~own], y[~own]).decide(x[own])
     if len(set(y.tolist())) == 2:
         places, heights = isotonic(raw, y)
-    return Model(lexicon, Trees().fit(x, y) if len(y) else Trees(), places, heights)
+    return Model(learn_lexicon(counts, totals), Trees().fit(x, y) if len(y) else Trees(), places, heights)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
