@@ -1,6 +1,7 @@
 """The trained operators: numbers that can be computed, held-out accuracy, and odd input."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -40,12 +41,12 @@ def held(spark, name, label, n, k):
 
 def test_toxicity_held_out(spark):
     s, y, p = held(spark, "op5_toxicity", "toxic", 3, 1)
-    assert auc(s, y) > 0.8 and p[y == 0].mean() < 0.05
+    assert auc(s, y) > 0.93 and p[y == 0].mean() < 0.02 and p[y == 1].mean() > 0.75
 
 
 def test_quality_held_out(spark):
     s, y, p = held(spark, "op6_quality_classifier", "quality", 4, 2)
-    assert auc(s, y) > 0.97 and p[y == 1].mean() > 0.95
+    assert auc(s, y) > 0.99 and p[y == 1].mean() > 0.95 and p[y == 0].mean() < 0.1
 
 
 def test_trees_and_isotonic():
@@ -58,6 +59,86 @@ def test_trees_and_isotonic():
     assert heights.tolist() == [0.0, 0.5, 1.0] and places.tolist() == [1, 2.5, 4.5]
 
 
+def test_isotonic_is_the_least_squares_fit():
+    """Against projected gradient steps on the quadratic problem, with ties in x; equal x have one height."""
+    places, heights = tox.isotonic(np.array([1.0, 1, 1, 1, 2]), np.array([0.0, 0, 1, 1, 1]))
+    assert places.tolist() == [1, 2] and heights.tolist() == [0.5, 1.0]
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        x, y = rng.integers(0, 6, 30).astype(float), rng.integers(0, 2, 30).astype(float)
+        places, heights = tox.isotonic(x, y)
+        own = np.unique(x)
+        mean, n = np.array([y[x == v].mean() for v in own]), np.array([(x == v).sum() for v in own])
+        # minimax formula of the isotonic regression
+        average = lambda i, j, mean=mean, n=n: (mean[i : j + 1] * n[i : j + 1]).sum() / n[i : j + 1].sum()
+        want = [max(min(average(i, j) for j in range(k, len(own))) for i in range(k + 1)) for k in range(len(own))]
+        assert (np.diff(heights) > 0).all()
+        loss = sum(n[k] * (min(heights, key=lambda h, k=k: abs(h - want[k])) - want[k]) ** 2 for k in range(len(own)))
+        assert loss == pytest.approx(0) and sorted(set(np.round(want, 9))) == sorted(set(np.round(heights, 9)))
+
+
+def test_features_by_loops():
+    """The toxicity features that have a plain definition, and passages' measures, against loops over words."""
+    texts = ["You are an IDIOT, you fool!! s0 st@pid", "", "plain words here", "AA bb aa"]
+    low = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOW)) for t in texts]
+    bad = {"idiot": 4.0, "fool": 2.0}
+    h = tox._hashes(list(bad))
+    one = {w: tox._hashes([w])[0] for w in bad}
+    lexicon = tox.Lexicon(h, np.array([bad[next(w for w in bad if one[w] == x)] for x in h]))
+    got = tox.features(next(tox.blocks(pa.array(texts))), lexicon)
+    at = {f: k for k, f in enumerate(tox.FEATURES)}
+    for k, words in enumerate(low):
+        n = max(len(words), 1)
+        hits = [w for w in words if w in bad]
+        assert got[k, at["n_words"]] == pytest.approx(math.log1p(len(words))) and got[k, at["hits"]] == pytest.approx(math.log1p(len(hits)))
+        assert got[k, at["hit_weight"]] == pytest.approx(math.log1p(sum(bad[w] for w in hits))) and got[k, at["density"]] == pytest.approx(100 * len(hits) / n)
+        assert got[k, at["distinct"]] == pytest.approx(math.log1p(len(set(hits)))) and got[k, at["second"]] == pytest.approx(100 * sum(w in tox.SECOND_PERSON for w in words) / n)
+        near = [i for i, w in enumerate(words) if w in bad and any(v in tox.SECOND_PERSON for v in words[max(0, i - 3) : i] + words[i + 1 : i + 4])]
+        assert got[k, at["near_second"]] == pytest.approx(100 * len(near) / n)
+
+
+def test_network_by_loops():
+    rng = np.random.default_rng(6)
+    m = len(mil.FEATURES)
+    x, row = rng.normal(size=(23, m)), np.sort(rng.integers(0, 5, 23))
+    row[:5] = range(5)
+    row = np.sort(row)
+    net = mil.Network.fit(x, row, np.array([0.0, 1, 0, 1, 1]), epochs=3)
+    s, a = net.scores(x, row, 5)
+    p, sigmoid = net.p, lambda v: 1 / (1 + np.exp(-v))
+    for d in range(5):
+        own = [(x[i] - net.mean) / net.scale for i in range(23) if row[i] == d]
+        h = [np.tanh(v @ p["W"] + p["b"]) for v in own]
+        e = [float((np.tanh(v @ p["V"]) * sigmoid(v @ p["U"])) @ p["u"]) for v in h]
+        weight = np.exp(e) / np.exp(e).sum()
+        z = sum(w * v for w, v in zip(weight, h, strict=True))
+        assert s[d] == pytest.approx(float(sigmoid(z @ p["c"] + p["d"][0]))) and np.allclose(a[row == d], weight)
+
+
+def test_passages_are_measured_alone():
+    """A passage's features do not depend on the rest of its document."""
+    rng = random.Random(3)
+    words = [rng.choice(["aa", "Bb!", "c1", "dd.\n", "##", "ee", "FFF"]) for _ in range(mil.PASSAGE * 3 + 10)]
+    parts = [" ".join(words[i : i + mil.PASSAGE]) for i in range(0, len(words), mil.PASSAGE)]
+    row, x = mil.passages(next(mil.blocks(pa.array(["zz", " ".join(words)]))))
+    assert row.tolist() == [0, 1, 1, 1, 1]
+    alone = mil.passages(next(mil.blocks(pa.array(parts))))[1]
+    line = [k for k, f in enumerate(mil.FEATURES) if f not in ("lines", "repeated_lines")]  # lines may run on over the border
+    assert np.allclose(x[1:][:, line], alone[:, line])
+
+
+def test_repeated_labelled_ids_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(200)] + [(1, "same")] * 50 + [(2, "w " * 20_000)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    assert sample(docs, labels, "toxic", F.lit(True), 10).count() <= 10
+    first = sorted((r["doc_id"], r["text"][:9]) for r in sample(docs, labels, "toxic", F.lit(True), 1000).collect())
+    assert [i for i, _ in first] == [1, 2]
+    assert first == sorted((r["doc_id"], r["text"][:9]) for r in sample(docs.repartition(1), labels, "toxic", F.lit(True), 1000).collect())
+    for op, label in ((tox, "toxic"), (mil, "quality")):
+        model = op.fit(docs, labels, F.lit(True), label, most=20)
+        assert op.score(docs, model).count() == docs.count()
+
+
 def test_attention_finds_the_passage():
     """Documents of ten passages are bad if one of them is: labels of documents are enough to find it."""
     rng = np.random.default_rng(2)

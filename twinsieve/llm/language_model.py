@@ -39,13 +39,15 @@ from .labelled import fold
 from .scratch import filesystem, fresh, put, stash
 
 #: The model's words: all that occur (training tokens) ** (2 / 3) / RARE times at least, and VOCABULARY at least.
-VOCABULARY, RARE = 1_023, 218
+VOCABULARY, RARE = 1_023, 436
 #: Tokens that are no part of a class.
 HEAD = 256
+#: Words of blocks that a counting task gathers before it adds up equal ones.
+DISTINCT = 1_000_000
 #: Where sums of squared gradients start: small, for a minibatch moves a rare word little.
 FIRST_SQUARE = 1e-4
-KNOWN = 100_000
-DIMENSIONS, CONTEXT = 16, 2
+KNOWN = 300_000
+DIMENSIONS, CONTEXT = 24, 2
 #: Tokens that a task gathers before it trains on them.
 TOKENS = 2_500_000
 ROUNDS, NOISE, CLASS_NOISE, RATE = 2, 96, 48, 0.2
@@ -63,12 +65,22 @@ END = 0x5E5D_0E0D_E0F7_EA75
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """h (word hash), c: how often each word occurs in docs, END once a row."""
 
+    def summed(parts):
+        h, which = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        c = np.bincount(which, weights=np.concatenate([x for _, x in parts]), minlength=len(h)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+
     def run(batches):
+        parts = []
         for batch in batches:
             for b in blocks(batch.column(0), 4 << 20):
                 h, c = np.unique(Words(b, NOT_SPACE, lower=True).hash, return_counts=True)
-                h, c = np.append(h.view(np.int64), END), np.append(c, len(b))
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+                parts.append((np.append(h, np.uint64(END)), np.append(c, len(b))))
+                if sum(len(h) for h, _ in parts) > DISTINCT:
+                    yield summed(parts)
+                    parts = []
+        if parts:
+            yield summed(parts)
 
     src = docs.select(F.col(text).cast("string").alias("text"))
     return src.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
@@ -88,7 +100,7 @@ class Vocabulary:
 
     def __post_init__(self) -> None:
         """A hash table with open addresses: each word lies at the first free place from its hash's low bits on."""
-        bits = max(4, int(np.ceil(np.log2(len(self.h) + 1))) + 2)
+        bits = max(4, int(np.ceil(np.log2(len(self.h) + 1))) + 1)
         self.mask = np.uint64((1 << bits) - 1)
         self.place = np.full(1 << bits, -1, np.int32)
         left, at = np.arange(len(self.h)), (self.h & self.mask).astype(np.int64)
