@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from twinsieve.llm import ngram_join as nj
@@ -55,6 +56,31 @@ def near_copies(seed, groups=60):
     return docs
 
 
+def test_runs_of_any_length():
+    rng = np.random.default_rng(2)
+    for limit in (1, 3, 10, 10_000):
+        for _ in range(60):
+            key = np.sort(rng.choice([1, 2, 3, 5, 9], rng.integers(0, 40), p=[0.6, 0.1, 0.1, 0.1, 0.1]))
+            rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.arange(len(key)))], names=["k", "v"])
+            cuts = np.sort(rng.integers(0, len(key) + 1, 5)).tolist()
+            batches = [rows.slice(i, j - i) for i, j in zip([0, *cuts], [*cuts, len(key)], strict=True)]
+            got = list(nj._runs(batches, 2, limit))
+            assert np.concatenate([np.zeros(0, int), *(v for _, (_, v) in got)]).tolist() == list(range(len(key)))
+            whole = [set(k.tolist()) for long, (k, _) in got if not long]
+            parts = [set(k.tolist()) for long, (k, _) in got if long]
+            assert all(len(x) == 1 for x in parts) and (limit < 10_000 or not parts)
+            assert sum(map(len, whole)) == len(set().union(*whole)) and not set().union(*whole) & set().union(*parts)
+
+
+@pytest.mark.parametrize("rows", [2, 7])
+def test_long_runs_stream_by(spark, monkeypatch, rows):
+    monkeypatch.setattr(nj, "RUN_ROWS", rows)
+    monkeypatch.setattr(nj, "SEEN_CLASSES", 5)
+    docs = near_copies(5, 40)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nj.ngram_join(df).collect()), key=str) == brute(docs, 3, 90, 100)
+
+
 @pytest.mark.parametrize(("size", "num", "den", "tile"), [(3, 90, 100, 1000), (5, 80, 100, 4), (1, 60, 100, 3)])
 def test_all_pairs(spark, monkeypatch, size, num, den, tile):
     monkeypatch.setattr(nj, "TILE_CLASSES", tile)

@@ -17,7 +17,8 @@
 Lower-casing is A-Z only and words are `[^\\x20\\x09-\\x0D]+`.  With fewer words than `size`, the sequence is one
 shingle; null, empty and blank texts have none and link with nothing (component_id is their own doc_id).  Sets are of
 64-bit hashes: two different shingles of a pair are taken for one with a chance of 2**-64.  Null doc_ids take part and
-are never the smallest; repeated doc_ids are judged row by row; extra columns are not looked at.
+are never the smallest; repeated doc_ids are judged row by row; texts of any length are compared whole, and an empty table
+gives an empty result.  Extra columns are not looked at; those of `keep` must not bear the names of the results.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ from .scratch import stash
 
 TILE_CLASSES, TILE_SHINGLES = 1_000, 4_000_000
 FAN_OUT = 8
+#: Rows of one key that a task holds; of a longer run the members stream by.
+RUN_ROWS = 1_000_000
+#: Classes that a task remembers, so as not to send one twice; more are forgotten, and met again below.
+SEEN_CLASSES = 1_000_000
 BITMAP_WORDS = 16
 #: Parts beyond what the threshold asks for: so many more keys two linked sets have in common at least, which tells them
 #: from sets that share a passage.
@@ -150,6 +155,8 @@ def measured(docs: DataFrame, size: int, threshold: Threshold, text: str, doc_id
 def class_keys(docs: DataFrame, size: int, threshold: Threshold, text: str) -> DataFrame:
     """key, class.  A task gives the keys of a class once, however many copies it meets."""
 
+    most = SEEN_CLASSES
+
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
@@ -159,6 +166,8 @@ def class_keys(docs: DataFrame, size: int, threshold: Threshold, text: str) -> D
                 cid = class_ids(row, h, n)
                 count = np.bincount(row, minlength=n)
                 new = np.zeros(n, bool)
+                if len(seen) > most:
+                    seen.clear()
                 for i, x in enumerate(cid.tolist()):
                     if x not in seen and count[i]:
                         seen.add(x)
@@ -170,29 +179,62 @@ def class_keys(docs: DataFrame, size: int, threshold: Threshold, text: str) -> D
     return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, class long")
 
 
-def _runs(batches, columns: int) -> Iterator[list[np.ndarray]]:
-    """The rows of sorted batches of integer columns, in pieces that end where the first column changes."""
-    rest: list[np.ndarray] | None = None
+def _runs(batches, columns: int, limit: int) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """The rows of sorted batches of integer columns, in pieces that end where the first column changes, and whether a piece
+    is part of a run of one value that is longer than `limit`; such a run comes in several pieces."""
+    rest: list[list[np.ndarray]] = []  # pieces of one value
+    held, long = 0, False
+    join = lambda pieces: [np.concatenate(x) for x in zip(*pieces, strict=True)]
     for batch in batches:
         if not batch.num_rows:
             continue
         own = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
-        if rest is not None:
-            own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+        if rest and own[0][0] != rest[0][0][0] or long and own[0][0] != last:
+            if rest:
+                yield long, join(rest)
+            rest, held, long = [], 0, False
+        if rest or long:  # what goes on with the value before
+            cut = int(np.searchsorted(own[0], own[0][0], side="right"))
+            rest.append([x[:cut] for x in own])
+            held += cut
+            if cut < len(own[0]):
+                yield long, join(rest)
+                rest, held, long = [], 0, False
+                own = [x[cut:] for x in own]
+            elif held > limit:
+                yield True, join(rest)
+                rest, held, long, last = [], 0, True, own[0][0]
+                continue
+            else:
+                last = own[0][0]
+                continue
         cut = int(np.searchsorted(own[0], own[0][-1]))
         if cut:
-            yield [x[:cut] for x in own]
-        rest = [x[cut:] for x in own]
-    if rest is not None:
-        yield rest
+            yield False, [x[:cut] for x in own]
+        rest, held, last = [[x[cut:] for x in own]], len(own[0]) - cut, own[0][-1]
+    if rest:
+        yield long, join(rest)
 
 
 def shared_blocks(keyed: DataFrame, needs: DataFrame) -> DataFrame:
     """block, class, low: the members of each set of keys (key, class) that has the same members, two at least; low is the
     smallest.  Without the classes that have fewer keys in common with others than a partner would have (`needs`)."""
 
+    limit = RUN_ROWS
+
     def run(batches):
-        for key, cid in _runs(batches, 2):
+        names = ["block", "class", "low", "odd"]
+        low = last = None  # the smallest class of a long run, which is its first, and the class before
+        for long, (key, cid) in _runs(batches, 2, limit):
+            if long:  # members stream by; the key names the block, so it is not merged with blocks of the same members
+                if low is None or low[0] != key[0]:
+                    low, last = (key[0], cid[0]), None
+                new = np.concatenate(([last is None or cid[0] != last], cid[1:] != cid[:-1]))
+                last, cid = cid[-1], cid[new]
+                n = len(cid)
+                name = mix(key[:1].view(np.uint64) + np.uint64(11)).view(np.int64)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, name)), pa.array(cid), pa.array(np.full(n, low[1])), pa.array(np.full(n, key[0] & 1))], names=names)
+                continue
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])
             key, cid = key[new], cid[new]
@@ -202,9 +244,7 @@ def shared_blocks(keyed: DataFrame, needs: DataFrame) -> DataFrame:
             name = mix(_sums(group, mix(cid.view(np.uint64) + np.uint64(5)), len(start)) + n.astype(np.uint64)).view(np.int64)
             keep = (n > 1)[group]
             group = group[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name[group]), pa.array(cid[keep]), pa.array(cid[start][group]), pa.array(key[keep] & 1)], names=["block", "class", "low", "odd"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(name[group]), pa.array(cid[keep]), pa.array(cid[start][group]), pa.array(key[keep] & 1)], names=names)
 
     c = F.col
     rows = keyed.repartition("key").sortWithinPartitions("key", "class").mapInArrow(run, "block long, class long, low long, odd long")
@@ -227,7 +267,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str) -> Data
     for r in bits.collect():  # FILTER_BUCKETS rows of 4 KB at most
         table[r["bucket"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
     table = table.ravel()
-    held = docs.sparkSession.sparkContext.broadcast(table)
+    held, most = docs.sparkSession.sparkContext.broadcast(table), SEEN_CLASSES
 
     def run(batches):
         filt, seen = held.value, set()
@@ -240,6 +280,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, size: int, text: str) -> Data
                 maybe = np.flatnonzero((filt[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
                 first = np.searchsorted(row, np.arange(n + 1))
                 out = []
+                if len(seen) > most:
+                    seen.clear()
                 for i in maybe.tolist():
                     x = int(cid[i])
                     if x not in seen:
