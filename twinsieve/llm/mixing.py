@@ -12,7 +12,8 @@ The targets come from a loop of small aggregates over the table of sources; noth
 
 Null texts have size 0 and are taken 0 words; a null source is a source of its own, last in the order; null doc_ids
 sort as an empty string.  Equal rows share their lot in a fixed way, so reruns agree.  Targets are words: the take
-that crosses a source's target is cut there (`words` of that take is less than the document's size).
+that crosses a source's target is cut there (`words` of that take is less than the document's size).  Texts of any
+length are counted whole; an empty table gives an empty result.  Extra columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -36,8 +37,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     """source, rank, weight, source_size, target: `share` of all words dealt by weight, each target at most `max_epochs`
     times its source; what is over is dealt again by weight among the others until none is over."""
     c = F.col
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = totals.withColumn("rank", F.row_number().over(W.orderBy(c("source").asc_nulls_last())) - 1)  # a row a source
+    order = c("source").asc_nulls_last()
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).repartitionByRange(order)
+    totals = stash(totals.withColumn("part", F.spark_partition_id()), "source_sizes")
+    # ranks in two levels, as there may be a source for every host: within ranges of sources, behind those before
+    parts = totals.groupBy("part").agg(F.count("*").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    ranked = totals.join(parts, "part").withColumn("rank", F.row_number().over(W.partitionBy("part").orderBy(order)) - 1 + c("before")).drop("part", "before")
     table = stash(
         ranked.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (c("rank") % len(weights) + 1).cast("int"))), "sources"
     )
