@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stash
+from .scratch import remove, stashed
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -23,7 +23,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     c = F.col
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stash(edges, name)
+    spark = edges.sparkSession
+    edges, path = stashed(edges, name)
     before = _signature(edges)
     while before[0]:
         # large star: neighbours above a node hang on the smallest of its neighbourhood
@@ -33,8 +34,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small star: a node and its neighbours below hang on the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(c("b").alias("a"), c("m").alias("b")).unionByName(low.select("a", c("m").alias("b")))
-        edges = stash(small.where("a <> b").distinct(), name)
-        after = _signature(edges)
+        edges, now = stashed(small.where("a <> b").distinct(), name)
+        remove(spark, path)  # the round before is not read again
+        path, after = now, _signature(edges)
         if after == before:
             break
         before = after

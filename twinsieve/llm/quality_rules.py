@@ -6,7 +6,8 @@ to the shared folder.  The votes depend on them alone, so EM runs over counts of
 rows whatever the corpus.  The posterior is a sum of native column expressions.
 
 Null and empty texts have no words: they fail the base rule and all measures are 0.  Rows are independent, so repeated
-ids, ties and extra columns do not matter; an empty table gives an empty result.
+ids, ties and extra columns do not matter; texts of any length are measured whole, a very long one as a block of its own,
+and an empty table gives an empty result.  Columns of `keep` must not bear the names of the measures.
 """
 
 from __future__ import annotations

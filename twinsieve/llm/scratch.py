@@ -1,7 +1,4 @@
-"""The shared folder of a job: tables that cut lineage, and files that executors write and read.
-
-The folder is `spark.checkpoint.dir`.  Only where it is unset (tests, one machine) a temporary folder stands in.
-"""
+"""The shared folder of a job: tables that cut lineage (`sources.shared`), and files that executors write and read."""
 
 from __future__ import annotations
 
@@ -12,9 +9,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..sources.shared import clean, folder, fresh, remove, stash, stashed
+
+__all__ = ["clean", "filesystem", "folder", "fresh", "prepare", "put", "remove", "stash", "stashed"]
 
-_own: list[str] = []
 _shipped: set[str] = set()
 
 
@@ -41,28 +41,6 @@ def prepare(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def folder(spark: SparkSession) -> str:
-    """URI of the shared folder, without a closing slash."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="twinsieve-"))
-            atexit.register(shutil.rmtree, _own[0], True)
-        found = f"file://{_own[0]}"
-    return found.rstrip("/")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows of df, computed once, written as Parquet to the shared folder and read from there ever after."""
-    spark, path = df.sparkSession, fresh(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def filesystem(uri: str):
     """(file system, path) for a file that an executor opens itself."""
     from pyarrow import fs
