@@ -150,4 +150,5 @@ def test_treemap_rectangles(spark):
     assert [round(w * h, 9) for *_, w, h in boxes] == [6, 6, 4, 3, 2, 2, 1] and boxes[0] == (0, 0, 3.0, 2.0)
     df = spark.createDataFrame([("/a", 30), ("/b", 10), ("/c", 0)], "parent_dir string, bytes long")
     assert rows(treemap_rectangles(df)) == [("/a", 0.0, 0.0, 0.75, 1.0), ("/b", 0.75, 0.0, 0.25, 1.0)]
+    assert rows(treemap_rectangles(df, width=100, height=10, least=30)) == [] and rows(treemap_rectangles(df, width=100, height=40, least=30), "parent_dir") == [("/a",)]
     assert squarify([], 0, 0, 1, 1) == [] and rows(treemap_rectangles(df.where("1 = 0"))) == []

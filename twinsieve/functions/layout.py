@@ -33,9 +33,11 @@ def squarify(areas: list[float], x: float, y: float, width: float, height: float
     return out
 
 
-def treemap_rectangles(nodes: DataFrame, label: str = "parent_dir", size: str = "bytes", width: float = 1.0, height: float = 1.0, most: int = 1_000) -> DataFrame:
+def treemap_rectangles(nodes: DataFrame, label: str = "parent_dir", size: str = "bytes", width: float = 1.0, height: float = 1.0, most: int = 1_000, least: float = 0.0) -> DataFrame:
     """label, x, y, width, height of the largest nodes of a page (such as `groups.treemap_nodes` gives), `most` at most,
-    laid out on the driver; nodes of size 0 have none."""
+    laid out on the driver; nodes of size 0 have none, nor those whose cell is narrower or lower than `least` (such as 5, for
+    pixels), whose place stays empty."""
     page = nodes.where(F.col(size) > 0).orderBy(F.desc(size), label).limit(most).select(label, size).collect()
     boxes = squarify([float(r[1]) for r in page], 0.0, 0.0, width, height)
-    return nodes.sparkSession.createDataFrame([(r[0], *b) for r, b in zip(page, boxes, strict=True)], f"`{label}` string, x double, y double, width double, height double")
+    shown = [(r[0], *b) for r, b in zip(page, boxes, strict=True) if min(b[2:]) >= least]
+    return nodes.sparkSession.createDataFrame(shown, f"`{label}` string, x double, y double, width double, height double")
