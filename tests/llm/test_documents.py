@@ -1,6 +1,7 @@
 """Operators that judge, mix or search documents."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -44,6 +45,37 @@ def test_verdicts(spark, edge_docs, no_docs, sf):
     assert np.mean([r["kept"] == bool(labels[r["doc_id"]]) for r in own]) > 0.97
 
 
+def test_verdicts_by_loops(spark, sf):
+    """The posterior and the verdict of every row, by expectation-maximisation in plain loops over rows."""
+    names = [f"vote_{r.name}" for r in rules.default_rules()]
+    rows = rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    votes = [[r[n] for n in names] for r in rows]
+    good, on_good, on_bad = 0.9, [0.97] * len(names), [0.3] * len(names)
+    strength, clip = max(10.0, 0.01 * len(rows)), lambda x, lo, hi: min(max(x, lo), hi)
+
+    def posterior(v):
+        odds = math.log(good / (1 - good))
+        for k, x in enumerate(v):
+            odds += math.log(on_good[k] / (1 - on_bad[k])) if x > 0 else -math.log(on_bad[k] / (1 - on_good[k])) if x < 0 else 0
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(500):
+        post, new_good, new_bad = [posterior(v) for v in votes], [], []
+        for k in range(len(names)):
+            up_g, down_g = (sum(p for p, v in zip(post, votes, strict=True) if v[k] == x) for x in (1, -1))
+            up_b, down_b = (sum(1 - p for p, v in zip(post, votes, strict=True) if v[k] == x) for x in (1, -1))
+            new_good.append(clip((up_g + 0.97 * strength) / (up_g + down_g + strength), 0.5, 0.9995))
+            new_bad.append(clip((down_b + 0.3 * strength) / (up_b + down_b + strength), 1.02 - new_good[k], 0.99))
+        share = clip((sum(post) + 1) / (len(rows) + 2), 0.05, 0.99)
+        moved = max(abs(share - good), *(abs(a - b) for a, b in zip(new_good + new_bad, on_good + on_bad, strict=True)))
+        good, on_good, on_bad = share, new_good, new_bad
+        if moved < 1e-9:
+            break
+    for r, v in zip(rows, votes, strict=True):
+        assert r["quality"] == pytest.approx(posterior(v), abs=1e-6)
+        assert r["kept"] == (not r["base_failed"] and r["quality"] >= 0.5)
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(0)
     on_good, on_bad, y = np.array([0.99, 0.95, 0.97, 0.9]), np.array([0.6, 0.8, 0.5, 0.7]), rng.random(100_000) < 0.8
