@@ -50,10 +50,10 @@ KNOWN = 300_000
 DIMENSIONS, CONTEXT = 24, 2
 #: Tokens that a task gathers before it trains on them.
 TOKENS = 500_000
-ROUNDS, NOISE, CLASS_NOISE, RATE = 2, 96, 48, 0.2
+ROUNDS, NOISE, CLASS_NOISE, RATE = 2, 96, 48, 0.15
 #: A minibatch: groups of equal contexts, FIRST_BATCH at first, then a share of all that the task has met, MINIBATCH at most;
 #: CLASS_BATCH within a class.  A group has about OFTEN tokens at most.
-FIRST_BATCH, BATCH_SHARE, MINIBATCH, CLASS_BATCH, OFTEN = 32, 256, 256, 512, 64
+FIRST_BATCH, BATCH_SHARE, MINIBATCH, CLASS_BATCH, OFTEN = 16, 512, 256, 512, 64
 #: Tasks whose parameters are averaged first among themselves.
 NEIGHBOURS = 64
 #: Rows of parameters that are averaged together.
