@@ -18,4 +18,4 @@ def test_sql(spark, duck, sf, plain, name):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in q.queries()] == [f"op{i}" for i in (*range(1, 11), 13)] + ["pipeline"]
+    assert [n.split("_")[0] for n in q.queries()] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]

@@ -339,12 +339,18 @@ class SignatureTree:
                 todo.append((level - 1, x[ok], y[ok]))
 
 
-def tile_links(cid: np.ndarray, sets: list[np.ndarray], label: np.ndarray, threshold: Threshold) -> list[tuple[int, int]]:
-    """Edges (class, smaller class) that span the components of one task's members, beyond what labels connect."""
+def tree_pairs(sets: list[np.ndarray], threshold: Threshold, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that a signature tree over the sets cannot exclude."""
+    return SignatureTree(sets).pairs(threshold)
+
+
+def tile_links(cid: np.ndarray, sets: list[np.ndarray], label: np.ndarray, threshold: Threshold, pairs=tree_pairs) -> list[tuple[int, int]]:
+    """Edges (class, smaller class) that span the components of one task's members, beyond what labels connect.  `pairs` gives the
+    pairs to verify; it may look at `root`, which is kept up to date, and leave out pairs that are connected already."""
     root = np.unique(label, return_inverse=True)[1].astype(np.int64)
     root = root.copy()
     links: list[tuple[int, int]] = []
-    for a, b in SignatureTree(sets).pairs(threshold):
+    for a, b in pairs(sets, threshold, root):
         order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
         for i, j in zip(*(x.tolist() for x in (lambda s: (s, np.append(s[1:], len(a))))(np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))))), strict=True):
@@ -363,7 +369,7 @@ def tile_links(cid: np.ndarray, sets: list[np.ndarray], label: np.ndarray, thres
     return links
 
 
-def _links(tasks: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+def _links(tasks: DataFrame, sets: DataFrame, threshold: Threshold, pairs) -> DataFrame:
     """a, b: the edges of all tasks (task, class, label)."""
 
     def run(batches):
@@ -371,7 +377,7 @@ def _links(tasks: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame
 
         def close():
             first = np.unique(np.array(cid), return_index=True)[1]
-            return tile_links(np.array(cid)[first], [np.frombuffer(items[i], np.uint64) for i in first], np.array(label)[first], threshold)
+            return tile_links(np.array(cid)[first], [np.frombuffer(items[i], np.uint64) for i in first], np.array(label)[first], threshold, pairs)
 
         out: list[tuple[int, int]] = []
         for batch in batches:
@@ -432,24 +438,22 @@ def _rest_tasks(shared: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataF
     return left.unionByName(right).select(F.xxhash64("tile", "i", "j").alias("task"), "class", "label")
 
 
-def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, class_id (equal sets), group_id (linked classes), component_id (smallest doc_id reachable by
-    links) and `keep` of every row; class_id and group_id are null for rows without shingles."""
-    c = F.col
-    threshold = Threshold(num, den)
-    rows = stash(measured(docs, size, threshold, text, doc_id, keep), "ngram_rows")
-    needs = rows.where("n > 0").groupBy("class").agg(F.first("need0").alias("need0"), F.first("need1").alias("need1"))
-    shared = stash(shared_blocks(class_keys(docs, size, threshold, text), needs), "ngram_blocks")
-    wanted = shared.select("class").distinct()
-    sets = stash(class_sets(docs, wanted, size, text), "ngram_sets")
-    sizes = sets.select("class", "n")
-    labels = components(_links(_first_tasks(shared, sizes), sets, threshold), "ngram_labels")
+def class_labels(shared: DataFrame, sets: DataFrame, threshold: Threshold, pairs=tree_pairs) -> DataFrame:
+    """node, label: the components (label: their smallest class) of the classes of sets (class, n, items) that links connect, for
+    candidates that share a block (block, class, low: its smallest class)."""
+    c, sizes = F.col, sets.select("class", "n")
+    labels = components(_links(_first_tasks(shared, sizes), sets, threshold, pairs), "ngram_labels")
     more = stash(_rest_tasks(shared, sizes, labels), "ngram_rest")
     if not more.isEmpty():
-        more_links = stash(_links(more, sets, threshold), "ngram_links")
+        more_links = stash(_links(more, sets, threshold, pairs), "ngram_links")
         if not more_links.isEmpty():
             labels = components(more_links.unionByName(labels.select(c("node").alias("a"), c("label").alias("b"))), "ngram_labels")
+    return labels
+
 
+def in_groups(rows: DataFrame, labels: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """doc_id, n_shingles, class_id, group_id, component_id and `keep` of rows (doc_id, n, class and keep)."""
+    c = F.col
     classes = rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     named = classes.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
     lowest = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
@@ -460,19 +464,35 @@ def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, te
     )
 
 
+def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, class_id (equal sets), group_id (linked classes), component_id (smallest doc_id reachable by
+    links) and `keep` of every row; class_id and group_id are null for rows without shingles."""
+    threshold = Threshold(num, den)
+    rows = stash(measured(docs, size, threshold, text, doc_id, keep), "ngram_rows")
+    needs = rows.where("n > 0").groupBy("class").agg(F.first("need0").alias("need0"), F.first("need1").alias("need1"))
+    shared = stash(shared_blocks(class_keys(docs, size, threshold, text), needs), "ngram_blocks")
+    sets = stash(class_sets(docs, shared.select("class").distinct(), size, text), "ngram_sets")
+    return in_groups(rows, class_labels(shared, sets, threshold), keep)
+
+
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
-OP3_SQL = r"""
+def components_sql(size: int, num: int, more: str = "") -> str:
+    """Components of documents linked by a share of num / 100 of their distinct `size`-word shingles, all pairs compared."""
+    return rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-s AS (SELECT DISTINCT rid, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') AS sh
-      FROM (SELECT rid, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT rid, array_to_string(w[i : i + least(len(w), {size}) - 1], ' ') AS sh
+      FROM (SELECT rid, w, unnest(range(1, len(w) - least(len(w), {size}) + 2)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
 p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY ALL),
-e AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * common >= 90 * (a.n + b.n - common)),
+e AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * common >= {num} * (a.n + b.n - common)),
 r AS (SELECT rid, rid AS other FROM d UNION SELECT r.rid, e.y FROM r JOIN e ON e.x = r.other),
 c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.other GROUP BY r.rid)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id{more} FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
 """
+
+
+OP3_SQL = components_sql(3, 90)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import wraps
 
+from .conversations import OP11_SQL, op11_conversations
 from .decontaminate import OP7_SQL, op7_decontamination
 from .importance import OP13_SQL, op13_importance
 from .language_model import op10_language_model
+from .minhash import OP12_SQL, op12_minhash
 from .mixing import OP2_SQL, op2_mixing
 from .ngram_join import OP3_SQL, op3_ngram_join
 from .prefix_tokens import op8_prefix_tokens
@@ -36,10 +38,10 @@ def _prepared(f):
 def queries() -> dict:
     ops = (
         op1_quality_rules, op2_mixing, op3_ngram_join, op4_token_files, op5_toxicity, op6_quality_classifier, op7_decontamination,
-        op8_prefix_tokens, op9_warc, op10_language_model, op13_importance, pipeline,
+        op8_prefix_tokens, op9_warc, op10_language_model, op11_conversations, op12_minhash, op13_importance, pipeline,
     )
     return {f.__name__: _prepared(f) for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op3_ngram_join": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_warc": OP9_SQL, "op13_importance": OP13_SQL}
+    return {"op2_mixing": OP2_SQL, "op3_ngram_join": OP3_SQL, "op7_decontamination": OP7_SQL, "op9_warc": OP9_SQL, "op11_conversations": OP11_SQL, "op12_minhash": OP12_SQL, "op13_importance": OP13_SQL}
