@@ -189,9 +189,10 @@ k AS (SELECT h.* EXCLUDE (name), {crc32_sql("name")} % 20 AS kind FROM h, crc_ta
 g AS (SELECT conv_id, turn, if(kind = 4, 'user', role) AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
         unnest(if(kind = 3, [1, 2], [1])) AS copy FROM k WHERE kind <> 0),
 c AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
-r AS (SELECT cid, turn, role, text, left(role, 1) AS initial, row_number() OVER v AS i, lag(left(role, 1)) OVER v AS before,
-        row_number() OVER (PARTITION BY cid, role, md5(text) ORDER BY turn NULLS FIRST) > 1 AS again
-      FROM g JOIN c ON g.conv_id IS NOT DISTINCT FROM c.conv_id WINDOW v AS (PARTITION BY cid ORDER BY turn NULLS FIRST, role, md5(text))),
+p AS (SELECT cid, turn, role, text, row_number() OVER (PARTITION BY cid, role, md5(text) ORDER BY turn NULLS FIRST) > 1 AS again
+      FROM g JOIN c ON g.conv_id IS NOT DISTINCT FROM c.conv_id),
+r AS (SELECT *, left(role, 1) AS initial, row_number() OVER v AS i, lag(left(role, 1)) OVER v AS before
+      FROM p WINDOW v AS (PARTITION BY cid ORDER BY turn NULLS FIRST, role, md5(text), again)),
 t AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate'
         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM r),
 f AS (SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
