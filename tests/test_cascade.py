@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from twinsieve.operators import cascade
 from twinsieve.plans.scan import analyze
-from twinsieve.sources import inventory
+from twinsieve.sources import inventory, shared
 
 P = b"A" * 1024
 TREE = {"/x/1": P + b"tail-one", "/x/2": P + b"tail-one", "/x/3": P + b"tail-two", "/x/4": b"B" * 1032, "/x/5": b"short", "/x/6": b"", "/x/7": None}
@@ -139,7 +139,7 @@ def test_walk_skips_what_it_may_not_read(spark, disk, monkeypatch):
 
     def lister(path):
         if path.endswith("folder_b"):
-            return [], "PermissionError: Permission denied"
+            return [("skipped", path, 0, 0, "PermissionError: Permission denied")]
         return inventory.list_directory(path)
 
     files, skipped = inventory.walk(spark, [str(disk)], ["*.bin"], lister)
@@ -150,4 +150,117 @@ def test_walk_skips_what_it_may_not_read(spark, disk, monkeypatch):
         raise PermissionError(13, "Permission denied")
 
     monkeypatch.setattr(os, "scandir", denied)
-    assert inventory.list_directory(str(disk)) == ([], "PermissionError: Permission denied")
+    assert inventory.list_directory(str(disk)) == [("skipped", str(disk), 0, 0, "PermissionError: Permission denied")]
+
+
+class Entry:
+    """A directory entry of which one call may fail."""
+
+    def __init__(self, name, fails=None):
+        self.path, self.fails = f"/d/{name}", fails
+
+    def is_symlink(self):
+        return False
+
+    def is_dir(self, follow_symlinks):
+        return False
+
+    def is_file(self, follow_symlinks):
+        return True
+
+    def stat(self, follow_symlinks):
+        if self.fails:
+            raise self.fails
+        return type("S", (), {"st_size": 3, "st_mtime": 9.5})
+
+
+def test_one_bad_entry_does_not_hide_its_siblings(monkeypatch):
+    import contextlib
+    import os
+
+    entries = [Entry("a"), Entry("b", PermissionError(13, "Permission denied")), Entry("c"), Entry("gone", FileNotFoundError(2, "gone"))]
+    monkeypatch.setattr(os, "scandir", lambda path: contextlib.nullcontext(entries))
+    assert inventory.list_directory("/d") == [("file", "/d/a", 3, 9, None), ("skipped", "/d/b", 0, 0, "PermissionError: Permission denied"), ("file", "/d/c", 3, 9, None)]
+    entries.append(Entry("broken", OSError(5, "Input/output error")))
+    with pytest.raises(OSError, match="Input/output"):
+        inventory.list_directory("/d")
+
+
+def test_an_error_other_than_permission_ends_the_walk(spark, disk):
+    def lister(path):
+        if path.endswith("folder_b"):
+            raise OSError(5, "Input/output error")
+        return inventory.list_directory(path)
+
+    with pytest.raises(Exception, match="Input/output"):
+        inventory.walk(spark, [str(disk)], lister=lister)
+    # but not below a directory that is ignored
+    assert inventory.walk(spark, [str(disk)], ["**/folder_b"], lister)[0].count() == 4
+
+
+@pytest.mark.parametrize("pattern", ["**/skipme/**", "**/skipme", "*/skipme"])
+def test_nothing_below_an_ignored_directory_is_listed(spark, disk, tmp_path_factory, pattern):
+    (disk / "skipme/deep/deeper").mkdir(parents=True)
+    (disk / "skipme/deep/deeper/x.txt").write_bytes(b"x")
+    (disk / "folder_a/skipme").mkdir()
+    (disk / "folder_a/skipme/y.txt").write_bytes(b"y")
+    log = tmp_path_factory.mktemp("log") / "listed"
+
+    def lister(path):
+        with open(log, "a") as f:
+            f.write(path + "\n")
+        return inventory.list_directory(path)
+
+    files, _ = inventory.walk(spark, [str(disk)], [pattern, "[oops"], lister)
+    assert sorted(log.read_text().split()) == sorted(str(disk / d) for d in ("", "folder_a", "folder_b", "folder_c"))
+    assert files.count() == 6 and set(paths(files)) == set(paths(inventory.from_paths(spark, [str(disk)], [pattern])))
+    log.unlink()
+    assert inventory.walk(spark, [str(disk / "skipme/deep")], [pattern], lister)[0].count() == 0 and not log.exists()
+
+
+def counting(log, broken=""):
+    """An opener that notes each file it opens."""
+
+    def opener(path):
+        with open(log, "a") as f:
+            f.write(path.rpartition("/")[2] + "\n")
+        if broken and path.endswith(broken):
+            raise PermissionError(13, "Permission denied")
+        return inventory.open_file(path)
+
+    return opener
+
+
+def test_every_file_is_opened_once_a_stage(spark, tmp_path):
+    for i in range(4):
+        (tmp_path / f"same{i}").write_bytes(b"s" * 3000)
+    (tmp_path / "size").write_bytes(b"t" * 3000)
+    (tmp_path / "other").write_bytes(b"u" * 10)
+    inv, log = inventory.from_paths(spark, [str(tmp_path)]), tmp_path / "log"
+    found = inventory.find_duplicate_files(inv, opener=counting(log))
+    for _ in range(2):
+        assert len(paths(found)) == 4
+    opened = log.read_text().split()
+    assert {n: opened.count(n) for n in set(opened)} == {"same0": 2, "same1": 2, "same2": 2, "same3": 2, "size": 1}
+
+
+def test_a_file_that_cannot_be_read_is_left_out(spark, tmp_path):
+    for name in ("a", "b", "locked"):
+        (tmp_path / name).write_bytes(b"s" * 30)
+    inv, log = shared.stash(inventory.from_paths(spark, [str(tmp_path)]), "listed"), tmp_path / "log"
+    assert [p.rpartition("/")[2] for p in paths(inventory.find_duplicate_files(inv, opener=counting(log, "locked")))] == ["a", "b"]
+    assert [p.rpartition("/")[2] for p in paths(inventory.unreadable(inventory.full_digest(inv, opener=counting(log, "b"))))] == ["b"]
+    (tmp_path / "a").unlink()
+    assert paths(inventory.find_duplicate_files(inv)) == [str(tmp_path / "b"), str(tmp_path / "locked")]
+
+
+def test_a_query_writes_digests_once(spark, monkeypatch):
+    from twinsieve.plans import catalog
+
+    made = []
+    fresh = shared.fresh
+    monkeypatch.setattr(shared, "fresh", lambda s, name: made.append(name) or fresh(s, name))
+    for name, tables in (("op_q07_filtered_groups", ["digests"]), ("op_k02_groups_and_members", ["digests"]), ("op_d03_duplicate_groups", ["digests"]), ("op_q11_quick_wins", ["digests", "elements"])):
+        made.clear()
+        catalog.queries()[name](spark, "/root/testdata/sf0.001").collect()
+        assert made == tables, name

@@ -56,7 +56,7 @@ def process(spark, config: inventory.Config, out: str, threshold: float = 0.5) -
     def write() -> None:
         for name in ("duplicates", "groups", "members", "tree", "fingerprints", "similar"):
             store.write_snapshot(getattr(found, name), f"{out}/{name}")
-        store.swap_snapshot(hashed.select("canonical_path", "last_modified", "content_hash"), f"{out}/hash_cache")
+        store.swap_snapshot(hashed.where("content_hash is not null").select("canonical_path", "last_modified", "content_hash"), f"{out}/hash_cache")
         for name in ("duplicates", "groups", "members", "tree", "fingerprints", "similar", "hash_cache"):
             store.drop_other_versions(spark, f"{out}/{name}")
 
@@ -70,7 +70,7 @@ def process(spark, config: inventory.Config, out: str, threshold: float = 0.5) -
 
 def inventory_candidates(files):
     """Files that agree with another in size and in their first bytes."""
-    return cascade.repeated(inventory.read_prefix(cascade.same_size(files)), ["file_size", "partial_hash"])
+    return cascade.once_repeated(inventory.read_prefix(cascade.same_size(files)), ["file_size", "partial_hash"], "prefixes")
 
 
 def _kept(df):

@@ -1,9 +1,10 @@
 """Exact duplicates by a cascade: size, then a digest of the first bytes, then a digest of all bytes.
 
-Contents are read and digested in the scan, where they are at hand, and dropped before any shuffle: every stage groups
-rows of path, size and digests and keeps rows by a semi-join.  The price is that contents of all sizes are digested (one
-pass at the speed of the digest), where a cascade over files that can be opened again (`sources.inventory.
-find_duplicate_files`) reads only what the stage before has left.  A key is (size, digest), with the columns of `within`
+Contents are read and digested once, in the scan, and dropped before any shuffle: the slim rows of path, size and digests
+are written to the shared folder, counted there by key, and kept by a semi-join with the keys that repeat, so a group of
+any size is never gathered.  The price is that contents of all sizes are digested (one pass at the speed of the digest),
+where a cascade over files that can be opened again (`sources.inventory.find_duplicate_files`) reads only what the stage
+before has left.  A key is (size, digest), with the columns of `within`
 (such as a session) in front.  Empty files are no duplicates.
 """
 
@@ -15,16 +16,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import digest
+from ..sources.shared import stash
 
 PREFIX_BYTES = 1024
 
 
 def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows whose keys occur more than once."""
+    """The rows whose keys occur more than once.  `df` is evaluated twice, for the keys and for the rows: pass a table, or what
+    is as cheap (`once_repeated` for anything else)."""
     often = df.groupBy(*keys).count().where("count > 1").select(*keys)
     return df.join(often, list(keys), "left_semi")
 
 
+def once_repeated(df: DataFrame, keys: Sequence[str], name: str = "digests") -> DataFrame:
+    """`repeated`, with df evaluated once and written to the shared folder, now."""
+    return repeated(stash(df, name), keys)
+
+
 def same_size(files: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     return repeated(files.where("file_size > 0"), [*within, "file_size"])
 
@@ -41,13 +49,18 @@ def digested(files: DataFrame, algorithm: str = "md5", prefix: int | None = PREF
 
 def same_prefix(files: DataFrame, within: Sequence[str] = (), algorithm: str = "md5", prefix: int = PREFIX_BYTES) -> DataFrame:
     """Rows of `files` that agree in size and in a digest of their first bytes, with partial_hash, without the content."""
-    return repeated(digested(files, algorithm, prefix, whole=False), [*within, "file_size", "partial_hash"])
+    return once_repeated(digested(files, algorithm, prefix, whole=False), [*within, "file_size", "partial_hash"])
 
 
 def find_duplicates(files: DataFrame, within: Sequence[str] = (), algorithm: str = "md5", prefix: int = PREFIX_BYTES) -> DataFrame:
     """Rows of `files` that agree in size and content (and so in their first bytes), with partial_hash and content_hash,
     without the content."""
-    return repeated(digested(files, algorithm, prefix), [*within, "file_size", "content_hash"])
+    return duplicates(stash(digested(files, algorithm, prefix), "digests"), within)
+
+
+def duplicates(digests: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """The duplicates among a table that `digested` has given."""
+    return repeated(digests, [*within, "file_size", "content_hash"])
 
 
 def groups(duplicates: DataFrame, within: Sequence[str] = ()) -> DataFrame:

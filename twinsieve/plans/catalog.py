@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions.layout import treemap_rectangles
-from ..operators import cascade, groups, review, similarity, store, tree
+from ..operators import cascade, groups, prefix_join, review, similarity, store, tree
 from ..operators.groups import GROUP, GroupFilter
 from ..sources import inventory
 from ..sources.shared import stash
@@ -56,12 +56,12 @@ def hashed(spark, d) -> DataFrame:
 
 
 def dups(spark, d) -> DataFrame:
-    """The duplicates, without contents, written once: whatever is built on them reads that table."""
-    return stash(cascade.find_duplicates(files(spark, d)), "duplicates")
+    """The duplicates, without contents.  The digests of all files are written once; what is built on this reads them."""
+    return cascade.find_duplicates(files(spark, d))
 
 
 def session_dups(spark, d) -> DataFrame:
-    return stash(cascade.find_duplicates(files(spark, d), SESSION), "session_duplicates")
+    return cascade.find_duplicates(files(spark, d), SESSION)
 
 
 def session_groups(spark, d) -> DataFrame:
@@ -72,6 +72,12 @@ def session_members(spark, d) -> DataFrame:
     return cascade.members(session_dups(spark, d), SESSION)
 
 
+def session_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    """(groups, members), both over one table of digests."""
+    found = session_dups(spark, d)
+    return cascade.groups(found, SESSION), cascade.members(found, SESSION)
+
+
 def decisions(spark, d) -> DataFrame:
     """canonical_path, action: labels of quality 1 keep, of quality 0 delete."""
     act = F.when(F.col("quality") == 1, "keep").when(F.col("quality") == 0, "delete")
@@ -329,6 +335,41 @@ def _(spark, d):
     return similarity.scored(e).where("score >= 0.02").select("entity_a", "entity_b", "score", "shared")
 
 
+def order_parts(spark, d) -> DataFrame:
+    """The parts of each order, as sets."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return rows.select(F.col("l_orderkey").alias("entity"), F.col("l_partkey").alias("element"), F.lit(1).cast("long").alias("weight")).distinct()
+
+
+def _exact(source: str, threshold: float) -> str:
+    """SQL for the pairs of different sets at a threshold, all pairs compared, and the classes of equal sets."""
+    return f"""x_n AS (SELECT entity, count(*) AS n, string_agg(element::VARCHAR, ',' ORDER BY element::VARCHAR) AS print FROM {source} GROUP BY entity),
+x_r AS (SELECT entity, n, min(entity) OVER p AS representative, count(*) OVER p AS members FROM x_n WINDOW p AS (PARTITION BY print)),
+x_e AS (SELECT * FROM {source} WHERE entity IN (SELECT representative FROM x_r)),
+x_o AS (SELECT a.entity AS entity_a, b.entity AS entity_b, count(*) AS shared FROM x_e a JOIN x_e b ON a.element = b.element AND a.entity < b.entity GROUP BY ALL),
+x_s AS (SELECT entity_a, entity_b, shared, shared / (x.n + y.n - shared)::DOUBLE AS score FROM x_o JOIN x_n x ON x.entity = entity_a JOIN x_n y ON y.entity = entity_b),
+x_p AS (SELECT * FROM x_s WHERE score >= {threshold}),
+"""
+
+
+ORD = "WITH ord AS (SELECT DISTINCT l_orderkey AS entity, l_partkey AS element FROM lineitem),\n"
+
+
+@_query("op_j04_exact_orders", ORD + _exact("ord", 0.3) + END + "SELECT entity_a, entity_b, shared, score FROM x_p")
+def _(spark, d):
+    return prefix_join.exact_similarity(order_parts(spark, d), 0.3)[0].select("entity_a", "entity_b", "shared", "score")
+
+
+@_query("op_j04_exact_directories", INV + _exact("ela", 0.05) + END + "SELECT entity_a, entity_b, shared, score FROM x_p")
+def _(spark, d):
+    return prefix_join.exact_similarity(elements(spark, d, "all"), 0.05)[0].select("entity_a", "entity_b", "shared", "score")
+
+
+@_query("op_j07_order_classes", ORD + _exact("ord", 0.3) + END + "SELECT entity, representative, members FROM x_r WHERE members > 1")
+def _(spark, d):
+    return similarity.equal_classes(order_parts(spark, d))
+
+
 @_query("op_j05_match_types", INV + _similar("el", "p", 0.1) + "SELECT entity_a, entity_b, n_a, n_b, shared, match_type FROM p_s")
 def _(spark, d):
     e = elements(spark, d)
@@ -440,20 +481,20 @@ stat AS (SELECT *, CASE WHEN n_decided = 0 THEN 'unreviewed' WHEN n_decided = n_
 AND wasted_bytes >= 500 ORDER BY wasted_bytes DESC, content_hash, file_size LIMIT 50""")
 def _(spark, d):
     by = GroupFilter(text="1", file_type="documents", drive="C", min_wasted=500)
-    return groups.filter_groups(session_groups(spark, d), session_members(spark, d), slim(spark, d), decisions(spark, d), "en", by).select(*GROUP, "file_count", "wasted_bytes", "sample_name")
+    return groups.filter_groups(*session_tables(spark, d), slim(spark, d), decisions(spark, d), "en", by).select(*GROUP, "file_count", "wasted_bytes", "sample_name")
 
 
 @_query("op_q07_groups_by_status", INV + REVIEW + END + """SELECT content_hash, file_count, sample_name FROM stat WHERE session_id = 'en' AND status = 'partial' AND wasted_bytes <= 100000
 ORDER BY sample_name, content_hash, file_size LIMIT 50""")
 def _(spark, d):
     by = GroupFilter(status="partial", max_wasted=100_000)
-    return groups.filter_groups(session_groups(spark, d), session_members(spark, d), slim(spark, d), decisions(spark, d), "en", by, "name", True).select("content_hash", "file_count", "sample_name")
+    return groups.filter_groups(*session_tables(spark, d), slim(spark, d), decisions(spark, d), "en", by, "name", True).select("content_hash", "file_count", "sample_name")
 
 
 @_query("op_q07_filtered_count", INV + REVIEW + END + "SELECT count(*) AS total FROM stat WHERE session_id = 'en' AND has_text = 1 AND status = 'unreviewed'")
 def _(spark, d):
     by = GroupFilter(text="1", status="unreviewed")
-    return groups.matching_groups(session_groups(spark, d), session_members(spark, d), slim(spark, d), decisions(spark, d), "en", by).agg(F.count("*").alias("total"))
+    return groups.matching_groups(*session_tables(spark, d), slim(spark, d), decisions(spark, d), "en", by).agg(F.count("*").alias("total"))
 
 
 INDIR = """cop AS (SELECT canonical_path, count(*) OVER (PARTITION BY session_id, file_size, content_hash) AS copies FROM sdups WHERE session_id = 'en'),
@@ -484,7 +525,10 @@ def _(spark, d):
 SELECT * FROM (SELECT 'directory' AS kind, entity_a || ' = ' || entity_b AS label, shared_weight AS bytes, 2::BIGINT AS copies FROM p WHERE match_type = 'exact' ORDER BY shared_weight DESC, entity_a, entity_b LIMIT 5)
 UNION ALL SELECT 'group', min(file_name), wasted_bytes, file_count FROM g5 JOIN sdups USING (session_id, file_size, content_hash) GROUP BY session_id, file_size, content_hash, wasted_bytes, file_count""")
 def _(spark, d):
-    return groups.quick_wins(pairs(spark, d), session_groups(spark, d), session_members(spark, d), slim(spark, d), "en")
+    digests = stash(cascade.digested(files(spark, d)), "digests")
+    alike = similarity.set_similarity(stash(tree.directory_elements(cascade.duplicates(digests)), "elements"))
+    own = cascade.duplicates(digests, SESSION)
+    return groups.quick_wins(alike, cascade.groups(own, SESSION), cascade.members(own, SESSION), slim(spark, d), "en")
 
 
 @_query("op_q12_search", INV + INDIR + END + "SELECT canonical_path, file_name, copy_count FROM indir WHERE canonical_path ILIKE '%OC\\_9%' ESCAPE '\\' ORDER BY file_name, canonical_path LIMIT 20")
@@ -660,7 +704,8 @@ def _(spark, d):
 
 @_query("op_k02_groups_and_members", INV + END + "SELECT session_id, content_hash, file_size, file_count, wasted_bytes, canonical_path FROM sgrp JOIN sdups USING (session_id, content_hash, file_size)")
 def _(spark, d):
-    return session_groups(spark, d).join(session_members(spark, d), GROUP).select("session_id", "content_hash", "file_size", "file_count", "wasted_bytes", "canonical_path")
+    found, members = session_tables(spark, d)
+    return found.join(members, GROUP).select("session_id", "content_hash", "file_size", "file_count", "wasted_bytes", "canonical_path")
 
 
 @_query("op_k03_find_session", INV + """want AS (SELECT * FROM (VALUES ('["/de"]', 'n1'), ('["/fr"]', 'n2'), ('["/xx"]', 'n3')) t(root_paths, new_id)),

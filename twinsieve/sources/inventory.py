@@ -116,52 +116,85 @@ def from_paths(spark: SparkSession, roots: Iterable[str], ignore: Sequence[str]
     return located(out.where(not_ignored(F.col("canonical_path"), ignore)).dropDuplicates(["canonical_path"]))
 
 
-def list_directory(path: str) -> tuple[list[tuple[str, str, int, int]], str | None]:
-    """((kind, path, size, modified seconds) of a directory's files and directories, None) or ([], why it cannot be read).
-    Links are neither followed nor listed; an entry that vanishes meanwhile is left out."""
+def list_directory(path: str) -> list[tuple[str, str, int, int, str | None]]:
+    """(kind, path, size, modified seconds, reason) of a directory's entries: "file" and "dir", and "skipped" with a reason for
+    what may not be examined, which is the directory itself if it may not be listed.  Links are neither followed nor
+    listed, and what vanishes meanwhile is left out; any other error is raised."""
     import os
 
+    def skipped(where: str, e: OSError):
+        return ("skipped", where, 0, 0, f"{type(e).__name__}: {e.strerror}")
+
     out = []
     try:
-        with os.scandir(path) as entries:
-            for e in entries:
-                try:
-                    if e.is_symlink():
-                        continue
-                    if e.is_dir(follow_symlinks=False):
-                        out.append(("dir", e.path, 0, 0))
-                    elif e.is_file(follow_symlinks=False):
-                        s = e.stat(follow_symlinks=False)
-                        out.append(("file", e.path, s.st_size, int(s.st_mtime)))
-                except FileNotFoundError:
+        entries = os.scandir(path)
+    except FileNotFoundError:
+        return out
+    except PermissionError as e:
+        return [skipped(path, e)]
+    with entries as listed:
+        for e in listed:
+            try:
+                if e.is_symlink():
                     continue
-    except OSError as e:
-        return [], f"{type(e).__name__}: {e.strerror}"
-    return out, None
+                if e.is_dir(follow_symlinks=False):
+                    out.append(("dir", e.path, 0, 0, None))
+                elif e.is_file(follow_symlinks=False):
+                    s = e.stat(follow_symlinks=False)
+                    out.append(("file", e.path, s.st_size, int(s.st_mtime), None))
+            except FileNotFoundError:
+                continue
+            except PermissionError as denied:
+                out.append(skipped(e.path, denied))
+    return out
+
+
+def ignores(patterns: Sequence[str]):
+    """Whether a path itself matches a pattern, as a function that can be sent to tasks; invalid patterns are logged and do not
+    count."""
+    import logging
+
+    regexes = [glob_regex(p) for p in patterns]
+    for p, r in zip(patterns, regexes, strict=True):
+        if r is None:
+            logging.getLogger(__name__).warning("invalid pattern %s", p)
+    found = [r for r in regexes if r]
+    if not found:
+        return lambda path: False
+    matches = re.compile("|".join(f"(?:{r})" for r in found), re.DOTALL).match
+    return lambda path: matches(path) is not None
 
 
 def walk(spark: SparkSession, roots: Iterable[str], ignore: Sequence[str] = (), lister=list_directory) -> tuple[DataFrame, DataFrame]:
-    """(inventory of file trees, metadata only, without empty files; skipped: path, reason of directories that cannot be read).
+    """(inventory of file trees, metadata only, without empty files; skipped: path, reason of what may not be read).
 
     Directories are listed by tasks, a level of the trees at a time, so a wide tree is read by all executors (which must
-    see the paths); a directory that may not be read is logged and skipped.  Missing roots give nothing."""
+    see the paths).  The price is a job and a small table for each level.  A directory that matches a pattern of `ignore` is not descended
+    into, and neither is a root that does or lies below one that does; a file that matches is left out.  What may not be
+    read is logged and skipped, and its siblings are kept; other errors end the walk.  Missing roots give nothing (roots
+    are tested on the driver)."""
     import logging
+    import os
 
     schema = "kind string, path string, size long, modified long, reason string"
+    ignored = ignores(ignore)
 
     def run(batches):
         import pyarrow as pa
 
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                entries, reason = lister(path)
-                rows = [(*e, None) for e in entries] if reason is None else [("skipped", path, 0, 0, reason)]
+                rows = [e for e in lister(path) if e[0] == "skipped" or not ignored(e[1])]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["kind", "path", "size", "modified", "reason"])
+                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["kind", "path", "size", "modified", "reason"])
 
-    import os
+    def hidden(root: str) -> bool:
+        parts = root.split("/")
+        return any(ignored("/".join(parts[:i])) for i in range(1, len(parts) + 1))
 
-    kept = [r for r in reduce_roots(roots) if os.path.isdir(r)]
+    kept = [r for r in reduce_roots(roots) if os.path.isdir(r) and not hidden(r)]
     level, levels = spark.createDataFrame([(r,) for r in kept], "path string"), []
     while not level.isEmpty():
         levels.append(stash(level.repartition("path").mapInArrow(run, schema), "walk"))
@@ -173,50 +206,72 @@ def walk(spark: SparkSession, roots: Iterable[str], ignore: Sequence[str] = (),
     for path, reason in skipped.limit(100).collect():
         logging.getLogger(__name__).warning("skipped %s: %s", path, reason)
     files = found.where("kind = 'file' and size > 0").select(F.col("path").alias("canonical_path"), F.col("size").alias("file_size"), F.col("modified").alias("last_modified"))
-    return located(files.where(not_ignored(F.col("canonical_path"), ignore)) if ignore else files), skipped
+    return located(files), skipped
+
+
+def open_file(path: str):
+    """A file or an object of any store, opened for reading from its start."""
+    from pyarrow import fs
 
+    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return system.open_input_stream(place)
 
-def _digests(files: DataFrame, column: str, limit: int | None, algorithm: str) -> DataFrame:
+
+def _digests(files: DataFrame, column: str, limit: int | None, algorithm: str, opener) -> DataFrame:
     names = files.columns
 
-    def run(batches):
+    def digest_of(path: str) -> str | None:
         import hashlib
+        import logging
 
-        from pyarrow import fs
+        h = hashlib.new(algorithm)
+        try:
+            with opener(path) as f:
+                if limit is not None:
+                    h.update(f.read(limit))
+                else:
+                    while piece := f.read(1 << 20):
+                        h.update(piece)
+        except OSError as e:
+            logging.getLogger(__name__).warning("cannot read %s: %s", path, e)
+            return None
+        return h.hexdigest()
 
+    def run(batches):
         for pdf in batches:
-            out = []
-            for path in pdf["canonical_path"]:
-                system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-                h = hashlib.new(algorithm)
-                with system.open_input_stream(place) as f:
-                    if limit is not None:
-                        h.update(f.read(limit))
-                    else:
-                        while piece := f.read(1 << 20):
-                            h.update(piece)
-                out.append(h.hexdigest())
-            yield pdf.assign(**{column: out})[[*names, column]]
+            yield pdf.assign(**{column: [digest_of(p) for p in pdf["canonical_path"]]})[[*names, column]]
 
     return files.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + f", {column} string")
 
 
-def read_prefix(files: DataFrame, prefix: int = 1024, algorithm: str = "md5") -> DataFrame:
-    """files with partial_hash: the digest of the first bytes, which are all that is read."""
-    return _digests(files, "partial_hash", prefix, algorithm)
+def read_prefix(files: DataFrame, prefix: int = 1024, algorithm: str = "md5", opener=open_file) -> DataFrame:
+    """files with partial_hash: the digest of the first bytes, which are all that is read.  A file that cannot be read is logged
+    by its task and has none."""
+    return _digests(files, "partial_hash", prefix, algorithm, opener)
+
+
+def full_digest(files: DataFrame, algorithm: str = "md5", opener=open_file) -> DataFrame:
+    """files with content_hash, read in pieces of 1 MB whatever a file's size.  A file that cannot be read to its end is logged by
+    its task and has none."""
+    return _digests(files, "content_hash", None, algorithm, opener)
+
 
+def find_duplicate_files(files: DataFrame, prefix: int = 1024, algorithm: str = "md5", opener=open_file) -> DataFrame:
+    """The cascade over real files: metadata, then first bytes of files of one size, then all bytes of what is left.
 
-def full_digest(files: DataFrame, algorithm: str = "md5") -> DataFrame:
-    """files with content_hash, read in pieces of 1 MB whatever a file's size."""
-    return _digests(files, "content_hash", None, algorithm)
+    Each stage is written before it is counted, so that each file is opened once a stage.  Files that cannot be read go; `unreadable`
+    tells them."""
+    from ..operators.cascade import once_repeated, same_size
 
+    some = read_prefix(same_size(stash(files, "inventory")), prefix, algorithm, opener)
+    few = once_repeated(some, ["file_size", "partial_hash"], "prefixes").where("partial_hash is not null")
+    return once_repeated(full_digest(few, algorithm, opener), ["file_size", "content_hash"]).where("content_hash is not null")
 
-def find_duplicate_files(files: DataFrame, prefix: int = 1024, algorithm: str = "md5") -> DataFrame:
-    """The cascade over real files: metadata, then first bytes of files of one size, then all bytes of what is left."""
-    from ..operators.cascade import repeated, same_size
 
-    few = repeated(read_prefix(same_size(files), prefix, algorithm), ["file_size", "partial_hash"])
-    return repeated(full_digest(few, algorithm), ["file_size", "content_hash"])
+def unreadable(digested: DataFrame) -> DataFrame:
+    """canonical_path of the files of `read_prefix` or `full_digest` that could not be read."""
+    column = "content_hash" if "content_hash" in digested.columns else "partial_hash"
+    return digested.where(F.col(column).isNull()).select("canonical_path")
 
 
 def from_documents(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cascade import repeated
+from ..operators.cascade import once_repeated, repeated
 
 
 def changes(previous: DataFrame, current: DataFrame) -> DataFrame:
@@ -21,12 +21,12 @@ def changes(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 def rescan(previous: DataFrame, current: DataFrame, hashed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Duplicates of `current` (canonical_path, file_size, last_modified): hashes of unchanged files are taken from
-    `previous` (with content_hash), and only changed files of a size that repeats are read by `hashed`."""
+    `previous` (with content_hash), and only changed files of a size that repeats are read by `hashed`, once."""
     key = ["canonical_path", "file_size", "last_modified"]
     sized = repeated(current.where("file_size > 0"), ["file_size"])
     known = sized.join(previous.where("content_hash is not null").select(*key, "content_hash").dropDuplicates(key), key)
     fresh = hashed(sized.join(known.select(*key), key, "left_anti"))
-    return repeated(known.select(*fresh.columns).unionByName(fresh), ["file_size", "content_hash"])
+    return once_repeated(known.select(*fresh.columns).unionByName(fresh), ["file_size", "content_hash"]).where("content_hash is not null")
 
 
 def latest_files(stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
