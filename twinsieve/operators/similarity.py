@@ -3,7 +3,8 @@
 Candidates come from an inverted index of the elements that at most `max_frequency` entities have; overlaps are counted
 over all elements, from the smaller entity of each pair.  An element above the cap makes no pairs, which bounds what one
 element can add to the join by max_frequency squared; sets that are equal are found by fingerprint in any case.  With
-max_frequency=None every element makes pairs: nothing is lost, for work that grows with the square of the most frequent.
+max_frequency=None `set_similarity` finds its candidates by `prefix_join`, which loses nothing at the threshold, and `scored`,
+which has no threshold, lets every element make pairs, for work that grows with the square of the most frequent.
 """
 
 from __future__ import annotations
@@ -130,7 +131,13 @@ def set_similarity(elements: DataFrame, threshold: float = THRESHOLD, max_freque
     carry the weight of all of entity_a's elements as given, not one weight for each element; for sets in long form
     these are the same.
     """
-    found = scored(elements, max_frequency=max_frequency).where(F.col("score") >= threshold)
+    if max_frequency is None:
+        from .prefix_join import candidates
+
+        found = scored(elements, candidates(elements, threshold))
+    else:
+        found = scored(elements, max_frequency=max_frequency)
+    found = found.where(F.col("score") >= threshold)
     rest = equal_sets(elements, all_pairs).join(found.select("entity_a", "entity_b"), ["entity_a", "entity_b"], "left_anti")
     total = elements.groupBy(F.col("entity").alias("entity_a")).agg(F.count("*").alias("shared"), F.sum("weight").cast("long").alias("shared_weight"))
     same = rest.join(total, "entity_a").select("entity_a", "entity_b", F.lit(1.0).alias("score"), "shared", "shared_weight", F.lit("exact").alias("match_type"))

@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions.layout import treemap_rectangles
-from ..operators import cascade, groups, prefix_join, review, similarity, store, tree
+from ..operators import cascade, groups, prefix_join, review, similarity, sketches, store, tree, upkeep
 from ..operators.groups import GROUP, GroupFilter
 from ..sources import inventory
-from ..sources.shared import stash
+from ..sources.shared import fresh, stash
+from ..streaming import groups as stream_groups
 from ..streaming import incremental
 
 SESSION = ["session_id"]
@@ -299,6 +301,58 @@ def _(spark, d):
     return tree.expand_level(tree.directory_tree(slim(spark, d)), "/src0").select("path", "file_count", "total_size")
 
 
+KEPT = """was AS (SELECT * FROM hashed WHERE doc_id % 4 <> 1),
+now AS (SELECT * REPLACE (CASE WHEN doc_id % 6 = 2 THEN 'new' || doc_id % 50 ELSE content_hash END AS content_hash) FROM hashed WHERE doc_id % 5 <> 0),
+"""
+
+
+def _two_scans(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Two inventories: between them files of doc_ids that 4 leaves at 1 come, those that 5 divides go, and some have new contents."""
+    rows, at = hashed(spark, d).select("doc_id", *upkeep.FILE), lambda n: F.pmod(F.col("doc_id"), F.lit(n))
+    new = F.when(at(6) == 2, F.concat(F.lit("new"), at(50))).otherwise(F.col("content_hash"))
+    return rows.where(at(4) != 1), rows.where(at(5) != 0).withColumn("content_hash", new)
+
+
+def _upkept(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals and contents of the first inventory, the signed rows that lead to the second)."""
+    before, now = (stash(x, "inventories") for x in _two_scans(spark, d))
+    nothing = before.where("1 = 0")
+    first = upkeep.signed(nothing, before)
+    key = ["canonical_path", "file_size", "content_hash"]
+    steps = upkeep.signed(before.join(now, key, "left_anti"), now.join(before, key, "left_anti"))
+    return upkeep.total_deltas(first), upkeep.content_deltas(first), steps
+
+
+@_query("op_h04_upkeep", INV + KEPT + END + "SELECT path, count(*) AS file_count, sum(file_size)::BIGINT AS total_size FROM now JOIN anc USING (parent_dir) GROUP BY path")
+def _(spark, d):
+    totals, _, steps = _upkept(spark, d)
+    return upkeep.merge_totals(totals, upkeep.total_deltas(steps))
+
+
+@_query("op_h05_upkeep", INV + KEPT + END + "SELECT path AS entity, content_hash AS element, min(file_size) AS weight FROM now JOIN anc USING (parent_dir) GROUP BY ALL")
+def _(spark, d):
+    _, contents, steps = _upkept(spark, d)
+    return upkeep.elements(upkeep.merge_contents(contents, upkeep.content_deltas(steps)))
+
+
+@_query("op_h05_sketch_counts", INV + END + "SELECT entity AS path, count(*) AS hashes FROM ela GROUP BY entity")
+def _(spark, d):
+    """Exact where a directory has at most 2 ** 14 distinct hashes, as in tables of up to 16,384 documents; an estimate beyond."""
+    return sketches.distinct_content(sketches.directory_sketches(hashed(spark, d)))
+
+
+@_query("op_j04_sketch_overlaps", INV + """sz AS (SELECT entity, count(*) AS n, regexp_extract(entity, '^(.*)/[^/]+$', 1) AS parent FROM ela WHERE entity <> '/' GROUP BY entity),
+nx AS (SELECT entity AS path_a, n AS n_a, lead(entity) OVER w AS path_b, lead(n) OVER w AS n_b FROM sz WINDOW w AS (PARTITION BY parent ORDER BY entity)),
+sh AS (SELECT path_a, path_b, n_a, n_b, (SELECT count(*) FROM ela a JOIN ela b ON b.element = a.element WHERE a.entity = path_a AND b.entity = path_b) AS shared FROM nx WHERE path_b IS NOT NULL)
+SELECT *, shared / (n_a + n_b - shared)::DOUBLE AS score, shared / least(n_a, n_b)::DOUBLE AS contained FROM sh""")
+def _(spark, d):
+    """Each directory and the next one of its parent, by their sketches; exact as far as `op_h05_sketch_counts`."""
+    made = stash(sketches.directory_sketches(hashed(spark, d)), "sketches")
+    named = made.where("path <> '/'").select(tree.parent_of(F.col("path")).alias("parent"), F.col("path").alias("path_a"))
+    pairs = named.withColumn("path_b", F.lead("path_a").over(W.partitionBy("parent").orderBy("path_a"))).where("path_b is not null")
+    return sketches.shared_content(made, pairs)
+
+
 # 2.5 set similarity
 
 
@@ -891,3 +945,34 @@ def _(spark, d):
     now = files(spark, d).select("canonical_path", "file_size", "last_modified", "content")
     out = incremental.rescan(before, now, lambda df: df.withColumn("content_hash", fn.digest(F.col("content"))).drop("content"))
     return out.select("canonical_path", "file_size", "content_hash")
+
+
+EVENTS = INV + """last AS (SELECT canonical_path, CASE WHEN doc_id % 5 = 0 THEN 77 ELSE file_size END AS file_size, CASE WHEN doc_id % 5 = 0 THEN 'm' || doc_id % 10 ELSE content_hash END AS content_hash
+  FROM hashed WHERE doc_id % 7 <> 0)
+SELECT file_size, content_hash, count(*) AS file_count, (file_size * (count(*) - 1))::BIGINT AS wasted_bytes FROM last WHERE file_size > 0 GROUP BY file_size, content_hash HAVING count(*) > 1"""
+
+
+def file_events(spark, d) -> DataFrame:
+    """Events of all files: seen first, then those of doc_ids that 5 divides changed, then those of doc_ids that 7 divides gone."""
+    rows, i = hashed(spark, d), F.col("doc_id")
+    none = lambda t: F.lit(None).cast(t)
+    event = lambda v, gone, size, content: F.struct(F.lit(v).cast("long").alias("version"), F.lit(gone).alias("removed"), size.cast("long").alias("file_size"), content.alias("content_hash"))
+    seen = event(1, False, F.col("file_size"), F.col("content_hash"))
+    new = F.when(F.pmod(i, F.lit(5)) == 0, event(2, False, F.lit(77), F.concat(F.lit("m"), F.pmod(i, F.lit(10)))))
+    gone = F.when(F.pmod(i, F.lit(7)) == 0, event(3, True, none("long"), none("string")))
+    return rows.select("canonical_path", F.explode(F.array_compact(F.array(gone, seen, new))).alias("e")).select("canonical_path", "e.*")
+
+
+@_query("op_i03_event_groups", EVENTS)
+def _(spark, d):
+    return stream_groups.groups_of_events(file_events(spark, d))
+
+
+@_query("op_i04_streamed_groups", EVENTS)
+def _(spark, d):
+    """The events as a stream of files, in several batches and in keyed state; the groups as of the last batch."""
+    source, out = fresh(spark, "events"), fresh(spark, "group_changes")
+    file_events(spark, d).repartition(4, F.xxhash64("canonical_path", "version")).write.parquet(source)
+    stream = spark.readStream.schema(stream_groups.EVENT).option("maxFilesPerTrigger", 2).parquet(source)
+    stream_groups.keep_groups(stream, out, fresh(spark, "group_checkpoint")).awaitTermination()
+    return stream_groups.groups_now(spark, out)
