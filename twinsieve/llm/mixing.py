@@ -2,7 +2,7 @@
 
 Training time runs from 0 to 1.  Each source has a weight schedule over it; its integral, scaled to the source's
 target, is the source's cumulative token demand.  A source's documents lie one behind another in an order drawn by
-md5(doc_id), and start again at the end; inverting the demand at a document's offset gives the time at which it is
+md5 of (doc_id, size), and start again at the end; inverting the demand at a document's offset gives the time at which it is
 trained on.  A target may be up to `max_epochs` times what the source has.
 
 Everything is native.  The running sum over a source, which may hold a third of all rows, is made in two levels: sums
@@ -11,7 +11,7 @@ folded to one with a count before that and unfolded after it, so a doc_id that r
 The targets come from a loop of small aggregates over the table of sources; nothing grows on the driver.
 
 Null texts have size 0 and are taken 0 words; a null source is a source of its own, last in the order; null doc_ids
-sort as an empty string.  Equal rows share their lot in a fixed way, so reruns agree.  Targets are words: the take
+are hashed as an empty string.  Equal rows share their lot in a fixed way, so reruns agree.  Targets are words: the take
 that crosses a source's target is cut there (`words` of that take is less than the document's size).  Texts of any
 length are counted whole; an empty table gives an empty result.  Extra columns, whatever their names, are not looked at.
 """
@@ -68,7 +68,9 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     c = F.col
     ident = F.lit(None).cast("string") if ident is None else ident
     sizes = docs.select(c(doc_id).alias("doc_id"), c(source).cast("string").alias("source"), word_count(c(text)).alias("size"), ident.alias("ident"))
-    sizes = sizes.withColumn("key", F.md5(F.coalesce(c("doc_id").cast("string"), F.lit(""))))
+    # rows of one doc_id, or of none, lie in ranges of their own unless they are equal, and equal ones are folded
+    plain = (F.coalesce(c(k).cast("string"), F.lit("")) for k in ("doc_id", "size", "ident"))
+    sizes = sizes.withColumn("key", F.md5(F.concat_ws("|", *plain)))
     folded = stash(sizes.groupBy("source", "key", "doc_id", "size", "ident").agg(F.count("*").alias("copies")), "mix_sizes")
     folded = folded.withColumn("range", F.substring("key", 1, 3)).withColumn("total", c("size") * c("copies"))
     sources = source_targets(folded.select("source", c("total").alias("size")), max_epochs=max_epochs, **how)
@@ -120,7 +122,7 @@ c AS (SELECT *, coalesce(sum(most) OVER b, 0)::DOUBLE AS used, (sum(weight) OVER
       FROM w WINDOW b AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, rank, source_size, least(most, (SELECT (want - used) / open FROM c WHERE most >= (want - used) / open * weight ORDER BY most / weight, rank LIMIT 1) * weight)
         AS target FROM w),
-p AS (SELECT s.*, t.* EXCLUDE (source), coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
+p AS (SELECT s.*, t.* EXCLUDE (source), coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || '|' || size || '|'), doc_id, size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
       FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - pos))::BIGINT AS one, greatest(0, least(size, floor(target)::BIGINT - pos - source_size))::BIGINT AS two,
