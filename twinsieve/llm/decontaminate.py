@@ -2,19 +2,19 @@
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z.  A benchmark item gives each run of `size` words, or
 all its words as one window if it has fewer.  Tasks write the windows with their items to block files of about
-BLOCK_WINDOWS in the shared folder, and a bit filter of each block.  A worker holds the filters of all blocks
+BLOCK_WINDOWS in the shared folder, and a bloom filter of each block.  A worker holds the filters of all blocks
 (FILTER_BYTES at most, so they are the broadcast set), hashes the windows of a batch of texts once (numpy, no object per
-word), and loads a block only for windows that pass, HELD blocks at once.  Hits are verified by comparing the words
-themselves.  Texts are never shuffled.
+word), and loads a block only for windows that pass: 1 in 400 of those that are in no item, up to 32 million benchmark
+windows.  A block is arrays (sorted hashes, words, items) in an Arrow file, and a worker keeps blocks up to HELD_BYTES.  Hits are
+verified by comparing the words themselves.  Texts are never shuffled.
 
 Null texts and items have no words; a null item_id counts as the id ''.  Equal item_ids are one item, repeated
 documents are each judged alone; texts of any length are scanned whole.  Extra columns are not looked at (those of `keep`
-must not bear the names of the results); an empty benchmark or table works.
+that bear the name of a result are an error); an empty benchmark or table works.
 """
 
 from __future__ import annotations
 
-import pickle
 from itertools import groupby
 
 import numpy as np
@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ALNUM, Words, blocks, windows
-from .columns import hide, restore
+from .arrays import ALNUM, Words, blocks, mix, windows
+from .columns import hide, no_clash, restore
 from .scratch import filesystem, fresh, put, stash
 
 SIZE = 10
-#: Windows in a block: about 40 MB of a Python process; blocks that a worker holds.
-BLOCK_WINDOWS, HELD = 200_000, 2
+#: Windows in a block: about 20 MB; bytes of blocks that a worker keeps (the block in use is kept in any case).
+BLOCK_WINDOWS, HELD_BYTES = 200_000, 256 << 20
+#: Bits that a window sets in its block's filter.
+PROBES = 4
 #: Bytes of all filters together, at most: 16 bits a window as long as these suffice.
 FILTER_BYTES = 64 << 20
 #: Windows that passed the filter and are looked up together.
@@ -36,8 +38,27 @@ PASSED = 50_000
 
 
 def _filter_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Places of hashes in a filter of `bits` bits."""
-    return ((hashes >> np.uint64(20)) % np.uint64(bits)).astype(np.int64)
+    """(PROBES, n) places of hashes in a filter of `bits` bits, all told by the one hash."""
+    step = mix(hashes) | np.uint64(1)
+    return np.stack([((mix(hashes + np.uint64(k) * step) >> np.uint64(20)) % np.uint64(bits)).astype(np.int64) for k in range(PROBES)])
+
+
+class Block:
+    """The windows of a block: hashes (sorted), and for each its words and items."""
+
+    def __init__(self, table: pa.Table):
+        self.bytes = table.nbytes
+        self.hash = table.column("hash").to_numpy()
+        self.words, self.items = (table.column(k).combine_chunks() for k in ("words", "items"))
+
+    def items_of(self, h: int, words: bytes) -> list[str] | None:
+        """The items that have the window; of windows of one hash that with these words."""
+        at = int(np.searchsorted(self.hash, h))
+        while at < len(self.hash) and self.hash[at] == h:
+            if self.words[at].as_py() == words:
+                return self.items[at].as_py()
+            at += 1
+        return None
 
 
 class Index:
@@ -59,7 +80,7 @@ class Index:
 
 class IndexReader:
     def __init__(self, index: Index):
-        self.index, self.held = index, {}
+        self.index, self.held, self.loads = index, {}, 0
         self.filters = np.zeros((index.blocks, index.bits // 8), np.uint8)
         for k in range(index.blocks):
             raw = self._read(f"{k}.filter")
@@ -76,16 +97,23 @@ class IndexReader:
 
     def maybe(self, h: np.ndarray) -> np.ndarray:
         """Positions in h of the hashes that pass their block's filter."""
-        block, bit = (h % np.uint64(self.index.blocks)).astype(np.int64), _filter_bits(h, self.index.bits)
-        return np.flatnonzero((self.filters[block, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
-
-    def block(self, k: int) -> dict[bytes, list[str]]:
-        """Words of a window -> its items."""
-        if k not in self.held:
-            while len(self.held) >= HELD:
-                self.held.pop(next(iter(self.held)))
-            raw = self._read(f"{k}.block")
-            self.held[k] = pickle.loads(raw) if raw is not None else {}
+        block = (h % np.uint64(self.index.blocks)).astype(np.int64)
+        left = np.arange(len(h))
+        for place in _filter_bits(h, self.index.bits):
+            bit = place[left]
+            left = left[((self.filters[block[left], bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool)]
+        return left
+
+    def block(self, k: int) -> Block | None:
+        """The block; None if it has no windows."""
+        if k in self.held:
+            self.held[k] = self.held.pop(k)  # the last to go
+            return self.held[k]
+        raw = self._read(f"{k}.block")
+        self.loads += 1
+        self.held[k] = None if raw is None else Block(pa.ipc.open_file(pa.py_buffer(raw)).read_all())
+        while len(self.held) > 1 and sum(b.bytes for b in self.held.values() if b) > HELD_BYTES:
+            self.held.pop(next(iter(self.held)))
         return self.held[k]
 
 
@@ -129,22 +157,28 @@ def build_index(benchmark: DataFrame, item_id: str = "item_id", text: str = "tex
     def run(batches):
         rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
         for block, own in groupby(rows, key=lambda r: r[0]):
-            filt, items = np.zeros(bits // 8, np.uint8), {}
+            hashes, texts, items = [], [], []
             for _, h, words, item in own:  # sorted, so an item that a window has twice comes twice in a row
-                known = items.setdefault(words, [])
-                if not known:
-                    bit = int(_filter_bits(np.array([h], np.int64).view(np.uint64), bits)[0])
-                    filt[bit >> 3] |= 1 << (bit & 7)
-                if not known or known[-1] != item:
-                    known.append(item)
+                if not hashes or hashes[-1] != h or texts[-1] != words:
+                    hashes.append(h)
+                    texts.append(words)
+                    items.append([item])
+                elif items[-1][-1] != item:
+                    items[-1].append(item)
+            filt, h = np.zeros(bits // 8, np.uint8), np.array(hashes, np.int64)
+            for place in _filter_bits(h.view(np.uint64), bits):
+                np.bitwise_or.at(filt, place >> 3, (1 << (place & 7)).astype(np.uint8))
             put(f"{base}/{block}.filter", [filt.tobytes()])
-            put(f"{base}/{block}.block", [pickle.dumps(items)])
-            yield pa.RecordBatch.from_pylist([{"block": block, "windows": len(items)}], schema=pa.schema([("block", pa.int32()), ("windows", pa.int64())]))
+            table, out = pa.table({"hash": h, "words": pa.array(texts, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))}), pa.BufferOutputStream()
+            with pa.ipc.new_file(out, table.schema) as writer:
+                writer.write_table(table)
+            put(f"{base}/{block}.block", [out.getvalue()])
+            yield pa.RecordBatch.from_pylist([{"block": block, "windows": len(h)}], schema=pa.schema([("block", pa.int32()), ("windows", pa.int64())]))
 
     # the hash as an unsigned number modulo n, which is the signed one's and that of 2**64 where it is negative
     unsigned = F.pmod(F.pmod("hash", F.lit(n)) + F.when(F.col("hash") < 0, F.lit((1 << 64) % n)).otherwise(F.lit(0)), F.lit(n))
     rows = table.select(unsigned.cast("int").alias("block"), "hash", "words", "item").repartitionById(n, F.col("block"))
-    rows.sortWithinPartitions("block", "words", "item").mapInArrow(run, "block int, windows long").agg(F.sum("windows")).collect()
+    rows.sortWithinPartitions("block", "hash", "words", "item").mapInArrow(run, "block int, windows long").agg(F.sum("windows")).collect()
     return Index(base, n, bits, sorted(r["length"] for r in sizes))
 
 
@@ -156,14 +190,15 @@ class _Hits:
 
     def add(self, h: int, words: bytes, row: int, at: int, size: int, row_words: int) -> None:
         """A window that passed: `size` words of a row of `row_words`, from its word `at` on."""
-        self.waiting.append((h % self.reader.index.blocks, words, row, at, size, row_words))
+        self.waiting.append((h % self.reader.index.blocks, h - ((h >> 63) << 64), words, row, at, size, row_words))
         if len(self.waiting) >= PASSED:
             self.look_up()
 
     def look_up(self) -> None:
         self.waiting.sort(key=lambda x: x[0])  # each block is loaded once
-        for block, words, row, at, size, row_words in self.waiting:
-            found = self.reader.block(block).get(words)
+        for block, h, words, row, at, size, row_words in self.waiting:
+            own = self.reader.block(block)
+            found = own and own.items_of(h, words)
             if found:
                 if row not in self.words:
                     self.words[row], self.items[row] = np.zeros(row_words, bool), set()
@@ -187,6 +222,7 @@ def _without(text: str, hit: np.ndarray) -> str:
 
 def scan(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ...] = ("doc_id",), cleaned: bool = False) -> DataFrame:
     """`keep`, n_words, n_hit, items (array), and with `cleaned` the text without the hit spans as `cleaned`."""
+    no_clash(keep, "n_words", "n_hit", "items", "cleaned")
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     fields = src.schema.fields[:-1]
 
