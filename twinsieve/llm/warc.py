@@ -1,7 +1,8 @@
 """WARC archives with the index first: offset, length, URL and digest of every record, then coalesced range reads.
 
 Writing: a task writes its rows as one archive of gzip members, a record a member, and gives an index row for each.
-Archives are written whole under a name of their own and renamed, so a task that runs again changes nothing.  Reading:
+Archives are written whole, under a name that each attempt of a task has to itself and that its index rows tell, so an
+attempt that is lost, or one of two that run at once, leaves at most a file that no index row names.  Reading:
 the selected index rows are sorted by (file, offset) within byte chunks of CHUNK, neighbours are joined to one range
 read when the gap is small, and each member is parsed alone.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,42 +30,62 @@ from .scratch import filesystem, fresh, put, stash
 CHUNK = 8 << 20
 GAP = 64 << 10
 MIN_BYTES = 1000
-#: Numbers that payload digests are hashed to, to tell which rows may have a repeated payload: a broadcast of 262,144 rows at most.
-BUCKETS = 1 << 18
+#: The filter of repeated digests is FILTER_ROWS pieces of ROW_BITS bits at most (8 MB, broadcast): BITS_EACH bits a digest up to a
+#: million of them, so that 1 in BITS_EACH of the other rows passes; beyond, more pass, and are dealt with in the same way.
+FILTER_ROWS, ROW_BITS, BITS_EACH = 2_048, 32_768, 64
 #: Bytes of archives that one task reads.
 TASK_BYTES = 32 << 20
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "id long, url string, digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
 
 
+RECORD = ("id", "url", "body", "digest", "record_type", "refers_to", "payload_bytes")
+
+
+def _marked(rows: DataFrame, repeated: DataFrame, long_enough) -> DataFrame:
+    """rows with may_repeat: whether a digest may be among `repeated` (same), told by a filter that is sized by their number."""
+    c = F.col
+    pieces = min(FILTER_ROWS, max(1, -(-repeated.count() * BITS_EACH // ROW_BITS)))
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(pieces * ROW_BITS))
+    bits = repeated.select(F.floor(place("same") / ROW_BITS).cast("int").alias("piece"), (place("same") % ROW_BITS).alias("bit"))
+    bits = bits.groupBy("piece").agg(F.bitmap_construct_agg("bit").alias("bits"))  # FILTER_ROWS rows of 4 KB at most
+    at = place("digest")
+    byte = F.conv(F.hex(F.substring(c("bits"), (at % ROW_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    piece = F.when(long_enough, F.floor(at / ROW_BITS).cast("int"))
+    return rows.withColumn("piece", piece).join(F.broadcast(bits), "piece", "left").withColumn("may_repeat", F.coalesce(hit, F.lit(False))).drop("piece", "bits")
+
+
 def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """id, url, body (binary), digest, record_type, refers_to: which record stands for its payload."""
+    """RECORD: id, url, body (binary; empty for a revisit), digest, record_type, refers_to, payload_bytes: which record stands for
+    its payload."""
     c = F.col
     rows = pages.select(
         c(page_id).cast("long").alias("id"), c(url).cast("string").alias("url"), F.coalesce(F.encode(c(payload), "UTF-8"), F.lit(b"")).alias("body")
     )
-    rows = rows.withColumn("digest", F.sha1("body"))
+    rows = rows.withColumn("digest", F.sha1("body")).withColumn("payload_bytes", F.octet_length("body").cast("long"))
     long_enough = F.octet_length("body") >= min_bytes
     first = rows.where(long_enough).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n"))
     first = stash(first.where("n > 1").select(c("digest").alias("same"), c("first")), "warc_repeated")
-    # Which rows may have a repeated payload is told by BUCKETS numbers at most; only these rows meet the digests, all others
-    # stay where they are read, bodies and all.
-    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS))
-    buckets = first.select(bucket("same").alias("bucket"), F.lit(True).alias("may_repeat")).distinct()
-    marked = rows.withColumn("bucket", F.when(long_enough, bucket("digest"))).join(F.broadcast(buckets), "bucket", "left")
-    alone = marked.where("may_repeat is null").select("id", "url", "body", "digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    joined = marked.where("may_repeat").join(first, c("digest") == c("same"), "left")
+    marked = _marked(rows, first, long_enough)
+    alone = marked.where("not may_repeat").select(*RECORD[:4], F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"), "payload_bytes")
+    # Verdicts are made on slim rows, a row for each (id, digest); bodies meet them by both, so a payload of any number of
+    # pages is spread over tasks, and those of revisits go no further.
+    some = marked.where("may_repeat").withColumn("key", F.coalesce("id", F.lit(0)))
+    slim = some.select("id", "key", "digest").distinct().join(first, c("digest") == c("same"), "left")
     revisit = c("same").isNotNull() & c("first").isNotNull() & ~c("id").eqNullSafe(c("first"))
-    kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type")
-    return alone.unionByName(joined.select("id", "url", "body", "digest", kind, F.when(revisit, c("first")).alias("refers_to")))
+    slim = slim.select("key", "digest", c("id").isNull().alias("no_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, c("first")).alias("refers_to"))
+    joined = some.withColumn("no_id", c("id").isNull()).join(slim, ["key", "no_id", "digest"])
+    joined = joined.withColumn("body", F.when(c("record_type") == "response", c("body")).otherwise(F.lit(b"")))
+    return alone.select(*RECORD).unionByName(joined.select(*RECORD))
 
 
-def record(page_id: int | None, url: str, body: bytes, digest: str, kind: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str, body: bytes, digest: str, kind: str, refers_to: int | None, payload_bytes: int | None = None) -> bytes:
     """One WARC/1.1 record as a gzip member.  A revisit has the digest and size of the payload but not the payload."""
     clean = re.sub(r"[\r\n]+", " ", url or "")
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Target-URI: {clean}",
-        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(body)}", "Content-Type: application/http;msgtype=response",
+        "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(body) if payload_bytes is None else payload_bytes}", "Content-Type: application/http;msgtype=response",
     ]
     if kind == "revisit":
         head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {REVISIT}"]
@@ -87,16 +109,16 @@ def write_archives(records: DataFrame, base: str) -> DataFrame:
     """The index (INDEX) of the archives, one of each partition of `records` (columns of `classify`) that has rows."""
 
     def run(batches):
-        index, uri, offset = [], f"{base}/{TaskContext.get().partitionId():06d}.warc.gz", 0
+        index, uri, offset = [], f"{base}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", 0
 
         def members() -> Iterator[bytes]:
             nonlocal offset
             for batch in batches:
-                cols = [batch.column(i) for i in range(6)]
+                cols = [batch.column(i) for i in range(7)]
                 for row in zip(*(x.to_pylist() for x in cols), strict=True):
-                    page_id, url, body, digest, kind, ref = row
+                    page_id, url, _, digest, kind, ref, size = row
                     member = record(*row)
-                    index.append((page_id, url, digest, len(body), kind, ref, uri, offset, len(member)))
+                    index.append((page_id, url, digest, size, kind, ref, uri, offset, len(member)))
                     offset += len(member)
                     yield member
 
