@@ -2,14 +2,17 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from twinsieve.llm import decontaminate as dec
-from twinsieve.llm import mixing, queries
+from twinsieve.llm import minhash, mixing, ngram_join, queries
 from twinsieve.llm import quality_rules as rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,6 +179,54 @@ def test_common_window_and_small_caches(spark, monkeypatch):
     assert got == sorted(brute(texts, items), key=str)
 
 
+def test_the_filter_passes_few_and_blocks_are_loaded_seldom(spark, monkeypatch):
+    """Six blocks, many batches: blocks stay in the worker, and below that a block is loaded only for windows that pass."""
+    monkeypatch.setattr(dec, "BLOCK_WINDOWS", 400)
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(5000)}"
+    items = [(f"i{k}", " ".join(word() for _ in range(33))) for k in range(100)]
+    index = dec.build_index(spark.createDataFrame(items, "item_id string, text string").repartition(3))
+    assert len(index) == 6
+    reader = dec.IndexReader(index)
+    h = np.random.default_rng(1).integers(0, 2**64, 200_000, dtype=np.uint64)
+    assert len(reader.maybe(h)) / len(h) < 0.005
+    for most, loads in ((1 << 30, 6), (0, None)):
+        monkeypatch.setattr(dec, "HELD_BYTES", most)
+        reader = dec.IndexReader(index)
+        for batch in range(40):
+            hits = dec._Hits(reader)
+            for _ in range(50):  # a window of an item, and windows that are in none
+                words = items[batch % 100][1].split()[:10]
+                b = next(dec.blocks(pa.array([" ".join(words + [word() for _ in range(20)])])))
+                w = dec.Words(b, dec.ALNUM, lower=True)
+                at, own = dec.windows(w, 10)
+                for k in reader.maybe(own).tolist():
+                    hits.add(int(own[k]), w.text(int(at[k]), int(at[k]) + 10), 0, int(at[k]), 10, len(w))
+            hits.look_up()
+            assert hits.words[0][:10].all() and hits.items[0]
+        assert reader.loads <= (loads or 40 * 3)
+
+
+def test_windows_of_one_hash_are_told_apart():
+    own = dec.Block(pa.table({"hash": pa.array([-5, 3, 3, 9]), "words": pa.array([b"a ", b"b ", b"c ", b"d "], pa.binary()), "items": [["1"], ["2"], ["3", "4"], ["5"]]}))
+    assert [own.items_of(h, w) for h, w in ((3, b"b "), (3, b"c "), (3, b"x "), (-5, b"a "), (4, b"a "), (10, b"d "))] == [["2"], ["3", "4"], None, ["1"], None, None]
+
+
+@pytest.mark.parametrize("call", [lambda d: dec.scan(d, None, keep=("n_hit",)), lambda d: rules.measured(d, keep=("N_Words",)), lambda d: ngram_join.ngram_join(d, keep=("class",)), lambda d: minhash.minhash_join(d, keep=("kept",))])
+def test_columns_to_keep_may_not_be_results(edge_docs, call):
+    with pytest.raises(ValueError, match="names of results"):
+        call(edge_docs)
+
+
+def test_rows_without_an_id_do_not_lie_in_one_range_of_the_mix(spark):
+    texts = F.concat_ws(" ", F.array_repeat(F.lit("w"), (F.col("id") % 4000).cast("int")))
+    docs = spark.range(12_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), texts.alias("text"), F.lit("s").alias("source"))
+    sizes = mixing.mix(docs)
+    keys = docs.select(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.size(F.split("text", " ")).cast("string"), F.lit(""))), 1, 3).alias("r"))
+    assert keys.groupBy("r").count().agg(F.max("count")).first()[0] < 60
+    assert sizes.count() == 12_000
+
+
 def test_removal(spark, no_docs, bench):
     docs = spark.createDataFrame([(*t, "keep") for t in TEXTS], "doc_id long, text string, items string")
     spans = {r["doc_id"]: r["text"] for r in dec.decontaminate(docs, bench, remove="spans").where("items = 'keep' and doc_id > 0").collect() if r["doc_id"] != 1}

@@ -2,6 +2,8 @@ import gzip
 import hashlib
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from twinsieve.llm import warc
 from twinsieve.llm.scratch import filesystem
 
@@ -66,3 +68,36 @@ def test_long_payloads_and_a_hot_one(spark, monkeypatch):
         r = got[i]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(raw), hashlib.sha1(raw).hexdigest())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if top == i else ("revisit", top))
+
+
+def test_an_attempt_that_runs_twice_leaves_a_whole_index(spark, tmp_path):
+    """Two attempts of the same partitions, in other orders of rows: each index names the bytes of its own files."""
+    base = f"file://{tmp_path}"
+    rows = warc.classify(pages(spark)).coalesce(1)
+    one = warc.write_archives(rows.sortWithinPartitions("url"), base)
+    two = warc.write_archives(rows.sortWithinPartitions("payload_bytes"), base)
+    assert one.select("file").distinct().count() == two.select("file").distinct().count() == 1
+    content = lambda index: sorted((tuple(r) for r in warc.read_records(index).select("id", "payload_digest", "record_type", "refers_to").collect()), key=str)
+    assert content(one) == content(two) and len(content(one)) == len(PAGES)
+
+
+def test_the_filter_lets_few_bodies_through(spark):
+    repeated = spark.range(5_000).select(F.sha1(F.concat(F.lit("r"), F.col("id"))).alias("same"))
+    rows = spark.range(40_000).select(F.sha1(F.concat(F.when(F.col("id") < 5_000, "r").otherwise("x"), F.col("id"))).alias("digest"), "id")
+    marked = warc._marked(rows, repeated, F.col("id") >= 0)
+    assert marked.where("id < 5000 and not may_repeat").count() == 0
+    assert marked.where("id >= 5000 and may_repeat").count() < 35_000 / 64 * 1.3
+    assert warc._marked(rows, repeated.where("1 = 0"), F.col("id") >= 0).where("may_repeat").count() == 0
+
+
+def test_a_payload_of_many_pages_is_spread_over_tasks(spark):
+    df = spark.range(20_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("<p>hot</p>" * 120).alias("html"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        records = warc.classify(df)
+        sizes = [r["count"] for r in records.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        kinds = {r["record_type"]: (r["count"], r["bytes"]) for r in records.groupBy("record_type").agg(F.count("*").alias("count"), F.sum(F.octet_length("body")).alias("bytes")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert kinds == {"response": (1, 1200), "revisit": (19_999, 0)}
+    assert max(sizes) < 8_000

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def no_clash(keep: tuple[str, ...], *results: str) -> None:
+    """Raise an error if a column to keep bears the name of a result (in any case, as Spark compares names)."""
+    both = {k.lower() for k in keep} & {r.lower() for r in results}
+    if both:
+        raise ValueError(f"columns to keep bear the names of results: {', '.join(sorted(both))}")
+
+
 def hide(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """(df under names that no operator uses, the new name of each column)."""
     names = {c: f"__own{i}" for i, c in enumerate(df.columns)}

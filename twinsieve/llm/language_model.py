@@ -19,7 +19,7 @@ Lower-casing is A-Z only, words are `[^\\x20\\x09-\\x0D]+`, and every text has o
 are empty.  A null doc_id is not held out.  Rows are scored one by one, so repeated ids and ties do not matter, and texts
 of any length are scored whole; an empty table gives an empty result.  Of words that tie at the edge of the vocabulary the
 smallest hashes are in.  With nothing to train on, all words are unknown and both scores are those of a uniform guess over
-one unknown word.  Extra columns are not looked at; those of `keep` must not bear the names of the results.
+one unknown word.  Extra columns are not looked at; those of `keep` that bear the name of a result are an error.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, Words, blocks
+from .columns import no_clash
 from .labelled import fold
 from .scratch import filesystem, fresh, put, stash
 
@@ -149,6 +150,8 @@ def vocabulary(counts: DataFrame, size: int = VOCABULARY, known: int = KNOWN) ->
     size = max(size, int((c >= often).sum()))
     ids = np.where(np.arange(len(h)) < size, np.arange(len(h)) + 1, 0)
     rare_tokens, rare_words = tokens - int(c[:size].sum()), distinct - len(c[:size])
+    if (size + 3) ** 3 >= 1 << 63:  # a context and its word are one 64-bit number
+        raise ValueError(f"a vocabulary of {size} words is too large: 2,000,000 are the most")
     unigram = np.concatenate(([rare_tokens], c[:size])).astype(float)
     return Vocabulary(tokens, distinct, h.view(np.uint64), c, ids, unigram, rare_tokens + 0.5 * rare_words + 0.5)
 
@@ -520,6 +523,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[str,
 def score(docs: DataFrame, model: str, counts: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_tokens, n_known, train_tokens, base_score, score (log10 of the model's probability) of every row."""
     c = F.col
+    no_clash(keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     src = docs.select(*keep, c(text).cast("string").alias("__text"))
     fields = src.schema.fields[:-1]
     ten = np.log(10)

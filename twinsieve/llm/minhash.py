@@ -20,7 +20,8 @@ What is linked is exact, up to two different shingles of a pair having one 64-bi
 Lower-casing is A-Z only and words are `[^\\x20\\x09-\\x0D]+`.  With fewer words than `size`, the sequence is one shingle; null,
 empty and blank texts have none and link with nothing.  Null doc_ids take part and are never the smallest; a group of them
 alone has no component_id and they are all kept.  Repeated doc_ids are judged row by row.  Texts of any length are taken
-whole; an empty table gives an empty result.  Extra columns are not looked at; `keep` must not name a column of the result.
+whole; an empty table gives an empty result.  Extra columns are not looked at; columns of `keep` that bear the name
+of a result are an error.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import blocks, mix
-from .ngram_join import Threshold, class_ids, class_labels, class_sets, components_sql, in_groups, shingles
+from .columns import no_clash
+from .ngram_join import RESULTS, Threshold, class_ids, class_labels, class_sets, components_sql, in_groups, shingles
 from .scratch import stash
 
 COORDINATES = 64
@@ -153,6 +155,7 @@ def minhash_join(
 ) -> DataFrame:
     """doc_id, n_shingles, class_id (equal sets), group_id (linked classes), component_id (smallest doc_id reachable by
     links), kept (whether that is the row's own doc_id) and `keep` of every row."""
+    no_clash(keep, *RESULTS, "keys", "kept")
     threshold, matches = Threshold(num, den), matches_at(num, den, coordinates, miss)
     rows = stash(measured(docs, size, coordinates, text, doc_id, keep), "minhash_rows")
     signed = rows.where("keys is not null").select("class", "keys").dropDuplicates(["class"])

@@ -18,7 +18,7 @@ Lower-casing is A-Z only and words are `[^\\x20\\x09-\\x0D]+`.  With fewer words
 shingle; null, empty and blank texts have none and link with nothing (component_id is their own doc_id).  Sets are of
 64-bit hashes: two different shingles of a pair are taken for one with a chance of 2**-64.  Null doc_ids take part and
 are never the smallest; repeated doc_ids are judged row by row; texts of any length are compared whole, and an empty table
-gives an empty result.  Extra columns are not looked at; those of `keep` must not bear the names of the results.
+gives an empty result.  Extra columns are not looked at; those of `keep` that bear the name of a result are an error.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import NOT_SPACE, Block, Words, blocks, mix, windows
+from .columns import no_clash
 from .components import components
 from .scratch import stash
 
@@ -46,6 +47,8 @@ BITMAP_WORDS = 16
 SPARE, SPARE_SHARE = 4, 16
 #: Bits of the filter that keeps sets without a partner off the network: 8 MB, whatever the corpus.
 FILTER_BUCKETS, BUCKET_BITS = 2_048, 32_768
+#: Names that a kept column must not have, for results and on the way to them.
+RESULTS = ("doc_id", "text", "n", "n_shingles", "class", "class_id", "group_id", "component_id", "need0", "need1", "label")
 
 
 class Threshold:
@@ -467,6 +470,7 @@ def in_groups(rows: DataFrame, labels: DataFrame, keep: tuple[str, ...]) -> Data
 def ngram_join(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, class_id (equal sets), group_id (linked classes), component_id (smallest doc_id reachable by
     links) and `keep` of every row; class_id and group_id are null for rows without shingles."""
+    no_clash(keep, *RESULTS)
     threshold = Threshold(num, den)
     rows = stash(measured(docs, size, threshold, text, doc_id, keep), "ngram_rows")
     needs = rows.where("n > 0").groupBy("class").agg(F.first("need0").alias("need0"), F.first("need1").alias("need1"))

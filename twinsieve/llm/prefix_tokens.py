@@ -9,7 +9,7 @@ all prefixes of all texts in a block are then one gather and one add in numpy.
 
 Null texts are empty (0 tokens).  Rows are independent: repeated ids, ties and extra columns do not matter, and an
 empty table gives an empty result.  Texts of any length are counted whole, in time that grows with their length: also
-runs of white space and of apostrophes take one pass.  Columns of `keep` must not bear the names of the results.
+runs of white space and of apostrophes take one pass.  Columns of `keep` that bear the name of a result are an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import FIRST, Block, blocks
+from .columns import no_clash
 from .pieces import Pieces, cuts, default_path, special_strings, tokenizer, whole_rows
 from .scratch import stash
 
@@ -178,6 +179,7 @@ def counter(path: str) -> PrefixCounter:
 def prefix_counts(docs: DataFrame, path: str | None = None, budget: int = 1024, steps: bool = False, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, n_bytes, n_tokens, fits_chars (code points of the longest prefix of at most `budget` tokens), and with
     `steps` the counts of all prefixes as 16-bit little-endian differences (see `tokens_before`)."""
+    no_clash(keep, "n_bytes", "n_tokens", "fits_chars", "steps")
     path = path or default_path()
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     fields = src.schema.fields[:-1]

@@ -9,7 +9,7 @@ over Arrow batches, without a shuffle.
 Null texts are empty; a text without words is one empty passage and gets a score like any other.  With no labels every
 score is 0.5; of labels that contradict each other the largest counts, and of texts that share a labelled id one is drawn
 by its hash.  Rows are scored one by one, so repeated ids, ties and extra columns do not matter; texts of any length are
-scored whole, and an empty table gives an empty result.  Columns of `keep` must not bear the names of the results.
+scored whole, and an empty table gives an empty result.  Columns of `keep` that bear the name of a result are an error.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, FIRST, LOWER, Block, Hasher, Words, blocks, repeated, windows
+from .columns import no_clash
 from .labelled import fold, sample
 
 PASSAGE = 64
@@ -195,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "quality", tex
 
 def score(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep`, score, passages and focus (number of the passage with the largest attention, from 0) of every row."""
+    no_clash(keep, "score", "passages", "focus")
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     fields = src.schema.fields[:-1]
 

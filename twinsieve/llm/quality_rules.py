@@ -7,7 +7,7 @@ rows whatever the corpus.  The posterior is a sum of native column expressions.
 
 Null and empty texts have no words: they fail the base rule and all measures are 0.  Rows are independent, so repeated
 ids, ties and extra columns do not matter; texts of any length are measured whole, a very long one as a block of its own,
-and an empty table gives an empty result.  Columns of `keep` must not bear the names of the measures.
+and an empty table gives an empty result.  Columns of `keep` that bear the name of a result are an error.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, FIRST, LOWER, Block, Words, blocks, repeated, windows
+from .columns import no_clash
 from .scratch import stash
 
 MEASURES = (
@@ -110,6 +111,7 @@ def default_rules() -> list[Rule]:
 
 def measured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and MEASURES for every row of docs."""
+    no_clash(keep, *MEASURES, "base_failed", "quality", "kept")
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     fields = [f for f in src.schema.fields if f.name != "__text"]
     names = [f.name for f in fields]

@@ -8,7 +8,7 @@ lexicon that has not seen it.  Whole texts are scored in one pass by numpy over
 Null texts are empty; an empty text has all features 0 and gets a score like any other.  With no labels at all every
 score is 0.5; of labels that contradict each other the largest counts, and equal scores before calibration are pooled.
 Texts of any length are scored whole.  Rows are scored one by one, so repeated ids, ties and extra columns do not matter,
-and an empty table gives an empty result; columns of `keep` must not be named score.
+and an empty table gives an empty result; a column of `keep` that is named score is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import ALNUM, FIRST, LOWER, Block, Words, blocks, repeated
+from .columns import no_clash
 from .labelled import fold, sample
 from .scratch import stash
 
@@ -302,6 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed, label: str = "toxic", text:
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` and score of every row."""
+    no_clash(keep, "score")
     src = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     fields = src.schema.fields[:-1]
     held = docs.sparkSession.sparkContext.broadcast(model)  # lexicon and trees: under 1 MB by their parameters
