@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions.layout import treemap_rectangles
-from ..operators import cascade, groups, prefix_join, review, similarity, sketches, store, tree, upkeep
+from ..operators import cascade, groups, hamming, prefix_join, review, running, similarity, sketches, store, tree, trigrams, upkeep
 from ..operators.groups import GROUP, GroupFilter
 from ..sources import inventory
 from ..sources.shared import fresh, stash
@@ -353,6 +353,25 @@ def _(spark, d):
     return sketches.shared_content(made, pairs)
 
 
+@_query("op_h09_intervals", INV + """p AS (SELECT DISTINCT path, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM anc)
+SELECT path, row_number() OVER (ORDER BY parts) AS first, row_number() OVER (ORDER BY parts) + (SELECT count(*) FROM p b WHERE p.path = '/' OR b.path = p.path OR starts_with(b.path, p.path || '/')) - 1 AS last FROM p""")
+def _(spark, d):
+    return running.numbered_tree(slim(spark, d))
+
+
+@_query("op_h09_subtree_totals", INV + ROLL + END + "SELECT * FROM roll")
+def _(spark, d):
+    numbers = stash(running.numbered_tree(slim(spark, d)), "numbers")
+    return running.subtree_totals(running.numbered_files(slim(spark, d), numbers), numbers)
+
+
+@_query("op_r03_mark_interval", INV + END + "SELECT canonical_path FROM inv WHERE parent_dir = '/src1' OR starts_with(parent_dir, '/src1/')")
+def _(spark, d):
+    """The marks of `op_r03_mark_subtree`, as a range of numbers."""
+    numbers = stash(running.numbered_tree(slim(spark, d)), "numbers")
+    return running.in_subtree(running.numbered_files(slim(spark, d), numbers), numbers, "/src1").select("canonical_path")
+
+
 # 2.5 set similarity
 
 
@@ -600,6 +619,19 @@ def _(spark, d):
     return groups.files_in_directory(slim(spark, d), session_members(spark, d), "en", "/src0/en", duplicates_only=True).select("canonical_path", "copy_count")
 
 
+@_query("op_q12_trigram_search", INV + END + "SELECT canonical_path, file_name FROM inv WHERE canonical_path ILIKE '%OC\\_9%' ESCAPE '\\'")
+def _(spark, d):
+    rows = slim(spark, d)
+    return trigrams.search(rows, trigrams.trigram_index(rows), "OC_9").select("canonical_path", "file_name")
+
+
+@_query("op_q01_snapshot_page", INV + END + "SELECT canonical_path, file_size FROM inv ORDER BY file_size DESC, canonical_path LIMIT 50 OFFSET 100")
+def _(spark, d):
+    path, order = fresh(spark, "pages"), [F.desc("file_size"), F.asc("canonical_path")]
+    running.write_pages(slim(spark, d).select("canonical_path", "file_size"), order, path, 500)
+    return running.read_page(spark, path, order, 100, 50)
+
+
 # 2.7 review
 
 
@@ -878,6 +910,38 @@ def _(spark, d):
     return slim(spark, d).select("canonical_path", fn.format_bytes(F.col("file_size")).alias("decimal_size"))
 
 
+@_query("op_k13_trim", INV + """t AS (SELECT canonical_path, content_hash, sum(file_size) OVER (ORDER BY last_modified DESC, canonical_path ROWS UNBOUNDED PRECEDING) AS upto FROM hashed)
+SELECT canonical_path, content_hash FROM t WHERE upto <= 1000000""")
+def _(spark, d):
+    """What a cache keeps of all hashes within a budget of 1,000,000 bytes of files, the last modified first."""
+    cache = hashed(spark, d).withColumn("last_used", F.col("last_modified"))
+    return running.trim(cache, 1_000_000, F.col("file_size")).select("canonical_path", "content_hash")
+
+
+PLANES = hamming.planes(64, 64)
+CODES = f"""WITH pl AS (SELECT {[[int(x) for x in p] for p in PLANES]}::DOUBLE[][] AS planes),
+cd AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda j: CASE WHEN list_dot_product(embedding::DOUBLE[], planes[j]) > 0 THEN (1::HUGEINT << (64 - j)::INTEGER) ELSE 0 END))::HUGEINT AS u
+  FROM embeddings, pl), cs AS (SELECT id, CASE WHEN u >= 9223372036854775808 THEN u - 18446744073709551616 ELSE u END::BIGINT AS code FROM cd),
+dc AS (SELECT DISTINCT code FROM cs),
+"""
+
+
+def codes(spark, d) -> DataFrame:
+    """id, code: 64 signs of projections of each embedding."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("id"), hamming.sign_codes(F.col("embedding"), PLANES).alias("code"))
+
+
+@_query("op_x01_sign_codes", CODES + END + "SELECT id, code FROM cs")
+def _(spark, d):
+    return codes(spark, d)
+
+
+@_query("op_x02_near_codes", CODES + END + """SELECT a.code AS code_a, b.code AS code_b, bit_count(xor(a.code, b.code))::INTEGER AS distance FROM dc a JOIN dc b ON a.code < b.code AND bit_count(xor(a.code, b.code)) <= 7""")
+def _(spark, d):
+    return hamming.near_codes(codes(spark, d), 7)[0]
+
+
 @_query("op_e04_treemap_label", INV + """t AS (SELECT canonical_path, file_size, (file_size * 20 + 1024) // 2048 AS k, (file_size * 20 + 1048576) // 2097152 AS m FROM inv)
 SELECT canonical_path, CASE WHEN file_size < 1024 THEN file_size || ' B' WHEN file_size < 1048576 THEN (k // 10) || '.' || (k % 10) || ' KB'
   ELSE (m // 10) || '.' || (m % 10) || ' MB' END AS label FROM t""")
