@@ -109,3 +109,10 @@ def test_hot_bands_are_dealt_again(spark):
         assert sizes.agg(F.max("count")).first()[0] <= largest
     with pytest.raises(ValueError, match="radius"):
         hamming.near_codes(codes.withColumn("id", F.col("code")), 64)
+
+
+def test_codes_of_signs(spark):
+    df = spark.createDataFrame([([1.0, -2.0],), ([-1.0, 2.0],), (None,)], "v array<float>")
+    planes = [[1, 0], [0, 1], [1, 1]]
+    got = [r[0] for r in df.select(hamming.sign_codes(F.col("v"), planes)).collect()]
+    assert got == [-(1 << 63), 0b011 << 61, None]

@@ -24,8 +24,8 @@ def sign_codes(vectors: Column, planes: list[list[float]]) -> Column:
     """A code of the signs of a vector's projections on up to 64 planes, the first in the highest bit.  A null vector gives null."""
     dot = lambda p: F.aggregate(F.zip_with(vectors, F.array(*map(F.lit, p)), lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
     bits = [F.when(dot([float(v) for v in p]) > 0, "1").otherwise("0") for p in planes]
-    code = F.conv(F.concat(*bits), 2, -10).cast("decimal(20,0)")
-    return F.when(vectors.isNotNull(), F.when(code >= 2**63, code - 2**64).otherwise(code).cast("long"))
+    bits += [F.lit("0")] * (BITS - len(bits))
+    return F.when(vectors.isNotNull(), F.conv(F.concat(*bits), 2, -10).cast("long"))
 
 
 def planes(n: int, dimensions: int) -> list[list[int]]:

@@ -937,9 +937,9 @@ def _(spark, d):
     return codes(spark, d)
 
 
-@_query("op_x02_near_codes", CODES + END + """SELECT a.code AS code_a, b.code AS code_b, bit_count(xor(a.code, b.code))::INTEGER AS distance FROM dc a JOIN dc b ON a.code < b.code AND bit_count(xor(a.code, b.code)) <= 7""")
+@_query("op_x02_near_codes", CODES + END + """SELECT a.code AS code_a, b.code AS code_b, bit_count(xor(a.code, b.code))::INTEGER AS distance FROM dc a JOIN dc b ON a.code < b.code AND bit_count(xor(a.code, b.code)) <= 11""")
 def _(spark, d):
-    return hamming.near_codes(codes(spark, d), 7)[0]
+    return hamming.near_codes(codes(spark, d), 11)[0]
 
 
 @_query("op_e04_treemap_label", INV + """t AS (SELECT canonical_path, file_size, (file_size * 20 + 1024) // 2048 AS k, (file_size * 20 + 1048576) // 2097152 AS m FROM inv)
