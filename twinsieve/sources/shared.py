@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +54,17 @@ def remove(spark: SparkSession, path: str) -> None:
         _made.remove(path)
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables made inside are removed at its end, for work whose result has been written elsewhere by then."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for path in [p for p in _made if p not in before]:
+            remove(spark, path)
+
+
 def clean(spark: SparkSession) -> int:
     """Delete all that this process has put into the shared folder, when its results are written elsewhere; how many."""
     paths = list(_made)
