@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tests.llm.test_ngram_join import brute, near_copies
+from test_ngram_join import brute, near_copies
 from twinsieve.llm import minhash as mh
 from twinsieve.llm import ngram_join as nj
 

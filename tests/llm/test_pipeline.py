@@ -1,6 +1,6 @@
 from collections import Counter
 
-import corpus_pipeline as cp
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +8,7 @@ from test_documents import brute as all_windows
 from test_ngram_join import brute as all_pairs
 
 from twinsieve.llm import mixing, quality_rules
+from twinsieve.llm import pipeline as cp
 
 def write(df, path):
     df.write.parquet(str(path))
@@ -32,7 +33,8 @@ def test_stages_act_on_all_that_is_left(spark, sf, tmp_path):
     for r in four.collect():
         assert start[r["doc_id"]] == r["text"] and r["n_chars"] == len(r["text"])
         rows[r["doc_id"]] += 1
-    mixed, cut = mixing.mix(three).collect(), 0
+    hidden, names = cp._hidden(three)  # the order of the mix is told by whole rows
+    mixed, cut = mixing.mix(hidden, **{k: names[k] for k in ("text", "doc_id", "source")}, ident=F.col("row_key")).collect(), 0
     for r in mixed:  # whole texts: the take that crosses the target counts if half of it at least is before the target
         want[r["doc_id"]] += sum(2 * t["words"] >= r["size"] for t in r["takes"])
         cut += sum(t["words"] < r["size"] for t in r["takes"])
@@ -82,3 +84,16 @@ def test_equal_rows_and_rows_that_differ_elsewhere(spark, sf, tmp_path):
 
 def test_list_of_stages():
     assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
+
+
+def test_the_root_file_has_the_stages():
+    assert corpus_pipeline.STAGES is cp.STAGES and corpus_pipeline.run is cp.run and len(cp.STAGES) == 5
+
+
+def test_a_run_leaves_its_stages_alone(spark, sf):
+    from twinsieve.sources import shared
+
+    before = set(shared._made)
+    rows = cp.run(spark, sf)
+    left = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in shared._made if p not in before]
+    assert left == ["pipeline"] and rows.count() > 0

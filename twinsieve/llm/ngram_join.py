@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import running
 from .arrays import NOT_SPACE, Block, Words, blocks, mix, windows
 from .columns import no_clash
 from .components import components
@@ -400,8 +401,19 @@ def _links(tasks: DataFrame, sets: DataFrame, threshold: Threshold, pairs) -> Da
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    rows = tasks.join(sets.select("class", "items"), "class").select("task", "class", "label", "items")
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    parts, dealt = _dealt(tasks)
+    rows = dealt.join(sets.select("class", "items"), "class").select("part", "task", "class", "label", "items")
+    rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("task").select("task", "class", "label", "items")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _dealt(tasks: DataFrame) -> tuple[int, DataFrame]:
+    """(partitions, tasks with `part`): tasks are dealt to partitions by size, the largest first, so that no two large ones meet in one
+    partition while another has none."""
+    parts = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = stash(tasks, "ngram_tasks")
+    sizes = running(tasks.groupBy("task").agg(F.count("*").alias("rows")), [F.col("rows").desc(), F.col("task").asc()], name="rank")
+    return parts, tasks.join(sizes.select("task", F.pmod("rank", F.lit(parts)).cast("int").alias("part")), "task")
 
 
 def _tasks_for(rows, shingles_):

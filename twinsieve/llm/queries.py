@@ -11,6 +11,7 @@ from .language_model import op10_language_model
 from .minhash import OP12_SQL, op12_minhash
 from .mixing import OP2_SQL, op2_mixing
 from .ngram_join import OP3_SQL, op3_ngram_join
+from .pipeline import run as run_pipeline
 from .prefix_tokens import op8_prefix_tokens
 from .quality_mil import op6_quality_classifier
 from .quality_rules import op1_quality_rules
@@ -21,9 +22,7 @@ from .warc import OP9_SQL, op9_warc
 
 
 def pipeline(spark, sf_dir: str):
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return run_pipeline(spark, sf_dir)
 
 
 def _prepared(f):

@@ -11,9 +11,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from ..sources.shared import clean, folder, fresh, remove, stash, stashed
+from ..sources.shared import clean, folder, fresh, remove, scope, stash, stashed
 
-__all__ = ["clean", "filesystem", "folder", "fresh", "prepare", "put", "remove", "stash", "stashed"]
+__all__ = ["clean", "filesystem", "folder", "fresh", "prepare", "put", "remove", "scope", "stash", "stashed"]
 
 _shipped: set[str] = set()
 
