@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as fn
 from ..functions.layout import treemap_rectangles
-from ..operators import cascade, groups, hamming, prefix_join, review, running, similarity, sketches, store, tree, trigrams, upkeep
+from ..operators import cascade, chunks, groups, hamming, prefix_join, review, running, similarity, sketches, store, tree, trigrams, upkeep
 from ..operators.groups import GROUP, GroupFilter
 from ..sources import inventory
 from ..sources.shared import fresh, stash
@@ -918,6 +918,12 @@ def _(spark, d):
     return running.trim(cache, 1_000_000, F.col("file_size")).select("canonical_path", "content_hash")
 
 
+@_query("op_x03_near_duplicate_files")
+def _(spark, d):
+    """Pairs of files of which the smaller has half of its bytes in chunks of the other; tested against all pairs."""
+    return chunks.near_duplicate_files(files(spark, d), 0.5)[0].select("entity_a", "entity_b", "shared", "containment")
+
+
 PLANES = hamming.planes(64, 64)
 CODES = f"""WITH pl AS (SELECT {[[int(x) for x in p] for p in PLANES]}::DOUBLE[][] AS planes),
 cd AS (SELECT vec_id AS id, list_sum(list_transform(range(1, 65), lambda j: CASE WHEN list_dot_product(embedding::DOUBLE[], planes[j]) > 0 THEN (1::HUGEINT << (64 - j)::INTEGER) ELSE 0 END))::HUGEINT AS u
