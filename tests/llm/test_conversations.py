@@ -127,6 +127,8 @@ def test_edges_of_input(spark):
     assert cv.repair(clash.where("1 = 0")).collect() == []
     long = spark.createDataFrame([(2, 0, "user", "x " * 300_000 + "end.")], SCHEMA)
     assert result(cv.repair(long))[2][5:7] == (3, "KI")
+    blanks = spark.createDataFrame([(3, 0, "user", "x" + " " * 1_000_000 + "y."), (3, 1, "assistant", "y.\t\r\n\x0b\x0c "), (3, 2, "user", "z" + "\t \n" * 200_000)], SCHEMA)
+    assert result(cv.repair(blanks))[3][:7] == (0, 0, 0, 1, 0, 4, "KKD")
     # a third of all rows are copies under one null conv_id, and turn numbers at the ends of their range do no harm
     many = spark.range(20_000).select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("Hi.").alias("text"))
     (row,) = result(cv.repair(many)).values()

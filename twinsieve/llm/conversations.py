@@ -130,7 +130,7 @@ def repair(rows: DataFrame, present: Column | None = None, conv_id: str = "conv_
     along = W.partitionBy("conv_id", "present").orderBy(*order)
     same = W.partitionBy("conv_id", "present", "role", "digest").orderBy(c("turn").asc_nulls_first())
     initial = F.left("role", F.lit(1))
-    last = F.right(F.regexp_replace("text", r"[\x20\x09-\x0D]+\z", ""), F.lit(1))
+    last = F.right(F.rtrim("text", F.lit(" \t\n\x0b\x0c\r")), F.lit(1))
     fault = F.when(~c("text").rlike(NOT_BLANK), "blank").when(c("again"), "duplicate").when(~last.isin(".", "!", "?"), "truncated").otherwise("")
     flagged = turns.withColumn("initial", initial).withColumn("before", F.lag("initial").over(along)).withColumn("again", F.row_number().over(same) > 1)
     flagged = flagged.withColumn("fault", fault).withColumn("illegal", ~F.concat("before", "initial").isin("su", "ua", "au"))
