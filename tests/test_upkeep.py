@@ -122,3 +122,21 @@ def test_sketches_are_united_with_what_is_stored(spark):
     both = sketches.merge(sketches.directory_sketches(some).unionByName(sketches.directory_sketches(more)))
     assert rows(sketches.distinct_content(both)) == [("/", 3), ("/a", 2), ("/b", 1)]
     assert rows(sketches.distinct_content(sketches.directory_sketches(some.where("1 = 0")))) == []
+
+
+def many_hashes(spark):
+    """Files of three directories: two of more than 64 distinct hashes, one of fewer."""
+    files = [(f"/{d}/{x}/f{i}", 1, 0, f"h{i * k % n}") for d, x, k, n in (("a", "x", 1, 500), ("a", "y", 3, 700), ("b", "z", 1, 20)) for i in range(900)] + [("/n/f", 1, 0, None)]
+    want = {}
+    for p, _, _, h in files[:-1]:
+        parts = p.split("/")[:-1]
+        for k in range(1, len(parts) + 1):
+            want.setdefault("/".join(parts[:k]) or "/", set()).add(h)
+    return located(spark.createDataFrame(files, COLUMNS)), want
+
+
+def test_counts_are_exact_beyond_the_sketch(spark):
+    df, want = many_hashes(spark)
+    made = sketches.directory_sketches(df, 6)
+    assert rows(sketches.exact_content(df, made, 6)) == sorted((p, len(s)) for p, s in want.items())
+    assert rows(sketches.distinct_content(made)) != rows(sketches.exact_content(df, made, 6))
