@@ -140,3 +140,13 @@ def test_counts_are_exact_beyond_the_sketch(spark):
     made = sketches.directory_sketches(df, 6)
     assert rows(sketches.exact_content(df, made, 6)) == sorted((p, len(s)) for p, s in want.items())
     assert rows(sketches.distinct_content(made)) != rows(sketches.exact_content(df, made, 6))
+
+
+def test_overlaps_are_exact_beyond_the_sketch(spark):
+    df, want = many_hashes(spark)
+    made = sketches.directory_sketches(df, 6)
+    pairs = [(a, b) for a in want for b in want if a < b]
+    got = sketches.exact_shared(df, made, spark.createDataFrame(pairs, "path_a string, path_b string"), 6)
+    size = lambda a, b: (len(want[a]), len(want[b]), len(want[a] & want[b]))
+    expected = [(a, b, x, y, n, n / (x + y - n), n / min(x, y)) for a, b in pairs for x, y, n in [size(a, b)]]
+    assert rows(got, "path_a", "path_b", "n_a", "n_b", "shared", "score", "contained") == sorted(expected)

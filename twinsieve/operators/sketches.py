@@ -8,8 +8,8 @@ Error: up to k distinct hashes all numbers are exact.  Beyond, the relative stan
 default of 2 ** 14), and that of what two directories share is sqrt(union / shared / k) (for shared content of a
 hundredth of the union, 7.8 %); 95 in 100 estimates lie within two of them.  Null hashes count nowhere.
 
-`exact_content` takes the sketch's number where it is exact and counts the hashes of the other directories, of
-which there are few: each has more than k distinct hashes.
+`exact_content` and `exact_shared` take the sketch's number where it is exact and count the hashes of the other directories,
+of which there are few: each has more than k distinct hashes.
 """
 
 from __future__ import annotations
@@ -69,3 +69,25 @@ def shared_content(sketches: DataFrame, pairs: DataFrame, log_k: int = LOG_K) ->
     size = lambda s: F.theta_sketch_estimate(s)
     both = both.select("path_a", "path_b", size("sketch_a").alias("n_a"), size("sketch_b").alias("n_b"), size(F.theta_intersection("sketch_a", "sketch_b")).alias("shared"), size(F.theta_union("sketch_a", "sketch_b", log_k)).alias("total"))
     return both.select("path_a", "path_b", "n_a", "n_b", "shared", (c("shared") / c("total")).alias("score"), (c("shared") / F.least("n_a", "n_b")).alias("contained"))
+
+
+def exact_shared(files: DataFrame, sketches: DataFrame, pairs: DataFrame, log_k: int = LOG_K) -> DataFrame:
+    """`shared_content` with exact numbers, from the sketches of `files` and from the files below the directories of
+    pairs of which one has a full sketch.  The pairs are distinct."""
+    c = F.col
+    large = large_directories(sketches, log_k)
+    full = large.withColumn("full", F.lit(True))
+    side = lambda df, k: df.select(*(c(x).alias(f"{x}_{k}") for x in df.columns))
+    known = pairs.select("path_a", "path_b").join(side(full, "a"), "path_a", "left").join(side(full, "b"), "path_b", "left")
+    by_sketch = shared_content(sketches, known.where("full_a is null and full_b is null"), log_k).select("path_a", "path_b", "shared")
+    asked = known.where("full_a or full_b").select("path_a", "path_b")
+    rows = _hashes_of(files, asked.select(F.explode(F.array("path_a", "path_b")).alias("path")).distinct())
+    # by (path, hash), so that no directory comes together in one task
+    left = rows.toDF("path_a", "content_hash").join(asked, "path_a")
+    both = left.join(rows.toDF("path_b", "content_hash"), ["path_b", "content_hash"]).groupBy("path_a", "path_b").agg(F.count("*").alias("n"))
+    counted = asked.join(both, ["path_a", "path_b"], "left").select("path_a", "path_b", F.coalesce("n", F.lit(0)).cast("long").alias("shared"))
+    sizes = exact_content(files, sketches, log_k)
+    named = lambda k: sizes.select(c("path").alias(f"path_{k}"), c("hashes").alias(f"n_{k}"))
+    out = by_sketch.unionByName(counted).join(named("a"), "path_a").join(named("b"), "path_b")
+    n, a, b = c("shared"), c("n_a"), c("n_b")
+    return out.select("path_a", "path_b", "n_a", "n_b", "shared", (n / (a + b - n)).alias("score"), (n / F.least(a, b)).alias("contained"))
