@@ -97,3 +97,20 @@ def test_no_window_spans_a_whole_set(spark):
     plan = prefix_join.ordered(frame(spark, random_sets(1)))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     windows = [line for line in plan.split("\n") if "Window [row_number()" in line]
     assert windows and all("power" in line and "band" in line for line in windows)
+
+
+def test_small_sets_are_compared_where_they_meet(spark):
+    """Sets of four of which many share one frequent element and few share two: only those become candidates."""
+    rng = random.Random(9)
+    sets = {f"e{i:03}": {f"x{rng.randrange(60)}" for _ in range(4)} for i in range(150)}
+    got = rows(prefix_join.candidates(frame(spark, sets), 0.3).distinct())
+    reach = [(a, b) for i, a in enumerate(sorted(sets)) for b in sorted(sets)[i + 1 :] if len(sets[a] & sets[b]) >= 0.3 / 1.3 * (len(sets[a]) + len(sets[b])) - 1e-9]
+    assert set(got) <= set(reach) and {p[:2] for p in brute(sets, 0.3) if p[2] < 1} <= set(got)
+
+
+def test_hashes_that_agree_lose_no_pair(spark, monkeypatch):
+    real = prefix_join.F.hash
+    monkeypatch.setattr(prefix_join.F, "hash", lambda col: real(col) % 3)
+    sets = random_sets(4)
+    pairs, classes = prefix_join.exact_similarity(frame(spark, sets), 0.4)
+    assert rows(prefix_join.expanded(pairs, classes)) == brute(sets, 0.4)

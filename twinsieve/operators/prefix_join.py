@@ -5,7 +5,8 @@ common among the first n - ceil(2t / (1 + t) n) + 1 of the smaller and the first
 joined on; a frequent element is a key only of sets that have few rarer ones.  Three more filters keep the join small:
 sizes that cannot reach t never meet (sizes fall into intervals [l, l / t), and a key holds the interval), the places of a
 common element bound what can be in common, and sets that are equal are one class, of which the smallest entity alone
-takes part.  What is left is verified on the whole sets.
+takes part.  Keys of sets of up to SMALL elements carry the hashes of the whole set, so two such sets are compared where they
+meet, and only pairs that can reach the threshold are ever written.  What is left is verified on the whole sets.
 
 The place of an element in a large set is found in two levels, so that no set is gathered in one task: counts by (entity,
 band of the order), running sums over the bands of an entity (at most BANDS for each power of two of frequencies), then places inside one
@@ -25,6 +26,8 @@ from .similarity import equal_classes, frequencies, scored
 
 #: Bands of hashes for each power of two of frequencies.
 BANDS = 4_096
+#: Sets of up to so many elements are carried along with their keys.
+SMALL = 32
 #: What rounding may do to a product of a size and a threshold.
 SLACK = 1e-9
 
@@ -54,11 +57,17 @@ def _interval(n: Column, threshold: float) -> Column:
 
 
 def prefixes(elements: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(keys of the sets as the smaller of a pair, keys as the larger): interval, element, entity, n, place."""
+    """(keys of the sets as the smaller of a pair, keys as the larger): interval, element, entity, n, place, hashes (of the
+    whole set, sorted; null for a set above SMALL), spare (how many elements share a hash with another of the set)."""
     c = F.col
     placed = stash(ordered(elements), "set_places")
+    own = F.collect_list(F.struct("place", "element", F.hash(c("element").cast("string")).alias("hash")))
+    small = placed.where(c("n") <= SMALL).groupBy("entity", "n").agg(own.alias("own"))
+    hashes = F.array_sort(F.array_distinct(c("own.hash")))
+    small = small.select("entity", "n", hashes.alias("hashes"), F.explode("own").alias("it")).select("it.element", "entity", "n", "it.place", "hashes", (c("n") - F.size("hashes")).cast("int").alias("spare"))
+    placed = small.unionByName(placed.where(c("n") > SMALL), allowMissingColumns=True)
     least = lambda share: F.ceil(F.lit(share) * c("n") - SLACK)
-    names = ("element", "entity", "n", "place")
+    names = ("element", "entity", "n", "place", "hashes", "spare")
     interval = _interval(c("n"), threshold)
     # an exact match of sizes at a threshold of 1 has the interval of its size; else the larger may be in the next one
     ahead = F.array(interval) if threshold == 1 else F.array(interval, interval + 1)
@@ -73,14 +82,16 @@ def candidates(elements: DataFrame, threshold: float) -> DataFrame:
         raise ValueError("a threshold is above 0 and at most 1")
     c = F.col
     smaller, larger = prefixes(elements, threshold)
-    x = smaller.select("interval", "element", *(c(k).alias(f"{k}_x") for k in ("entity", "n", "place")))
-    y = larger.select("interval", "element", *(c(k).alias(f"{k}_y") for k in ("entity", "n", "place")))
+    x = smaller.select("interval", "element", *(c(k).alias(f"{k}_x") for k in ("entity", "n", "place", "hashes", "spare")))
+    y = larger.select("interval", "element", *(c(k).alias(f"{k}_y") for k in ("entity", "n", "place", "hashes")))
     # each pair in one direction: by size, then by name
     one_way = (c("n_x") < c("n_y")) | ((c("n_x") == c("n_y")) & (c("entity_x") < c("entity_y")))
     # the first element that they have in common passes: what is in common lies at and behind it
     most = 1 + F.least(c("n_x") - c("place_x"), c("n_y") - c("place_y"))
-    enough = most >= F.lit(threshold / (1 + threshold)) * (c("n_x") + c("n_y")) - SLACK
-    met = x.join(y, ["interval", "element"]).where(one_way & enough & (c("n_x") >= F.lit(threshold) * c("n_y") - SLACK))
+    needed = F.lit(threshold / (1 + threshold)) * (c("n_x") + c("n_y")) - SLACK
+    # equal hashes of different elements never take a pair away: what they may hide is `spare`
+    alike = c("hashes_x").isNull() | c("hashes_y").isNull() | (F.size(F.array_intersect("hashes_x", "hashes_y")) + c("spare_x") >= needed)
+    met = x.join(y, ["interval", "element"]).where(one_way & (most >= needed) & (c("n_x") >= F.lit(threshold) * c("n_y") - SLACK) & alike)
     low, high = F.least("entity_x", "entity_y").alias("entity_a"), F.greatest("entity_x", "entity_y").alias("entity_b")
     return met.select(low, high).distinct()
 
