@@ -123,3 +123,13 @@ def test_equal_sets_as_classes(spark):
     assert len(rows(sim.equal_sets(e, all_pairs=True), "entity_a", "entity_b")) == 30 * 29 // 2
     star = rows(sim.set_similarity(e, 0.9, max_frequency=2), "entity_a", "entity_b", "score", "match_type")
     assert star == sorted(("/d0", f"/d{i}", 1.0, "exact") for i in range(1, 30))
+
+
+def test_sets_are_dealt_by_their_number_of_rows(spark, monkeypatch):
+    """Parts of set_prints come from the rows, not from a setting, and no table is kept before rows are dealt."""
+    monkeypatch.setattr(sim, "PART", 50)
+    e = spark.createDataFrame([(f"/d{i}", f"h{j}", 1) for i in range(30) for j in range(10)], "entity string, element string, weight long").repartition(3)
+    plan = sim.set_prints(e)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "7), REPARTITION" in plan
+    assert "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM") :]
+    assert rows(sim.equal_classes(e), "entity", "representative", "members") == sorted((f"/d{i}", "/d0", 30) for i in range(30))

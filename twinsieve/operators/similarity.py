@@ -13,6 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, MAX_FREQUENCY = 0.5, 50
+#: Rows of a part that `dealt` makes.
+PART = 200_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys into as many parts as they need, so that what a task keeps of them does not grow with the input.
+
+    They are counted first, so they should be read from a table."""
+    return rows.repartition(rows.count() // PART + 1, *keys)
 
 
 def inverted_index(elements: DataFrame) -> DataFrame:
@@ -96,10 +105,11 @@ def scored(elements: DataFrame, pairs: DataFrame | None = None, max_frequency: i
 
 def set_prints(elements: DataFrame) -> DataFrame:
     """entity, n, print: equal for equal sets.  Sums of the two halves of each element's md5 and the count, combined before
-    the shuffle, so a set of any size needs a few numbers; two different sets agree with a chance of about 2**-120."""
+    the shuffle, so a set of any size needs a few numbers; two different sets agree with a chance of about 2**-120.
+    elements are read twice (`dealt`)."""
     h = F.md5(F.col("element").cast("string"))
     total = lambda at: F.sum(F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)"))
-    sums = elements.select("entity", "element").distinct().groupBy("entity").agg(F.count("*").alias("n"), total(1).alias("__a"), total(16).alias("__b"))
+    sums = dealt(elements.select("entity", "element"), "entity", "element").distinct().groupBy("entity").agg(F.count("*").alias("n"), total(1).alias("__a"), total(16).alias("__b"))
     return sums.select("entity", "n", F.md5(F.concat_ws("|", F.col("n"), F.col("__a"), F.col("__b"))).alias("print"))
 
 
