@@ -133,3 +133,19 @@ def test_sets_are_dealt_by_their_number_of_rows(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in plan and "7), REPARTITION" in plan
     assert "HashAggregate" not in plan[plan.index("REPARTITION_BY_NUM") :]
     assert rows(sim.equal_classes(e), "entity", "representative", "members") == sorted((f"/d{i}", "/d0", 30) for i in range(30))
+
+
+def test_pairs_are_counted_without_a_row_for_each_element(spark, monkeypatch):
+    """What is sent for pairs: rows by (element, entity), not by (element, pair); an entity of many elements comes in parts."""
+    monkeypatch.setattr(sim, "PIECE", 20)
+    rng = random.Random(12)
+    sets = {f"e{i:02}": {f"x{rng.randrange(60)}" for _ in range(30)} for i in range(20)}
+    e = spark.createDataFrame([(k, x, len(k) + int(x[1:])) for k, s in sets.items() for x in s], "entity string, element string, weight long").repartition(3)
+    want = sorted((a, b, len(sets[a] & sets[b]), sum(3 + int(x[1:]) for x in sets[a] & sets[b])) for a in sets for b in sets if a < b)
+    for cap in (100, 10):  # below it all elements, above it the frequent ones are looked up
+        few = {x for x in set().union(*sets.values()) if sum(x in s for s in sets.values()) <= cap}
+        linked = [w for w in want if sets[w[0]] & sets[w[1]] & few]
+        assert rows(sim.candidate_overlaps(e, cap), "entity_a", "entity_b", "shared", "shared_weight") == linked
+    plan = sim._pairs_of_lists(e)._jdf.queryExecution().executedPlan().toString()
+    sent = [line for line in plan.split("\n") if "Exchange hashpartitioning(entity_a" in line]
+    assert len(sent) == 1 and "part#" in sent[0] and "entity_b" not in sent[0]

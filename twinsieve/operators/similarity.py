@@ -12,9 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stash
+
 THRESHOLD, MAX_FREQUENCY = 0.5, 50
 #: Rows of a part that `dealt` makes.
 PART = 200_000
+#: Elements of an entity above which its pairs are counted in several parts.
+PIECE = 50_000
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -77,17 +81,40 @@ def overlaps(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(F.least("small", "large").alias("entity_a"), F.greatest("small", "large").alias("entity_b"), "shared", "shared_weight")
 
 
+def _pairs_of_lists(rows: DataFrame) -> DataFrame:
+    """entity_a < entity_b, shared, shared_weight of rows (entity, element, weight) of which few have one element; the counts of a
+    pair may come in several rows.
+
+    The entities of an element are one sorted list, of which each entity gets what lies behind it, so pairs are sent in
+    arrays and first come apart where they are counted.  An entity of many elements is dealt into several parts."""
+    c = F.col
+    lists = rows.groupBy("element").agg(F.array_sort(F.collect_list(F.struct("entity", "weight"))).alias("own")).where(F.size("own") > 1)
+    heads = lists.select("element", "own", F.posexplode("own").alias("at", "it")).where(c("at") < F.size("own") - 1)
+    rest = F.slice("own", c("at") + 2, F.size("own"))
+    heads = heads.select("element", c("it.entity").alias("entity_a"), c("it.weight").alias("weight_a"), rest["entity"].alias("others"), rest["weight"].alias("weights"))
+    # at most a row for every PIECE rows of elements
+    wide = _sizes(rows).where(c("n") > PIECE).select(c("entity").alias("entity_a"), F.ceil(c("n") / PIECE).alias("parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("element"), c("parts")), F.lit(0)).alias("part")
+    dealt_out = heads.join(F.broadcast(wide), "entity_a", "left").select("entity_a", part, "weight_a", "others", "weights").repartition("entity_a", "part")
+    apart = dealt_out.select("entity_a", "part", "weight_a", F.inline(F.arrays_zip(c("others").alias("entity_b"), c("weights").alias("weight_b"))))
+    sums = [F.count("*").alias("shared"), F.sum(F.least("weight_a", "weight_b")).cast("long").alias("shared_weight")]
+    return apart.groupBy("entity_a", "part", "entity_b").agg(*sums).drop("part")
+
+
 def candidate_overlaps(elements: DataFrame, max_frequency: int | None = MAX_FREQUENCY) -> DataFrame:
     """`overlaps` of `candidate_pairs`, from one join: elements under the cap are counted where they make the pairs, and only
-    elements above it are looked up for the pairs found."""
-    rows = capped(elements, max_frequency)
-    side = lambda df, k: df.select(F.col("entity").alias(f"entity_{k}"), "element", F.col("weight").alias(f"weight_{k}"))
-    sums = [F.count("*").alias("shared"), F.sum(F.least("weight_a", "weight_b")).cast("long").alias("shared_weight")]
-    low = side(rows, "a").join(side(rows, "b"), "element").where("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(*sums)
+    elements above it are looked up for the pairs found, if both their entities have one."""
     if max_frequency is None:
-        return low
-    noisy = elements.join(frequencies(elements).where(F.col("frequency") > max_frequency).select("element"), "element", "left_semi")
-    both = low.unionByName(overlaps(noisy, low))
+        side = lambda k: elements.select(F.col("entity").alias(f"entity_{k}"), "element", F.col("weight").alias(f"weight_{k}"))
+        sums = [F.count("*").alias("shared"), F.sum(F.least("weight_a", "weight_b")).cast("long").alias("shared_weight")]
+        return side("a").join(side("b"), "element").where("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(*sums)
+    low = stash(_pairs_of_lists(capped(elements, max_frequency).where("entity is not null and element is not null")), "pair_counts")
+    noisy = stash(elements.join(frequencies(elements).where(F.col("frequency") > max_frequency).select("element"), "element", "left_semi"), "frequent_elements")
+    loud = noisy.select("entity").distinct()
+    asked = low.select("entity_a", "entity_b")
+    for k in "ab":
+        asked = asked.join(loud.withColumnRenamed("entity", f"entity_{k}"), f"entity_{k}", "left_semi")
+    both = low.unionByName(overlaps(noisy, asked.distinct()))
     return both.groupBy("entity_a", "entity_b").agg(*(F.sum(c).cast("long").alias(c) for c in ("shared", "shared_weight")))
 
 
