@@ -116,3 +116,15 @@ def test_codes_of_signs(spark):
     planes = [[1, 0], [0, 1], [1, 1]]
     got = [r[0] for r in df.select(hamming.sign_codes(F.col("v"), planes)).collect()]
     assert got == [-(1 << 63), 0b011 << 61, None]
+
+
+def test_narrow_bands_are_compared_in_tiles(spark, monkeypatch):
+    """At radius 11 a code has 12 keys, however many codes there are; a hot key is compared a tile at a time."""
+    monkeypatch.setattr(hamming, "BLOCK", 40)
+    rng = random.Random(5)
+    near = [rng.getrandbits(63) for _ in range(40)]
+    own = sorted({c ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for c in near for _ in range(8)} | {rng.getrandbits(63) for _ in range(80)})
+    codes = spark.createDataFrame([(c,) for c in own], "code long")
+    assert hamming.keys(codes, 11, 5).groupBy("code").count().agg(F.max("count")).first()[0] <= 12
+    want = [(a, b, n) for i, a in enumerate(own) for b in own[i + 1 :] if (n := (a ^ b).bit_count()) <= 11]
+    assert rows(hamming.near_codes(codes.withColumn("id", F.col("code")), 11, 5)[0]) == want
