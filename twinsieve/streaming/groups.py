@@ -12,8 +12,12 @@ Two keyed states follow each other, both in `transformWithState`:
 2. by (file_size, content_hash): how many files are in the group.  A group that has changed and has, or had, two members
    gives a row with its new count; a count below two says that the group is gone.
 
-State is a row a path and a number a group, in the state store of the executors (RocksDB), so nothing is bounded by memory.  A
-group of any size is one number, and its events of a batch stream by.  Empty files and files without a hash are in no group.
+State is a row a path and a number a group, in the state store of the executors (RocksDB), so nothing is bounded by memory.
+Spark groups by `BUCKETS` hashes of paths and of groups, not by these themselves: each key costs a call of Python with frames of
+its own, and their number grows with the stream.  In a bucket a map of the state store has an entry for each path or group, read
+and written by itself, and not read while the bucket is empty.  Events of a bucket stream by in blocks; a task holds a block of
+paths, or the groups of one bucket that a batch moves.  More than `BUCKETS` tasks would have nothing to do.  A group of any size
+is one number, and a block's moves of it are summed before they are sent.  Empty files and files without a hash are in no group.
 """
 
 from __future__ import annotations
@@ -27,54 +31,73 @@ from pyspark.sql.streaming import StreamingQuery
 EVENT = "canonical_path string, version long, removed boolean, file_size long, content_hash string"
 MOVE = "file_size long, content_hash string, delta long"
 CHANGE = "file_size long, content_hash string, file_count long, wasted_bytes long"
+BUCKETS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _processors(forget_ms: int | None):
     """The two states, as classes that are sent to the executors by value."""
+    from collections import Counter
+
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+    def order(e):  # a removal has neither size nor hash
+        return (e[0], e[1], e[2], e[3] or "", e[3] is not None)
+
+    def group(e):
+        return (e[2], e[3]) if e and e[2] > 0 and e[3] is not None else None
+
+    def whole(x):
+        return x if isinstance(x, str) else None
+
     class Paths(StatefulProcessor):
         def init(self, handle) -> None:
-            self.latest = handle.getValueState("latest", "version long, removed boolean, file_size long, content_hash string", forget_ms)
+            self.latest = handle.getMapState("latest", "canonical_path string", "version long, removed boolean, file_size long, content_hash string", forget_ms)
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-            def order(e):  # a removal has neither size nor hash
-                return (e[0], e[1], e[2] or 0, e[3] or "")
-
-            was = tuple(self.latest.get()) if self.latest.exists() else None
-            now = was
             for pdf in rows:
-                for version, removed, size, content in zip(pdf["version"], pdf["removed"], pdf["file_size"], pdf["content_hash"], strict=True):
-                    gone = bool(removed)
-                    e = (int(version), gone, None if gone or pd.isna(size) else int(size), None if gone or pd.isna(content) else str(content))
-                    if now is None or order(e) > order(now):
-                        now = e
-            out = []
-            if now != was:
-                self.latest.update(now)
-                group = lambda e: (e[2], e[3]) if e and not e[1] and e[2] and e[3] is not None else None
-                if group(was) != group(now):
-                    out = [(*g, d) for g, d in ((group(was), -1), (group(now), 1)) if g]
-            yield pd.DataFrame(out, columns=["file_size", "content_hash", "delta"])
+                found, moves = {}, Counter()
+                columns = (pdf[x].tolist() for x in ("canonical_path", "version", "removed", "file_size", "content_hash"))
+                for path, version, removed, size, content in zip(*columns, strict=True):
+                    e = (version, removed, size, whole(content))
+                    if path not in found or order(e) > order(found[path]):
+                        found[path] = e
+                known = self.latest.exists()
+                for path, now in found.items():
+                    was = self.latest.getValue((path,)) if known else None
+                    if was is None or order(now) > order(was):
+                        self.latest.updateValue((path,), now)
+                        moves[group(was)] -= 1
+                        moves[group(now)] += 1
+                out = [(*g, d) for g, d in moves.items() if g and d]
+                yield pd.DataFrame(out, columns=["file_size", "content_hash", "delta"])
 
         def close(self) -> None:
             pass
 
     class Groups(StatefulProcessor):
         def init(self, handle) -> None:
-            self.count = handle.getValueState("count", "n long")
+            self.count = handle.getMapState("count", "file_size long, content_hash string", "n long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-            was = int(self.count.get()[0]) if self.count.exists() else 0
-            now = was + sum(int(pdf["delta"].sum()) for pdf in rows)
-            if now:
-                self.count.update((now,))
-            elif was:
-                self.count.clear()
-            size, content = key
-            out = [(int(size), content, now, int(size) * (now - 1) if now > 1 else 0)] if now != was and max(now, was) > 1 else []
+            moves = Counter()
+            for pdf in rows:
+                for size, content, delta in zip(pdf["file_size"].tolist(), pdf["content_hash"].tolist(), pdf["delta"].tolist(), strict=True):
+                    moves[size, content] += delta
+            out, known = [], self.count.exists()
+            for g, delta in moves.items():
+                if not delta:
+                    continue
+                found = self.count.getValue(g) if known else None
+                was = found[0] if found else 0
+                now = was + delta
+                if now:
+                    self.count.updateValue(g, (now,))
+                else:
+                    self.count.removeKey(g)
+                if max(now, was) > 1:
+                    out.append((*g, now, g[0] * (now - 1) if now > 1 else 0))
             yield pd.DataFrame(out, columns=["file_size", "content_hash", "file_count", "wasted_bytes"])
 
         def close(self) -> None:
@@ -87,9 +110,14 @@ def group_changes(events: DataFrame, forget_ms: int | None = None) -> DataFrame:
     """file_size, content_hash, file_count, wasted_bytes: a row for each group that a batch of the stream has changed."""
     paths, groups = _processors(forget_ms)
     mode = "ProcessingTime" if forget_ms else "None"
-    rows = events.where("canonical_path is not null and version is not null").select(*(f.split()[0] for f in EVENT.split(", ")))
-    moves = rows.groupBy("canonical_path").transformWithStateInPandas(statefulProcessor=paths, outputStructType=MOVE, outputMode="Append", timeMode=mode)
-    return moves.groupBy("file_size", "content_hash").transformWithStateInPandas(statefulProcessor=groups, outputStructType=CHANGE, outputMode="Append", timeMode=mode)
+    bucket = lambda *keys: F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias("bucket")
+    gone = F.coalesce("removed", F.lit(False))
+    size, content = F.coalesce(F.when(~gone, F.col("file_size")), F.lit(0)), F.when(~gone, F.col("content_hash"))
+    rows = events.where("canonical_path is not null and version is not null")
+    rows = rows.select(bucket("canonical_path"), "canonical_path", "version", gone.alias("removed"), size.cast("long").alias("file_size"), content.alias("content_hash"))
+    moves = rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=paths, outputStructType=MOVE, outputMode="Append", timeMode=mode)
+    moves = moves.select(bucket("file_size", "content_hash"), "*")
+    return moves.groupBy("bucket").transformWithStateInPandas(statefulProcessor=groups, outputStructType=CHANGE, outputMode="Append", timeMode=mode)
 
 
 def keep_groups(events: DataFrame, table: str, checkpoint: str, forget_ms: int | None = None, **trigger) -> StreamingQuery:
