@@ -149,3 +149,42 @@ def test_pairs_are_counted_without_a_row_for_each_element(spark, monkeypatch):
     plan = sim._pairs_of_lists(e)._jdf.queryExecution().executedPlan().toString()
     sent = [line for line in plan.split("\n") if "Exchange hashpartitioning(entity_a" in line]
     assert len(sent) == 1 and "part#" in sent[0] and "entity_b" not in sent[0]
+
+
+def test_pairs_of_blocks_are_those_of_all_sets(spark, monkeypatch):
+    """Blocks, parts, and sorting in pieces give what looking up each pair gives; a frequent element or none, sent or joined;
+    rows with null entities, elements and weights, and sets without a weight."""
+    rng = random.Random(21)
+    some = [(f"e{rng.randrange(25):02}" if i % 40 else None, f"x{rng.randrange(70)}" if i % 37 else None, rng.choice((None, 0, 3, 9))) for i in range(700)]
+    some = list({r[:2]: r for r in some + [("big", f"x{i}", 5) for i in range(70)] + [("few", f"x{i}", None) for i in range(4)]}.values())
+    e = spark.createDataFrame(some, "entity string, element string, weight long").repartition(3)
+    names = ("entity_a", "entity_b", "shared", "shared_weight")
+    want = {cap: rows(sim.overlaps(e, sim.candidate_pairs(e, cap)), *names) for cap in (9, 40)}
+    for piece, part, most, frequent in ((20, 1000, 50, 100), (60, 20, 7, 1)):
+        for name, value in (("PIECE", piece), ("PART", part), ("SORTED", most), ("FREQUENT", frequent)):
+            monkeypatch.setattr(sim, name, value)
+        for cap in want:
+            assert rows(sim.candidate_overlaps(e, cap), *names) == want[cap], (piece, cap)
+    assert rows(sim.candidate_overlaps(e.drop("weight"), 9), *names) == [(a, b, n, n) for a, b, n, _ in want[9]]
+    high = {(r.entity_a, r.entity_b, r.score) for r in sim.scored(e, max_frequency=9).where("score >= 0.2").collect()}
+    assert high and {(r.entity_a, r.entity_b, r.score) for r in sim.scored(e, max_frequency=9, least=0.2).where("score >= 0.2").collect()} == high
+
+
+def test_pairs_that_fall_short_are_not_written(spark, monkeypatch):
+    """Pairs below the threshold end where they are counted."""
+    written = {}
+    stash = sim.stash
+
+    def counting(df, name):
+        out = stash(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sim, "stash", counting)
+    sets = {f"/s{i:02}": {"all", f"own{i // 2}", f"own{i // 2}+", *(f"x{j}" for j in range(30) if (i * j) % 7 == 1)} for i in range(40)}
+    e = spark.createDataFrame([(k, x, 1) for k, s in sets.items() for x in s], "entity string, element string, weight long")
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b] - {"all"}}
+    want = {k: v for k, v in alike.items() if v >= 0.95}
+    found = {(r.entity_a, r.entity_b): r.score for r in sim.set_similarity(e, 0.95, 39).where("score < 1").collect()}
+    assert {k for k, v in want.items() if v < 1} == set(found)
+    assert written["pair_counts"] < len(alike) / 4

@@ -10,6 +10,7 @@ which has no threshold, lets every element make pairs, for work that grows with
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import stash
@@ -17,8 +18,12 @@ from ..sources.shared import stash
 THRESHOLD, MAX_FREQUENCY = 0.5, 50
 #: Rows of a part that `dealt` makes.
 PART = 200_000
-#: Elements of an entity above which its pairs are counted in several parts.
-PIECE = 50_000
+#: Rows of the entities whose pairs are counted in one task; below 2**19, as `_pairs_of_block` packs places.
+PIECE = 500_000
+#: Elements above the cap that are sent to all tasks; more are joined.
+FREQUENT = 10_000
+#: Increments of pairs that a task sorts at a time.
+SORTED = 4_000_000
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -81,48 +86,180 @@ def overlaps(elements: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(F.least("small", "large").alias("entity_a"), F.greatest("small", "large").alias("entity_b"), "shared", "shared_weight")
 
 
-def _pairs_of_lists(rows: DataFrame) -> DataFrame:
-    """entity_a < entity_b, shared, shared_weight of rows (entity, element, weight) of which few have one element; the counts of a
-    pair may come in several rows.
-
-    The entities of an element are one sorted list, of which each entity gets what lies behind it, so pairs are sent in
-    arrays and first come apart where they are counted.  An entity of many elements is dealt into several parts."""
+def _blocks(rows: DataFrame) -> tuple[DataFrame, bool, int]:
+    """(blocks, whether they are few: at most PART rows, how many rows there are).  blocks: entity, place (how many rows the entities before it have: a number that tells entities apart and keeps their order), parts
+    (in how many parts the rows of its block are dealt).  A block is the entities whose places lie in one range of PIECE."""
     c = F.col
-    lists = rows.groupBy("element").agg(F.array_sort(F.collect_list(F.struct("entity", "weight"))).alias("own")).where(F.size("own") > 1)
-    heads = lists.select("element", "own", F.posexplode("own").alias("at", "it")).where(c("at") < F.size("own") - 1)
-    rest = F.slice("own", c("at") + 2, F.size("own"))
-    heads = heads.select("element", c("it.entity").alias("entity_a"), c("it.weight").alias("weight_a"), rest["entity"].alias("others"), rest["weight"].alias("weights"))
-    # at most a row for every PIECE rows of elements
-    wide = _sizes(rows).where(c("n") > PIECE).select(c("entity").alias("entity_a"), F.ceil(c("n") / PIECE).alias("parts"))
-    part = F.coalesce(F.pmod(F.xxhash64("element"), c("parts")), F.lit(0)).alias("part")
-    dealt_out = heads.join(F.broadcast(wide), "entity_a", "left").select("entity_a", part, "weight_a", "others", "weights").repartition("entity_a", "part")
-    apart = dealt_out.select("entity_a", "part", "weight_a", F.inline(F.arrays_zip(c("others").alias("entity_b"), c("weights").alias("weight_b"))))
-    sums = [F.count("*").alias("shared"), F.sum(F.least("weight_a", "weight_b")).cast("long").alias("shared_weight")]
-    return apart.groupBy("entity_a", "part", "entity_b").agg(*sums).drop("part")
-
-
-def candidate_overlaps(elements: DataFrame, max_frequency: int | None = MAX_FREQUENCY) -> DataFrame:
+    sizes = _sizes(rows)
+    count, total = sizes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = count <= PART
+    if few:  # for a window in one task, and to be sent to all
+        ahead = F.sum("n").over(W.orderBy("entity").rowsBetween(W.unboundedPreceding, -1))
+        placed = sizes.withColumn("place", F.coalesce(ahead, F.lit(0)))
+    else:
+        from .running import running
+
+        placed = stash(running(sizes, [c("entity").asc()], c("n"), "place"), "places")
+    placed = placed.withColumn("block", F.floor(c("place") / PIECE))
+    # only the last entity of a block reaches beyond its range
+    parts = placed.groupBy("block").agg(F.floor(F.sum("n") / (2 * PIECE) + 1).cast("int").alias("parts"))
+    return placed.join(parts, "block").select("entity", "place", "parts"), few, total
+
+
+def _lists_by_block(piece: int, weighted: bool, most: int):
+    """For rows of which those of an element lie in one part: of each element's list, by place, what lies at and behind its first
+    entity in a block, for each block that it has an entity of; `own`: how many of these are the block's.  A part is sorted in its
+    task; about `most` entries are sent at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        batches = list(batches)
+        if not sum(len(b) for b in batches):
+            return
+        t = pa.Table.from_batches(batches).combine_chunks()
+        element, place = t["element"].chunk(0).dictionary_encode().indices.to_numpy(), t["place"].to_numpy()
+        order = np.lexsort((place, element))
+        element, block, part = element[order], place[order] // piece, t["part"].to_numpy()[order]
+        other = element[1:] != element[:-1]
+        ends = np.concatenate((np.flatnonzero(other) + 1, [len(element)]))
+        at = np.flatnonzero(np.concatenate(([True], other | (block[1:] != block[:-1]))))
+        end = ends[np.searchsorted(ends, at, "right")]
+        own, long = np.diff(at, append=len(element)), end - at
+        at, own, long = at[long > 1], own[long > 1], long[long > 1]
+        cuts = np.searchsorted(np.cumsum(long), np.arange(most, long.sum(), most))
+        for some in np.split(np.arange(len(at)), cuts):
+            n = long[some]
+            offsets = np.concatenate(([0], np.cumsum(n)))
+            inside = pa.array(order[np.repeat(at[some] - offsets[:-1], n) + np.arange(offsets[-1])])
+            lists = {k: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), t[k].chunk(0).take(inside)) for k in ("place", "need", *(["weight"] if weighted else []))}
+            yield pa.RecordBatch.from_pydict({"entity_a": block[at[some]] * piece, "part": part[at[some]], "own": own[some].astype("int32"), **lists})
+
+    return run
+
+
+def _pairs_of_block(weighted: bool, most: int):
+    """Counts of the pairs of a block's own entities with those behind them in its lists, without pairs that fall short of what
+    their entities need if all lists are here (part 0).  `most` increments are sorted at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    no_weight = np.iinfo("int64").max
+
+    def summed(codes, shared, weight):
+        order = np.argsort(codes)
+        codes = codes[order]
+        at = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        known = weight != no_weight
+        total = np.add.reduceat(np.where(known, weight, 0)[order], at)
+        return codes[at], np.add.reduceat(shared[order], at), np.where(np.logical_or.reduceat(known[order], at), total, no_weight)
+
+    def run(key, t):
+        base, part = (k.as_py() for k in key)
+        lists = t["place"].combine_chunks()
+        start, own = lists.offsets.to_numpy()[:-1].astype("int64"), t["own"].to_numpy().astype("int64")
+        end = np.repeat(lists.offsets.to_numpy()[1:].astype("int64"), own)
+        place, flat = lists.values.to_numpy(), lambda k: t[k].combine_chunks().values
+        if weighted:
+            weights = flat("weight").fill_null(no_weight).to_numpy()
+        firsts = np.cumsum(own) - own
+        heads = np.repeat(start - firsts, own) + np.arange(len(end))
+        behind = end - heads - 1
+        upto, codes, shared, weight = np.cumsum(behind), np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0, "int64")
+        lo = 0
+        while lo < len(heads):
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + most, "right")))
+            n = behind[lo:hi]
+            other = np.arange(n.sum()) + np.repeat(heads[lo:hi] + 1 - (np.cumsum(n) - n), n)
+            # a place in the block has less than 19 bits, a place in the table less than 44
+            found = np.repeat((place[heads[lo:hi]] - base) << 44, n) | place[other]
+            if weighted:
+                more = np.minimum(np.repeat(weights[heads[lo:hi]], n), weights[other])
+                codes, shared, weight = summed(np.concatenate((codes, found)), np.concatenate((shared, np.ones(len(found), "int64"))), np.concatenate((weight, more)))
+            else:
+                found, count = np.unique(found, return_counts=True)
+                if len(codes):
+                    both, at = np.unique(np.concatenate((codes, found)), return_inverse=True)
+                    count = np.bincount(at, np.concatenate((shared, count))).astype("int64")
+                    found = both
+                codes, shared = found, count
+            lo = hi
+        a, b = (codes >> 44) + base, codes & ((1 << 44) - 1)
+        if part == 0 and len(codes):
+            known, at = np.unique(place, return_index=True)
+            need = flat("need").to_numpy()[at].astype("float64")
+            need = need[np.searchsorted(known, a)] + need[np.searchsorted(known, b)]
+            keep = shared >= need - 1e-6 * np.abs(need) - 0.01
+            a, b, shared, weight = a[keep], b[keep], shared[keep], weight[keep] if weighted else weight
+        total = pa.array(weight, mask=weight == no_weight) if weighted else shared
+        return pa.table({"a": a, "b": b, "shared": shared, "shared_weight": total})
+
+    return run
+
+
+def _pairs_of_lists(rows: DataFrame, needs: DataFrame | None = None) -> DataFrame:
+    """entity_a < entity_b, shared, shared_weight of rows (entity, element, perhaps weight) of which few have one element; the
+    counts of a pair may come in several rows.
+
+    Entities are dealt into blocks by ranges of their order, so an element's list is sent once for each block that it has an entity of
+    (where neighbours share their elements: once or twice), and the pairs of a block are counted in one task.  The rows of a block that an
+    entity of many elements makes large are dealt into several parts.  needs (entity, need): pairs that share less than both their needs
+    together may be left out."""
+    c, weighted = F.col, "weight" in rows.columns
+    blocks, few, total = _blocks(rows)
+    send = F.broadcast if few else lambda df: df
+    known = blocks.withColumn("need", F.lit(0.0).cast("float")) if needs is None else blocks.join(needs.select("entity", c("need").cast("float")), "entity")
+    part = F.when(c("parts") > 1, F.pmod(F.xxhash64("element"), c("parts")) + 1).otherwise(0).cast("int").alias("part")
+    weight = [c("weight").cast("long")] if weighted else []
+    lists = rows.join(send(known), "entity").select("element", "place", "need", part, *weight).repartition(total // PART + 1, "element")
+    kind = "entity_a long, part int, own int, place array<long>, need array<float>" + (", weight array<long>" if weighted else "")
+    lists = lists.mapInArrow(_lists_by_block(PIECE, weighted, SORTED // 4), kind)
+    pairs = lists.repartition("entity_a", "part").groupBy("entity_a", "part").applyInArrow(_pairs_of_block(weighted, SORTED), "a long, b long, shared long, shared_weight long")
+    name = lambda k: send(blocks.select(c("place").alias(k), c("entity").alias(f"entity_{k}")))
+    return pairs.join(name("a"), "a").join(name("b"), "b").select("entity_a", "entity_b", "shared", "shared_weight")
+
+
+def candidate_overlaps(elements: DataFrame, max_frequency: int | None = MAX_FREQUENCY, least: float = 0.0) -> DataFrame:
     """`overlaps` of `candidate_pairs`, from one join: elements under the cap are counted where they make the pairs, and only
-    elements above it are looked up for the pairs found, if both their entities have one."""
+    elements above it are looked up for the pairs found, if both their entities have one.  Pairs whose Jaccard similarity is below
+    `least` may be left out.  elements without a weight weigh 1 each."""
+    c = F.col
     if max_frequency is None:
+        elements = elements if "weight" in elements.columns else elements.withColumn("weight", F.lit(1).cast("long"))
         side = lambda k: elements.select(F.col("entity").alias(f"entity_{k}"), "element", F.col("weight").alias(f"weight_{k}"))
         sums = [F.count("*").alias("shared"), F.sum(F.least("weight_a", "weight_b")).cast("long").alias("shared_weight")]
         return side("a").join(side("b"), "element").where("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(*sums)
-    low = stash(_pairs_of_lists(capped(elements, max_frequency).where("entity is not null and element is not null")), "pair_counts")
-    noisy = stash(elements.join(frequencies(elements).where(F.col("frequency") > max_frequency).select("element"), "element", "left_semi"), "frequent_elements")
+    rows = elements.where("entity is not null and element is not null")
+    hot = frequencies(elements).where((c("frequency") > max_frequency) & c("element").isNotNull()).select("element")
+    some = hot.limit(FREQUENT + 1).collect()
+    if len(some) <= FREQUENT:
+        hot = F.broadcast(elements.sparkSession.createDataFrame(some, hot.schema))
+    sums = [F.sum(x).cast("long").alias(x) for x in ("shared", "shared_weight")]
+    # shared / (n_a + n_b - shared) >= least only if shared >= least / (1 + least) * (n_a + n_b)
+    share = least / (1 + least)
+    needs = _sizes(elements).select("entity", (F.lit(share) * c("n")).alias("need")) if least > 0 else None
+    if not some:
+        return _pairs_of_lists(rows, needs).groupBy("entity_a", "entity_b").agg(*sums)
+    noisy = stash(rows.join(hot, "element", "left_semi"), "frequent_elements")
+    rows = rows.join(hot, "element", "left_anti")
+    if needs is not None:  # two entities share no more frequent elements than half of what both have
+        loud = noisy.groupBy("entity").agg(F.count("*").alias("loud"))
+        needs = needs.join(loud, "entity", "left").select("entity", (c("need") - F.coalesce(c("loud"), F.lit(0)) / 2).alias("need"))
+    low = stash(_pairs_of_lists(rows, needs), "pair_counts")
     loud = noisy.select("entity").distinct()
     asked = low.select("entity_a", "entity_b")
     for k in "ab":
         asked = asked.join(loud.withColumnRenamed("entity", f"entity_{k}"), f"entity_{k}", "left_semi")
+    noisy = noisy if "weight" in noisy.columns else noisy.withColumn("weight", F.lit(1).cast("long"))
     both = low.unionByName(overlaps(noisy, asked.distinct()))
-    return both.groupBy("entity_a", "entity_b").agg(*(F.sum(c).cast("long").alias(c) for c in ("shared", "shared_weight")))
+    return both.groupBy("entity_a", "entity_b").agg(*sums)
 
 
-def scored(elements: DataFrame, pairs: DataFrame | None = None, max_frequency: int | None = MAX_FREQUENCY) -> DataFrame:
+def scored(elements: DataFrame, pairs: DataFrame | None = None, max_frequency: int | None = MAX_FREQUENCY, least: float = 0.0) -> DataFrame:
     """entity_a, entity_b, n_a, n_b, shared, shared_weight, score (Jaccard), match_type of the candidates under the cap, or of
-    given pairs."""
+    given pairs.  Candidates with a score below `least` may be left out."""
     n = _sizes(elements)
-    both = candidate_overlaps(elements, max_frequency) if pairs is None else overlaps(elements, pairs)
+    both = candidate_overlaps(elements, max_frequency, least) if pairs is None else overlaps(elements, pairs)
     sized = both.join(n.select(F.col("entity").alias("entity_a"), F.col("n").alias("n_a")), "entity_a")
     sized = sized.join(n.select(F.col("entity").alias("entity_b"), F.col("n").alias("n_b")), "entity_b")
     both, a, b = F.col("shared"), F.col("n_a"), F.col("n_b")
@@ -173,7 +310,7 @@ def set_similarity(elements: DataFrame, threshold: float = THRESHOLD, max_freque
 
         found = scored(elements, candidates(elements, threshold))
     else:
-        found = scored(elements, max_frequency=max_frequency)
+        found = scored(elements, max_frequency=max_frequency, least=threshold)
     found = found.where(F.col("score") >= threshold)
     rest = equal_sets(elements, all_pairs).join(found.select("entity_a", "entity_b"), ["entity_a", "entity_b"], "left_anti")
     total = elements.groupBy(F.col("entity").alias("entity_a")).agg(F.count("*").alias("shared"), F.sum("weight").cast("long").alias("shared_weight"))
