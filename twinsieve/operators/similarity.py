@@ -211,7 +211,8 @@ def _pairs_of_lists(rows: DataFrame, needs: DataFrame | None = None) -> DataFram
     known = blocks.withColumn("need", F.lit(0.0).cast("float")) if needs is None else blocks.join(needs.select("entity", c("need").cast("float")), "entity")
     part = F.when(c("parts") > 1, F.pmod(F.xxhash64("element"), c("parts")) + 1).otherwise(0).cast("int").alias("part")
     weight = [c("weight").cast("long")] if weighted else []
-    lists = rows.join(send(known), "entity").select("element", "place", "need", part, *weight).repartition(total // PART + 1, "element")
+    known = send(known) if few else stash(known, "blocks")  # as a table its size is known before it is joined
+    lists = rows.join(known, "entity").select("element", "place", "need", part, *weight).repartition(total // PART + 1, "element")
     kind = "entity_a long, part int, own int, place array<long>, need array<float>" + (", weight array<long>" if weighted else "")
     lists = lists.mapInArrow(_lists_by_block(PIECE, weighted, SORTED // 4), kind)
     pairs = lists.repartition("entity_a", "part").groupBy("entity_a", "part").applyInArrow(_pairs_of_block(weighted, SORTED), "a long, b long, shared long, shared_weight long")
